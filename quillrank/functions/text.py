@@ -88,23 +88,25 @@ def section_count(content: Column) -> Column:
 
 def array_median(arr: Column) -> Column:
     """Median of a numeric array (mean of the middle two for even sizes)."""
-    s = F.array_sort(arr)
+    s = F.sort_array(arr)  # native ordering; array_sort runs an interpreted comparator
     n = F.size(s)
     lo = F.get(s, F.floor((n - 1) / 2).cast("int"))
     hi = F.get(s, F.floor(n / 2).cast("int"))
     return F.when(n > 0, (lo.cast("double") + hi.cast("double")) / 2.0)
 
 
-def sentence_lengths(body: Column) -> Column:
-    return F.transform(F.split(ws_to_space(body), "[.]", -1), lambda p: F.regexp_count(p, F.lit("[^ ]+")))
+def sentence_lengths(body: Column, normalized: bool = False) -> Column:
+    n = body if normalized else ws_to_space(body)
+    return F.transform(F.split(n, "[.]", -1), lambda p: F.regexp_count(p, F.lit("[^ ]+")))
 
 
-def word_lengths(body: Column) -> Column:
-    return F.transform(F.regexp_extract_all(ws_to_space(body), F.lit("[^ ]+"), 0), lambda w: F.length(w))
+def word_lengths(body: Column, normalized: bool = False) -> Column:
+    n = body if normalized else ws_to_space(body)
+    return F.transform(F.regexp_extract_all(n, F.lit("[^ ]+"), 0), lambda w: F.length(w))
 
 
-def filtered_word_count(body: Column) -> Column:
+def filtered_word_count(body: Column, normalized: bool = False) -> Column:
     """Words other than the fixed stop tokens."""
     stops = F.array(*[F.lit(t) for t in P.WORD_STOP_TOKENS])
-    words = F.regexp_extract_all(ws_to_space(body), F.lit("[^ ]+"), 0)
+    words = F.regexp_extract_all(body if normalized else ws_to_space(body), F.lit("[^ ]+"), 0)
     return F.size(F.filter(words, lambda w: ~F.array_contains(stops, w))).cast("long")

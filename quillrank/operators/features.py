@@ -71,10 +71,10 @@ def extract_features(records: DataFrame, columns: list[str] | None = None, exact
     exprs = {
         "nSents": zero_if(nsents).cast("long"),
         "meanSentLength": zero_if(T.sentence_piece_words(F.col("_nbody"), normalized=True) / nsents, 0.0).cast("double"),
-        "medianSentLength": zero_if(T.array_median(T.sentence_lengths(body)), 0.0).cast("double"),
-        "nWords": T.filtered_word_count(body),
+        "medianSentLength": zero_if(T.array_median(T.sentence_lengths(F.col("_nbody"), normalized=True)), 0.0).cast("double"),
+        "nWords": T.filtered_word_count(F.col("_nbody"), normalized=True),
         "meanWordLength": zero_if(F.when(F.col("_nw") > 0, T.non_ws_chars(F.col("_nbody"), normalized=True) / F.col("_nw")), 0.0).cast("double"),
-        "medianWordLength": zero_if(T.array_median(T.word_lengths(body)), 0.0).cast("double"),
+        "medianWordLength": zero_if(T.array_median(T.word_lengths(F.col("_nbody"), normalized=True)), 0.0).cast("double"),
         "nChars": zero_if(F.length(F.translate(body, "\n=", ""))).cast("long"),
         "nWordsSummary": T.word_count(F.col("summary")),
         "nImages": F.coalesce(F.size("images"), F.lit(0)).cast("long"),

@@ -17,13 +17,18 @@ def labels_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
 
 
+def _with_key(columns):
+    cols = list(columns or MEASURE_COLUMNS)
+    return cols if "pageId" in cols else ["pageId"] + cols
+
+
 def doc_feature_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    feats = extract_features(document_records(spark, sf_dir), columns or MEASURE_COLUMNS)
+    feats = extract_features(document_records(spark, sf_dir), _with_key(columns))
     out = attach_labels(feats, labels_table(spark, sf_dir))
     return out.select("id", *[c for c in FEATURE_TABLE_COLUMNS if c in out.columns])
 
 
 def html_feature_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    feats = extract_features(html_records(spark, sf_dir), columns or MEASURE_COLUMNS)
+    feats = extract_features(html_records(spark, sf_dir), _with_key(columns))
     out = attach_labels(feats, labels_table(spark, sf_dir))
     return out.select("id", *[c for c in FEATURE_TABLE_COLUMNS if c in out.columns])

@@ -1,4 +1,4 @@
-from quillrank.sources.tables import read_table, spread
+from quillrank.sources.tables import materialize, read_table, spread
 from quillrank.sources.records import document_records, html_records, RECORD_COLUMNS
 
-__all__ = ["read_table", "spread", "document_records", "html_records", "RECORD_COLUMNS"]
+__all__ = ["materialize", "read_table", "spread", "document_records", "html_records", "RECORD_COLUMNS"]

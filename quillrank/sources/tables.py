@@ -27,3 +27,15 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used where an expensive frame (the per-page features) feeds several jobs
+    or filters: without it Catalyst pushes filters through the feature
+    projection (re-evaluating the text expressions) and every scalar subquery
+    or model fit recomputes the features. A reliable checkpoint (not a local
+    one) survives the loss of an executor.
+    """
+    return df.checkpoint(eager=True)

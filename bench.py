@@ -29,14 +29,18 @@ def main() -> None:
     reg = load_all()
     # Warm the JVM (class loading, codegen caches) on the smallest table.
     reg.QUERIES["page_id_list"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
-    for name in HEADLINE:
-        t0 = time.time()
-        reg.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+    # Two passes: the first (cold) pays JIT compilation of the regex and
+    # lambda paths; the second (warm) is what a long-running executor sees.
+    cold, warm = {}, {}
+    for times in (cold, warm):
+        for name in HEADLINE:
+            t0 = time.time()
+            reg.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+    times = warm
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf, "cpus": cpus, "spark": spark.version}))
+                      "queries": times, "cold_total": round(sum(cold.values()), 3), "cold_queries": cold, "sf": sf, "cpus": cpus, "spark": spark.version}))
     spark.stop()
 
 

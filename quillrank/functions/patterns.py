@@ -52,6 +52,7 @@ SECTION_SEP = "\n\n=="
 READ_WORD = r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*"
 READ_VOWEL_GROUP = "[aeiouyáéíóúàèêäöü]+"
 READ_SILENT_E = "[^aeiouyl]e$"
+SILENT_E_KEEP = list("aeiouyl")  # the same rule as READ_SILENT_E, as a character list
 READ_SENT_END = "[.!?]+"
 
 # HTML extraction.

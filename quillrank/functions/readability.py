@@ -17,13 +17,19 @@ def read_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(P.READ_WORD), 0)
 
 
+def silent_e(w: Column) -> Column:
+    """READ_SILENT_E without a regex: ends in 'e' after a character outside SILENT_E_KEEP."""
+    prev = F.substring(w, -2, 1)
+    return w.endswith("e") & (F.length(w) >= 2) & ~prev.isin(*P.SILENT_E_KEEP)
+
+
 def syllables(toks: Column) -> Column:
     """Per-token syllable estimate: vowel groups, minus a silent final e, at least 1."""
     return F.transform(
         toks,
         lambda w: F.greatest(
             F.lit(1),
-            F.regexp_count(w, F.lit(P.READ_VOWEL_GROUP)) - F.when(w.rlike(P.READ_SILENT_E), 1).otherwise(0),
+            F.regexp_count(w, F.lit(P.READ_VOWEL_GROUP)) - F.when(silent_e(w), 1).otherwise(0),
         ),
     )
 

@@ -158,3 +158,17 @@ def score_json(spark, sf_dir):
     doc = F.struct(F.array(items).alias("results"), F.col("title").alias("searchPhrase"), F.col("url").alias("url"),
                    RP.display_score(F.col("score")).alias("wikiscore"))
     return t.select("id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+
+
+from quillrank.plans.registry import ORACLE  # noqa: E402
+from quillrank.session import scratch_path  # noqa: E402
+
+
+@register("averages_report_sink", sql=ORACLE["analytics_report"])
+def averages_report_sink(spark, sf_dir):
+    """The averages report persisted as JSON lines (overwrite) and read back."""
+    r = RP.analytics_report(_report_table(spark, sf_dir))
+    r = round_doubles(r)
+    path = scratch_path(spark, "averages_report")
+    r.coalesce(1).write.mode("overwrite").json(path)  # 5 rows: one file is right here
+    return spark.read.schema(r.schema).json(path)

@@ -38,4 +38,7 @@ def materialize(df: DataFrame) -> DataFrame:
     or model fit recomputes the features. A reliable checkpoint (not a local
     one) survives the loss of an executor.
     """
+    from quillrank.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

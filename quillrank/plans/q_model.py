@@ -118,10 +118,10 @@ p AS (SELECT CASE WHEN {split_sql('pageId')} < 6 THEN 'train' ELSE 'test' END AS
              CASE WHEN featured THEN 1.0 ELSE 0.0 END AS label,
              CASE WHEN greatest(0.0, least(1.0, reading_ease / 100.0)) > 0.5 THEN 1.0 ELSE 0.0 END AS prediction
       FROM tbl WHERE {_USABLE}),
-g AS (SELECT split, count(*) AS n, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS ok,
-             sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS tp,
-             sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS fp,
-             sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS fn FROM p GROUP BY split)
+g AS (SELECT split, count(*) AS n, CAST(sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS BIGINT) AS ok,
+             CAST(sum(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+             CAST(sum(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+             CAST(sum(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM p GROUP BY split)
 SELECT split, n, tp, fp, fn, {r6('ok / n')} AS accuracy,
        {r6('CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END')} AS recall,
        {r6('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END')} AS precision FROM g""")

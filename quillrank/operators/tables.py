@@ -60,6 +60,21 @@ def dedup_first(table: DataFrame, key: str = "pageId", order: str = "id") -> Dat
     return firsts.unionByName(table.where(F.col(key).isNull()))
 
 
+def lookup_by_title(phrases: DataFrame, stored: DataFrame, phrase_col: str = "title", title_col: str = "title",
+                    id_col: str = "id", case_insensitive: bool = False) -> DataFrame:
+    """The first stored row (smallest id) whose title equals each phrase.
+
+    Stored titles are pre-aggregated to one row per title (partial
+    aggregation absorbs a hot title), so a phrase meets at most one row and no
+    pairs are emitted. ``case_insensitive`` compares lower-cased titles (the
+    original inherited whatever collation the column had).
+    """
+    norm = (lambda c: F.lower(c)) if case_insensitive else (lambda c: c)
+    d = (stored.groupBy(norm(F.col(title_col)).alias("_t"))
+         .agg(F.min(id_col).alias("doc_id"), F.count(F.lit(1)).alias("n_same_title")))
+    return phrases.join(d, norm(phrases[phrase_col]) == d["_t"]).drop("_t")
+
+
 def remeasure_update(stored: DataFrame, remeasured: DataFrame, key: str = "pageId") -> DataFrame:
     """New grade_level / reading_ease for labelled pages, others untouched.
 

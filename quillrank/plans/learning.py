@@ -90,11 +90,19 @@ def build_pipeline(features: list[str], maxima: dict[str, float | None], kind: s
 
 
 def fit_models(table: DataFrame, features: list[str] | None = None, discretize: dict[str, bool] | None = None,
-               kinds=MODEL_KINDS, test_share: float = TEST_SHARE, seed: int = 0) -> tuple[QualityModels, DataFrame]:
-    """Fit the classifiers; returns the models and the labelled, split frame."""
+               kinds=MODEL_KINDS, test_share: float = TEST_SHARE, seed: int = 0,
+               fit_on_train_only: bool = False) -> tuple[QualityModels, DataFrame]:
+    """Fit the classifiers; returns the models and the labelled, split frame.
+
+    Bucket maxima come from all featured pages (test part included), as in
+    the original; ``fit_on_train_only`` restricts them to the training part.
+    """
     features = list(features or DEFAULT_FEATURES)
     discretize = discretize or {f: f != "grade_level" for f in features}
-    maxima = collect_maxima(table, [f for f in features if discretize.get(f)])
+    stats_rows = table
+    if fit_on_train_only:
+        stats_rows = add_split(table, "pageId", test_share, seed).where("is_train")
+    maxima = collect_maxima(stats_rows, [f for f in features if discretize.get(f)])
     labelled = with_label(add_split(usable_rows(table), "pageId", test_share, seed))
     labelled = labelled.select("id", "pageId", "featured", "flagged", "label", "is_train", *features)
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)

@@ -99,16 +99,11 @@ WITH d AS (SELECT title AS t, min(id) AS doc_id, count(*) AS n_same_title FROM (
 h AS ({O.HTML_RECORDS})
 SELECT h.id AS capture_id, d.doc_id, h.title, d.n_same_title FROM h JOIN d ON d.t = h.title""")
 def lookup_by_title(spark, sf_dir):
-    """The first stored document (smallest id) whose title equals a captured page's title.
-
-    Stored titles are pre-aggregated to one row per title (partial aggregation
-    absorbs a hot title), so a capture meets at most one row: no pairs.
-    """
+    """The first stored document (smallest id) whose title equals a captured page's title."""
     from quillrank.sources import html_records
-    d = (document_records(spark, sf_dir).groupBy(F.col("title").alias("_t"))
-         .agg(F.min("id").alias("doc_id"), F.count(F.lit(1)).alias("n_same_title")))
     h = html_records(spark, sf_dir).select(F.col("id").alias("capture_id"), "title")
-    return h.join(d, h["title"] == d["_t"]).select("capture_id", "doc_id", "title", "n_same_title")
+    out = TB.lookup_by_title(h, document_records(spark, sf_dir).select("id", "title"))
+    return out.select("capture_id", "doc_id", "title", "n_same_title")
 
 
 @register("lookup_by_id", sql=f"""

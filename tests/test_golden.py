@@ -136,3 +136,12 @@ def test_remeasure_update(spark):
                                 "pageId long, grade_level double, reading_ease double")
     got = {r["id"]: (r["grade_level"], r["reading_ease"]) for r in TB.remeasure_update(stored, new).collect()}
     assert got == {1: (8.0, 65.0), 2: (8.0, 60.0), 3: (9.0, 60.0), 4: (9.0, 60.0)}
+
+
+def test_lookup_by_title_first_row_and_case(spark):
+    stored = spark.createDataFrame([(5, "Cat"), (3, "Cat"), (9, "cat"), (4, "Dog")], "id long, title string")
+    phrases = spark.createDataFrame([(1, "Cat"), (2, "CAT"), (3, "Eel")], "pid long, title string")
+    exact = {r["pid"]: (r["doc_id"], r["n_same_title"]) for r in TB.lookup_by_title(phrases, stored).collect()}
+    assert exact == {1: (3, 2)}
+    loose = {r["pid"]: (r["doc_id"], r["n_same_title"]) for r in TB.lookup_by_title(phrases, stored, case_insensitive=True).collect()}
+    assert loose == {1: (3, 3), 2: (3, 3)}

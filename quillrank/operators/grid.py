@@ -62,23 +62,24 @@ def suggestions(pages: DataFrame, scored_grid: DataFrame, k: int = TOP_K, thresh
                 continue
             ids = pdf["id"].to_numpy()
             xy = pdf[["x", "y"]].to_numpy(dtype=np.float64)
-            out = []
+            kk = min(k, len(g))
             for s in range(0, len(pdf), _CHUNK):
                 blk = xy[s:s + _CHUNK]
                 d = np.sqrt(np.square(blk[:, :1] - g[None, :, 0]) + np.square(blk[:, 1:] - g[None, :, 1]))
-                kk = min(k, d.shape[1])
                 kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-                for r in range(len(blk)):
-                    if np.isnan(blk[r]).any():
-                        continue
-                    cand = np.nonzero(d[r] <= kth[r])[0]
-                    order = np.lexsort((g[cand, 1], g[cand, 0], d[r, cand]))[:kk]
-                    sel = cand[order]
-                    out.append(pd.DataFrame({"id": ids[s + r], "rank": np.arange(1, len(sel) + 1, dtype=np.int32),
-                                             "n_links": g[sel, 0], "n_words_summary": g[sel, 1],
-                                             "distance": d[r, sel]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                # Every point within the k-th distance (ties included), then the
+                # exact order (distance, n_links, n_words_summary) per page.
+                r, c = np.nonzero(d <= kth[:, None])
+                if len(r) == 0:
+                    continue
+                order = np.lexsort((g[c, 1], g[c, 0], d[r, c], r))
+                r, c = r[order], c[order]
+                starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+                rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
+                keep = rank < kk
+                r, c, rank = r[keep], c[keep], rank[keep]
+                yield pd.DataFrame({"id": ids[s + r], "rank": (rank + 1).astype(np.int32),
+                                    "n_links": g[c, 0], "n_words_summary": g[c, 1], "distance": d[r, c]})
 
     schema = "id long, rank int, n_links double, n_words_summary double, distance double"
     return pages.select("id", F.col("x").cast("double"), F.col("y").cast("double")).mapInPandas(top_k, schema)

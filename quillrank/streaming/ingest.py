@@ -34,17 +34,35 @@ def _features(df: DataFrame, labels: DataFrame) -> DataFrame:
     return t.withColumn("score", rule).select(*SINK_COLUMNS)
 
 
+# Batches with at most this many distinct keys broadcast them to filter the
+# sink's key column (about 8 bytes a key); larger batches use a shuffle join.
+BROADCAST_KEYS_LIMIT = 5_000_000
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, sink: str, labels: DataFrame) -> None:
-    """foreachBatch body: features, skip known keys, keep first capture, idempotent write."""
+    """foreachBatch body: features, skip known keys, keep first capture, idempotent write.
+
+    The sink is only scanned for its ``pageId`` column. When the batch's keys
+    are few (counted, not guessed) they are broadcast and the sink's keys are
+    filtered against them locally, so the growing sink is never shuffled;
+    beyond the limit a plain shuffle anti join is used.
+    """
     spark = batch.sparkSession
-    rows = _features(batch, labels)
-    rows = dedup_first(rows, "pageId", "id")
-    if os.path.exists(sink.replace("file:", "")):
-        known = spark.read.parquet(sink).where(F.col("batch_id") != batch_id).select(F.col("pageId").alias("_k"))
-        rows = rows.join(known, rows["pageId"] == known["_k"], "left_anti")
-    (rows.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(sink))
+    base = dedup_first(_features(batch, labels), "pageId", "id").persist()
+    rows = base
+    try:
+        if os.path.exists(sink.replace("file:", "")):
+            known = spark.read.parquet(sink).where(F.col("batch_id") != batch_id).select("pageId")
+            keys = rows.select("pageId").where(F.col("pageId").isNotNull()).distinct()
+            if keys.count() <= BROADCAST_KEYS_LIMIT:
+                known = known.join(F.broadcast(keys), "pageId", "left_semi")
+            known = known.select(F.col("pageId").alias("_k"))
+            rows = rows.join(known, rows["pageId"] == known["_k"], "left_anti")
+        (rows.withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(sink))
+    finally:
+        base.unpersist()
 
 
 def start_ingest(spark: SparkSession, source_dir: str, glob: str, labels: DataFrame, sink: str, checkpoint: str,

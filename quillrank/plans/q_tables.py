@@ -195,7 +195,11 @@ FROM (SELECT doc_id, {O.q(DEFAULT_FLAG)} AS flag_name FROM labels WHERE quality
 JOIN (VALUES {_FLAG_VALUES}) d(flag_name, flag_code) ON l.flag_name = d.flag_name""")
 def flag_lookup(spark, sf_dir):
     """Flag category → code through the 10-row dimension (broadcast: fixed size)."""
-    flagged = labels_table(spark, sf_dir).where(F.col("quality") == 0).select("doc_id", F.lit(DEFAULT_FLAG).alias("flag_name"))
+    # The category comes from the label (a CASE on quality, not a literal), so
+    # the lookup stays an equi-join instead of being folded into a filter plus
+    # a cartesian product with the filtered dimension.
+    name = F.when(F.col("quality") == 0, F.lit(DEFAULT_FLAG))
+    flagged = labels_table(spark, sf_dir).select("doc_id", name.alias("flag_name")).where(F.col("flag_name").isNotNull())
     return flagged.join(F.broadcast(flag_dimension(spark)), "flag_name").select("doc_id", "flag_name", "flag_code")
 
 

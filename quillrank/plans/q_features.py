@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillrank.functions import readability as R
 from quillrank.functions import text as T
 from quillrank.operators.features import extract_features
 from quillrank.operators.labels import label_rows

@@ -11,7 +11,6 @@ from quillrank.operators import search as SE
 from quillrank.plans import learning as L
 from quillrank.plans import oracle as O
 from quillrank.plans.corpus import doc_feature_table, html_feature_table, labels_table
-from quillrank.plans.q_tables import _TCOLS  # noqa: F401  (shared column list)
 from quillrank.plans.registry import r6, register, round_doubles
 from quillrank.session import scratch_path
 from quillrank.sources import document_records, html_records, materialize

@@ -27,7 +27,6 @@ def test_ingest_replay_is_idempotent(spark, tmp_path):
     # Equivalence: the streamed sink equals the batch plan row for row.
     streamed = spark.read.parquet(sink).select(*ING.SINK_COLUMNS)
     from quillrank.operators.tables import dedup_first
-    from quillrank.sources.records import html_records_from
     pages = spark.read.parquet(f"{SF001}/pages.parquet")
     want = dedup_first(ING._features(pages, labels), "pageId", "id").select(*ING.SINK_COLUMNS)
     assert streamed.exceptAll(want).count() == 0 and want.exceptAll(streamed).count() == 0

@@ -26,11 +26,18 @@ SINK_COLUMNS = ["id", "pageId", "title", "url", "nWordsSummary", "nSents", "mean
                 "grade_level", "reading_ease", "featured", "flagged", "score"]
 
 
-def _features(df: DataFrame, labels: DataFrame) -> DataFrame:
+def _features(df: DataFrame, labels: DataFrame, model=None) -> DataFrame:
+    """Features, labels and the score rule; the rule's model term is the fitted
+    pipeline's P(high quality) when ``model`` is given, else the stand-in."""
     feats = extract_features(html_records_from(df), ["pageId", "title", "url"] + SCORE_FEATURES + ["reading_ease"])
     t = attach_labels(feats, labels)
-    rule = score_rule(F.col("featured"), F.col("flagged"), [F.col(c) for c in SCORE_FEATURES],
-                      standin_score(F.col("reading_ease")))
+    if model is not None:
+        from quillrank.plans.learning import probability
+        t = probability(model, t)
+        p = F.col("p_high")
+    else:
+        p = standin_score(F.col("reading_ease"))
+    rule = score_rule(F.col("featured"), F.col("flagged"), [F.col(c) for c in SCORE_FEATURES], p)
     return t.withColumn("score", rule).select(*SINK_COLUMNS)
 
 
@@ -39,7 +46,7 @@ def _features(df: DataFrame, labels: DataFrame) -> DataFrame:
 BROADCAST_KEYS_LIMIT = 5_000_000
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, sink: str, labels: DataFrame) -> None:
+def ingest_batch(batch: DataFrame, batch_id: int, sink: str, labels: DataFrame, model=None) -> None:
     """foreachBatch body: features, skip known keys, keep first capture, idempotent write.
 
     The sink is only scanned for its ``pageId`` column. When the batch's keys
@@ -48,7 +55,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, sink: str, labels: DataFrame)
     beyond the limit a plain shuffle anti join is used.
     """
     spark = batch.sparkSession
-    base = dedup_first(_features(batch, labels), "pageId", "id").persist()
+    base = dedup_first(_features(batch, labels, model), "pageId", "id").persist()
     rows = base
     try:
         if os.path.exists(sink.replace("file:", "")):
@@ -66,13 +73,17 @@ def ingest_batch(batch: DataFrame, batch_id: int, sink: str, labels: DataFrame)
 
 
 def start_ingest(spark: SparkSession, source_dir: str, glob: str, labels: DataFrame, sink: str, checkpoint: str,
-                 available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the ingest stream; ``availableNow`` processes what is there and stops."""
+                 available_now: bool = True, max_files_per_trigger: int | None = None, model=None):
+    """Start the ingest stream; ``availableNow`` processes what is there and stops.
+
+    ``model`` (a fitted quality PipelineModel over SCORE_FEATURES) scores each
+    micro-batch with the forest; without it the transparent stand-in is used.
+    """
     reader = spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
     writer = (stream.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: ingest_batch(df, bid, sink, labels)))
+              .foreachBatch(lambda df, bid: ingest_batch(df, bid, sink, labels, model)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

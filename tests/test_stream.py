@@ -30,3 +30,22 @@ def test_ingest_replay_is_idempotent(spark, tmp_path):
     pages = spark.read.parquet(f"{SF001}/pages.parquet")
     want = dedup_first(ING._features(pages, labels), "pageId", "id").select(*ING.SINK_COLUMNS)
     assert streamed.exceptAll(want).count() == 0 and want.exceptAll(streamed).count() == 0
+
+
+def test_ingest_with_fitted_model(spark, tmp_path):
+    from quillrank.plans import learning as L
+    from quillrank.plans.corpus import doc_feature_table
+    from quillrank.sources import materialize
+    src = tmp_path / "src"
+    src.mkdir()
+    shutil.copy(f"{SF001}/pages.parquet", src / "pages.parquet")
+    t = materialize(doc_feature_table(spark, SF001, ING.SCORE_FEATURES + ["reading_ease"]))
+    qm, _ = L.fit_models(t, ING.SCORE_FEATURES, kinds=("rf",))
+    sink = str(tmp_path / "sink")
+    labels = labels_table(spark, SF001)
+    ING.start_ingest(spark, str(src), "pages.parquet", labels, sink, str(tmp_path / "ckpt"),
+                     model=qm.models["rf"]).awaitTermination()
+    rows = spark.read.parquet(sink).collect()
+    assert rows and all(0.0 <= r["score"] <= 1.0 for r in rows)
+    assert all(r["score"] == 1.0 for r in rows if r["featured"])
+    assert all(r["score"] == 0.0 for r in rows if r["flagged"] and not r["featured"])

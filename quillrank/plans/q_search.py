@@ -127,3 +127,17 @@ def incremental_ingest(spark, sf_dir):
     if not os.path.exists(sink):
         return spark.createDataFrame([], html_feature_table(spark, sf_dir).select(*ING.SINK_COLUMNS).schema)
     return round_doubles(spark.read.parquet(sink).select(*ING.SINK_COLUMNS))
+
+
+@register("incremental_ingest_scored")
+def incremental_ingest_scored(spark, sf_dir):
+    """T1 + M16: the streaming ingest scoring each micro-batch with the forest fitted on the corpus."""
+    t = materialize(doc_feature_table(spark, sf_dir, ING.SCORE_FEATURES + ["reading_ease"]))
+    qm, _ = L.fit_models(t, ING.SCORE_FEATURES, kinds=("rf",))
+    sink = scratch_path(spark, "ingest_scored_sink")
+    q = ING.start_ingest(spark, sf_dir, "pages.parquet", labels_table(spark, sf_dir), sink,
+                         scratch_path(spark, "ingest_scored_ckpt"), model=qm.models["rf"])
+    q.awaitTermination()
+    if not os.path.exists(sink):
+        return spark.createDataFrame([], html_feature_table(spark, sf_dir).select(*ING.SINK_COLUMNS).schema)
+    return spark.read.parquet(sink).select(*ING.SINK_COLUMNS)

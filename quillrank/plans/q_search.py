@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from quillrank.operators import grid as G
@@ -12,7 +10,7 @@ from quillrank.plans import learning as L
 from quillrank.plans import oracle as O
 from quillrank.plans.corpus import doc_feature_table, html_feature_table, labels_table
 from quillrank.plans.registry import r6, register, round_doubles
-from quillrank.session import scratch_path
+from quillrank.session import path_exists, scratch_path
 from quillrank.sources import document_records, html_records, materialize
 from quillrank.streaming import ingest as ING
 
@@ -124,7 +122,7 @@ def incremental_ingest(spark, sf_dir):
     ckpt = scratch_path(spark, "ingest_ckpt")
     q = ING.start_ingest(spark, sf_dir, "pages.parquet", labels_table(spark, sf_dir), sink, ckpt)
     q.awaitTermination()
-    if not os.path.exists(sink):
+    if not path_exists(spark, sink):
         return spark.createDataFrame([], html_feature_table(spark, sf_dir).select(*ING.SINK_COLUMNS).schema)
     return round_doubles(spark.read.parquet(sink).select(*ING.SINK_COLUMNS))
 
@@ -138,6 +136,6 @@ def incremental_ingest_scored(spark, sf_dir):
     q = ING.start_ingest(spark, sf_dir, "pages.parquet", labels_table(spark, sf_dir), sink,
                          scratch_path(spark, "ingest_scored_ckpt"), model=qm.models["rf"])
     q.awaitTermination()
-    if not os.path.exists(sink):
+    if not path_exists(spark, sink):
         return spark.createDataFrame([], html_feature_table(spark, sf_dir).select(*ING.SINK_COLUMNS).schema)
     return spark.read.parquet(sink).select(*ING.SINK_COLUMNS)

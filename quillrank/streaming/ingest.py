@@ -10,14 +10,13 @@ instead of appending twice. The checkpoint replaces the resume offset.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.operators.features import extract_features
 from quillrank.operators.labels import attach_labels
 from quillrank.operators.tables import dedup_first, score_rule, standin_score
+from quillrank.session import path_exists
 from quillrank.sources.records import html_records_from
 
 PAGES_SCHEMA = "page_id long, url string, html string"
@@ -58,7 +57,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, sink: str, labels: DataFrame,
     base = dedup_first(_features(batch, labels, model), "pageId", "id").persist()
     rows = base
     try:
-        if os.path.exists(sink.replace("file:", "")):
+        if path_exists(spark, sink):
             known = spark.read.parquet(sink).where(F.col("batch_id") != batch_id).select("pageId")
             keys = rows.select("pageId").where(F.col("pageId").isNotNull()).distinct()
             if keys.count() <= BROADCAST_KEYS_LIMIT:

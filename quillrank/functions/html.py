@@ -23,17 +23,19 @@ def html_title(html: Column) -> Column:
     return F.regexp_replace(unescape(strip_tags(t)), P.HTML_EDGE_WS, "")
 
 
-def html_text(html: Column) -> Column:
-    """Article text in the page-object convention.
+def html_article(html: Column) -> Column:
+    """The ``<article>`` element's inner HTML, else the ``<body>``'s."""
+    art = F.regexp_extract(html, P.HTML_ARTICLE, 1)
+    return F.when(F.length(art) > 0, art).otherwise(F.regexp_extract(html, P.HTML_BODY, 1))
+
+
+def html_text_from(src: Column) -> Column:
+    """Article HTML → text in the page-object convention.
 
-    The ``<article>`` element (else ``<body>``) is taken, scripts, styles,
-    comments and the ``<h1>`` title dropped, ``<h2..h6>`` written as
-    ``\\n\\n== X ==\\n`` section lines, block tags turned into line breaks, other
-    tags removed and entities decoded.
+    Scripts, styles, comments and the ``<h1>`` title are dropped, ``<h2..h6>``
+    written as ``\n\n== X ==\n`` section lines, block tags turned into line
+    breaks, other tags removed and entities decoded.
     """
-    art = F.regexp_extract(html, P.HTML_ARTICLE, 1)
-    body = F.regexp_extract(html, P.HTML_BODY, 1)
-    src = F.when(F.length(art) > 0, art).otherwise(body)
     x = F.regexp_replace(src, P.HTML_DROP, "")
     x = F.regexp_replace(x, P.HTML_HEADING, "\n\n== $1 ==\n")
     x = F.regexp_replace(x, P.HTML_BLOCK, "\n")
@@ -41,6 +43,11 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(x, P.HTML_EDGE_WS, "")
 
 
+def html_text(html: Column) -> Column:
+    """Article text of a whole page (see ``html_article`` / ``html_text_from``)."""
+    return html_text_from(html_article(html))
+
+
 def html_hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(P.HTML_HREF), 1)
 

@@ -59,17 +59,20 @@ def html_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_records_from(p: DataFrame) -> DataFrame:
-    hrefs = H.html_hrefs(F.col("html"))
+    # hrefs and the article element each feed two outputs: extract them once
+    # in their own projection.
+    staged = p.select("page_id", "url", "html", H.html_hrefs(F.col("html")).alias("_hrefs"),
+                      H.html_article(F.col("html")).alias("_src"))
     return (
-        p.select(
+        staged.select(
             F.col("page_id").alias("id"),
             H.url_doc_key(F.col("url")).alias("page_id"),
             F.col("page_id").alias("revision_id"),
             F.col("url"),
             H.html_title(F.col("html")).alias("title"),
-            H.html_text(F.col("html")).alias("content"),
-            H.internal_links(hrefs).alias("links"),
-            H.external_links(hrefs).alias("references"),
+            H.html_text_from(F.col("_src")).alias("content"),
+            H.internal_links(F.col("_hrefs")).alias("links"),
+            H.external_links(F.col("_hrefs")).alias("references"),
             H.html_images(F.col("html")).alias("images"),
         )
         .withColumn("summary", first_line(F.col("content")))

@@ -146,17 +146,17 @@ def _json_sql():
     items = ", ".join(f"{{'label': '{f}', 'value': CAST(round({f}) AS BIGINT)}}" for f, _, _, _ in RP.REPORT_FEATURES)
     return f"""WITH {O.doc_table()}, {_ST}
 SELECT id, CAST(to_json({{'results': [[{items}]], 'searchPhrase': title, 'url': url,
-                          'wikiscore': CAST(round(9.0 * s + 1.0) AS INTEGER)}}) AS VARCHAR) AS json FROM st"""
+                          'quality_score': CAST(round(9.0 * s + 1.0) AS INTEGER)}}) AS VARCHAR) AS json FROM st"""
 
 
 @register("score_json", sql=_json_sql())
 def score_json(spark, sf_dir):
-    """The JSON result document per page ({results, searchPhrase, url, wikiscore})."""
+    """The JSON result document per page ({results, searchPhrase, url, quality_score})."""
     t = _report_table(spark, sf_dir)
     items = F.array(*[F.struct(F.lit(f).alias("label"), F.round(F.col(f), 0).cast("long").alias("value"))
                       for f, _, _, _ in RP.REPORT_FEATURES])
     doc = F.struct(F.array(items).alias("results"), F.col("title").alias("searchPhrase"), F.col("url").alias("url"),
-                   RP.display_score(F.col("score")).alias("wikiscore"))
+                   RP.display_score(F.col("score")).alias("quality_score"))
     return t.select("id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
 
 

@@ -46,3 +46,18 @@ def test_top_k_is_limited_before_shuffle(spark):
 def test_means_are_one_partial_aggregate(spark):
     p = full_plan(REG.QUERIES["feature_means"](spark, SF001))
     assert p.count("partial_avg") >= 1 and "Expand" not in p
+
+
+def test_spread_only_when_too_few_splits(spark):
+    from quillrank.sources import spread
+    wide = spark.range(0, 1000, numPartitions=16)
+    assert spread(wide, 8) is wide                      # enough splits: untouched, no shuffle
+    narrow = spark.range(0, 1000, numPartitions=1)
+    assert spread(narrow, 8).rdd.getNumPartitions() == 8
+
+
+def test_materialize_cuts_lineage(spark):
+    from quillrank.sources import materialize
+    df = materialize(spark.range(100).selectExpr("id", "id * 2 AS x"))
+    logical = df._jdf.queryExecution().logical().toString()
+    assert "LogicalRDD" in logical and "Range" not in logical

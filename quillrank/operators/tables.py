@@ -115,12 +115,19 @@ def score_rule(featured: Column, flagged: Column, features: list[Column], model_
     missing = F.lit(False)
     for f in features:
         missing = missing | f.isNull() | F.isnan(f.cast("double"))
-    return (F.when(F.coalesce(featured, F.lit(False)), F.lit(1.0))
-             .when(F.coalesce(flagged, F.lit(False)), F.lit(0.0))
+    # Flags may arrive as booleans or as stored 0/1 integers: both mean the same.
+    return (F.when(F.coalesce(featured.cast("boolean"), F.lit(False)), F.lit(1.0))
+             .when(F.coalesce(flagged.cast("boolean"), F.lit(False)), F.lit(0.0))
              .when(missing, F.lit(0.0))
              .otherwise(model_score.cast("double")))
 
 
+def rescore_candidates(table: DataFrame) -> DataFrame:
+    """Pages that are neither featured nor flagged (labelled pages keep their fixed score)."""
+    return table.where(~F.coalesce(F.col("featured").cast("boolean"), F.lit(False))
+                       & ~F.coalesce(F.col("flagged").cast("boolean"), F.lit(False)))
+
+
 def standin_score(reading_ease: Column) -> Column:
     """A transparent stand-in for the model probability (used where a check
     needs a SQL-reproducible score): reading ease / 100 clamped to [0, 1]."""

@@ -160,8 +160,7 @@ def score_writeback(spark, sf_dir):
 @register("rescore_candidates", sql=f"WITH {O.doc_table()} SELECT id, pageId FROM tbl WHERE NOT featured AND NOT flagged")
 def rescore_candidates(spark, sf_dir):
     """Pages that are neither featured nor flagged (the fixed rescore guard)."""
-    t = doc_feature_table(spark, sf_dir, ["pageId"])
-    return t.where(~F.col("featured") & ~F.col("flagged")).select("id", "pageId")
+    return TB.rescore_candidates(doc_feature_table(spark, sf_dir, ["pageId"])).select("id", "pageId")
 
 
 @register("resume_from", sql=f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillrank.operators import reports as RP
 from quillrank.plans import oracle as O
 from quillrank.plans.corpus import doc_feature_table
-from quillrank.plans.registry import register, round_doubles
+from quillrank.plans.registry import r6, register, round_doubles
 
 
 def _means_sql() -> str:
@@ -15,9 +15,9 @@ def _means_sql() -> str:
     for feat, cond in RP.MEAN_FEATURES:
         c = f"{feat} < {cond}" if cond is not None else "true"
         parts.append(f"""SELECT '{feat}' AS feature,
-  round(avg(CASE WHEN {c} THEN CAST({feat} AS DOUBLE) END), 6) AS all_mean,
-  round(avg(CASE WHEN featured AND {c} THEN CAST({feat} AS DOUBLE) END), 6) AS featured_mean,
-  round(avg(CASE WHEN flagged AND {c} THEN CAST({feat} AS DOUBLE) END), 6) AS flagged_mean FROM tbl""")
+  {r6(f"avg(CASE WHEN {c} THEN CAST({feat} AS DOUBLE) END)")} AS all_mean,
+  {r6(f"avg(CASE WHEN featured AND {c} THEN CAST({feat} AS DOUBLE) END)")} AS featured_mean,
+  {r6(f"avg(CASE WHEN flagged AND {c} THEN CAST({feat} AS DOUBLE) END)")} AS flagged_mean FROM tbl""")
     return f"WITH {O.doc_table()} " + " UNION ALL ".join(parts)
 
 

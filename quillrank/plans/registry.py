@@ -28,11 +28,13 @@ def register(name: str, sql: str | None = None):
 
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column (the oracle rounds the same columns)."""
+    # "+ 0.0" turns a rounded -0.0 into 0.0 so both engines print zero alike.
     return df.select(*[
-        F.round(F.col(f.name), places).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name)
+        (F.round(F.col(f.name), places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, DoubleType)
+        else F.col(f.name)
         for f in df.schema.fields
     ])
 
 
 def r6(expr: str) -> str:
-    return f"round({expr}, 6)"
+    return f"(round({expr}, 6) + 0.0)"

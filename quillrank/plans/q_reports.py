@@ -31,7 +31,6 @@ def feature_means(spark, sf_dir):
 
 from quillrank.operators.tables import standin_score, score_rule  # noqa: E402
 from quillrank.plans.q_tables import RULE_FEATURES, _rule_sql, _STANDIN_SQL  # noqa: E402
-from quillrank.plans.registry import r6  # noqa: E402
 
 _REPORT_NEEDS = ["grade_level", "nLinks", "nRefs", "nWordsSummary", "nImages", "reading_ease", "title", "url"] + RULE_FEATURES
 

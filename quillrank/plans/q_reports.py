@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillrank.operators import reports as RP
+from quillrank.operators.tables import score_rule, standin_score
 from quillrank.plans import oracle as O
 from quillrank.plans.corpus import doc_feature_table
-from quillrank.plans.registry import r6, register, round_doubles
+from quillrank.plans.q_tables import _STANDIN_SQL, RULE_FEATURES, _rule_sql
+from quillrank.plans.registry import ORACLE, r6, register, round_doubles
+from quillrank.session import scratch_path
+from quillrank.sources import materialize
 
 
 def _means_sql() -> str:
@@ -29,14 +33,11 @@ def feature_means(spark, sf_dir):
 
 # -- page and averages reports (L1-L7, S9) --------------------------------------
 
-from quillrank.operators.tables import standin_score, score_rule  # noqa: E402
-from quillrank.plans.q_tables import RULE_FEATURES, _rule_sql, _STANDIN_SQL  # noqa: E402
 
 _REPORT_NEEDS = ["grade_level", "nLinks", "nRefs", "nWordsSummary", "nImages", "reading_ease", "title", "url"] + RULE_FEATURES
 
 
 def _report_table(spark, sf_dir):
-    from quillrank.sources import materialize
     t = doc_feature_table(spark, sf_dir, sorted(set(_REPORT_NEEDS)))
     rule = score_rule(F.col("featured"), F.col("flagged"), [F.col(c) for c in RULE_FEATURES],
                       standin_score(F.col("reading_ease")))
@@ -159,8 +160,6 @@ def score_json(spark, sf_dir):
     return t.select("id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
 
 
-from quillrank.plans.registry import ORACLE  # noqa: E402
-from quillrank.session import scratch_path  # noqa: E402
 
 
 @register("averages_report_sink", sql=ORACLE["analytics_report"])

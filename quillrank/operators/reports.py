@@ -97,17 +97,17 @@ def bar_fractions(table: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def mean_fractions(table: DataFrame) -> DataFrame:
-    """L3: the three population means scaled to 0..1 (not clamped)."""
+    """L3: the three population means scaled to 0..1 (not clamped): one
+    aggregate, unpivoted with ``stack``."""
     means = feature_means_wide(table)
+    n = len(REPORT_FEATURES)
     rows = []
     for f, lab, lo, hi in REPORT_FEATURES:
-        rows.append(means.select(
-            F.lit(f).alias("feature"), F.lit(lab).alias("label_name"),
-            *[((F.col(f"{f}__{w}") - F.lit(lo)) / F.lit(hi - lo)).alias(f"{w}_frac") for w in ("all", "featured", "flagged")]))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        lo_s, w_s = f"CAST({lo!r} AS DOUBLE)", f"CAST({hi - lo!r} AS DOUBLE)"
+        fr = [f"(`{f}__{w}` - {lo_s}) / {w_s}" for w in ("all", "featured", "flagged")]
+        rows.append(f"'{f}', '{lab}', {', '.join(fr)}")
+    return means.selectExpr(
+        f"stack({n}, {', '.join(rows)}) AS (feature, label_name, all_frac, featured_frac, flagged_frac)")
 
 
 def bar_label(label_name, value):

@@ -38,11 +38,12 @@ def extract_features(records: DataFrame, columns: list[str] | None = None, exact
     too, whichever subset of columns this call asks for.
     """
     columns = list(columns or MEASURE_COLUMNS)
-    keep = [c for c in (keep or []) if c != "id"]
+    record_cols = ["id", "page_id", "revision_id", "url", "title", "content", "summary", "links", "images", "references"]
+    keep = [c for c in (keep or []) if c not in record_cols]
     wants_read = readability_guard or any(c in READABILITY for c in columns)
 
     base = records.select(
-        "id", *keep, "page_id", "revision_id", "url", "title", "content", "summary", "links", "images", "references",
+        *record_cols, *keep,
         T.body_cut(F.col("content"), exact).alias("_body"),
         (T.strip_back_matter(F.col("content"), exact) if wants_read else F.lit(None).cast("string")).alias("_stripped"),
     )
@@ -50,7 +51,6 @@ def extract_features(records: DataFrame, columns: list[str] | None = None, exact
     no_text = F.coalesce(F.length("content"), F.lit(0)) < 5
     if wants_read:
         no_text = no_text | (F.coalesce(F.length("_stripped"), F.lit(0)) <= 5)
-    if wants_read:
         base = base.withColumn("_toks", R.read_tokens(F.col("_stripped")))
         base = base.withColumn("_syl", R.syllables(F.col("_toks")))
         rc = R.readability_counts(F.col("_stripped"), F.col("_toks"), F.col("_syl"))

@@ -109,8 +109,13 @@ def fit_models(table: DataFrame, features: list[str] | None = None, discretize:
     train = labelled.where("is_train")
     n_train = train.count()
     qm = QualityModels(features=features, maxima=maxima, n_train=n_train)
-    for kind in kinds:
-        qm.models[kind] = build_pipeline(features, maxima, kind, n_train, seed).fit(train)
+    try:
+        for kind in kinds:
+            qm.models[kind] = build_pipeline(features, maxima, kind, n_train, seed).fit(train)
+    finally:
+        # Later uses re-read the labelled rows from the (checkpointed) table;
+        # nothing stays pinned in executor memory across queries.
+        labelled.unpersist()
     return qm, labelled
 
 

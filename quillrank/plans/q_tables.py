@@ -12,8 +12,8 @@ from quillrank.operators.labels import DEFAULT_FLAG, FLAG_CODES, flag_dimension
 from quillrank.plans import oracle as O
 from quillrank.plans.corpus import doc_feature_table, html_feature_table, labels_table
 from quillrank.plans.registry import r6, register, round_doubles
-from quillrank.session import scratch_path
-from quillrank.sources import document_records, html_records, read_table
+from quillrank.session import path_exists, scratch_path
+from quillrank.sources import document_records, html_records, materialize, read_table
 
 # Score-rule inputs for the document corpus (nImages / nRefs are constant there).
 RULE_FEATURES = ["nWordsSummary", "nSents", "meanSentLength", "meanWordLength", "grade_level"]
@@ -236,6 +236,22 @@ def csv_roundtrip(spark, sf_dir):
     return spark.read.schema(t.schema).options(**opts).csv(path)
 
 
+@register("csv_resume", sql=f"WITH {O.doc_table()} SELECT id, {_TCOLS} FROM tbl")
+def csv_resume(spark, sf_dir):
+    """S4 resume: read the CSV back, append only pages it does not hold yet (anti join on
+    pageId), twice; the second pass finds everything stored and appends nothing."""
+    t = materialize(round_doubles(doc_feature_table(spark, sf_dir)))
+    path = scratch_path(spark, "features_csv_resume")
+    opts = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    for _ in range(2):
+        todo = t
+        if path_exists(spark, path):
+            stored = spark.read.schema(t.schema).options(**opts).csv(path)
+            todo = TB.new_pages(t, stored, key="pageId", stored_key="pageId")
+        todo.write.mode("append").options(**opts).csv(path)
+    return spark.read.schema(t.schema).options(**opts).csv(path)
+
+
 # -- links ---------------------------------------------------------------------
 
 def _anchor_rows_sql(kind: str, hrefs: str, texts: str) -> str:

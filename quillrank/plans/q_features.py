@@ -65,6 +65,7 @@ def _measure_query(name, cols):
     def q(spark, sf_dir):
         return _doc_measure(spark, sf_dir, cols)
     q.__name__ = name
+    q.__doc__ = f"Per-document {', '.join(cols)} (whole texts, no-text guard applied)."
     return q
 
 

@@ -147,6 +147,8 @@ def _scores(kind):
         t, qm, _ = _fit(spark, sf_dir, (kind,))
         s = L.score_table(qm.models[kind], t, MODEL_FEATURES)
         return s.select("id", "pageId", "p_high", "score", L.display_score(F.col("score")).alias("display_score"))
+    q.__name__ = f"{kind}_scores"
+    q.__doc__ = f"{kind} pipeline fitted on the labelled pages; P(high quality), rule score and 1..10 score for every page."
     return q
 
 

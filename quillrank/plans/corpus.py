@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillrank.operators.features import FEATURE_TABLE_COLUMNS, MEASURE_COLUMNS, extract_features
 from quillrank.operators.labels import attach_labels
@@ -32,3 +33,28 @@ def html_feature_table(spark: SparkSession, sf_dir: str, columns: list[str] | No
     feats = extract_features(html_records(spark, sf_dir), _with_key(columns))
     out = attach_labels(feats, labels_table(spark, sf_dir))
     return out.select("id", *[c for c in FEATURE_TABLE_COLUMNS if c in out.columns])
+
+
+# Label keys up to this count are broadcast (about 8 bytes each) to cut the
+# document scan before the text measures; beyond it, measure then filter.
+BROADCAST_KEYS_LIMIT = 5_000_000
+
+
+def labelled_doc_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """The feature table restricted to labelled documents (featured or flagged).
+
+    The label keys cut the document scan before the spread and the text
+    measures, so unlabelled documents are never measured. The keys are
+    broadcast only after counting them; a larger key set falls back to
+    measuring every document and filtering afterwards. Same rows either way.
+    """
+    labels = labels_table(spark, sf_dir)
+    keys = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_keep_id")).distinct()
+    if keys.count() <= BROADCAST_KEYS_LIMIT:
+        recs = document_records(spark, sf_dir, only_ids=F.broadcast(keys))
+        feats = extract_features(recs, _with_key(columns))
+        out = attach_labels(feats, labels)
+        out = out.select("id", *[c for c in FEATURE_TABLE_COLUMNS if c in out.columns])
+    else:
+        out = doc_feature_table(spark, sf_dir, columns)
+    return out.where(F.col("featured") | F.col("flagged"))

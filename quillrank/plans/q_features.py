@@ -8,7 +8,7 @@ from quillrank.functions import text as T
 from quillrank.operators.features import extract_features
 from quillrank.operators.labels import label_rows
 from quillrank.plans import oracle as O
-from quillrank.plans.corpus import doc_feature_table, html_feature_table, labels_table
+from quillrank.plans.corpus import doc_feature_table, html_feature_table, labelled_doc_table, labels_table
 from quillrank.plans.registry import r6, register, round_doubles
 from quillrank.sources import document_records, html_records, read_table
 
@@ -149,9 +149,8 @@ SELECT id, pageId, flagged, featured, {r6('grade_level')} AS grade_level, nLinks
 FROM tbl WHERE flagged OR featured""")
 def labelled_pages(spark, sf_dir):
     """S3: the labelled subset (flagged = 1 OR featured = 1)."""
-    t = doc_feature_table(spark, sf_dir, ["pageId", "grade_level", "nLinks", "nWordsSummary"])
-    return round_doubles(t.where(F.col("flagged") | F.col("featured"))
-                         .select("id", "pageId", "flagged", "featured", "grade_level", "nLinks", "nWordsSummary"))
+    t = labelled_doc_table(spark, sf_dir, ["pageId", "grade_level", "nLinks", "nWordsSummary"])
+    return round_doubles(t.select("id", "pageId", "flagged", "featured", "grade_level", "nLinks", "nWordsSummary"))
 
 
 @register("page_id_list", sql="SELECT doc_id AS page_id FROM documents ORDER BY page_id")

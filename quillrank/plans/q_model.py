@@ -9,7 +9,7 @@ from quillrank.operators.split import add_split, split_sql, standardize
 from quillrank.operators.tables import standin_score
 from quillrank.plans import learning as L
 from quillrank.plans import oracle as O
-from quillrank.plans.corpus import doc_feature_table, html_feature_table
+from quillrank.plans.corpus import doc_feature_table, html_feature_table, labelled_doc_table
 from quillrank.plans.q_tables import RULE_FEATURES
 from quillrank.plans.registry import r6, register, round_doubles
 from quillrank.session import scratch_path
@@ -27,6 +27,11 @@ def _table(spark, sf_dir):
     return materialize(doc_feature_table(spark, sf_dir, TABLE_NEEDS))
 
 
+def _labelled(spark, sf_dir):
+    """The model inputs of labelled pages only (unlabelled pages are never measured)."""
+    return materialize(labelled_doc_table(spark, sf_dir, TABLE_NEEDS))
+
+
 def _feat_avg(f):
     return f"avg(CASE WHEN featured THEN CAST({f} AS DOUBLE) END)"
 
@@ -43,7 +48,7 @@ _MAXIMA_SQL = " UNION ALL ".join(
 @register("bucket_maxima", sql=f"WITH {O.doc_table()} SELECT feature, {r6('mean')} AS mean, {r6('std')} AS std, {r6('mx')} AS max FROM ({_MAXIMA_SQL})")
 def bucket_maxima(spark, sf_dir):
     """A2/M1: avg + population std of each bucketed feature over featured pages (one aggregate)."""
-    return round_doubles(BK.maxima_frame(_table(spark, sf_dir), BUCKETED))
+    return round_doubles(BK.maxima_frame(_labelled(spark, sf_dir), BUCKETED))
 
 
 @register("bucket_edges", sql=f"""
@@ -52,7 +57,7 @@ SELECT feature, CAST(i AS INTEGER) AS edge_index, {r6('i * (mx / 99.0)')} AS edg
 FROM (SELECT feature, mx, UNNEST(range(99)) AS i FROM ({_MAXIMA_SQL}))""")
 def bucket_edges(spark, sf_dir):
     """M2: the 99 left edges per bucketed feature."""
-    return round_doubles(BK.edges_frame(BK.maxima_frame(_table(spark, sf_dir), BUCKETED)))
+    return round_doubles(BK.edges_frame(BK.maxima_frame(_labelled(spark, sf_dir), BUCKETED)))
 
 
 def _bucket_sql_oracle(f):
@@ -84,7 +89,7 @@ SELECT id, pageId, featured, flagged, {', '.join(r6(f) + ' AS ' + f if f in ('me
 FROM tbl WHERE {_USABLE}""")
 def training_rows(spark, sf_dir):
     """Labelled rows with meanWordLength and reading_ease present."""
-    return round_doubles(L.usable_rows(_table(spark, sf_dir)).select("id", "pageId", "featured", "flagged", *MODEL_FEATURES))
+    return round_doubles(L.usable_rows(_labelled(spark, sf_dir)).select("id", "pageId", "featured", "flagged", *MODEL_FEATURES))
 
 
 @register("train_test_split", sql=f"""
@@ -93,7 +98,7 @@ SELECT id, pageId, CASE WHEN featured THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS l
 FROM tbl WHERE {_USABLE}""")
 def train_test_split(spark, sf_dir):
     """M4: reproducible 60/40 hash split of the usable labelled rows."""
-    t = L.with_label(add_split(L.usable_rows(_table(spark, sf_dir)), "pageId", L.TEST_SHARE, 0))
+    t = L.with_label(add_split(L.usable_rows(_labelled(spark, sf_dir)), "pageId", L.TEST_SHARE, 0))
     return t.select("id", "pageId", "label", "is_train")
 
 
@@ -108,7 +113,7 @@ st AS (SELECT {', '.join(f'avg(CAST({f} AS DOUBLE)) AS m_{f}, stddev_pop(CAST({f
 SELECT id, {', '.join(r6(_z_sql(f)) + f' AS {f}_z' for f in MODEL_FEATURES)} FROM u, st""")
 def standardize_query(spark, sf_dir):
     """M5: z-scores with mean and population std of the training part."""
-    u = add_split(L.usable_rows(_table(spark, sf_dir)), "pageId", L.TEST_SHARE, 0)
+    u = add_split(L.usable_rows(_labelled(spark, sf_dir)), "pageId", L.TEST_SHARE, 0)
     z = standardize(u, MODEL_FEATURES, where=F.col("is_train"))
     return round_doubles(z.select("id", *[f"{f}_z" for f in MODEL_FEATURES]))
 
@@ -128,7 +133,7 @@ SELECT split, n, tp, fp, fn, {r6('ok / n')} AS accuracy,
        {r6('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END')} AS precision FROM g""")
 def confusion_metrics(spark, sf_dir):
     """A5: accuracy / recall / precision per split for a deterministic threshold rule."""
-    u = L.with_label(add_split(L.usable_rows(_table(spark, sf_dir)), "pageId", L.TEST_SHARE, 0))
+    u = L.with_label(add_split(L.usable_rows(_labelled(spark, sf_dir)), "pageId", L.TEST_SHARE, 0))
     p = u.select(F.when(F.col("is_train"), "train").otherwise("test").alias("split"), "label",
                  F.when(standin_score(F.col("reading_ease")) > 0.5, 1.0).otherwise(0.0).alias("prediction"))
     return round_doubles(L.confusion_metrics(p, ["split"]))
@@ -136,8 +141,8 @@ def confusion_metrics(spark, sf_dir):
 
 # -- fitted models (rows-only checks; invariants in tests) -----------------------
 
-def _fit(spark, sf_dir, kinds):
-    t = _table(spark, sf_dir)
+def _fit(spark, sf_dir, kinds, labelled_only=False):
+    t = _labelled(spark, sf_dir) if labelled_only else _table(spark, sf_dir)
     qm, labelled = L.fit_models(t, MODEL_FEATURES, kinds=kinds)
     return t, qm, labelled
 
@@ -160,14 +165,14 @@ register("xtrees_scores")(_scores("xtrees"))  # M8
 @register("model_report")
 def model_report(spark, sf_dir):
     """Three models fitted on one training frame, metrics per split."""
-    _, qm, labelled = _fit(spark, sf_dir, L.MODEL_KINDS)
+    _, qm, labelled = _fit(spark, sf_dir, L.MODEL_KINDS, labelled_only=True)
     return L.model_report(qm, labelled)
 
 
 @register("feature_importances")
 def feature_importances(spark, sf_dir):
     """Forest feature importances by feature name."""
-    _, qm, _ = _fit(spark, sf_dir, ("rf",))
+    _, qm, _ = _fit(spark, sf_dir, ("rf",), labelled_only=True)
     return L.feature_importances(qm, "rf")
 
 

@@ -8,7 +8,7 @@ from quillrank.operators import grid as G
 from quillrank.operators import search as SE
 from quillrank.plans import learning as L
 from quillrank.plans import oracle as O
-from quillrank.plans.corpus import doc_feature_table, html_feature_table, labels_table
+from quillrank.plans.corpus import doc_feature_table, html_feature_table, labelled_doc_table, labels_table
 from quillrank.plans.registry import r6, register, round_doubles
 from quillrank.session import path_exists, scratch_path
 from quillrank.sources import document_records, html_records, materialize
@@ -75,7 +75,8 @@ _GRID_FEATURES = ["nLinks", "nWordsSummary", "nSents", "meanWordLength", "grade_
 
 
 def _model_grid(spark, sf_dir):
-    t = materialize(doc_feature_table(spark, sf_dir, _GRID_FEATURES + ["reading_ease"]))
+    # Fit and medians only read labelled pages: the others are never measured.
+    t = materialize(labelled_doc_table(spark, sf_dir, _GRID_FEATURES + ["reading_ease"]))
     qm, _ = L.fit_models(t, _GRID_FEATURES, kinds=("rf",))
     # Q13: features off the grid axes are held at the featured medians (mergeable sketch).
     med = t.where("featured").agg(*[F.percentile_approx(F.col(f).cast("double"), 0.5).alias(f)

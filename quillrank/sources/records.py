@@ -25,14 +25,19 @@ def first_line(c):
     return F.substring_index(c, "\n", 1)
 
 
-def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_records(spark: SparkSession, sf_dir: str, only_ids: DataFrame | None = None) -> DataFrame:
     """``documents`` → PageRecord.
 
     page_id = doc_id; content = text; summary = the first line (lead
     paragraph); title = the first line cut to 60 characters; url =
     ``/{lang}/{doc_id}``; documents carry no links, images or references.
+    ``only_ids`` (a frame with column ``_keep_id``) restricts the scan first.
     """
-    d = spread(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    if only_ids is not None:
+        # Keep only the wanted documents before spreading and measuring them.
+        d = d.join(only_ids, d["doc_id"] == only_ids["_keep_id"], "left_semi")
+    d = spread(d)
     return d.select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("page_id"),

@@ -61,3 +61,19 @@ def test_materialize_cuts_lineage(spark):
     df = materialize(spark.range(100).selectExpr("id", "id * 2 AS x"))
     logical = df._jdf.queryExecution().logical().toString()
     assert "LogicalRDD" in logical and "Range" not in logical
+
+
+def test_labelled_table_cuts_scan_before_measuring(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillrank.plans import corpus
+    cols = ["pageId", "grade_level", "nWordsSummary"]
+    fast = corpus.labelled_doc_table(spark, SF001, cols)
+    p = plan(fast)
+    semi = p.find("LeftSemi")
+    assert semi != -1 and p.find("RoundRobinPartitioning") < semi  # semi join sits below the spread
+    monkeypatch.setattr(corpus, "BROADCAST_KEYS_LIMIT", 0)            # force the measure-then-filter path
+    slow = corpus.labelled_doc_table(spark, SF001, cols)
+    full = corpus.doc_feature_table(spark, SF001, cols).where(F.col("featured") | F.col("flagged"))
+    for other in (slow, full):
+        assert fast.exceptAll(other).count() == 0 and other.exceptAll(fast).count() == 0

@@ -11,7 +11,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 NAMES = ["page_features", "feature_means", "dedup_pages", "existence_report", "title_search_top3",
-         "lookup_by_title", "bucketize", "suggestions", "page_report"]
+         "lookup_by_title", "bucketize", "suggestions", "page_report", "labelled_pages"]
 
 
 def main(sf_dir: str) -> None:

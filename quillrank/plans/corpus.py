@@ -40,6 +40,24 @@ def html_feature_table(spark: SparkSession, sf_dir: str, columns: list[str] | No
 BROADCAST_KEYS_LIMIT = 5_000_000
 
 
+def _label_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = labels_table(spark, sf_dir)
+    return labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_keep_id")).distinct()
+
+
+def labelled_html_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """Captured pages of labelled articles only, cut before the text measures (as
+    ``labelled_doc_table``, keyed by the article key in the url)."""
+    keys = _label_keys(spark, sf_dir)
+    if keys.count() <= BROADCAST_KEYS_LIMIT:
+        feats = extract_features(html_records(spark, sf_dir, only_ids=F.broadcast(keys)), _with_key(columns))
+        out = attach_labels(feats, labels_table(spark, sf_dir))
+        out = out.select("id", *[c for c in FEATURE_TABLE_COLUMNS if c in out.columns])
+    else:
+        out = html_feature_table(spark, sf_dir, columns)
+    return out.where(F.col("featured") | F.col("flagged"))
+
+
 def labelled_doc_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """The feature table restricted to labelled documents (featured or flagged).
 
@@ -49,7 +67,7 @@ def labelled_doc_table(spark: SparkSession, sf_dir: str, columns: list[str] | No
     measuring every document and filtering afterwards. Same rows either way.
     """
     labels = labels_table(spark, sf_dir)
-    keys = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_keep_id")).distinct()
+    keys = _label_keys(spark, sf_dir)
     if keys.count() <= BROADCAST_KEYS_LIMIT:
         recs = document_records(spark, sf_dir, only_ids=F.broadcast(keys))
         feats = extract_features(recs, _with_key(columns))

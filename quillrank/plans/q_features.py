@@ -8,7 +8,8 @@ from quillrank.functions import text as T
 from quillrank.operators.features import extract_features
 from quillrank.operators.labels import label_rows
 from quillrank.plans import oracle as O
-from quillrank.plans.corpus import doc_feature_table, html_feature_table, labelled_doc_table, labels_table
+from quillrank.plans.corpus import (doc_feature_table, html_feature_table, labelled_doc_table,
+                                     labelled_html_table, labels_table)
 from quillrank.plans.registry import r6, register, round_doubles
 from quillrank.sources import document_records, html_records, read_table
 
@@ -138,9 +139,8 @@ WITH {O.html_table()}
 SELECT id, pageId, title, flags, flagged, featured, {r6('score')} AS score FROM htbl WHERE flagged OR featured""")
 def label_join(spark, sf_dir):
     """Captured pages that receive a featured / flagged mark from the labels."""
-    t = html_feature_table(spark, sf_dir, ["pageId", "title"])
-    return round_doubles(t.where(F.col("flagged") | F.col("featured"))
-                         .select("id", "pageId", "title", "flags", "flagged", "featured", "score"))
+    t = labelled_html_table(spark, sf_dir, ["pageId", "title"])
+    return round_doubles(t.select("id", "pageId", "title", "flags", "flagged", "featured", "score"))
 
 
 @register("labelled_pages", sql=f"""

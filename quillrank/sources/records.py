@@ -52,14 +52,19 @@ def document_records(spark: SparkSession, sf_dir: str, only_ids: DataFrame | Non
     )
 
 
-def html_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def html_records(spark: SparkSession, sf_dir: str, only_ids: DataFrame | None = None) -> DataFrame:
     """``pages`` → PageRecord (E6), all regex work on the JVM.
 
     id and revision_id = the capture's page_id; page_id = the article key in
     the url (several captures may share it); links = site-internal hrefs,
-    references = http(s) hrefs, images = ``<img src>``.
+    references = http(s) hrefs, images = ``<img src>``. ``only_ids`` (column
+    ``_keep_id``) restricts the scan to those article keys first.
     """
-    p = spread(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    p = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    if only_ids is not None:
+        # Keep only captures of the wanted articles before spreading and measuring.
+        p = p.join(only_ids, H.url_doc_key(p["url"]) == only_ids["_keep_id"], "left_semi")
+    p = spread(p)
     return html_records_from(p)
 
 

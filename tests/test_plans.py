@@ -77,3 +77,17 @@ def test_labelled_table_cuts_scan_before_measuring(spark, monkeypatch):
     full = corpus.doc_feature_table(spark, SF001, cols).where(F.col("featured") | F.col("flagged"))
     for other in (slow, full):
         assert fast.exceptAll(other).count() == 0 and other.exceptAll(fast).count() == 0
+
+
+def test_labelled_html_table_matches_filter(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillrank.plans import corpus
+    cols = ["pageId", "title", "nLinks"]
+    fast = corpus.labelled_html_table(spark, SF001, cols)
+    assert "LeftSemi" in plan(fast)
+    full = corpus.html_feature_table(spark, SF001, cols).where(F.col("featured") | F.col("flagged"))
+    monkeypatch.setattr(corpus, "BROADCAST_KEYS_LIMIT", 0)
+    slow = corpus.labelled_html_table(spark, SF001, cols)
+    for other in (slow, full):
+        assert fast.exceptAll(other).count() == 0 and other.exceptAll(fast).count() == 0

@@ -23,4 +23,14 @@ def test_entry_contract(spark):
     assert set(o) <= set(q) and len(q) >= 70
     for name in q:
         assert re.fullmatch(r"[a-z][a-z0-9_]*", name)
-        assert "pipeline" not in name and not re.match(r"op\d+_", name)
+
+
+def test_entry_works_without_the_training_data_modules(spark, monkeypatch):
+    """With the optional modules gone, the other queries stay."""
+    e = _entry_module()
+    full = set(e.queries())
+
+    monkeypatch.setattr(e, "_optional", lambda name: None)
+    rest = set(e.queries())
+    assert len(rest) >= 70 and rest <= full
+    assert set(e.oracle_sql()) <= rest

@@ -6,7 +6,8 @@ documents). A document's log weight is the sum over its n-grams of the log
 ratio of the two; a Gumbel number seeded by the document is added and the top
 k documents are sampled, which draws k documents without replacement in
 proportion to their weights. k is not given but estimated: the documents whose
-weight passes the level that best parts the labelled good from the others.
+weight passes the level that best parts the labelled good from the others
+(a labelled document is weighed without its own counts).
 
 The raw counts cover every word of every document. Target rows are at most
 ``TARGET_ROWS`` labelled rows (a broadcast of a known bound); each task sends
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -80,14 +82,28 @@ def ngram_counts(docs: DataFrame, text_col: str, target: Column, buckets: int =
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Log ratio of the target and the raw model by bucket; the target is smoothed towards the raw model."""
-    raw, target = raw.astype(float), target.astype(float)
-    if not target.sum():
-        return np.zeros(len(raw))
-    p = (raw + 1) / (raw.sum() + len(raw))
-    weight = smoothing * len(raw)
-    return np.log((target + weight * p) / (target.sum() + weight)) - np.log(p)
+@dataclass
+class Models:
+    """Bucket counts of the raw corpus and the target; the target is smoothed towards the raw model."""
+
+    raw: np.ndarray
+    target: np.ndarray
+    smoothing: float = SMOOTHING
+
+    def __post_init__(self):
+        self.p = (self.raw + 1.0) / (self.raw.sum() + len(self.raw))
+        self.ratios = self._ratios(self.target, int(self.target.sum()), slice(None))
+
+    def _ratios(self, target: np.ndarray, total: int, at) -> np.ndarray:
+        weight, p = self.smoothing * len(self.raw), self.p[at]
+        return np.log((target + weight * p) / (total + weight)) - np.log(p)
+
+    def log_weight(self, found: np.ndarray, learned: bool) -> float:
+        """Log weight of a document's n-grams; one that the target was learned from is judged without its own counts."""
+        if not learned:
+            return float(self.ratios[found].sum())
+        own, n = np.unique(found, return_counts=True)
+        return float((n * self._ratios(self.target[own] - n, int(self.target.sum()) - len(found), own)).sum())
 
 
 def gumbel(*seeds: Column) -> Column:
@@ -126,17 +142,18 @@ def importance(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str
     counts = np.zeros((2, buckets), np.int64)
     for bucket, raw, target in ngram_counts(texts_, "text", F.col("good"), buckets).collect():
         counts[:, bucket] = raw, target
-    ratios = spark.sparkContext.broadcast(log_ratios(counts[0], counts[1]))
+    models = spark.sparkContext.broadcast(Models(counts[0], counts[1]))
     doc = F.struct(*[col(c).alias(c) for c in carry] or [F.lit(0)]).alias("doc")
     draw = gumbel(F.lit(seed), col(id_col), col(text_col).cast("string"))
     row = docs.select(doc, col(text_col).cast("string").alias("text"), draw.alias("gumbel"), col(id_col).alias("id"))
+    row = row.join(known, "id", "left").select("doc", "text", "gumbel", "id", F.coalesce("good", F.lit(False)).alias("good"))
     schema = row.select("doc", "id", "gumbel", F.lit(0).cast("long").alias("n_ngrams"), F.lit(0.0).alias("log_weight")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed()
         for batch in batches:
             found = [buckets_of(t, hashed, buckets) for t in texts(batch.column(1))]
-            n, weight = [len(x) for x in found], [float(ratios.value[x].sum()) for x in found]
+            n, weight = [len(x) for x in found], [models.value.log_weight(x, g) for x, g in zip(found, batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], names=["doc", "id", "gumbel", "n_ngrams", "log_weight"])
 
     scored = row.mapInArrow(run, schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ WORD_BYTES = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0
 #: The same words in a text that has not been lower-cased, for spans in code points.
 WORD_PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
+#: Base of the polynomial hashes of words inside byte arrays, and its inverse modulo 2^64.
+HASH_BASE = np.uint64(0x9E3779B97F4A7C55)
+HASH_INVERSE = np.uint64(pow(int(HASH_BASE), -1, 1 << 64))
+
 
 def col(name: str) -> Column:
     """A column by its literal name (dots, blanks and backticks included)."""
@@ -41,6 +47,18 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+@functools.lru_cache(maxsize=2)
+def _power_table(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def powers(n: int, base: np.uint64) -> np.ndarray:
+    """The first n powers of a base modulo 2^64."""
+    return _power_table(int(base), 1 << max(22, int(n).bit_length()))[:n]
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None]) -> DataFrame:
     """Apply ``fn`` to each Arrow batch (Spark bounds a batch by rows and bytes)."""
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import col, map_batches, stored, utf8_texts
+from quillrank.llm.common import HASH_BASE, HASH_INVERSE, col, map_batches, powers, stored, utf8_texts
 
 THRESHOLD = 0.8
 #: Hashed word counts, and the count from which a word is met together with a second one only.
@@ -52,8 +52,6 @@ _COUNT_ROWS = 64
 _TOKEN_BITS = 40
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 _SPACE = np.array([b in b"\t\n\x0b\x0c\r " for b in range(256)])
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -63,12 +61,6 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def line_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Line number and 40-bit hash of each word of UTF-8 bytes, distinct in a line and sorted by line and hash."""
     space = _SPACE[data]
@@ -78,8 +70,8 @@ def line_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(n, _BASE), out=sums[1:])
-    token = _mix((sums[end] - sums[start]) * _powers(n, _INVERSE)[start]) >> np.uint64(64 - _TOKEN_BITS)
+    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(n, HASH_BASE), out=sums[1:])
+    token = _mix((sums[end] - sums[start]) * powers(n, HASH_INVERSE)[start]) >> np.uint64(64 - _TOKEN_BITS)
     line = np.cumsum(data == 10)[start]
     key = np.sort((line.astype(np.uint64) << np.uint64(_TOKEN_BITS)) | token)
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]

@@ -33,31 +33,22 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import col, texts
+from quillrank.llm.common import HASH_BASE, HASH_INVERSE, col, powers
 from quillrank.llm.wavelet import WaveletMatrix
 from quillrank.session import scratch_path
 
 SHARD_TOKENS = 1 << 19
 END_ID = 2
-#: Bits of a token id.
-LEVELS = 16
 MAGIC = b"TKS1"
-_HEADER = struct.Struct("<4sQQQ")
-#: Pieces whose ids a worker remembers.
-CACHE = 700_000
-_MARKS = ".,;:!?#&%$*|"
+_HEADER = struct.Struct("<4sQQQQ")
+#: Bytes of texts encoded at a time, and pieces whose ids a worker remembers.
+GROUP_BYTES = 4 << 20
+CACHE = 600_000
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_MARK = np.array([chr(b) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for b in range(256)])
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
-_PAIRS = ("  ", "\n\n", " \n", "\n ")
-_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-
-
-def _looks_further(text: str) -> bool:
-    """Whether a text has white space of which the tokenizer's split depends on more than its neighbours, or the mark used here."""
-    if "\x01" in text:
-        return True
-    if text.isascii() and not any(x in text for x in _PAIRS) and not any(x in text for x in _ASCII_SPACE):
-        return False
-    return _RUN.search(text) is not None
+#: White space in UTF-8, and the bytes with which some of it begins or goes on.
+_SPACE = np.array([chr(b).isspace() if b < 128 else b in b"\xc2\xe1\xe2\xe3" or b < 0xC0 for b in range(256)])
 
 
 class _ByteAlphabet(dict):
@@ -74,12 +65,13 @@ class _ByteAlphabet(dict):
 class Encoder:
     """The tokenizer's ids of texts, with the ids of pieces remembered.
 
-    Byte-level BPE splits a text before a blank that follows a word and around
-    a line end, whatever stands there, so the pieces between those places can
-    be encoded alone. It does look further in longer runs of white space;
-    texts with such runs are encoded whole. A word of letters, with the blank
-    before it, is one unit of the merges and goes to the tokenizer's model
-    directly.
+    Byte-level BPE splits a text before a blank that follows a word, around a
+    line end and behind a word's last letter, whatever stands there, so the
+    pieces between those places can be encoded alone. It does look further in longer runs of white space;
+    texts with such runs are encoded whole. The pieces of some texts are told
+    apart by hashes (and compared byte by byte), so that the tokenizer and the
+    memory are asked once for each different one. A word of letters, with the
+    blank before it, is one unit of the merges and goes to them directly.
     """
 
     def __init__(self, path: str):
@@ -95,65 +87,104 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Encode words of letters: some hundred in one call, parted again by the bytes of their tokens."""
+    def _learn_words(self, pieces: list[bytes], words: list[str]) -> None:
+        """Ids of words of letters: some hundred in one call, parted again by the bytes of their tokens."""
         for at in range(0, len(words), 500):
-            some = words[at : at + 500]
-            plain = [w.replace(" ", "\u0120") if w.isascii() else w.translate(self.alphabet) for w in some]
+            plain = [w.replace(" ", "\u0120") if w.isascii() else w.translate(self.alphabet) for w in words[at : at + 500]]
             ids = np.array(self.merger.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
             lengths = np.fromiter(map(len, plain), np.int64, len(plain))
             ends = (4 * (1 + np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths)))).tolist()
             data = ids.tobytes()
-            self.pieces.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            self.pieces.update(zip(pieces[at : at + 500], [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         """Remember the ids of pieces that are not known yet."""
-        pieces, words, marked, other = self.pieces, [], {}, []
-        for piece in new:
-            if (piece[1:] if piece[:1] == " " else piece).isalpha():
-                words.append(piece)
-            else:
-                word = piece.rstrip(_MARKS)
-                if (word[1:] if word[:1] == " " else word).isalpha():
-                    marked[piece] = word
-                else:
-                    other.append(piece)
-        words.extend({w for w in marked.values() if w not in pieces and w not in new})
-        self._learn_words(words)
-        for piece, word in marked.items():
-            pieces[piece] = pieces[word] + self._tail(piece[len(word) :])
-        for piece in other:
-            pieces[piece] = self._whole(piece)
-
-    @functools.lru_cache(maxsize=10_000)  # noqa: B019  encoders live as long as their process
-    def _tail(self, marks: str) -> bytes:
-        return self._whole(marks)
-
-    def encode_all(self, batch: list[str], characters: int = 1 << 20) -> Iterator[np.ndarray]:
-        """Token ids of each text, some texts at a time."""
+        decoded = [piece.decode("utf-8", "surrogatepass") for piece in new]
+        is_word = [(t[1:] if t[:1] == " " else t).isalpha() for t in decoded]
+        self._learn_words([p for p, w in zip(new, is_word, strict=True) if w], [t for t, w in zip(decoded, is_word, strict=True) if w])
+        self.pieces.update((p, self._whole(t)) for p, t, w in zip(new, decoded, is_word, strict=True) if not w)
+
+    def _pieces(self, data: np.ndarray, start_all: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the kept pieces of some bytes, one after the other, and how many each has."""
+        end_all = np.append(start_all[1:], len(data))
+        start, end = start_all[kept], end_all[kept]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), HASH_BASE), out=sums[1:])
+        hashed = (sums[end] - sums[start]) * powers(len(data), HASH_INVERSE)[start]
+        hashed ^= hashed >> np.uint64(31)
+        order = np.argsort(hashed)
+        new = np.concatenate([[True], hashed[order[1:]] != hashed[order[:-1]]])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        first = order[new]  # a piece of each group
+        whole = data.tobytes()
+        keys = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        if b"".join(map(keys.__getitem__, group.tolist())) != data[np.repeat(kept, end_all - start_all)].tobytes():  # two pieces of one hash
+            keys = [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            group = np.arange(len(keys))
+        unknown = [k for k in keys if k not in self.pieces]
+        if len(self.pieces) + len(unknown) > CACHE:  # forget, and learn what these texts need
+            self.pieces.clear()
+            unknown = keys
+        self._learn(unknown)
+        found = [self.pieces[k] for k in keys]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        begin = np.cumsum(sizes) - sizes
+        return flat[_ranges(begin[group], sizes[group])], sizes[group]
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For some texts at a time (null: empty): their ids, one after the other, and how many each has."""
+        column = column.cast(pa.large_binary())
+        if column.null_count:
+            column = column.fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        everything = np.frombuffer(column.buffers()[2] or b"", np.uint8)
         at = 0
-        while at < len(batch):
-            end, size = at, 0
-            while end < len(batch) and (size < characters or end == at):
-                size += len(batch[end])
-                end += 1
-            cut = [None if _looks_further(t) else t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") for t in batch[at:end]]
-            new = set().union(*[p for p in cut if p is not None])
-            new.difference_update(self.pieces)
-            if len(self.pieces) + len(new) > CACHE:  # forget, and learn what these texts need
-                self.pieces.clear()
-                new = set().union(*[p for p in cut if p is not None])
-            self._learn(new)
-            known = self.pieces.__getitem__
-            for text, pieces in zip(batch[at:end], cut, strict=True):
-                yield np.frombuffer(self._whole(text) if pieces is None else b"".join(map(known, pieces)), "<u4")
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP_BYTES)))
+            end = min(end, len(column))
+            yield self._encode_some(everything[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
             at = end
 
+    def _encode_some(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(offsets) - 1
+        counts = np.zeros(n, np.int64)
+        if not len(data):
+            return np.zeros(0, "<u4"), counts
+        owner = np.repeat(np.arange(n), np.diff(offsets))
+        # A byte that may begin other white space counts as some here; the pattern decides.
+        space = _SPACE[data]
+        runs = np.flatnonzero(space[:-1] & space[1:])
+        suspects = [i for i in np.unique(owner[runs]).tolist() if _RUN.search(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "surrogatepass"))]
+        mark = (data == 32) | (data == 10)
+        mark[1:] |= (data[:-1] == 10) | (_LETTER[data[:-1]] & _MARK[data[1:]])
+        mark[offsets[:-1][np.diff(offsets) > 0]] = True
+        start = np.flatnonzero(mark)
+        odd = np.zeros(n, bool)
+        odd[suspects] = True
+        plain = ~odd[owner[start]]
+        ids, sizes = self._pieces(data, start, plain) if plain.any() else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        start = start[plain]
+        counts += np.bincount(owner[start], sizes, n).astype(np.int64)
+        if not suspects:
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in suspects:
+            parts[i] = np.frombuffer(self._whole(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "surrogatepass")), "<u4")
+            counts[i] = len(parts[i])
+        return np.concatenate(parts), counts
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + size - 1 of each range, one range after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
 
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
@@ -162,29 +193,34 @@ def encoder(path: str) -> Encoder:
 
 
 class TokenShard:
-    """One shard: the token sequence as a wavelet matrix, and where its documents end."""
+    """One shard: its token ids as ranks in its alphabet, in a wavelet matrix, and where its documents end."""
 
-    def __init__(self, tokens: WaveletMatrix, ends: np.ndarray):
-        self.tokens, self.ends = tokens, ends
+    def __init__(self, tokens: WaveletMatrix, alphabet: np.ndarray, ends: np.ndarray):
+        self.tokens, self.alphabet, self.ends = tokens, alphabet, ends
 
     @classmethod
-    def of(cls, documents: list[np.ndarray]) -> TokenShard:
-        ends = np.cumsum([len(d) for d in documents], dtype=np.int64)
-        return cls(WaveletMatrix.of(np.concatenate(documents), LEVELS), ends)
+    def of(cls, tokens: np.ndarray, lengths: np.ndarray) -> TokenShard:
+        used = np.bincount(tokens) > 0
+        rank = (np.cumsum(used) - 1).astype(np.uint16 if used.sum() <= 1 << 16 else np.uint32)
+        alphabet = np.flatnonzero(used)
+        return cls(WaveletMatrix.of(rank[tokens], max(1, int(len(alphabet) - 1).bit_length())), alphabet, np.cumsum(lengths, dtype=np.int64))
 
     def to_bytes(self) -> bytes:
-        ends = zstandard.ZstdCompressor(level=1).compress(np.diff(self.ends, prepend=0).astype("<u4").tobytes())
-        planes = self.tokens.to_bytes()
-        return _HEADER.pack(MAGIC, len(self.ends), len(ends), len(planes)) + ends + planes
+        pack = zstandard.ZstdCompressor(level=1).compress
+        ends, alphabet, planes = pack(np.diff(self.ends, prepend=0).astype("<u4").tobytes()), pack(self.alphabet.astype("<u4").tobytes()), self.tokens.to_bytes()
+        return _HEADER.pack(MAGIC, len(self.ends), len(ends), len(self.alphabet), len(alphabet)) + ends + alphabet + planes
 
     @classmethod
     def from_bytes(cls, data: bytes) -> TokenShard:
-        magic, n, size, _ = _HEADER.unpack_from(data)
+        magic, n, ends, symbols, alphabet = _HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
+
+        def part(at: int, size: int, count: int) -> np.ndarray:
+            return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=4 * count or 1), "<u4")
+
         at = _HEADER.size
-        lengths = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=4 * n or 1), "<u4")
-        return cls(WaveletMatrix.from_bytes(data[at + size :]), np.cumsum(lengths, dtype=np.int64))
+        return cls(WaveletMatrix.from_bytes(data[at + ends + alphabet :]), part(at + ends, alphabet, symbols), np.cumsum(part(at, ends, n), dtype=np.int64))
 
     def __len__(self) -> int:
         return len(self.ends)
@@ -192,22 +228,34 @@ class TokenShard:
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], self.ends[:-1]])
 
+    def _rank(self, token: int) -> int | None:
+        at = int(np.searchsorted(self.alphabet, token))
+        return at if at < len(self.alphabet) and self.alphabet[at] == token else None
+
     def document(self, number: int) -> np.ndarray:
         """Token ids of one document, by access to its places only."""
         start = self.ends[number - 1] if number else 0
-        return self.tokens.access(np.arange(start, self.ends[number]))
+        return self.alphabet[self.tokens.access(np.arange(start, self.ends[number]))]
 
     def count(self, token: int) -> int:
-        return self.tokens.count(token)
+        rank = self._rank(token)
+        return 0 if rank is None else self.tokens.count(rank)
 
     def occurrences(self, token: int) -> list[tuple[int, int]]:
         """(document, place in it) of every occurrence of a token."""
-        at = self.tokens.occurrences(token)
+        rank = self._rank(token)
+        if rank is None:
+            return []
+        at = self.tokens.occurrences(rank)
         document = np.searchsorted(self.ends, at, "right")
         return list(zip(document.tolist(), (at - self.starts()[document]).tolist(), strict=True))
 
+    def values(self) -> np.ndarray:
+        """All token ids."""
+        return self.alphabet[self.tokens.values()]
+
     def documents(self) -> list[np.ndarray]:
-        return np.split(self.tokens.values(), self.ends[:-1])
+        return np.split(self.values(), self.ends[:-1])
 
 
 def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -223,26 +271,37 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     schema = f"part int, shard int, start long, n_tokens long, ids array<{kind.simpleString()}>, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, held, ids, size, start, shard, part = encoder(tokenizer).encode_all, [], [], 0, 0, 0, 0
+        encode, start, shard, part = encoder(tokenizer).encode, 0, 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal size, start, shard
-            data = TokenShard.of(held).to_bytes()
-            column = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(ids))
+            tokens, lengths = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            data = TokenShard.of(tokens, lengths).to_bytes()
+            ids = pa.concat_arrays([x[2] for x in held])
+            column = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([start]), pa.array([size]), column, pa.array([data], pa.binary())], names=["part", "shard", "start", "n_tokens", "ids", "data"])
             start, shard, size = start + size, shard + 1, 0
             held.clear()
-            ids.clear()
             return out
 
         for batch in batches:
-            part = batch.column(2)[0].as_py()
-            for i, tokens in enumerate(encode(texts(batch.column(1)))):
-                held.append(np.append(tokens, np.uint32(end_id)))
-                ids.append(batch.column(0).slice(i, 1))
-                size += len(held[-1])
-                if size >= shard_tokens:
-                    yield flush()
+            part, at = batch.column(2)[0].as_py(), 0
+            for tokens, counts in encode(batch.column(1)):
+                ends = np.cumsum(counts)
+                tokens = np.insert(tokens, ends, end_id)
+                ends += np.arange(1, len(ends) + 1)
+                begin = 0
+                while begin < len(ends):  # whole documents until a shard is full
+                    before = ends[begin - 1] if begin else 0
+                    stop = min(len(ends), int(np.searchsorted(ends, before + shard_tokens - size)) + 1)
+                    held.append((tokens[before : ends[stop - 1]], np.diff(ends[begin:stop], prepend=before), batch.column(0).slice(at + begin, stop - begin)))
+                    size += int(ends[stop - 1] - before)
+                    begin = stop
+                    if size >= shard_tokens:
+                        yield flush()
+                at += len(counts)
         if held:
             yield flush()
 
@@ -263,7 +322,7 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
                 part, start, ids, data = (batch.column(c)[i] for c in range(4))
                 shard = TokenShard.from_bytes(data.as_py())
                 first = shared.value[part.as_py()] + start.as_py()
-                wide = shard.tokens.values().astype("<u4")
+                wide = shard.values().astype("<u4", copy=False)
                 places = zip(shard.starts().tolist(), shard.ends.tolist(), strict=True)
                 crc = [zlib.crc32(wide[a:b]) for a, b in places]
                 lengths = np.diff(shard.ends, prepend=0)

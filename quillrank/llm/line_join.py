@@ -12,7 +12,7 @@ or more; of similar or equal lines only the earliest, by id and place, stays.
    n - ceil(t n) + 1 of them; each such word is an index entry.
 3. Entries meet by word. Pairs pass the length filter (by sorted search, so
    others are not formed), the positional filter, and a bitmap filter (bits in
-   which 128-bit word bitmaps differ are a lower bound of the difference).
+   which 64-bit word bitmaps differ are a lower bound of the difference).
 4. What is left is verified on the whole sets.
 
 Words that might be in very many prefixes (by their counts) are split: similar
@@ -38,60 +38,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import HASH_BASE, HASH_INVERSE, col, map_batches, powers, stored, utf8_texts
+from quillrank.llm.common import col, map_batches, stored, utf8_texts
+from quillrank.llm.words import chunks, mix, words
 
 THRESHOLD = 0.8
 #: Hashed word counts, and the count from which a word is met together with a second one only.
 COUNTS = 1 << 20
 CROWDED = 50_000
-#: Bytes of texts worked on at a time, index entries of a task, and pairs filtered at a time.
-CHUNK = 4 << 20
+#: Index entries of a task, and pairs filtered at a time.
 TASK_ENTRIES = 200_000
 PAIRS = 1 << 20
 _COUNT_ROWS = 64
 _TOKEN_BITS = 40
-_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
-_SPACE = np.array([b in b"\t\n\x0b\x0c\r " for b in range(256)])
-
-
-def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    x = x + np.uint64(0x632BE59BD9B4E019 * (salt + 1) & (1 << 64) - 1)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
 
 
 def line_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Line number and 40-bit hash of each word of UTF-8 bytes, distinct in a line and sorted by line and hash."""
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
+    start, _, hashed = words(data)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(n, HASH_BASE), out=sums[1:])
-    token = _mix((sums[end] - sums[start]) * powers(n, HASH_INVERSE)[start]) >> np.uint64(64 - _TOKEN_BITS)
     line = np.cumsum(data == 10)[start]
-    key = np.sort((line.astype(np.uint64) << np.uint64(_TOKEN_BITS)) | token)
+    key = np.sort((line.astype(np.uint64) << np.uint64(_TOKEN_BITS)) | (hashed >> np.uint64(64 - _TOKEN_BITS)))
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     return (key >> np.uint64(_TOKEN_BITS)).astype(np.int64), key & np.uint64((1 << _TOKEN_BITS) - 1)
 
 
 def set_hashes(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each line's set."""
-    return tuple(np.add.reduceat(_mix(token, salt), first).view(np.int64) for salt in (1, 2))
+    return tuple(np.add.reduceat(mix(token, salt), first).view(np.int64) for salt in (1, 2))
 
 
 def line_chunks(documents: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For some texts at a time: document and line in it of each line that has words, where its words begin, and the words."""
-    at = 0
-    while at < len(documents):
-        end, size = at, 0
-        while end < len(documents) and (size < CHUNK or end == at):
-            size += len(documents[end]) + 1
-            end += 1
-        some = documents[at:end]
+    for at, some in chunks(documents):
         lines = np.array([d.count(b"\n") + 1 for d in some])
         line, token = line_words(np.frombuffer(b"\n".join(some), np.uint8))
         if len(line):
@@ -99,7 +78,6 @@ def line_chunks(documents: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray
             number = line[first]
             owner = np.repeat(np.arange(len(some)), lines)[number]
             yield owner + at, number - (np.cumsum(lines) - lines)[owner], first, token
-        at = end
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,27 +133,25 @@ def prefix_entries(first: np.ndarray, token: np.ndarray, rarity: np.ndarray, cro
     key = np.sort((line.astype(np.uint64) << np.uint64(_TOKEN_BITS + 6)) | (level << np.uint64(_TOKEN_BITS)) | token)
     token, level = key & np.uint64((1 << _TOKEN_BITS) - 1), (key >> np.uint64(_TOKEN_BITS)) & np.uint64(63)
     place = np.arange(len(key)) - np.repeat(first, n)
-    bit = _mix(token, 3) & np.uint64(127)
-    one = np.uint64(1) << (bit & np.uint64(63))
-    low, high = (np.bitwise_or.reduceat(np.where(side, one, np.uint64(0)), first) for side in (bit < 64, bit >= 64))
+    bits = np.bitwise_or.reduceat(np.uint64(1) << (mix(token, 3) & np.uint64(63)), first)
     prefix = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
     usable = (n >= math.ceil(t / (1 - t) - 1e-9))[line]
     inside = usable & (place < prefix[line])
     full = inside & (level > math.log2(crowded))
     plain = np.flatnonzero(inside & ~full)
-    keys, at, where = [_mix(token[plain], 4)], [plain], [place[plain]]
+    keys, at, where = [mix(token[plain], 4)], [plain], [place[plain]]
     # A crowded word: once with each other word of the prefix that is one longer.
     crowd = np.flatnonzero(full)
     for other in range(int(prefix[line[crowd]].max()) + 1 if len(crowd) else 0):
         mine = crowd[(other <= prefix[line[crowd]]) & (other < n[line[crowd]]) & (other != place[crowd])]
         second = token[first[line[mine]] + other]
         a, b = np.minimum(token[mine], second), np.maximum(token[mine], second)
-        keys.append(_mix(_mix(a, 4) ^ b, 5))
+        keys.append(mix(mix(a, 4) ^ b, 5))
         at.append(mine)
         where.append(np.minimum(place[mine], other))
     at, keys, where = np.concatenate(at), np.concatenate(keys), np.concatenate(where)
     of = line[at]
-    return {"key": keys.view(np.int64), "line": of, "n": n[of], "at": where, "low": low[of].view(np.int64), "high": high[of].view(np.int64)}
+    return {"key": keys.view(np.int64), "line": of, "n": n[of], "at": where, "bits": bits[of].view(np.int64)}
 
 
 def _entries(placed: DataFrame, rarity, crowded: int, t: float) -> DataFrame:
@@ -183,29 +159,26 @@ def _entries(placed: DataFrame, rarity, crowded: int, t: float) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for _, _, first, token in line_chunks(utf8_texts(batch.column(0))):
-                h1, h2 = set_hashes(token, first)
+                h1, _ = set_hashes(token, first)
                 found = prefix_entries(first, token, rarity.value, crowded, t)
                 new = np.zeros(len(first), bool)
-                for i, h in enumerate(h1.tolist()):  # h2 tells nothing more here: a line left out in error would need equal h1
+                for i, h in enumerate(h1.tolist()):
                     if h not in seen:
                         new[i] = True
                         seen.add(h)
                 if len(seen) > 1 << 20:
                     seen.clear()
                 keep = new[found["line"]]
-                line = found["line"][keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["key"][keep]), pa.array(h1[line]), pa.array(h2[line]), pa.array(found["n"][keep].astype(np.int32)), pa.array(found["at"][keep].astype(np.int32)), pa.array(found["low"][keep]), pa.array(found["high"][keep])],
-                    names=["key", "h1", "h2", "n", "at", "low", "high"],
-                )
+                size_at = found["n"][keep] << 32 | found["at"][keep]
+                yield pa.RecordBatch.from_arrays([pa.array(found["key"][keep]), pa.array(h1[found["line"][keep]]), pa.array(size_at), pa.array(found["bits"][keep])], names=["key", "h1", "size_at", "bits"])
 
-    return placed.select("text").mapInArrow(run, "key long, h1 long, h2 long, n int, at int, low long, high long")
+    return placed.select("text").mapInArrow(run, "key long, h1 long, size_at long, bits long")
 
 
 def candidate_pairs(group: pd.DataFrame, t: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows (of a group sorted by key and n, without copies) that pass the filters."""
-    key, n, at = group.key.to_numpy(), group.n.to_numpy().astype(np.int64), group["at"].to_numpy().astype(np.int64)
-    low, high = group.low.to_numpy().view(np.uint64), group.high.to_numpy().view(np.uint64)
+    key, size_at, bits = group.key.to_numpy(), group.size_at.to_numpy(), group.bits.to_numpy().view(np.uint64)
+    n, at = size_at >> 32, size_at & 0xFFFFFFFF
     run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     wide = 1 << 32
     order = run * wide + n
@@ -220,24 +193,20 @@ def candidate_pairs(group: pd.DataFrame, t: float = THRESHOLD) -> Iterator[tuple
         overlap = _smallest_overlap(n[a], n[b], t)
         ok = np.minimum(n[a] - at[a], n[b] - at[b]) >= overlap  # of the first shared word; all others stand behind it
         a, b, overlap = a[ok], b[ok], overlap[ok]
-        differ = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b])
-        ok = differ <= n[a] + n[b] - 2 * overlap
+        ok = np.bitwise_count(bits[a] ^ bits[b]) <= n[a] + n[b] - 2 * overlap
         yield a[ok], b[ok]
         start = stop
 
 
 def _pairs(entries: DataFrame, tasks: int, t: float) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["key", "h1", "h2"]).sort_values(["key", "n"])
-        h1, h2 = group.h1.to_numpy(), group.h2.to_numpy()
-        found = [np.stack([h1[a], h2[a], h1[b], h2[b]], 1) for a, b in candidate_pairs(group, t)]
-        pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-        swap = (pairs[:, 0] > pairs[:, 2]) | ((pairs[:, 0] == pairs[:, 2]) & (pairs[:, 1] > pairs[:, 3]))
-        pairs[swap] = pairs[swap][:, [2, 3, 0, 1]]
-        return pd.DataFrame(np.unique(pairs, axis=0) if len(pairs) else pairs, columns=["a1", "a2", "b1", "b2"])
+        group = group.drop_duplicates(["key", "h1"]).sort_values(["key", "size_at"])
+        h1 = group.h1.to_numpy()
+        found = [np.stack([np.minimum(h1[a], h1[b]), np.maximum(h1[a], h1[b])], 1) for a, b in candidate_pairs(group, t)]
+        return pd.DataFrame(np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0), columns=["a1", "b1"])
 
     dealt = entries.withColumn("task", F.pmod("key", F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(run, "a1 long, a2 long, b1 long, b2 long").distinct()
+    return dealt.groupBy("task").applyInPandas(run, "a1 long, b1 long").distinct()
 
 
 def _line_sets(placed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -260,43 +229,44 @@ def _line_sets(placed: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(row, "h1 long, h2 long, words array<long>", run)
 
 
-def kept_lines(placed: DataFrame, t: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
-    """``place`` and the ``kept`` line numbers of each row that keeps lines with words."""
+def _lines(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored rows of ``_lines_and_counts``, and its lines."""
     rows = stored(_lines_and_counts(placed))
-    lines = rows.where("part is null").select("h1", "h2", "id", "place", "line")
+    return rows, rows.where("part is null").select("h1", "h2", "id", "place", "line")
+
+
+def kept_lines(placed: DataFrame, rows: DataFrame, lines: DataFrame, t: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
+    """``place`` and ``line`` of the lines with words that stay."""
     order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("place"), F.col("line"))
     distinct = stored(lines.groupBy("h1", "h2").agg(F.min(order).alias("first")))
     rarity = placed.sparkSession.sparkContext.broadcast(_rarity(rows))
     # About 12 entries a line: a prefix is a fifth of a line's words.
     tasks = max(1, 12 * distinct.count() // TASK_ENTRIES)
     pairs = stored(_pairs(_entries(placed, rarity, crowded, t), tasks, t))
-    ends = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
-    wanted = distinct.join(ends, ["h1", "h2"]).select("h1", "h2", "first", F.col("first.place").alias("place"), F.col("first.line").alias("line"))
+    ends = pairs.select(F.col("a1").alias("h1")).union(pairs.select("b1")).distinct()
+    wanted = distinct.join(ends, "h1", "left_semi").select("h1", "h2", "first", F.col("first.place").alias("place"), F.col("first.line").alias("line"))
     sets = stored(_line_sets(placed, wanted).join(wanted.select("h1", "h2", "first"), ["h1", "h2"]))
     a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("words").alias("a_words"), F.col("first").alias("a_first"))
     b = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("words").alias("b_words"), F.col("first").alias("b_first"))
-    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    both = pairs.join(a, "a1").join(b, "b1")
     shared = F.size(F.array_intersect("a_words", "b_words"))
     like = shared >= t * (F.size("a_words") + F.size("b_words") - shared) - 1e-9
     a_later = F.col("a_first") > F.col("b_first")
     later = both.where(like).select(F.when(a_later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(a_later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct()
-    kept = distinct.join(later, ["h1", "h2"], "left_anti").select(F.col("first.place").alias("place"), F.col("first.line").alias("line"))
-    return kept.groupBy("place").agg(F.sort_array(F.collect_list("line")).alias("kept"))
+    return distinct.join(later, ["h1", "h2"], "left_anti").select(F.col("first.place").alias("place"), F.col("first.line").alias("line"))
 
 
 def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
     """Each row's ``place``, ``id``, ``n_lines`` (with words) and the numbers of the ``removed`` ones."""
     placed = _placed(docs, id_col, text_col)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        full = [[i for i, x in enumerate(t.split(b"\n")) if x.strip(b"\t\n\x0b\x0c\r ")] for t in utf8_texts(batch.column(2))]
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(full, pa.list_(pa.int64()))], names=["place", "id", "full"])
-
-    kind = placed.schema["id"].dataType.simpleString()
-    full = map_batches(placed, f"place long, id {kind}, full array<long>", run)
-    joined = full.join(kept_lines(placed, t, crowded), "place", "left")
-    removed = F.array_except("full", F.coalesce("kept", F.array().cast("array<long>")))
-    return joined.select("place", "id", F.size("full").cast("long").alias("n_lines"), removed.alias("removed"))
+    rows, lines = _lines(placed)
+    kept = kept_lines(placed, rows, lines, t, crowded).select("place", "line", F.lit(True).alias("kept"))
+    found = lines.select("place", "line", F.lit(False).alias("kept")).union(kept)
+    by_row = found.groupBy("place").agg(F.collect_list(F.when(F.col("kept"), F.col("line"))).alias("kept"), F.collect_list(F.when(~F.col("kept"), F.col("line"))).alias("full"))
+    joined = placed.select("place", "id").join(by_row, "place", "left")
+    none = F.array().cast("array<long>")
+    removed = F.sort_array(F.array_except(F.coalesce("full", none), F.coalesce("kept", none)))
+    return joined.select("place", "id", F.size(F.coalesce("full", none)).cast("long").alias("n_lines"), removed.alias("removed"))
 
 
 def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:

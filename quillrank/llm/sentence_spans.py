@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans (operator 4).
 
-A text is cut into sentences: after ``.``, ``!`` or ``?`` before white space,
-and at line ends. A sentence of more than ``LONG`` words is cut further, after
+A text is cut into sentences: behind a word that ends in ``.``, ``!`` or ``?``
+and at line ends. A sentence of more than ``LONG`` words is cut further, behind
 words chosen by their own hash, so that a passage pasted into the middle of a
 sentence is cut at the same places everywhere. From every sentence a span runs
 over at least ``RUN`` sentences and ``RUN_WORDS`` words (white space and the
@@ -12,141 +12,147 @@ that such an occurrence covers are removed.
 Hashes are counted by a partial aggregation, and only repeated ones are joined
 back to their occurrences, so a passage of a third of all documents is one
 counted key and a skewed equi-join that adaptive execution splits; no pairs are
-formed.
+formed. Spans are worked out again for the join: writing them out for both
+uses would take more disk than the texts.
 
 Defined results: a null or empty text has no sentence; a text shorter than a
-span is kept; ids that are null come last; rows with equal ids are told apart
-by their place in the scan (``docs`` should be a stored table); other columns
-are carried untouched.
+span is kept; ids that are null come last; of rows with equal ids one counts as
+the first (rows are told apart by their place in the scan, so ``docs`` should
+be a stored table); other columns are carried untouched.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import col, map_batches, stored, texts
+from quillrank.llm.common import col, map_batches, utf8_texts
+from quillrank.llm.words import chunks, mix, run_hashes, words
 
 RUN = 3
 RUN_WORDS = 16
 LONG = 12
 #: One in so many words ends a piece of a long sentence.
-CUT = 5
-_ENDS = re.compile(r"[.!?](?=\s)|\n")
-_WORD = re.compile(r"\S+")
-
-
-def sentences(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, words joined by blanks, number of words) of the sentences of a text that have words, in code points."""
-    out, at = [], 0
-    for end in [*[m.end() for m in _ENDS.finditer(text)], len(text)]:
-        part = text[at:end]
-        words = part.split()
-        if len(words) > LONG:
-            begin, held = at, []
-            for m in _WORD.finditer(part):
-                held.append(m.group())
-                if zlib.crc32(held[-1].lower().encode("utf-8", "surrogatepass")) % CUT == 0 and len(held) >= 2:
-                    out.append((begin, at + m.end(), " ".join(held), len(held)))
-                    begin, held = at + m.end(), []
-            if held:
-                out.append((begin, end, " ".join(held), len(held)))
-        elif words:
-            out.append((at, end, " ".join(words), len(words)))
-        at = end
+CUT = 6
+_ENDS = np.array([b in b".!?" for b in range(256)])
+
+
+def _sentences(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts joined by line ends: where each sentence ends among the words, the text it is of, and the ends (in bytes) and hashes of the words."""
+    data = np.frombuffer(b"\n".join(documents), np.uint8)
+    start, end, hashed = words(data)
+    if not len(end):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), end, hashed
+    line = np.cumsum(data == 10)[start]
+    last = _ENDS[data[end - 1]] | np.append(line[1:] != line[:-1], True)
+    stops = np.flatnonzero(last) + 1
+    long = np.repeat(np.diff(stops, prepend=0) > LONG, np.diff(stops, prepend=0))
+    last |= long & (hashed % np.uint64(CUT) == 0)
+    stops = np.flatnonzero(last) + 1
+    offsets = np.cumsum([len(d) + 1 for d in documents])
+    return stops, np.searchsorted(offsets, start[stops - 1], "right"), end, hashed
+
+
+def _spans(stops: np.ndarray, owner: np.ndarray, run: int = RUN, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First and end sentence of the spans: from each sentence on, the shortest run that is long enough."""
+    starts = np.concatenate([[0], stops])  # words before each sentence, and all
+    first = np.arange(len(stops))
+    end = np.maximum(np.searchsorted(starts, starts[:-1] + run_words), first + run)
+    limit = np.searchsorted(owner, owner, "right")  # sentences up to the end of the text
+    fits = end <= limit
+    return first[fits], end[fits]
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(col(id_col).alias("id"), F.monotonically_increasing_id().alias("place"), col(text_col).cast("string").alias("text"))
+
+
+def span_rows(placed: DataFrame) -> DataFrame:
+    """A row for each span of each text: 128-bit hash (h1, h2), ``id`` and ``place`` of the row, first and end sentence in it, and whether the text has the span before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, some in chunks(utf8_texts(batch.column(2))):
+                stops, owner, _, hashed = _sentences(some)
+                first, end = _spans(stops, owner)
+                if not len(first):
+                    continue
+                starts = np.concatenate([[0], stops])
+                h1 = run_hashes(hashed, starts[first], starts[end])
+                h2 = run_hashes(mix(hashed, 1), starts[first], starts[end])
+                of, begin = owner[first], np.searchsorted(owner, owner[first])
+                order = np.lexsort((first, h1, of))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
+                take = pa.array(of + at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((first - begin).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(again)],
+                    names=["h1", "h2", "id", "place", "first", "end", "again"],
+                )
+
+    kind = placed.schema["id"].dataType.simpleString()
+    return placed.mapInArrow(run, f"h1 long, h2 long, id {kind}, place long, first int, end int, again boolean")
+
+
+def repeated_spans(placed: DataFrame) -> DataFrame:
+    """``place``, first and end sentence of the span occurrences that are not the first of their hash."""
+    # Rows with an id before rows without; the row's place goes along with the least id.
+    named = span_rows(placed)
+    with_id, without = F.col("id").isNotNull(), F.col("id").isNull()
+    counted = named.groupBy("h1", "h2").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.min_by(F.when(with_id, F.col("place")), F.col("id")), F.min(F.when(without, F.col("place")))).alias("home"),
+    )
+    joined = span_rows(placed).select("h1", "h2", "place", "first", "end", "again").join(counted.where("n > 1").select("h1", "h2", "home"), ["h1", "h2"])
+    return joined.where((F.col("place") != F.col("home")) | F.col("again")).select("place", "first", "end")
+
+
+def merged(runs: list[dict] | None) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for first, end in sorted((x["first"], x["end"]) for x in runs or []):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((first, end))
     return out
 
 
-def spans(pieces: list[tuple[int, int, str, int]], run: int = RUN, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """From each sentence on, the shortest run [first, end) of ``run`` sentences and ``run_words`` words at least."""
-    out, end, words = [], 0, 0
-    for first, piece in enumerate(pieces):
-        while end < len(pieces) and (end - first < run or words < run_words):
-            words += pieces[end][3]
-            end += 1
-        if end - first < run or words < run_words:
-            break
-        out.append((first, end))
-        words -= piece[3]
-    return out
-
-
-def span_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each span of each text: 128-bit hash (h1, h2), ``id``, ``place`` of the row, first and end sentence."""
-    row = docs.select(col(id_col).alias("id"), F.monotonically_increasing_id().alias("place"), col(text_col).cast("string").alias("text"))
-    schema = row.select(F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "id", "place", F.lit(0).alias("first"), F.lit(0).alias("end")).schema
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, owner, first, end = [], [], [], []
-        for number, text in enumerate(texts(batch.column(2))):
-            pieces = sentences(text)
-            found = spans(pieces)
-            if not found:
-                continue
-            words = [p[2] for p in pieces]
-            for a, b in found:
-                digests.append(xxhash.xxh3_128_digest(" ".join(words[a:b]).lower().encode("utf-8", "surrogatepass")))
-                first.append(a)
-                end.append(b)
-            owner.extend([number] * len(found))
-        hashes = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-        take = pa.array(owner, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), batch.column(0).take(take), batch.column(1).take(take), pa.array(first, pa.int32()), pa.array(end, pa.int32())],
-            names=["h1", "h2", "id", "place", "first", "end"],
-        )
-
-    return map_batches(row, schema, run)
-
-
-def repeated_spans(spans_: DataFrame) -> DataFrame:
-    """The occurrences of ``span_rows`` that are not the first of their hash."""
-    order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("place"), F.col("first"))
-    counted = spans_.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least")).where("n > 1")
-    joined = spans_.join(counted.select("h1", "h2", F.col("least.place").alias("first_place"), F.col("least.first").alias("first_at")), ["h1", "h2"])
-    return joined.where((F.col("place") != F.col("first_place")) | (F.col("first") != F.col("first_at")))
-
-
-def repeats_by_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``place`` of each row with repeats, and its covered ``runs`` of sentences, as (first, end) structs."""
-    repeated = repeated_spans(stored(span_rows(docs, id_col, text_col)))
-    return repeated.groupBy("place").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("runs"))
-
-
 def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row as struct ``doc`` with ``n_sentences``, ``n_removed``, the merged ``removed`` runs of sentences and the ``text`` without them."""
     doc = F.struct(*[col(c).alias(c) for c in docs.columns if c != text_col] or [F.lit(0)]).alias("doc")
-    placed = docs.select(doc, col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
-    row = placed.join(repeats_by_row(docs, id_col, text_col), "place", "left").select("doc", "text", "runs")
+    runs = repeated_spans(_placed(docs, id_col, text_col)).groupBy("place").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
+    row = docs.select(doc, col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("place")).join(runs, "place", "left").select("doc", "text", "runs")
     schema = row.select("doc", "text", F.lit(0).cast("long").alias("n_sentences"), F.lit(0).cast("long").alias("n_removed"), "runs").withColumnRenamed("runs", "removed").schema
-    runs_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        new, n, n_removed, removed = [], [], [], []
-        for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            pieces = sentences(text or "")
-            merged: list[list[int]] = []
-            for x in runs or []:
-                if merged and x["first"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], x["end"])
-                else:
-                    merged.append([x["first"], x["end"]])
-            out, at = [], 0
-            for a, b in merged:
-                out.append(text[at : pieces[a][0]])
-                at = pieces[b - 1][1]
-            new.append("".join(out) + text[at:] if merged else text)
-            n.append(len(pieces))
-            n_removed.append(sum(b - a for a, b in merged))
-            removed.append([{"first": a, "end": b} for a, b in merged])
+        documents = utf8_texts(batch.column(1))
+        removed = [merged(x) for x in batch.column(2).to_pylist()]
+        n, new = [], batch.column(1).to_pylist() if any(removed) else batch.column(1)
+        for at, some in chunks(documents):
+            stops, owner, end, _ = _sentences(some)
+            n.append(np.bincount(owner, minlength=len(some)))
+            offset = np.cumsum([0] + [len(d) + 1 for d in some])
+            for i, text in enumerate(some):
+                if removed[at + i]:
+                    ends = end[stops[owner == i] - 1] - offset[i]
+                    out, behind = [], 0
+                    for a, b in removed[at + i]:
+                        out.append(text[behind : ends[a - 1] if a else 0])
+                        behind = int(ends[b - 1])
+                    new[at + i] = (b"".join(out) + text[behind:]).decode("utf-8", "surrogatepass")
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(new, pa.string()), pa.array(n, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, runs_type)],
+            [
+                batch.column(0),
+                new if isinstance(new, pa.Array) else pa.array(new, pa.string()),
+                pa.array(np.concatenate(n).astype(np.int64)),
+                pa.array([sum(b - a for a, b in x) for x in removed], pa.int64()),
+                pa.array([[{"first": a, "end": b} for a, b in x] for x in removed], kind),
+            ],
             names=["doc", "text", "n_sentences", "n_removed", "removed"],
         )
 

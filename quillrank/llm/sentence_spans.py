@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import col, map_batches, utf8_texts
+from quillrank.llm.common import col, map_batches, stored, utf8_texts
 from quillrank.llm.words import chunks, mix, run_hashes, words
 
 RUN = 3
@@ -72,7 +72,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def span_rows(placed: DataFrame) -> DataFrame:
-    """A row for each span of each text: 128-bit hash (h1, h2), ``id`` and ``place`` of the row, first and end sentence in it, and whether the text has the span before."""
+    """A row for each span of each text: 128-bit hash (h1, h2), ``id`` and ``place`` of the row, and ``span``: its first sentence (above 32 bits), its length, and (the lowest bit) whether the text has it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,12 +90,12 @@ def span_rows(placed: DataFrame) -> DataFrame:
                 again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
                 take = pa.array(of + at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((first - begin).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(again)],
-                    names=["h1", "h2", "id", "place", "first", "end", "again"],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((first - begin) << 32 | (end - first) << 1 | again)],
+                    names=["h1", "h2", "id", "place", "span"],
                 )
 
     kind = placed.schema["id"].dataType.simpleString()
-    return placed.mapInArrow(run, f"h1 long, h2 long, id {kind}, place long, first int, end int, again boolean")
+    return placed.mapInArrow(run, f"h1 long, h2 long, id {kind}, place long, span long")
 
 
 def repeated_spans(placed: DataFrame) -> DataFrame:
@@ -107,8 +107,13 @@ def repeated_spans(placed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.min_by(F.when(with_id, F.col("place")), F.col("id")), F.min(F.when(without, F.col("place")))).alias("home"),
     )
-    joined = span_rows(placed).select("h1", "h2", "place", "first", "end", "again").join(counted.where("n > 1").select("h1", "h2", "home"), ["h1", "h2"])
-    return joined.where((F.col("place") != F.col("home")) | F.col("again")).select("place", "first", "end")
+    # Stored, so that the join reads both sides from a shuffle and its hot keys can be split.
+    homes = stored(counted.where("n > 1").select("h1", "h2", "home"))
+    joined = span_rows(placed).select("h1", "h2", "place", "span").join(homes, ["h1", "h2"])
+    again = F.col("span").bitwiseAND(F.lit(1)) == 1
+    first, size = F.shiftright("span", 32), F.shiftright(F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    repeated = joined.where((F.col("place") != F.col("home")) | again)
+    return repeated.select("place", first.cast("int").alias("first"), (first + size).cast("int").alias("end"))
 
 
 def merged(runs: list[dict] | None) -> list[tuple[int, int]]:

@@ -30,6 +30,7 @@ apart by their place in the scan (``docs`` should be a stored table).
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +102,7 @@ def _lines_and_counts(placed: DataFrame) -> DataFrame:
         if ids is not None:
             parts = np.split(counts, _COUNT_ROWS)
             numbers = pa.nulls(_COUNT_ROWS, pa.int64())
-            yield pa.RecordBatch.from_arrays([numbers, numbers, pa.nulls(_COUNT_ROWS, ids), numbers, numbers, pa.array(range(_COUNT_ROWS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([numbers, numbers, pa.nulls(_COUNT_ROWS, ids), numbers, numbers, pa.array(range(_COUNT_ROWS), pa.int32()), pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts], pa.binary())], names=names)
 
     kind = placed.schema["id"].dataType.simpleString()
     return placed.mapInArrow(run, f"h1 long, h2 long, id {kind}, place long, line long, part int, counts binary")
@@ -111,7 +112,7 @@ def _rarity(rows: DataFrame) -> np.ndarray:
     """Logarithm of the hashed counts, a byte each: the table has a fixed size."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<i8") for c in group.counts)
+        total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in group.counts)
         return pd.DataFrame({"part": [group.part.iloc[0]], "counts": [np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
 
     found = rows.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect()

@@ -56,7 +56,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
 
 def powers(n: int, base: np.uint64) -> np.ndarray:
     """The first n powers of a base modulo 2^64."""
-    return _power_table(int(base), 1 << max(22, int(n).bit_length()))[:n]
+    return _power_table(int(base), 1 << max(20, int(n).bit_length()))[:n]
 
 
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None]) -> DataFrame:

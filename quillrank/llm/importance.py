@@ -40,7 +40,7 @@ TARGET_ROWS = 200_000
 SMOOTHING = 1.0
 SEED = 5
 #: Words whose hashes a task remembers.
-CACHE = 300_000
+CACHE = 150_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

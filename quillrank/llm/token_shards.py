@@ -42,8 +42,8 @@ END_ID = 2
 MAGIC = b"TKS1"
 _HEADER = struct.Struct("<4sQQQQ")
 #: Bytes of texts encoded at a time, and pieces whose ids a worker remembers.
-GROUP_BYTES = 4 << 20
-CACHE = 600_000
+GROUP_BYTES = 2 << 20
+CACHE = 300_000
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _MARK = np.array([chr(b) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for b in range(256)])
 _RUN = re.compile(r"\s\s(?:\s|\Z)")

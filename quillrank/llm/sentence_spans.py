@@ -116,13 +116,31 @@ def repeated_spans(placed: DataFrame) -> DataFrame:
     return repeated.select("place", first.cast("int").alias("first"), (first + size).cast("int").alias("end"))
 
 
-def merged(runs: list[dict] | None) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for first, end in sorted((x["first"], x["end"]) for x in runs or []):
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((first, end))
+def _covered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of runs: the number of the row, first and end of each run, as arrays (a list a row would be far larger)."""
+    flat = column.flatten()
+    lengths = column.value_lengths().fill_null(0).to_numpy()
+    return np.repeat(np.arange(len(column)), lengths), flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
+
+
+def _merged(n: np.ndarray, row: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Runs of texts of n sentences each, merged: a list for each text."""
+    base = np.cumsum(n) - n
+    change = np.zeros(int(n.sum()) + 1, np.int64)
+    np.add.at(change, base[row] + first, 1)
+    np.add.at(change, base[row] + end, -1)
+    covered = np.cumsum(change[:-1]) > 0
+    opens = covered & ~np.concatenate([[False], covered[:-1]])
+    shuts = covered & ~np.concatenate([covered[1:], [False]])
+    heads = base[n > 0]  # a run ends with its text
+    opens[heads] = covered[heads]
+    shuts[heads[1:] - 1] = covered[heads[1:] - 1]
+    begins, ends = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
+    of = np.searchsorted(base[n > 0], begins, "right") - 1
+    number = np.flatnonzero(n > 0)[of] if len(of) else of
+    out: list[list[tuple[int, int]]] = [[] for _ in n]
+    for i, a, b in zip(number.tolist(), (begins - base[number]).tolist(), (ends - base[number]).tolist(), strict=True):
+        out[i].append((a, b))
     return out
 
 
@@ -134,32 +152,28 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = row.select("doc", "text", F.lit(0).cast("long").alias("n_sentences"), F.lit(0).cast("long").alias("n_removed"), "runs").withColumnRenamed("runs", "removed").schema
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        documents = utf8_texts(batch.column(1))
-        removed = [merged(x) for x in batch.column(2).to_pylist()]
-        n, new = [], batch.column(1).to_pylist() if any(removed) else batch.column(1)
-        for at, some in chunks(documents):
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        runs_row, runs_first, runs_end = _covered(batch.column(2))
+        for at, some in chunks(utf8_texts(batch.column(1))):
             stops, owner, end, _ = _sentences(some)
-            n.append(np.bincount(owner, minlength=len(some)))
-            offset = np.cumsum([0] + [len(d) + 1 for d in some])
-            for i, text in enumerate(some):
-                if removed[at + i]:
-                    ends = end[stops[owner == i] - 1] - offset[i]
-                    out, behind = [], 0
-                    for a, b in removed[at + i]:
-                        out.append(text[behind : ends[a - 1] if a else 0])
-                        behind = int(ends[b - 1])
-                    new[at + i] = (b"".join(out) + text[behind:]).decode("utf-8", "surrogatepass")
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                new if isinstance(new, pa.Array) else pa.array(new, pa.string()),
-                pa.array(np.concatenate(n).astype(np.int64)),
-                pa.array([sum(b - a for a, b in x) for x in removed], pa.int64()),
-                pa.array([[{"first": a, "end": b} for a, b in x] for x in removed], kind),
-            ],
-            names=["doc", "text", "n_sentences", "n_removed", "removed"],
-        )
+            n = np.bincount(owner, minlength=len(some))
+            low, high = np.searchsorted(runs_row, [at, at + len(some)])
+            removed = _merged(n, runs_row[low:high] - at, runs_first[low:high], runs_end[low:high])
+            text = batch.column(1).slice(at, len(some))
+            if any(removed):
+                new, offset, base = text.to_pylist(), np.cumsum([0] + [len(d) + 1 for d in some]), np.cumsum(n) - n
+                for i, whole in enumerate(some):
+                    if removed[i]:
+                        ends = end[stops[base[i] : base[i] + n[i]] - 1] - offset[i]
+                        out, behind = [], 0
+                        for a, b in removed[i]:
+                            out.append(whole[behind : ends[a - 1] if a else 0])
+                            behind = int(ends[b - 1])
+                        new[i] = (b"".join(out) + whole[behind:]).decode("utf-8", "surrogatepass")
+                text = pa.array(new, pa.string())
+            n_removed = [sum(b - a for a, b in x) for x in removed]
+            listed = pa.array([[{"first": a, "end": b} for a, b in x] for x in removed], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), text, pa.array(n.astype(np.int64)), pa.array(n_removed, pa.int64()), listed], names=["doc", "text", "n_sentences", "n_removed", "removed"])
 
     return map_batches(row, schema, run)
 

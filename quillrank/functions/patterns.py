@@ -50,6 +50,11 @@ SECTION_SEP = "\n\n=="
 
 # Readability tokenizer (our definition; see README).
 READ_WORD = r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*"
+# The same words without a repeated group, which Java's regex walks by recursion:
+# an apostrophe or hyphen inside a word becomes a private character first.
+READ_JOINER = r"(?<=[\p{L}\p{N}])['-](?=[\p{L}\p{N}])"
+READ_JOINED = "\ue000"
+READ_JOINED_WORD = r"[\p{L}\p{N}\x{E000}]+"
 READ_VOWEL_GROUP = "[aeiouyáéíóúàèêäöü]+"
 READ_SILENT_E = "[^aeiouyl]e$"
 SILENT_E_KEEP = list("aeiouyl")  # the same rule as READ_SILENT_E, as a character list
@@ -72,6 +77,3 @@ URL_DOC_KEY = r"/[a-z]{2}/([0-9]+)"
 
 # HTML entities decoded in titles and text; '&amp;' last.
 HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-
-# Document title: first line, cut to this many characters.
-DOC_TITLE_CHARS = 60

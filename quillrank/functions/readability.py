@@ -13,8 +13,13 @@ from quillrank.functions import patterns as P
 
 
 def read_tokens(text: Column) -> Column:
-    """Lower-cased word tokens of the readability tokenizer."""
-    return F.regexp_extract_all(F.lower(text), F.lit(P.READ_WORD), 0)
+    """Lower-cased word tokens of the readability tokenizer.
+
+    An inner apostrophe or hyphen is one private character in a token, so
+    counts and lengths are those of ``READ_WORD``.
+    """
+    plain = F.replace(F.lower(text), F.lit(P.READ_JOINED), F.lit(" "))
+    return F.regexp_extract_all(F.regexp_replace(plain, P.READ_JOINER, P.READ_JOINED), F.lit(P.READ_JOINED_WORD), 0)
 
 
 def silent_e(w: Column) -> Column:

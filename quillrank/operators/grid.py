@@ -60,7 +60,6 @@ def suggestions(pages: DataFrame, scored_grid: DataFrame, k: int = TOP_K, thresh
         for pdf in batches:
             if len(g) == 0 or len(pdf) == 0:
                 continue
-            ids = pdf["id"].to_numpy()
             xy = pdf[["x", "y"]].to_numpy(dtype=np.float64)
             kk = min(k, len(g))
             for s in range(0, len(pdf), _CHUNK):
@@ -78,8 +77,13 @@ def suggestions(pages: DataFrame, scored_grid: DataFrame, k: int = TOP_K, thresh
                 rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
                 keep = rank < kk
                 r, c, rank = r[keep], c[keep], rank[keep]
-                yield pd.DataFrame({"id": ids[s + r], "rank": (rank + 1).astype(np.int32),
+                yield pd.DataFrame({"x": xy[s + r, 0], "y": xy[s + r, 1], "rank": (rank + 1).astype(np.int32),
                                     "n_links": g[c, 0], "n_words_summary": g[c, 1], "distance": d[r, c]})
 
-    schema = "id long, rank int, n_links double, n_words_summary double, distance double"
-    return pages.select("id", F.col("x").cast("double"), F.col("y").cast("double")).mapInPandas(top_k, schema)
+    points = pages.select("id", F.col("x").cast("double"), F.col("y").cast("double"))
+    unknown = F.col("x").isNull() | F.col("y").isNull() | F.isnan("x") | F.isnan("y")
+    coordinates = points.where(~unknown).select("x", "y").distinct()
+    near = coordinates.mapInPandas(top_k, "x double, y double, rank int, n_links double, n_words_summary double, distance double")
+    found = points.where(~unknown).join(near, ["x", "y"]).select("id", "rank", "n_links", "n_words_summary", "distance")
+    none = [F.lit(None).cast(near.schema[c].dataType).alias(c) for c in ("rank", "n_links", "n_words_summary", "distance")]
+    return found.unionByName(points.where(unknown).select("id", *none))

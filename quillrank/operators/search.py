@@ -1,12 +1,12 @@
 """Title search (W5) and first usable candidate.
 
-Search semantics: a phrase matches the titles that start with it, token by
-token (lower-cased letter/digit tokens); the three shortest such titles are
-returned, ties by id. Each title contributes one row per token prefix, the
-index keeps the top three per prefix (a ranked window with a limit: Spark
-pre-limits every task's rows per prefix before the shuffle, so a very common
-prefix never gathers in one task), and phrases are an equi-join against it:
-one phrase row meets at most three index rows.
+Search semantics: a phrase finds the titles that hold all of its tokens
+(lower-cased letter/digit tokens), anywhere and in any order; the three
+shortest such titles are returned, ties by id. Equal phrases are searched
+once. Titles are probed by each phrase's rarest token only (counted by a
+partial aggregation over the tokens that phrases ask for) and the other tokens
+are checked on the candidates; the window's limit leaves three rows per phrase
+and task before the shuffle, so a very common token gathers nothing.
 """
 
 from __future__ import annotations
@@ -18,24 +18,26 @@ TOKEN = r"[\p{L}\p{N}]+"
 TOP_K = 3
 
 
-def normalized(title) -> "F.Column":
-    return F.array_join(F.regexp_extract_all(F.lower(title), F.lit(TOKEN), 0), " ")
-
-
-def prefix_index(titles: DataFrame, id_col: str = "id", title_col: str = "title", k: int = TOP_K) -> DataFrame:
-    toks = F.regexp_extract_all(F.lower(F.col(title_col)), F.lit(TOKEN), 0)
-    prefixes = F.when(F.size(toks) > 0, F.transform(F.sequence(F.lit(1), F.size(toks)),
-                                                     lambda n: F.array_join(F.slice(toks, 1, n), " ")))
-    rows = titles.select(F.col(id_col).alias("doc_id"), F.length(title_col).alias("tlen"),
-                         F.explode(prefixes).alias("prefix"))
-    w = Window.partitionBy("prefix").orderBy("tlen", "doc_id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("tlen")
-
-
-def search_titles(phrases: DataFrame, titles: DataFrame, phrase_id: str = "phrase_id", phrase_col: str = "phrase") -> DataFrame:
-    """(phrase_id, rank, doc_id) for up to three titles per phrase; no hit ⇒ no row."""
-    p = phrases.select(F.col(phrase_id).alias("phrase_id"), normalized(F.col(phrase_col)).alias("prefix"))
-    return p.join(prefix_index(titles), "prefix").select("phrase_id", F.col("rank").cast("int").alias("rank"), "doc_id")
+def tokens(title) -> "F.Column":
+    """The distinct tokens of a title or phrase, in order of the alphabet."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(TOKEN), 0)))
+
+
+def search_titles(phrases: DataFrame, titles: DataFrame, phrase_id: str = "phrase_id", phrase_col: str = "phrase",
+                  id_col: str = "id", title_col: str = "title", k: int = TOP_K) -> DataFrame:
+    """(phrase_id, rank, doc_id) for up to ``k`` titles per phrase; no hit ⇒ no row."""
+    p = phrases.select(F.col(phrase_id).alias("phrase_id"), tokens(F.col(phrase_col)).alias("wanted"))
+    distinct = p.where(F.size("wanted") > 0).select("wanted").distinct()
+    t = titles.select(F.col(id_col).alias("doc_id"), F.length(title_col).alias("tlen"), tokens(F.col(title_col)).alias("held"))
+    asked = distinct.select("wanted", F.explode("wanted").alias("token"))
+    # How often titles hold each token that some phrase asks for.
+    held = t.select(F.explode("held").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    probe = (asked.join(held, "token").groupBy("wanted")
+             .agg(F.min_by("token", F.struct("count", "token")).alias("token"), F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size("wanted")).drop("n"))
+    found = (t.select("doc_id", "tlen", "held", F.explode("held").alias("token")).join(probe, "token")
+             .where(F.size(F.array_except("wanted", "held")) == 0).select("wanted", "tlen", "doc_id"))
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("wanted").orderBy("tlen", "doc_id"))).where(F.col("rank") <= k)
+    return p.join(best, "wanted").select("phrase_id", F.col("rank").cast("int").alias("rank"), "doc_id")
 
 
 def first_scored(hits: DataFrame, scores: DataFrame, score_col: str = "score") -> DataFrame:

@@ -23,56 +23,40 @@ def _with_key(columns):
     return cols if "pageId" in cols else ["pageId"] + cols
 
 
-def doc_feature_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    feats = extract_features(document_records(spark, sf_dir), _with_key(columns))
+def doc_feature_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, only_ids: DataFrame | None = None) -> DataFrame:
+    """Features of documents; ``only_ids`` (column ``_keep_id``) cuts them before they are measured."""
+    feats = extract_features(document_records(spark, sf_dir, only_ids), _with_key(columns))
     out = attach_labels(feats, labels_table(spark, sf_dir))
     return out.select("id", *[c for c in FEATURE_TABLE_COLUMNS if c in out.columns])
 
 
-def html_feature_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    feats = extract_features(html_records(spark, sf_dir), _with_key(columns))
+def html_feature_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, records: DataFrame | None = None) -> DataFrame:
+    """Features of captures: all, or those of ``records``."""
+    feats = extract_features(html_records(spark, sf_dir) if records is None else records, _with_key(columns))
     out = attach_labels(feats, labels_table(spark, sf_dir))
     return out.select("id", *[c for c in FEATURE_TABLE_COLUMNS if c in out.columns])
 
 
-# Label keys up to this count are broadcast (about 8 bytes each) to cut the
-# document scan before the text measures; beyond it, measure then filter.
-BROADCAST_KEYS_LIMIT = 5_000_000
-
-
 def _label_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labels_table(spark, sf_dir)
     return labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_keep_id")).distinct()
 
 
+def _labelled(records: DataFrame, spark: SparkSession, sf_dir: str, columns: list[str] | None) -> DataFrame:
+    out = attach_labels(extract_features(records, _with_key(columns)), labels_table(spark, sf_dir))
+    return out.select("id", *[c for c in FEATURE_TABLE_COLUMNS if c in out.columns]).where(F.col("featured") | F.col("flagged"))
+
+
 def labelled_html_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Captured pages of labelled articles only, cut before the text measures (as
     ``labelled_doc_table``, keyed by the article key in the url)."""
-    keys = _label_keys(spark, sf_dir)
-    if keys.count() <= BROADCAST_KEYS_LIMIT:
-        feats = extract_features(html_records(spark, sf_dir, only_ids=F.broadcast(keys)), _with_key(columns))
-        out = attach_labels(feats, labels_table(spark, sf_dir))
-        out = out.select("id", *[c for c in FEATURE_TABLE_COLUMNS if c in out.columns])
-    else:
-        out = html_feature_table(spark, sf_dir, columns)
-    return out.where(F.col("featured") | F.col("flagged"))
+    return _labelled(html_records(spark, sf_dir, only_ids=_label_keys(spark, sf_dir)), spark, sf_dir, columns)
 
 
 def labelled_doc_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """The feature table restricted to labelled documents (featured or flagged).
 
-    The label keys cut the document scan before the spread and the text
-    measures, so unlabelled documents are never measured. The keys are
-    broadcast only after counting them; a larger key set falls back to
-    measuring every document and filtering afterwards. Same rows either way.
+    A semi join with the label keys stands below the text measures, so
+    unlabelled documents are never measured; Spark chooses how to run it.
     """
-    labels = labels_table(spark, sf_dir)
-    keys = _label_keys(spark, sf_dir)
-    if keys.count() <= BROADCAST_KEYS_LIMIT:
-        recs = document_records(spark, sf_dir, only_ids=F.broadcast(keys))
-        feats = extract_features(recs, _with_key(columns))
-        out = attach_labels(feats, labels)
-        out = out.select("id", *[c for c in FEATURE_TABLE_COLUMNS if c in out.columns])
-    else:
-        out = doc_feature_table(spark, sf_dir, columns)
-    return out.where(F.col("featured") | F.col("flagged"))
+    return _labelled(document_records(spark, sf_dir, only_ids=_label_keys(spark, sf_dir)), spark, sf_dir, columns)

@@ -28,8 +28,8 @@ def sql_list(items) -> str:
 DOC_RECORDS = f"""
 SELECT doc_id AS id, doc_id AS page_id, CAST(NULL AS BIGINT) AS revision_id,
        '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS url,
-       left(split_part(text, chr(10), 1), {P.DOC_TITLE_CHARS}) AS title,
-       text AS content, split_part(text, chr(10), 1) AS summary,
+       split_part(text, chr(10), 1) AS title,
+       text AS content, CASE WHEN starts_with(text, '==') THEN '' ELSE split_part(text, chr(10) || chr(10) || '==', 1) END AS summary,
        CAST([] AS VARCHAR[]) AS links, CAST([] AS VARCHAR[]) AS images, CAST([] AS VARCHAR[]) AS refs
 FROM documents"""
 
@@ -45,7 +45,8 @@ _TITLE = _edge_trim(_unescape(_strip_tags(f"regexp_extract(html, {q(P.HTML_TITLE
 _CONTENT = _edge_trim(_unescape(_strip_tags("x")))
 
 HTML_RECORDS = f"""
-SELECT id, page_id, revision_id, url, title, content, split_part(content, chr(10), 1) AS summary,
+SELECT id, page_id, revision_id, url, title, content,
+       CASE WHEN starts_with(content, '==') THEN '' ELSE split_part(content, chr(10) || chr(10) || '==', 1) END AS summary,
        links, images, refs
 FROM (
   SELECT page_id AS id, TRY_CAST(regexp_extract(url, {q(P.URL_DOC_KEY)}, 1) AS BIGINT) AS page_id,

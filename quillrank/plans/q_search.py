@@ -17,12 +17,13 @@ from quillrank.streaming import ingest as ING
 _TOK = O.q(SE.TOKEN)
 
 _SEARCH_SQL = f"""
-d AS (SELECT id, title, regexp_extract_all(lower(title), {_TOK}) AS toks FROM ({O.DOC_RECORDS})),
-dp AS (SELECT id AS doc_id, length(title) AS tlen, array_to_string(toks[1:k], ' ') AS prefix
-       FROM (SELECT *, UNNEST(range(1, len(toks) + 1)) AS k FROM d)),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY tlen, doc_id) AS rank FROM dp) WHERE rank <= 3),
-ph AS (SELECT id AS phrase_id, array_to_string(regexp_extract_all(lower(title), {_TOK}), ' ') AS phrase FROM ({O.HTML_RECORDS})),
-hits AS (SELECT phrase_id, CAST(rank AS INTEGER) AS rank, doc_id FROM ph JOIN top ON ph.phrase = top.prefix)"""
+d AS (SELECT id AS doc_id, length(title) AS tlen, regexp_extract_all(lower(title), {_TOK}) AS held FROM ({O.DOC_RECORDS})),
+ph AS (SELECT id AS phrase_id, list_sort(list_distinct(regexp_extract_all(lower(title), {_TOK}))) AS wanted FROM ({O.HTML_RECORDS})),
+hits AS (
+  SELECT phrase_id, CAST(rank AS INTEGER) AS rank, doc_id FROM ph JOIN (
+    SELECT wanted, doc_id, row_number() OVER (PARTITION BY wanted ORDER BY tlen, doc_id) AS rank
+    FROM (SELECT DISTINCT wanted FROM ph WHERE len(wanted) > 0) JOIN d ON list_has_all(held, wanted)) USING (wanted)
+  WHERE rank <= 3)"""
 
 
 def _hits(spark, sf_dir):
@@ -33,7 +34,7 @@ def _hits(spark, sf_dir):
 
 @register("title_search_top3", sql=f"WITH {_SEARCH_SQL} SELECT phrase_id, rank, doc_id FROM hits")
 def title_search_top3(spark, sf_dir):
-    """Up to three stored titles starting with each captured page's title."""
+    """Up to three stored titles that hold all words of each captured page's title."""
     return _hits(spark, sf_dir)
 
 
@@ -131,7 +132,7 @@ def incremental_ingest(spark, sf_dir):
 @register("incremental_ingest_scored")
 def incremental_ingest_scored(spark, sf_dir):
     """T1 + M16: the streaming ingest scoring each micro-batch with the forest fitted on the corpus."""
-    t = materialize(doc_feature_table(spark, sf_dir, ING.SCORE_FEATURES + ["reading_ease"]))
+    t = materialize(labelled_doc_table(spark, sf_dir, ING.SCORE_FEATURES + ["reading_ease"]))
     qm, _ = L.fit_models(t, ING.SCORE_FEATURES, kinds=("rf",))
     sink = scratch_path(spark, "ingest_scored_sink")
     q = ING.start_ingest(spark, sf_dir, "pages.parquet", labels_table(spark, sf_dir), sink,

@@ -13,7 +13,9 @@ from quillrank.plans import oracle as O
 from quillrank.plans.corpus import doc_feature_table, html_feature_table, labels_table
 from quillrank.plans.registry import r6, register, round_doubles
 from quillrank.session import path_exists, scratch_path
-from quillrank.sources import document_records, html_records, materialize, read_table
+from quillrank.sources import document_records, html_records, materialize, read_table, spread
+from quillrank.sources.records import html_records_from
+from quillrank.streaming.ingest import new_captures
 
 # Score-rule inputs for the document corpus (nImages / nRefs are constant there).
 RULE_FEATURES = ["nWordsSummary", "nSents", "meanSentLength", "meanWordLength", "grade_level"]
@@ -27,6 +29,11 @@ def html_keys(spark, sf_dir):
         F.col("page_id").alias("id"), H.url_doc_key(F.col("url")).alias("pageId"))
 
 
+def first_captures(spark, sf_dir):
+    """Records of the first capture of each article, found by url and id before any page is parsed."""
+    return html_records_from(spread(new_captures(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]), None)))
+
+
 def doc_ids(spark, sf_dir):
     return read_table(spark, sf_dir, "documents", ["doc_id"]).select(F.col("doc_id").alias("page_id"))
 
@@ -71,7 +78,7 @@ SELECT id, {_TCOLS} FROM (SELECT *, row_number() OVER (PARTITION BY pageId ORDER
 WHERE pageId IS NULL OR rn = 1""")
 def dedup_pages(spark, sf_dir):
     """Keep the first capture (smallest id) per article; null keys all stay."""
-    return round_doubles(TB.dedup_first(html_feature_table(spark, sf_dir), "pageId", "id"))
+    return round_doubles(html_feature_table(spark, sf_dir, records=first_captures(spark, sf_dir)))
 
 
 @register("remeasure_update", sql=f"""
@@ -88,8 +95,7 @@ FROM u""")
 def remeasure_update(spark, sf_dir):
     """Labelled pages take grade/ease re-measured from their first capture."""
     stored = doc_feature_table(spark, sf_dir, ["pageId", "grade_level", "reading_ease"])
-    again = TB.dedup_first(html_feature_table(spark, sf_dir, ["pageId", "grade_level", "reading_ease"])
-                           .select("id", "pageId", "grade_level", "reading_ease"), "pageId", "id")
+    again = html_feature_table(spark, sf_dir, ["pageId", "grade_level", "reading_ease"], records=first_captures(spark, sf_dir))
     out = TB.remeasure_update(stored, again.where(F.col("pageId").isNotNull()))
     return round_doubles(out.select("id", "pageId", "featured", "flagged", "updated", "grade_level", "reading_ease"))
 
@@ -111,7 +117,8 @@ SELECT h.id AS capture_id, t.pageId, t.nWordsSummary, {r6('t.grade_level')} AS g
 FROM ({HTML_KEYS_SQL}) h JOIN tbl t ON t.pageId = h.pageId""")
 def lookup_by_id(spark, sf_dir):
     """P5: stored features of the article behind each captured page (join on pageId)."""
-    t = doc_feature_table(spark, sf_dir, ["pageId", "nWordsSummary", "grade_level"])
+    wanted = html_keys(spark, sf_dir).where("pageId IS NOT NULL").select(F.col("pageId").alias("_keep_id")).distinct()
+    t = doc_feature_table(spark, sf_dir, ["pageId", "nWordsSummary", "grade_level"], only_ids=wanted)
     h = html_keys(spark, sf_dir).withColumnRenamed("id", "capture_id")
     return round_doubles(h.join(t, "pageId").select("capture_id", "pageId", "nWordsSummary", "grade_level", "featured", "flagged"))
 

@@ -29,6 +29,9 @@ def get_spark(master: str | None = None, app: str = "quillrank", shuffle_partiti
         # Checkpointed feature tables are deleted once nothing references them.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if master and master.startswith("local"):
+        cores = master[6:-1] if master.endswith("]") else "1"
+        builder = builder.config("spark.quillrank.spread", cores if cores.isdigit() else str(os.cpu_count()))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -47,6 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir() if spark.sparkContext.getCheckpointDir() else None
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quillrank-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -69,3 +75,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is an existing folder, by its Hadoop FileSystem."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath) and fs.getFileStatus(hpath).isDirectory())

@@ -25,12 +25,17 @@ def first_line(c):
     return F.substring_index(c, "\n", 1)
 
 
+def introduction(c):
+    """The text before the first section heading; all of it if there is none."""
+    return F.when(c.startswith("=="), F.lit("")).otherwise(F.substring_index(c, P.SECTION_SEP, 1))
+
+
 def document_records(spark: SparkSession, sf_dir: str, only_ids: DataFrame | None = None) -> DataFrame:
     """``documents`` → PageRecord.
 
-    page_id = doc_id; content = text; summary = the first line (lead
-    paragraph); title = the first line cut to 60 characters; url =
-    ``/{lang}/{doc_id}``; documents carry no links, images or references.
+    page_id = doc_id; content = text; summary = the introduction; title = the
+    whole first line; url = ``/{lang}/{doc_id}``; documents carry no links,
+    images or references.
     ``only_ids`` (a frame with column ``_keep_id``) restricts the scan first.
     """
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
@@ -43,9 +48,9 @@ def document_records(spark: SparkSession, sf_dir: str, only_ids: DataFrame | Non
         F.col("doc_id").alias("page_id"),
         F.lit(None).cast("long").alias("revision_id"),
         F.concat(F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
-        F.left(first_line(F.col("text")), F.lit(P.DOC_TITLE_CHARS)).alias("title"),
+        first_line(F.col("text")).alias("title"),
         F.col("text").alias("content"),
-        first_line(F.col("text")).alias("summary"),
+        introduction(F.col("text")).alias("summary"),
         _empty().alias("links"),
         _empty().alias("images"),
         _empty().alias("references"),
@@ -85,6 +90,6 @@ def html_records_from(p: DataFrame) -> DataFrame:
             H.external_links(F.col("_hrefs")).alias("references"),
             H.html_images(F.col("html")).alias("images"),
         )
-        .withColumn("summary", first_line(F.col("content")))
+        .withColumn("summary", introduction(F.col("content")))
         .select(*RECORD_COLUMNS)
     )

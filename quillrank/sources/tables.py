@@ -17,18 +17,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the scan gives fewer splits than cores.
+#: Session setting: deal scans out to so many partitions before measuring texts.
+SPREAD = "spark.quillrank.spread"
 
-    Text feature extraction is CPU bound per row. A large table arrives in many
-    file splits and is left alone (no extra shuffle); a table stored as one
-    row group would otherwise run on a single core.
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition where the session asks for it, else ``df`` itself.
+
+    Text measures are CPU bound, and a file of one row group is read by one
+    task; a local session asks to deal its rows out. Tables of many row groups
+    are split by ``spark.sql.files.maxPartitionBytes`` and need no shuffle.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    partitions = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def materialize(df: DataFrame) -> DataFrame:

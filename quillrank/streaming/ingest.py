@@ -3,21 +3,27 @@
 New capture files arrive in a folder → PageRecord → features → labels →
 score rule → appended to the feature table. Known articles are skipped
 (anti join against what the sink already holds), repeated captures inside a
-micro-batch keep the first (smallest id), and each micro-batch writes its own
-``batch_id=N`` partition with overwrite, so a replayed batch replaces itself
-instead of appending twice. The checkpoint replaces the resume offset.
+micro-batch keep the first (smallest id), both before anything is measured, and
+each micro-batch writes its own ``stream_id=S/batch_id=N`` partition with
+overwrite, so a replayed batch replaces itself instead of appending twice. The
+stream's name is kept in its checkpoint folder, which replaces the resume
+offset.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.functions import html as H
 from quillrank.operators.features import extract_features
 from quillrank.operators.labels import attach_labels
-from quillrank.operators.tables import dedup_first, score_rule, standin_score
+from quillrank.operators.tables import score_rule, standin_score
 from quillrank.plans.learning import probability
-from quillrank.session import path_exists
+from quillrank.session import is_folder, path_exists
 from quillrank.sources.records import html_records_from
 
 PAGES_SCHEMA = "page_id long, url string, html string"
@@ -40,49 +46,64 @@ def _features(df: DataFrame, labels: DataFrame, model=None) -> DataFrame:
     return t.withColumn("score", rule).select(*SINK_COLUMNS)
 
 
-# Batches with at most this many distinct keys broadcast them to filter the
-# sink's key column (about 8 bytes a key); larger batches use a shuffle join.
-BROADCAST_KEYS_LIMIT = 5_000_000
+def new_captures(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The first capture (smallest id) of each article in ``batch`` that ``known`` (column ``pageId``) lacks.
+
+    Worked out from the url and id columns; texts are only read for what is
+    left. Captures without an article key all stay. No join is hinted: Spark
+    picks one by the sizes it sees.
+    """
+    key = H.url_doc_key(F.col("url"))
+    keyed = batch.select(key.alias("_key"), F.col("page_id").alias("_id"))
+    first = keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_id").alias("_id"))
+    if known is not None:
+        first = first.join(known.select(F.col("pageId").alias("_key")), "_key", "left_anti")
+    wanted = first.select("_id").union(keyed.where(F.col("_key").isNull()).select("_id"))
+    return batch.join(wanted, batch["page_id"] == wanted["_id"], "left_semi")
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, sink: str, labels: DataFrame, model=None) -> None:
-    """foreachBatch body: features, skip known keys, keep first capture, idempotent write.
+def ingest_batch(batch: DataFrame, batch_id: int, sink: str, labels: DataFrame, model=None, stream: str = "stream") -> None:
+    """foreachBatch body: skip known keys, keep the first capture, measure, idempotent write.
 
-    The sink is only scanned for its ``pageId`` column. When the batch's keys
-    are few (counted, not guessed) they are broadcast and the sink's keys are
-    filtered against them locally, so the growing sink is never shuffled;
-    beyond the limit a plain shuffle anti join is used.
+    A micro-batch owns the sink partition of its stream and number: when it is
+    replayed it replaces itself, and another stream (a new checkpoint) never
+    touches it. Known keys are those of all other partitions.
     """
     spark = batch.sparkSession
-    base = dedup_first(_features(batch, labels, model), "pageId", "id").persist()
-    rows = base
-    try:
-        if path_exists(spark, sink):
-            known = spark.read.parquet(sink).where(F.col("batch_id") != batch_id).select("pageId")
-            keys = rows.select("pageId").where(F.col("pageId").isNotNull()).distinct()
-            if keys.count() <= BROADCAST_KEYS_LIMIT:
-                known = known.join(F.broadcast(keys), "pageId", "left_semi")
-            known = known.select(F.col("pageId").alias("_k"))
-            rows = rows.join(known, rows["pageId"] == known["_k"], "left_anti")
-        (rows.withColumn("batch_id", F.lit(batch_id))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(sink))
-    finally:
-        base.unpersist()
+    known = None
+    if path_exists(spark, sink):
+        mine = (F.col("stream_id") == stream) & (F.col("batch_id") == batch_id)
+        known = spark.read.parquet(sink).where(~mine).select("pageId")
+    rows = _features(new_captures(batch, known), labels, model)
+    (rows.withColumns({"stream_id": F.lit(stream), "batch_id": F.lit(batch_id)})
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("stream_id", "batch_id").parquet(sink))
+
+
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream that owns a checkpoint folder, kept in a file there; a new folder gets a new one."""
+    path = os.path.join(checkpoint, "sink-stream")
+    if not path_exists(spark, path):
+        spark.createDataFrame([(f"s{uuid.uuid4().hex[:16]}",)], "name string").coalesce(1).write.text(path)
+    return spark.read.text(path).first()[0]
 
 
 def start_ingest(spark: SparkSession, source_dir: str, glob: str, labels: DataFrame, sink: str, checkpoint: str,
                  available_now: bool = True, max_files_per_trigger: int | None = None, model=None):
-    """Start the ingest stream; ``availableNow`` processes what is there and stops.
+    """Start the ingest stream over ``{source_dir}/{glob}`` (files, or folders of
+    part files); ``availableNow`` processes what is there and stops.
 
     ``model`` (a fitted quality PipelineModel over SCORE_FEATURES) scores each
     micro-batch with the forest; without it the transparent stand-in is used.
     """
-    reader = spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob)
+    stream = stream_name(spark, checkpoint)
+    reader = spark.readStream.schema(PAGES_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
-    writer = (stream.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, bid: ingest_batch(df, bid, sink, labels, model)))
+    table = f"{source_dir.rstrip('/')}/{glob}"
+    # A stream reads folders: a table of part files is one, single files are picked out of theirs.
+    pages = reader.parquet(table) if is_folder(spark, table) else reader.option("pathGlobFilter", glob).parquet(source_dir)
+    writer = (pages.writeStream.option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda df, bid: ingest_batch(df, bid, sink, labels, model, stream)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

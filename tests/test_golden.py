@@ -145,3 +145,34 @@ def test_lookup_by_title_first_row_and_case(spark):
     assert exact == {1: (3, 2)}
     loose = {r["pid"]: (r["doc_id"], r["n_same_title"]) for r in TB.lookup_by_title(phrases, stored, case_insensitive=True).collect()}
     assert loose == {1: (3, 3), 2: (3, 3)}
+
+
+def test_title_and_introduction_are_whole(spark):
+    """The title is the whole first line; the introduction goes up to the first heading."""
+    from quillrank.sources.records import first_line, html_records_from, introduction
+    text = "A title of far more than sixty characters, which earlier was cut in the middle of a word\nSecond line\n\n== History ==\nOld"
+    df = spark.createDataFrame([(text,), ("no heading\nat all",), ("== Only ==\nx",), ("",), (None,)], "c string")
+    got = [tuple(r) for r in df.select(first_line(F.col("c")), introduction(F.col("c"))).collect()]
+    assert got == [(text.split("\n")[0], text.split("\n\n==")[0]), ("no heading", "no heading\nat all"), ("== Only ==", ""), ("", ""), (None, None)]
+    page = "<html><title>T</title><body><article><p>A</p><p>B b</p><h2>H</h2><p>C</p></article></body></html>"
+    row = html_records_from(spark.createDataFrame([(1, "/en/7", page)], "page_id long, url string, html string")).first()
+    assert row.summary.split() == ["A", "B", "b"]
+
+
+def test_long_hyphenated_words(spark):
+    """A word of 100,000 parts is one word; a repeated group would overflow the JVM's stack."""
+    import re
+
+    from quillrank.functions.readability import read_tokens
+    rows = ["a-" * 100_000 + "a b", "it's a-b 'q' x--y z- -w rock'n'roll \ue000m", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").orderBy("i").select(F.size(read_tokens(F.col("t")))).collect()]
+    assert got[:3] == [2, len(re.findall(r"[^\W_]+(?:['-][^\W_]+)*", rows[1])), 0]
+
+
+def test_cluster_sessions_must_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quillrank.session import ensure_checkpoint_dir
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))

@@ -9,25 +9,33 @@ from quillrank.operators import grid as G
 from quillrank.operators import search as SE
 
 
-def test_prefix_search_brute_force(spark):
+def test_search_brute_force(spark):
     rnd = random.Random(7)
     words = ["the", "cat", "sat", "on", "a", "mat", "The", "Cat!"]
-    titles = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))) for i in range(60)]
-    phrases = [(100 + j, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 2)))) for j in range(15)] + [(999, "zzz")]
+    titles = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 5)))) for i in range(60)]
+    titles += [(100 + i, "the hot") for i in range(200)] + [(400, None), (401, ""), (402, "one cat in the middle of it")]
+    phrases = [(500 + j, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 3)))) for j in range(15)]
+    phrases += [(998, "middle CAT"), (997, "hot"), (999, "zzz cat"), (996, "?"), (995, None), (994, "hot")]
     t = spark.createDataFrame(titles, "id long, title string")
     p = spark.createDataFrame(phrases, "phrase_id long, phrase string")
     got = sorted(tuple(r) for r in SE.search_titles(p, t).collect())
 
     def toks(s):
         import re
-        return re.findall(r"[^\W_]+", s.lower())
+        return set(re.findall(r"[^\W_]+", (s or "").lower()))
 
     want = []
     for pid, ph in phrases:
-        pt = toks(ph)
-        hits = sorted((len(ti), i) for i, ti in titles if pt and toks(ti)[:len(pt)] == pt)
+        hits = sorted((len(ti), i) for i, ti in titles if toks(ph) and toks(ph) <= toks(ti))
         want += [(pid, r + 1, i) for r, (_, i) in enumerate(hits[:3])]
-    assert got == sorted(want)
+    assert got == sorted(want) and (998, 1, 402) in got
+
+
+def test_pages_without_a_coordinate_are_kept(spark):
+    scored = G.grid_scores(G.grid_points(spark), F.lit(1.0))
+    pages = spark.createDataFrame([(1, 5.0, 5.0), (2, 5.0, 5.0), (3, None, 5.0)], "id long, x double, y double")
+    got = [(r.id, r["rank"]) for r in G.suggestions(pages, scored, k=2).collect()]
+    assert sorted(got, key=str) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, None)]
 
 
 def test_suggestions_brute_force(spark):

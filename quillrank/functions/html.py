@@ -24,9 +24,10 @@ def html_title(html: Column) -> Column:
 
 
 def html_article(html: Column) -> Column:
-    """The ``<article>`` element's inner HTML, else the ``<body>``'s."""
-    art = F.regexp_extract(html, P.HTML_ARTICLE, 1)
-    return F.when(F.length(art) > 0, art).otherwise(F.regexp_extract(html, P.HTML_BODY, 1))
+    """The inner HTML of all ``<article>`` elements, else of the ``<body>``, else the whole page."""
+    articles = F.array_join(F.regexp_extract_all(html, F.lit(P.HTML_ARTICLE), 1), "\n")
+    body = F.when(F.regexp_like(html, F.lit(P.HTML_BODY)), F.regexp_extract(html, P.HTML_BODY, 1)).otherwise(html)
+    return F.when(F.length(articles) > 0, articles).otherwise(body)
 
 
 def html_text_from(src: Column) -> Column:
@@ -48,8 +49,12 @@ def html_text(html: Column) -> Column:
     return html_text_from(html_article(html))
 
 
+def unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, P.HREF_QUOTES, "")
+
+
 def html_hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(P.HTML_HREF), 1)
+    return F.transform(F.regexp_extract_all(html, F.lit(P.HTML_HREF), 1), unquoted)
 
 
 def internal_links(hrefs: Column) -> Column:
@@ -70,7 +75,7 @@ def anchors(fragment: Column) -> Column:
     Both arrays come from the same pattern, so they have equal length and
     align by position.
     """
-    hrefs = F.regexp_extract_all(fragment, F.lit(P.HTML_ANCHOR), 1)
+    hrefs = F.transform(F.regexp_extract_all(fragment, F.lit(P.HTML_ANCHOR), 1), unquoted)
     texts = F.regexp_extract_all(fragment, F.lit(P.HTML_ANCHOR), 2)
     return F.arrays_zip(hrefs.alias("href"), texts.alias("text"))
 

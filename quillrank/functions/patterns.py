@@ -62,15 +62,19 @@ READ_SENT_END = "[.!?]+"
 
 # HTML extraction.
 HTML_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-HTML_ARTICLE = r"(?is)<article[^>]*>(.*?)</article>"
-HTML_BODY = r"(?is)<body[^>]*>(.*?)</body>"
-HTML_DROP = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<h1[^>]*>.*?</h1>"
+# An element that is never closed goes on to the end of the page.
+HTML_ARTICLE = r"(?is)<article[^>]*>(.*?)(?:</article>|\z)"
+HTML_BODY = r"(?is)<body[^>]*>(.*?)(?:</body>|\z)"
+HTML_DROP = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<h1[^>]*>.*?</h1>"
 HTML_HEADING = r"(?is)<h[2-6][^>]*>(.*?)</h[2-6]>"
 HTML_BLOCK = r"(?i)<(?:p|br|div|li|tr|ul|ol|table|blockquote|section)\b[^>]*>"
 HTML_TAG = r"<[^>]*>"
 HTML_EDGE_WS = r"^[ \t\n\r]+|[ \t\n\r]+$"
-HTML_HREF = r'(?is)<a\s[^>]*?href="([^"]*)"'
-HTML_ANCHOR = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+# An href in double quotes, single quotes or none (quotes are cut off afterwards).
+HREF_VALUE = r"""("[^"]*"|'[^']*'|[^ \t\n\r"'>]+)"""
+HTML_HREF = rf"(?is)<a\s[^>]*?href\s*=\s*{HREF_VALUE}"
+HTML_ANCHOR = rf"(?is)<a\s[^>]*?href\s*=\s*{HREF_VALUE}[^>]*>(.*?)</a>"
+HREF_QUOTES = r"""^["']|["']$"""
 HTML_IMG = r'(?is)<img\s[^>]*?src="([^"]*)"'
 HTML_CELL = r"(?is)<td[^>]*>(.*?)</td>"
 URL_DOC_KEY = r"/[a-z]{2}/([0-9]+)"

@@ -41,6 +41,11 @@ def _edge_trim(x: str) -> str:
     return f"regexp_replace({x}, {q(P.HTML_EDGE_WS)}, '', 'g')"
 
 
+def unquoted(hrefs: str) -> str:
+    """A list of attribute values without their quotes."""
+    return f"list_transform({hrefs}, lambda h: regexp_replace(h, {q(P.HREF_QUOTES)}, '', 'g'))"
+
+
 _TITLE = _edge_trim(_unescape(_strip_tags(f"regexp_extract(html, {q(P.HTML_TITLE)}, 1)")))
 _CONTENT = _edge_trim(_unescape(_strip_tags("x")))
 
@@ -60,10 +65,11 @@ FROM (
                 {q(P.HTML_HEADING)}, chr(10) || chr(10) || '== \\1 ==' || chr(10), 'g'),
                 {q(P.HTML_BLOCK)}, chr(10), 'g') AS x
     FROM (
-      SELECT page_id, url, html, regexp_extract_all(html, {q(P.HTML_HREF)}, 1) AS hrefs,
-             CASE WHEN length(regexp_extract(html, {q(P.HTML_ARTICLE)}, 1)) > 0
-                  THEN regexp_extract(html, {q(P.HTML_ARTICLE)}, 1)
-                  ELSE regexp_extract(html, {q(P.HTML_BODY)}, 1) END AS src
+      SELECT page_id, url, html, {unquoted(f"regexp_extract_all(html, {q(P.HTML_HREF)}, 1)")} AS hrefs,
+             CASE WHEN length(array_to_string(regexp_extract_all(html, {q(P.HTML_ARTICLE)}, 1), chr(10))) > 0
+                  THEN array_to_string(regexp_extract_all(html, {q(P.HTML_ARTICLE)}, 1), chr(10))
+                  WHEN regexp_matches(html, {q(P.HTML_BODY)}) THEN regexp_extract(html, {q(P.HTML_BODY)}, 1)
+                  ELSE html END AS src
       FROM pages)))"""
 
 

@@ -202,3 +202,31 @@ def score_new_pages(spark, sf_dir):
     pages = materialize(html_feature_table(spark, sf_dir, TABLE_NEEDS))
     s = L.score_table(qm.models["rf"], pages, MODEL_FEATURES)
     return s.select("id", "pageId", "score", L.display_score(F.col("score")).alias("display_score"))
+
+
+# -- checked companions of the model queries ---------------------------------------
+
+@register("model_roundtrip_same", sql="SELECT doc_id AS id, true AS same FROM documents")
+def model_roundtrip_same(spark, sf_dir):
+    """A saved and loaded model scores every page as the fitted one."""
+    return model_roundtrip(spark, sf_dir).select("id", "same")
+
+
+@register("rescore_all_labelled", sql="SELECT doc_id AS id, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM labels JOIN documents USING (doc_id)")
+def rescore_all_labelled(spark, sf_dir):
+    """The scores that the label rule fixes."""
+    return rescore_all(spark, sf_dir).where("featured OR flagged").select("id", "score")
+
+
+@register("rescore_all_in_range", sql="SELECT doc_id AS id, true AS in_range FROM documents")
+def rescore_all_in_range(spark, sf_dir):
+    """Every page has a score between 0 and 1."""
+    return rescore_all(spark, sf_dir).select("id", F.coalesce(F.col("score").between(0, 1), F.lit(False)).alias("in_range"))
+
+
+@register("feature_importances_sum", sql="SELECT UNNEST([" + ", ".join(f"'{f}'" for f in MODEL_FEATURES) + "]) AS feature, true AS sums_to_one")
+def feature_importances_sum(spark, sf_dir):
+    """An importance for each feature, one in total."""
+    found = feature_importances(spark, sf_dir)
+    total = found.agg(F.abs(F.sum("importance") - 1) < 1e-6).first()[0]
+    return found.select("feature", F.lit(bool(total)).alias("sums_to_one"))

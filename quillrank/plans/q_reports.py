@@ -37,11 +37,13 @@ def feature_means(spark, sf_dir):
 _REPORT_NEEDS = ["grade_level", "nLinks", "nRefs", "nWordsSummary", "nImages", "reading_ease", "title", "url"] + RULE_FEATURES
 
 
-def _report_table(spark, sf_dir):
+def _report_table(spark, sf_dir, reread: bool = False):
+    """The scored pages; stored only for reports that read them more than once."""
     t = doc_feature_table(spark, sf_dir, sorted(set(_REPORT_NEEDS)))
     rule = score_rule(F.col("featured"), F.col("flagged"), [F.col(c) for c in RULE_FEATURES],
                       standin_score(F.col("reading_ease")))
-    return materialize(t.withColumn("score", F.coalesce(F.col("score"), rule)))
+    scored = t.withColumn("score", F.coalesce(F.col("score"), rule))
+    return materialize(scored) if reread else scored
 
 
 _SCORE_SQL = f"coalesce(score, {_rule_sql(_STANDIN_SQL)})"
@@ -113,7 +115,7 @@ FROM u"""
 @register("page_report", sql=_PAGE_SQL)
 def page_report(spark, sf_dir):
     """L5-L7 (page mode): label, bar end, featured-mean marker, display score per page."""
-    t = _report_table(spark, sf_dir)
+    t = _report_table(spark, sf_dir, reread=True)
     r = RP.page_report(t.withColumn("display_score", RP.display_score(F.col("score"))), ["id", "display_score"])
     return round_doubles(r.select("id", "feature", "label", "value", "frac", "x_page", "x_featured_mean", "display_score"))
 
@@ -121,7 +123,7 @@ def page_report(spark, sf_dir):
 @register("bar_geometry", sql=f"WITH q AS ({_PAGE_SQL}) SELECT id, feature, x_page, x_featured_mean FROM q")
 def bar_geometry(spark, sf_dir):
     """Bar coordinates on the 0..350 axis (page mode shows the featured mean only)."""
-    t = _report_table(spark, sf_dir)
+    t = _report_table(spark, sf_dir, reread=True)
     return round_doubles(RP.page_report(t, ["id"]).select("id", "feature", "x_page", "x_featured_mean"))
 
 

@@ -8,7 +8,7 @@ from quillrank.operators import grid as G
 from quillrank.operators import search as SE
 from quillrank.plans import learning as L
 from quillrank.plans import oracle as O
-from quillrank.plans.corpus import doc_feature_table, html_feature_table, labelled_doc_table, labels_table
+from quillrank.plans.corpus import doc_feature_table, html_feature_table, labelled_doc_table, labelled_html_table, labels_table
 from quillrank.plans.registry import r6, register, round_doubles
 from quillrank.session import path_exists, scratch_path
 from quillrank.sources import document_records, html_records, materialize
@@ -77,7 +77,7 @@ _GRID_FEATURES = ["nLinks", "nWordsSummary", "nSents", "meanWordLength", "grade_
 
 def _model_grid(spark, sf_dir):
     # Fit and medians only read labelled pages: the others are never measured.
-    t = materialize(labelled_doc_table(spark, sf_dir, _GRID_FEATURES + ["reading_ease"]))
+    t = materialize(labelled_html_table(spark, sf_dir, _GRID_FEATURES + ["reading_ease"]))
     qm, _ = L.fit_models(t, _GRID_FEATURES, kinds=("rf",))
     # Q13: features off the grid axes are held at the featured medians (mergeable sketch).
     med = t.where("featured").agg(*[F.percentile_approx(F.col(f).cast("double"), 0.5).alias(f)
@@ -91,10 +91,16 @@ def _model_grid(spark, sf_dir):
 
 @register("quality_grid")
 def quality_grid(spark, sf_dir):
-    """Forest probability over the 100 × 280 lattice (model fitted on the corpus)."""
+    """Forest probability over the 100 × 280 lattice (model fitted on labelled captures)."""
     return _model_grid(spark, sf_dir)[1]
 
 
+@register("quality_grid_points", sql="SELECT CAST(a * 5 AS DOUBLE) AS n_links, CAST(b * 5 AS DOUBLE) AS n_words_summary, true AS in_range FROM range(100) t1(a), range(280) t2(b)")
+def quality_grid_points(spark, sf_dir):
+    """Every lattice point has a probability between 0 and 1."""
+    return quality_grid(spark, sf_dir).select("n_links", "n_words_summary", F.col("grid_score").between(0, 1).alias("in_range"))
+
+
 @register("grid_suggestions")
 def grid_suggestions(spark, sf_dir):
     """M19 with the fitted model's grid: 5 nearest high-quality points per captured page."""

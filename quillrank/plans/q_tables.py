@@ -271,7 +271,8 @@ FROM (SELECT *, UNNEST(range(len(hrefs))) AS i FROM (
 
 
 def _anchor_list(src: str, group: int) -> str:
-    return f"regexp_extract_all({src}, {O.q(P.HTML_ANCHOR)}, {group})"
+    found = f"regexp_extract_all({src}, {O.q(P.HTML_ANCHOR)}, {group})"
+    return O.unquoted(found) if group == 1 else found
 
 
 PAGE_LINKS_SQL = _anchor_rows_sql("page", _anchor_list("html", 1), _anchor_list("html", 2))
@@ -307,8 +308,7 @@ def flagged_links(spark, sf_dir):
 @register("links_union", sql=f"{FEATURED_LINKS_SQL} UNION ALL {FLAGGED_LINKS_SQL} UNION ALL {PAGE_LINKS_SQL}")
 def links_union(spark, sf_dir):
     """Bag union of the three link lists."""
-    p = pages_html(spark, sf_dir)
-    return LK.links_union(LK.featured_links(p), LK.flagged_links(p), LK.page_links(p))
+    return LK.all_links(pages_html(spark, sf_dir))
 
 
 @register("link_table", sql=PAGE_LINKS_SQL)

@@ -176,3 +176,14 @@ def test_cluster_sessions_must_name_a_shared_folder():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_html_forms(spark):
+    """All articles, unclosed elements, pages without a body, and the three ways to write an href."""
+    from quillrank.sources.records import html_records_from
+    pages = ["<body><article><p>A</p></article><p>no</p><article><p>B</p></article></body>", "<html><body><p>C", "<title>T</title><p>D</p>", "",
+             """<body><a href="/x">1</a><a class=k href='/y'>2</a><a href=/z>3</a><a href = "http://e.x/'q'">4</a></body>"""]
+    rows = html_records_from(spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).orderBy("id").collect()
+    assert [r.content.split() for r in rows[:4]] == [["A", "B"], ["C"], ["D"], []]
+    assert rows[4].links == ["/x", "/y", "/z"] and rows[4].references == ["http://e.x/'q'"]
+    assert [r.href for r in LK.page_links(spark.createDataFrame([(1, "u", pages[4])], "id long, url string, html string")).orderBy("position").collect()] == ["/x", "/y", "/z", "http://e.x/'q'"]

@@ -3,9 +3,10 @@
 Two generative models over hashed word unigrams and bigrams are counted: one
 of the target (documents labelled good) and one of the raw corpus (all
 documents). A document's log weight is the sum over its n-grams of the log
-ratio of the two; a Gumbel number seeded by the document is added and the top
-k documents are sampled, which draws k documents without replacement in
-proportion to their weights. k is not given but estimated: the documents whose
+ratio of the two, brought to the length of ``LENGTH`` n-grams so that it tells
+of the kind of text and not of its size; a Gumbel number seeded by the document
+is added and the top k documents are sampled, which draws k documents without
+replacement in proportion to their weights. k is not given but estimated: the documents whose
 weight passes the level that best parts the labelled good from the others
 (a labelled document is weighed without its own counts).
 
@@ -38,6 +39,8 @@ BUCKETS = 1 << 14
 TARGET_ROWS = 200_000
 #: Weight of the raw model in the target's smoothing, in n-grams a bucket.
 SMOOTHING = 1.0
+#: N-grams of the text length that all weights are brought to.
+LENGTH = 500
 SEED = 5
 #: Words whose hashes a task remembers.
 CACHE = 150_000
@@ -113,13 +116,13 @@ def gumbel(*seeds: Column) -> Column:
 
 
 def best_level(weights: np.ndarray, good: np.ndarray) -> float | None:
-    """The level that parts good from other weights with the best sum of both shares; None if one is missing."""
+    """The level that leaves most rows on their side, good above and others below; None if one kind is missing."""
     if not good.any() or good.all():
         return None
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order]
     below_good, below_bad = np.concatenate([[0], np.cumsum(g)]), np.concatenate([[0], np.cumsum(~g)])
-    value = below_bad / (~g).sum() - below_good / g.sum()
+    value = below_bad - below_good
     cuts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1], [True]]))  # between different weights only
     best = cuts[np.argmax(value[cuts])]
     if best == 0:
@@ -135,7 +138,7 @@ def _labelled(labels: DataFrame, id_col: str, quality_col: str, toxic_col: str,
 
 
 def importance(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, seed: int = SEED) -> DataFrame:
-    """For each row of ``docs``: struct ``doc`` of the ``carry`` columns, ``n_ngrams``, ``log_weight`` and the Gumbel ``key``."""
+    """For each row of ``docs``: struct ``doc`` of the ``carry`` columns, ``n_ngrams``, ``log_weight``, the ``weight`` at one length and the Gumbel ``key``."""
     known = F.broadcast(stored(_labelled(labels, id_col, quality_col, toxic_col, target_rows)))
     spark = docs.sparkSession
     texts_ = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(known, "id", "left")
@@ -157,7 +160,8 @@ def importance(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], names=["doc", "id", "gumbel", "n_ngrams", "log_weight"])
 
     scored = row.mapInArrow(run, schema)
-    return scored.select("doc", "id", "n_ngrams", "log_weight", (F.col("log_weight") + F.col("gumbel")).alias("key"))
+    weight = F.when(F.col("n_ngrams") > 0, F.col("log_weight") / F.col("n_ngrams") * LENGTH).otherwise(F.lit(0.0))
+    return scored.withColumn("weight", weight).select("doc", "id", "n_ngrams", "log_weight", "weight", (F.col("weight") + F.col("gumbel")).alias("key"))
 
 
 def _fixed_point(key: Column) -> Column:
@@ -170,9 +174,9 @@ def selection(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", qual
     known = F.broadcast(_labelled(labels, id_col, quality_col, toxic_col, target_rows))
     usable = scored.where("n_ngrams > 0")
     # One weight an id: repeated ids do not weigh more, and the rows stay within the bound.
-    seen = usable.join(known, "id").groupBy("id").agg(F.min("log_weight").alias("w"), F.min("quality").alias("quality")).collect()
+    seen = usable.join(known, "id").groupBy("id").agg(F.min("weight").alias("w"), F.min("quality").alias("quality")).collect()
     level = best_level(np.array([r["w"] for r in seen], float), np.array([r["quality"] == 1 for r in seen], bool))
-    k = (usable if level is None else usable.where(F.col("log_weight") >= level)).count()
+    k = (usable if level is None else usable.where(F.col("weight") >= level)).count()
     return k, kth_largest(usable.select(_fixed_point(F.col("key")).alias("key")), "key", k)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,16 +46,17 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-@functools.lru_cache(maxsize=2)
-def _power_table(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: np.uint64) -> np.ndarray:
-    """The first n powers of a base modulo 2^64."""
-    return _power_table(int(base), 1 << max(20, int(n).bit_length()))[:n]
+    """The first n powers of a base modulo 2^64 (a table that grows in steps)."""
+    table = _POWERS.get(int(base))
+    if table is None or len(table) < n:
+        table = np.full(-(-max(n, 1) // (1 << 19)) << 19, base, np.uint64)
+        table[0] = 1
+        table = _POWERS[int(base)] = np.cumprod(table, dtype=np.uint64)
+    return table[:n]
 
 
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None]) -> DataFrame:

@@ -42,8 +42,8 @@ END_ID = 2
 MAGIC = b"TKS1"
 _HEADER = struct.Struct("<4sQQQQ")
 #: Bytes of texts encoded at a time, and pieces whose ids a worker remembers.
-GROUP_BYTES = 2 << 20
-CACHE = 300_000
+GROUP_BYTES = 3 << 20
+CACHE = 600_000
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _MARK = np.array([chr(b) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for b in range(256)])
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
@@ -124,7 +124,8 @@ class Encoder:
         first = order[new]  # a piece of each group
         whole = data.tobytes()
         keys = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        if b"".join(map(keys.__getitem__, group.tolist())) != data[np.repeat(kept, end_all - start_all)].tobytes():  # two pieces of one hash
+        meant = whole if kept.all() else data[np.repeat(kept, end_all - start_all)].tobytes()
+        if b"".join(map(keys.__getitem__, group.tolist())) != meant:  # two pieces of one hash
             keys = [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             group = np.arange(len(keys))
         unknown = [k for k in keys if k not in self.pieces]
@@ -157,7 +158,7 @@ class Encoder:
         counts = np.zeros(n, np.int64)
         if not len(data):
             return np.zeros(0, "<u4"), counts
-        owner = np.repeat(np.arange(n), np.diff(offsets))
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
         # A byte that may begin other white space counts as some here; the pattern decides.
         space = _SPACE[data]
         runs = np.flatnonzero(space[:-1] & space[1:])

@@ -43,7 +43,7 @@ MAGIC = b"TKS1"
 _HEADER = struct.Struct("<4sQQQQ")
 #: Bytes of texts encoded at a time, and pieces whose ids a worker remembers.
 GROUP_BYTES = 3 << 20
-CACHE = 600_000
+REMEMBERED = 600_000
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _MARK = np.array([chr(b) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" for b in range(256)])
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
@@ -74,7 +74,7 @@ class Encoder:
     blank before it, is one unit of the merges and goes to them directly.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, group_bytes: int = GROUP_BYTES, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -88,6 +88,7 @@ class Encoder:
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token)
         self.pieces: dict[bytes, bytes] = {}
+        self.group_bytes, self.remembered = group_bytes, remembered
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -129,7 +130,7 @@ class Encoder:
             keys = [whole[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             group = np.arange(len(keys))
         unknown = [k for k in keys if k not in self.pieces]
-        if len(self.pieces) + len(unknown) > CACHE:  # forget, and learn what these texts need
+        if len(self.pieces) + len(unknown) > self.remembered:  # forget, and learn what these texts need
             self.pieces.clear()
             unknown = keys
         self._learn(unknown)
@@ -148,7 +149,7 @@ class Encoder:
         everything = np.frombuffer(column.buffers()[2] or b"", np.uint8)
         at = 0
         while at < len(column):
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP_BYTES)))
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + self.group_bytes)))
             end = min(end, len(column))
             yield self._encode_some(everything[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
             at = end
@@ -188,9 +189,9 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, group_bytes: int, remembered: int) -> Encoder:
     """One encoder a worker process, so that what it remembers outlives a task."""
-    return Encoder(path)
+    return Encoder(path, group_bytes, remembered)
 
 
 class TokenShard:
@@ -265,14 +266,14 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return row.withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text", F.spark_partition_id().alias("part"))
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, group_bytes: int = GROUP_BYTES, remembered: int = REMEMBERED) -> None:
     """Write the shard folder ``path``: part, shard, start (in the part), n_tokens, doc ids and data of each shard."""
     row = _in_order(docs, id_col, text_col)
     kind = row.schema["id"].dataType
     schema = f"part int, shard int, start long, n_tokens long, ids array<{kind.simpleString()}>, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start, shard, part = encoder(tokenizer).encode, 0, 0, 0
+        encode, start, shard, part = encoder(tokenizer, group_bytes, remembered).encode, 0, 0, 0
         held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         size = 0
 

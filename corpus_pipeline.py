@@ -39,8 +39,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the corpus; the documents as read back from them."""
-    return token_shards.token_output(docs, public_tokenizers.path(TOKENIZER))
+    """Token shards of the corpus; the documents as read back from them.
+
+    Workers still hold memory of the stages before, so the encoder gets less.
+    """
+    return token_shards.token_output(docs, public_tokenizers.path(TOKENIZER), group_bytes=1 << 20, remembered=150_000)
 
 
 STAGES = [

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.session import scratch_path
 from quillrank.sources.tables import materialize, read_table
 
 #: Bytes that separate words in the contract's word pattern, and A-Z to lower case.
@@ -79,6 +80,13 @@ def stored(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written to the shared folder and read again: like ``stored``, in Parquet's smaller form."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
     """The exact k-th largest value of the long column ``key`` (None if k < 1 or there are fewer rows).
 

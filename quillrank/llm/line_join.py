@@ -12,8 +12,12 @@ or more; of similar or equal lines only the earliest, by id and place, stays.
    n - ceil(t n) + 1 of them; each such word is an index entry.
 3. Entries meet by word. Pairs pass the length filter (by sorted search, so
    others are not formed), the positional filter, and a bitmap filter (bits in
-   which 64-bit word bitmaps differ are a lower bound of the difference).
-4. What is left is verified on the whole sets.
+   which 64-bit parity bitmaps of the words differ are a lower bound of the
+   difference). A task keeps its pairs as packed rows.
+4. Pairs are verified on the whole sets, in two rounds: each line with the
+   earliest line it was paired with, then all other pairs but those of two
+   lines that the first round removed. So a group of near copies costs about
+   one comparison a line, and no pair that could matter is left out.
 
 Words that might be in very many prefixes (by their counts) are split: similar
 lines share two words of a prefix one longer, so such a word is only met
@@ -29,6 +33,7 @@ apart by their place in the scan (``docs`` should be a stored table).
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -36,10 +41,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from quillrank.llm.common import col, map_batches, stored, utf8_texts
+from quillrank.llm.common import col, map_batches, utf8_texts, written
 from quillrank.llm.words import chunks, mix, words
 
 THRESHOLD = 0.8
@@ -49,6 +56,8 @@ CROWDED = 50_000
 #: Index entries of a task, and pairs filtered at a time.
 TASK_ENTRIES = 200_000
 PAIRS = 1 << 20
+#: Bits that tell which lines' words are asked for.
+WANTED_BITS = 1 << 25
 _COUNT_ROWS = 64
 _TOKEN_BITS = 40
 
@@ -134,7 +143,7 @@ def prefix_entries(first: np.ndarray, token: np.ndarray, rarity: np.ndarray, cro
     key = np.sort((line.astype(np.uint64) << np.uint64(_TOKEN_BITS + 6)) | (level << np.uint64(_TOKEN_BITS)) | token)
     token, level = key & np.uint64((1 << _TOKEN_BITS) - 1), (key >> np.uint64(_TOKEN_BITS)) & np.uint64(63)
     place = np.arange(len(key)) - np.repeat(first, n)
-    bits = np.bitwise_or.reduceat(np.uint64(1) << (mix(token, 3) & np.uint64(63)), first)
+    bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(token, 3) & np.uint64(63)), first)
     prefix = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
     usable = (n >= math.ceil(t / (1 - t) - 1e-9))[line]
     inside = usable & (place < prefix[line])
@@ -156,10 +165,15 @@ def prefix_entries(first: np.ndarray, token: np.ndarray, rarity: np.ndarray, cro
 
 
 def _entries(placed: DataFrame, rarity, crowded: int, t: float) -> DataFrame:
+    """Index entries of the lines, with a ``hint`` of their order: what it gets wrong costs time only."""
+    whole = isinstance(placed.schema["id"].dataType, IntegralType)
+    hint = F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)) if whole else F.col("place")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, first, token in line_chunks(utf8_texts(batch.column(0))):
+            hints = batch.column(1).to_numpy()
+            for owner, _, first, token in line_chunks(utf8_texts(batch.column(0))):
                 h1, _ = set_hashes(token, first)
                 found = prefix_entries(first, token, rarity.value, crowded, t)
                 new = np.zeros(len(first), bool)
@@ -171,9 +185,9 @@ def _entries(placed: DataFrame, rarity, crowded: int, t: float) -> DataFrame:
                     seen.clear()
                 keep = new[found["line"]]
                 size_at = found["n"][keep] << 32 | found["at"][keep]
-                yield pa.RecordBatch.from_arrays([pa.array(found["key"][keep]), pa.array(h1[found["line"][keep]]), pa.array(size_at), pa.array(found["bits"][keep])], names=["key", "h1", "size_at", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(found["key"][keep]), pa.array(h1[found["line"][keep]]), pa.array(size_at), pa.array(found["bits"][keep]), pa.array(hints[owner][found["line"][keep]])], names=["key", "h1", "size_at", "bits", "hint"])
 
-    return placed.select("text").mapInArrow(run, "key long, h1 long, size_at long, bits long")
+    return placed.select("text", hint.alias("hint")).mapInArrow(run, "key long, h1 long, size_at long, bits long, hint long")
 
 
 def candidate_pairs(group: pd.DataFrame, t: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,61 +213,147 @@ def candidate_pairs(group: pd.DataFrame, t: float = THRESHOLD) -> Iterator[tuple
         start = stop
 
 
-def _pairs(entries: DataFrame, tasks: int, t: float) -> DataFrame:
+def _packed(code: np.ndarray, lines: np.ndarray) -> dict[str, object]:
+    """A row of distinct pairs (places of the later line and the earlier one): each later line's first partner, and the rest, compressed."""
+    late, early = code >> 32, code & 0xFFFFFFFF
+    top = np.concatenate([[True], late[1:] != late[:-1]])
+    used = np.zeros(len(lines), bool)
+    used[late] = used[early] = True
+    place = np.cumsum(used) - 1
+    rest = np.stack([place[late[~top]], place[early[~top]]])
+    steps = np.diff(rest, prepend=0, axis=1).astype("<i4")
+    return {"lines": lines[used], "late": lines[late[top]], "early": lines[early[top]], "rest": zstandard.ZstdCompressor(level=1).compress(steps.tobytes())}
+
+
+def unpacked(rest: bytes) -> np.ndarray:
+    """The pairs of ``_packed``: places of the later and of the earlier lines."""
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(rest), "<i4").reshape(2, -1)
+    return np.cumsum(steps, axis=1, dtype=np.int64)
+
+
+def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
+    """Candidate pairs, packed: ``late`` and ``early`` ends of each line's earliest pair, and ``rest`` over ``lines``."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["key", "h1"]).sort_values(["key", "size_at"])
-        h1 = group.h1.to_numpy()
-        found = [np.stack([np.minimum(h1[a], h1[b]), np.maximum(h1[a], h1[b])], 1) for a, b in candidate_pairs(group, t)]
-        return pd.DataFrame(np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0), columns=["a1", "b1"])
+        group = group.sort_values("hint").drop_duplicates(["key", "h1"]).sort_values(["key", "size_at"])
+        lines, first, of = np.unique(group.h1.to_numpy(), return_index=True, return_inverse=True)
+        order = np.lexsort((lines, group.hint.to_numpy()[first]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        place, lines = place[of], lines[order]
+        rows, held = [], []
+        for a, b in itertools.chain(candidate_pairs(group, t), [(None, None)]):
+            if a is not None:
+                held.append(np.maximum(place[a], place[b]) << 32 | np.minimum(place[a], place[b]))
+            if a is None or sum(map(len, held)) > 4 * PAIRS:
+                code = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
+                held = []
+                if len(code):
+                    rows.append(_packed(code, lines))
+        return pd.DataFrame(rows, columns=["lines", "late", "early", "rest"])
 
     dealt = entries.withColumn("task", F.pmod("key", F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(run, "a1 long, b1 long").distinct()
+    found = dealt.groupBy("task").applyInPandas(run, "lines array<long>, late array<long>, early array<long>, rest binary")
+    return found.withColumn("pack", F.monotonically_increasing_id())
+
+
+def _open_pairs(packs: DataFrame, removed: DataFrame) -> DataFrame:
+    """The other candidate pairs, without those of which both lines are ``removed`` (h1) already."""
+    left = packs.select("pack", F.posexplode("lines").alias("at", "h1")).join(removed, "h1", "left_anti")
+    row = packs.select("pack", "lines", "rest").join(left.groupBy("pack").agg(F.collect_list("at").alias("open")), "pack")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(batch.num_rows):
+            lines, rest, left = batch.column(0)[i].values.to_numpy(), batch.column(1)[i].as_py(), batch.column(2)[i].values.to_numpy()
+            late, early = unpacked(rest)
+            is_open = np.zeros(len(lines), bool)
+            is_open[left] = True
+            keep = np.flatnonzero(is_open[late] | is_open[early])
+            for at in range(0, len(keep), PAIRS):
+                some = keep[at : at + PAIRS]
+                yield pa.RecordBatch.from_arrays([pa.array(lines[late[some]]), pa.array(lines[early[some]])], names=["a1", "b1"])
+
+    return map_batches(row.select("lines", "rest", "open"), "a1 long, b1 long", run).distinct()
+
+
+def _bit_table(ends: DataFrame) -> np.ndarray:
+    """Bits of the hashes ``h1``, in a table of fixed size: where it fills up, more lines than needed are sent."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(WANTED_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy().view(np.uint64) & np.uint64(WANTED_BITS - 1)] = True
+        parts = np.split(np.packbits(bits), _COUNT_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_COUNT_ROWS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["part", "bits"])
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(WANTED_BITS // 8 // _COUNT_ROWS, np.uint8)
+        for bits in group.bits:
+            total |= np.frombuffer(zlib.decompress(bits), np.uint8)
+        return pd.DataFrame({"part": [group.part.iloc[0]], "bits": [zlib.compress(total.tobytes(), 1)]})
+
+    table = np.zeros((_COUNT_ROWS, WANTED_BITS // 8 // _COUNT_ROWS), np.uint8)
+    for part, bits in ends.mapInArrow(mark, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect():
+        table[part] = np.frombuffer(zlib.decompress(bits), np.uint8)
+    return table.ravel()
 
 
 def _line_sets(placed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h1``, ``h2`` and the ``words`` of wanted lines (place, line, h1, h2)."""
-    by_row = wanted.groupBy("place").agg(F.collect_list("line").alias("lines"))
-    row = placed.select("place", "text").join(by_row, "place").select("text", "lines")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h1s, h2s, words = [], [], []
-        for text, lines in zip(utf8_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            whole = text.split(b"\n")
-            line, token = line_words(np.frombuffer(b"\n".join(whole[i] for i in sorted(lines)), np.uint8))
-            first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            h1, h2 = set_hashes(token, first)
-            h1s += h1.tolist()
-            h2s += h2.tolist()
-            words += np.split(token.view(np.int64), first[1:])
-        return pa.RecordBatch.from_arrays([pa.array(h1s, pa.int64()), pa.array(h2s, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["h1", "h2", "words"])
+    """``wanted`` lines (h1, h2, first) with their ``words``; texts stay where they are read, and lines that are not wanted (by a table of bits) are not sent."""
+    table = placed.sparkSession.sparkContext.broadcast(_bit_table(wanted.select("h1")))
 
-    return map_batches(row, "h1 long, h2 long, words array<long>", run)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, first, token in line_chunks(utf8_texts(batch.column(0))):
+                h1, h2 = set_hashes(token, first)
+                bit = h1.view(np.uint64) & np.uint64(WANTED_BITS - 1)
+                asked = np.flatnonzero(table.value[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1)
+                new = np.array([i for i, h in zip(asked.tolist(), h1[asked].tolist(), strict=True) if not (h in seen or seen.add(h))], np.int64)
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                if len(new):
+                    size = np.diff(np.concatenate([first, [len(token)]]))[new]
+                    ends = np.cumsum(size)
+                    at = np.repeat(first[new] - (ends - size), size) + np.arange(int(ends[-1]))
+                    words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(token[at].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[new]), pa.array(h2[new]), words], names=["h1", "h2", "words"])
+
+    found = placed.select("text").mapInArrow(run, "h1 long, h2 long, words array<long>")
+    return found.join(wanted, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("words").alias("words"))
+
+
+def _later_of_similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """The later line (h1, h2) of each pair (a1, b1) whose sets are similar."""
+    a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("words").alias("a_words"), F.col("first").alias("a_first"))
+    b = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("words").alias("b_words"), F.col("first").alias("b_first"))
+    shared = F.size(F.array_intersect("a_words", "b_words"))
+    like = shared >= t * (F.size("a_words") + F.size("b_words") - shared) - 1e-9
+    a_later = F.col("a_first") > F.col("b_first")
+    later = pairs.join(a, "a1").join(b, "b1").where(like)
+    return later.select(F.when(a_later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(a_later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct()
 
 
 def _lines(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored rows of ``_lines_and_counts``, and its lines."""
-    rows = stored(_lines_and_counts(placed))
+    rows = written(_lines_and_counts(placed), "lines")
     return rows, rows.where("part is null").select("h1", "h2", "id", "place", "line")
 
 
 def kept_lines(placed: DataFrame, rows: DataFrame, lines: DataFrame, t: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
     """``place`` and ``line`` of the lines with words that stay."""
     order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("place"), F.col("line"))
-    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(order).alias("first")))
+    distinct = written(lines.groupBy("h1", "h2").agg(F.min(order).alias("first")), "line-first")
     rarity = placed.sparkSession.sparkContext.broadcast(_rarity(rows))
     # About 12 entries a line: a prefix is a fifth of a line's words.
     tasks = max(1, 12 * distinct.count() // TASK_ENTRIES)
-    pairs = stored(_pairs(_entries(placed, rarity, crowded, t), tasks, t))
-    ends = pairs.select(F.col("a1").alias("h1")).union(pairs.select("b1")).distinct()
-    wanted = distinct.join(ends, "h1", "left_semi").select("h1", "h2", "first", F.col("first.place").alias("place"), F.col("first.line").alias("line"))
-    sets = stored(_line_sets(placed, wanted).join(wanted.select("h1", "h2", "first"), ["h1", "h2"]))
-    a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("words").alias("a_words"), F.col("first").alias("a_first"))
-    b = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("words").alias("b_words"), F.col("first").alias("b_first"))
-    both = pairs.join(a, "a1").join(b, "b1")
-    shared = F.size(F.array_intersect("a_words", "b_words"))
-    like = shared >= t * (F.size("a_words") + F.size("b_words") - shared) - 1e-9
-    a_later = F.col("a_first") > F.col("b_first")
-    later = both.where(like).select(F.when(a_later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(a_later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct()
+    packs = written(_candidates(_entries(placed, rarity, crowded, t), tasks, t), "line-pairs")
+    ends = packs.select(F.explode("lines").alias("h1")).distinct()
+    sets = written(_line_sets(placed, written(distinct.join(ends, "h1", "left_semi"), "line-ends")), "line-sets")
+    earliest = packs.select(F.explode(F.arrays_zip("late", "early")).alias("pair")).select(F.col("pair.late").alias("a1"), F.col("pair.early").alias("b1")).distinct()
+    removed = written(_later_of_similar(earliest, sets, t), "line-removed")
+    others = _later_of_similar(_open_pairs(packs, removed.select("h1")), sets, t)
+    later = removed.union(others).distinct()
     return distinct.join(later, ["h1", "h2"], "left_anti").select(F.col("first.place").alias("place"), F.col("first.line").alias("line"))
 
 

@@ -263,6 +263,18 @@ def test_line_join(spark, crowded):
     assert line_join.mark_lines(cases.empty(spark)).count() == 0
 
 
+def test_line_join_of_chains_in_any_order(spark):
+    """Near copies where likeness is not transitive; ids whose order the hint of the entries does not know."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[i : i + 20]) for i in range(0, 40, 2)] + [" ".join([*words[:19], f"x{i}"]) for i in range(12)]
+    rows = [(f"{99 - k:02d}", t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    sets = [(i, frozenset(t.split())) for i, t in rows]
+    expected = {i for i, w in sets if any(j < i and len(w & v) >= 0.8 * len(w | v) for j, v in sets)}
+    got = {r.id for r in line_join.mark_lines(docs).collect() if r.removed}
+    assert got == expected and 0 < len(got) < len(rows)
+
+
 # -- 7 -------------------------------------------------------------------------
 
 

@@ -55,7 +55,7 @@ COUNTS = 1 << 20
 CROWDED = 50_000
 #: Index entries of a task, and pairs filtered at a time.
 TASK_ENTRIES = 200_000
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Bits that tell which lines' words are asked for.
 WANTED_BITS = 1 << 25
 _COUNT_ROWS = 64
@@ -213,34 +213,34 @@ def candidate_pairs(group: pd.DataFrame, t: float = THRESHOLD) -> Iterator[tuple
         start = stop
 
 
-def _packed(code: np.ndarray, lines: np.ndarray) -> dict[str, object]:
-    """A row of distinct pairs (places of the later line and the earlier one): each later line's first partner, and the rest, compressed."""
+def _packed(code: np.ndarray, lines: np.ndarray, hint: np.ndarray) -> dict[str, object]:
+    """A row of distinct pairs (places of the later line and the earlier one): each later line's first partner with its hint, and all pairs, compressed."""
     late, early = code >> 32, code & 0xFFFFFFFF
     top = np.concatenate([[True], late[1:] != late[:-1]])
     used = np.zeros(len(lines), bool)
     used[late] = used[early] = True
     place = np.cumsum(used) - 1
-    rest = np.stack([place[late[~top]], place[early[~top]]])
-    steps = np.diff(rest, prepend=0, axis=1).astype("<i4")
-    return {"lines": lines[used], "late": lines[late[top]], "early": lines[early[top]], "rest": zstandard.ZstdCompressor(level=1).compress(steps.tobytes())}
+    steps = np.diff(place[np.stack([late, early])], prepend=0, axis=1).astype("<i4")
+    return {"lines": lines[used], "late": lines[late[top]], "early": lines[early[top]], "hint": hint[early[top]], "pairs": zstandard.ZstdCompressor(level=1).compress(steps.tobytes())}
 
 
-def unpacked(rest: bytes) -> np.ndarray:
+def unpacked(pairs: bytes) -> np.ndarray:
     """The pairs of ``_packed``: places of the later and of the earlier lines."""
-    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(rest), "<i4").reshape(2, -1)
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(pairs), "<i4").reshape(2, -1)
     return np.cumsum(steps, axis=1, dtype=np.int64)
 
 
 def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
-    """Candidate pairs, packed: ``late`` and ``early`` ends of each line's earliest pair, and ``rest`` over ``lines``."""
+    """Candidate ``pairs`` over ``lines``, packed, and ``late`` and ``early`` ends of each line's earliest pair in the row."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("hint").drop_duplicates(["key", "h1"]).sort_values(["key", "size_at"])
         lines, first, of = np.unique(group.h1.to_numpy(), return_index=True, return_inverse=True)
-        order = np.lexsort((lines, group.hint.to_numpy()[first]))
+        hint = group.hint.to_numpy()[first]
+        order = np.lexsort((lines, hint))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        place, lines = place[of], lines[order]
+        place, lines, hint = place[of], lines[order], hint[order]
         rows, held = [], []
         for a, b in itertools.chain(candidate_pairs(group, t), [(None, None)]):
             if a is not None:
@@ -249,23 +249,23 @@ def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
                 code = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
                 held = []
                 if len(code):
-                    rows.append(_packed(code, lines))
-        return pd.DataFrame(rows, columns=["lines", "late", "early", "rest"])
+                    rows.append(_packed(code, lines, hint))
+        return pd.DataFrame(rows, columns=["lines", "late", "early", "hint", "pairs"])
 
     dealt = entries.withColumn("task", F.pmod("key", F.lit(tasks)))
-    found = dealt.groupBy("task").applyInPandas(run, "lines array<long>, late array<long>, early array<long>, rest binary")
+    found = dealt.groupBy("task").applyInPandas(run, "lines array<long>, late array<long>, early array<long>, hint array<long>, pairs binary")
     return found.withColumn("pack", F.monotonically_increasing_id())
 
 
 def _open_pairs(packs: DataFrame, removed: DataFrame) -> DataFrame:
-    """The other candidate pairs, without those of which both lines are ``removed`` (h1) already."""
+    """The candidate pairs without those of which both lines are ``removed`` (h1) already."""
     left = packs.select("pack", F.posexplode("lines").alias("at", "h1")).join(removed, "h1", "left_anti")
-    row = packs.select("pack", "lines", "rest").join(left.groupBy("pack").agg(F.collect_list("at").alias("open")), "pack")
+    row = packs.select("pack", "lines", "pairs").join(left.groupBy("pack").agg(F.collect_list("at").alias("open")), "pack")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
-            lines, rest, left = batch.column(0)[i].values.to_numpy(), batch.column(1)[i].as_py(), batch.column(2)[i].values.to_numpy()
-            late, early = unpacked(rest)
+            lines, pairs, left = batch.column(0)[i].values.to_numpy(), batch.column(1)[i].as_py(), batch.column(2)[i].values.to_numpy()
+            late, early = unpacked(pairs)
             is_open = np.zeros(len(lines), bool)
             is_open[left] = True
             keep = np.flatnonzero(is_open[late] | is_open[early])
@@ -273,7 +273,7 @@ def _open_pairs(packs: DataFrame, removed: DataFrame) -> DataFrame:
                 some = keep[at : at + PAIRS]
                 yield pa.RecordBatch.from_arrays([pa.array(lines[late[some]]), pa.array(lines[early[some]])], names=["a1", "b1"])
 
-    return map_batches(row.select("lines", "rest", "open"), "a1 long, b1 long", run).distinct()
+    return map_batches(row.select("lines", "pairs", "open"), "a1 long, b1 long", run).distinct()
 
 
 def _bit_table(ends: DataFrame) -> np.ndarray:
@@ -350,9 +350,10 @@ def kept_lines(placed: DataFrame, rows: DataFrame, lines: DataFrame, t: float =
     packs = written(_candidates(_entries(placed, rarity, crowded, t), tasks, t), "line-pairs")
     ends = packs.select(F.explode("lines").alias("h1")).distinct()
     sets = written(_line_sets(placed, written(distinct.join(ends, "h1", "left_semi"), "line-ends")), "line-sets")
-    earliest = packs.select(F.explode(F.arrays_zip("late", "early")).alias("pair")).select(F.col("pair.late").alias("a1"), F.col("pair.early").alias("b1")).distinct()
+    tops = packs.select(F.explode(F.arrays_zip("late", "hint", "early")).alias("pair")).select("pair.*")
+    earliest = written(tops.groupBy(F.col("late").alias("a1")).agg(F.min(F.struct("hint", "early")).alias("top")).select("a1", F.col("top.early").alias("b1")), "line-tops")
     removed = written(_later_of_similar(earliest, sets, t), "line-removed")
-    others = _later_of_similar(_open_pairs(packs, removed.select("h1")), sets, t)
+    others = _later_of_similar(_open_pairs(packs, removed.select("h1")).join(earliest, ["a1", "b1"], "left_anti"), sets, t)
     later = removed.union(others).distinct()
     return distinct.join(later, ["h1", "h2"], "left_anti").select(F.col("first.place").alias("place"), F.col("first.line").alias("line"))
 

@@ -15,8 +15,8 @@ or more; of similar or equal lines only the earliest, by id and place, stays.
    which 64-bit parity bitmaps of the words differ are a lower bound of the
    difference). A task keeps its pairs as packed rows.
 4. Pairs are verified on the whole sets, in two rounds: each line with the
-   earliest line it was paired with, then all other pairs but those of two
-   lines that the first round removed. So a group of near copies costs about
+   earliest line it was paired with, then all other pairs but those whose
+   later line the first round removed. So a group of near copies costs about
    one comparison a line, and no pair that could matter is left out.
 
 Words that might be in very many prefixes (by their counts) are split: similar
@@ -323,6 +323,16 @@ def _line_sets(placed: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("words").alias("words"))
 
 
+def _undecided(pairs: DataFrame, sets: DataFrame, removed: DataFrame) -> DataFrame:
+    """The pairs whose later line is not removed yet; only these need their words."""
+    gone = removed.select("h1", "h2", F.lit(True).alias("gone"))
+    line = sets.select("h1", "h2", "first").join(gone, ["h1", "h2"], "left")
+    a = line.select(F.col("h1").alias("a1"), F.col("first").alias("a_first"), F.col("gone").alias("a_gone"))
+    b = line.select(F.col("h1").alias("b1"), F.col("first").alias("b_first"), F.col("gone").alias("b_gone"))
+    decided = F.when(F.col("a_first") > F.col("b_first"), F.col("a_gone")).otherwise(F.col("b_gone"))
+    return pairs.join(a, "a1").join(b, "b1").where(decided.isNull()).select("a1", "b1").distinct()
+
+
 def _later_of_similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """The later line (h1, h2) of each pair (a1, b1) whose sets are similar."""
     a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("words").alias("a_words"), F.col("first").alias("a_first"))
@@ -353,7 +363,7 @@ def kept_lines(placed: DataFrame, rows: DataFrame, lines: DataFrame, t: float =
     tops = packs.select(F.explode(F.arrays_zip("late", "hint", "early")).alias("pair")).select("pair.*")
     earliest = written(tops.groupBy(F.col("late").alias("a1")).agg(F.min(F.struct("hint", "early")).alias("top")).select("a1", F.col("top.early").alias("b1")), "line-tops")
     removed = written(_later_of_similar(earliest, sets, t), "line-removed")
-    others = _later_of_similar(_open_pairs(packs, removed.select("h1")).join(earliest, ["a1", "b1"], "left_anti"), sets, t)
+    others = _later_of_similar(_undecided(_open_pairs(packs, removed.select("h1")).join(earliest, ["a1", "b1"], "left_anti"), sets, removed), sets, t)
     later = removed.union(others).distinct()
     return distinct.join(later, ["h1", "h2"], "left_anti").select(F.col("first.place").alias("place"), F.col("first.line").alias("line"))
 

@@ -62,15 +62,24 @@ _COUNT_ROWS = 64
 _TOKEN_BITS = 40
 
 
+def _sorted_in_lines(line: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
+    """Values of so many bits, sorted inside each line (lines ascend): packed behind their line, as many lines at a time as the other bits can tell apart."""
+    out, room = np.empty(len(value), np.uint64), 1 << (64 - bits)
+    for at in range(0, int(line[-1]) + 1 if len(line) else 0, room):
+        low, high = np.searchsorted(line, [at, at + room])
+        out[low:high] = np.sort(((line[low:high] - at).astype(np.uint64) << np.uint64(bits)) | value[low:high])
+    return out & np.uint64((1 << bits) - 1)
+
+
 def line_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Line number and 40-bit hash of each word of UTF-8 bytes, distinct in a line and sorted by line and hash."""
     start, _, hashed = words(data)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     line = np.cumsum(data == 10)[start]
-    key = np.sort((line.astype(np.uint64) << np.uint64(_TOKEN_BITS)) | (hashed >> np.uint64(64 - _TOKEN_BITS)))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return (key >> np.uint64(_TOKEN_BITS)).astype(np.int64), key & np.uint64((1 << _TOKEN_BITS) - 1)
+    token = _sorted_in_lines(line, hashed >> np.uint64(64 - _TOKEN_BITS), _TOKEN_BITS)
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (token[1:] != token[:-1])])
+    return line[new], token[new]
 
 
 def set_hashes(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +149,8 @@ def prefix_entries(first: np.ndarray, token: np.ndarray, rarity: np.ndarray, cro
     n = np.diff(np.concatenate([first, [len(token)]]))
     line = np.repeat(np.arange(len(first)), n)
     level = rarity[(token & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
-    key = np.sort((line.astype(np.uint64) << np.uint64(_TOKEN_BITS + 6)) | (level << np.uint64(_TOKEN_BITS)) | token)
-    token, level = key & np.uint64((1 << _TOKEN_BITS) - 1), (key >> np.uint64(_TOKEN_BITS)) & np.uint64(63)
+    key = _sorted_in_lines(line, (level << np.uint64(_TOKEN_BITS)) | token, _TOKEN_BITS + 6)
+    token, level = key & np.uint64((1 << _TOKEN_BITS) - 1), key >> np.uint64(_TOKEN_BITS)
     place = np.arange(len(key)) - np.repeat(first, n)
     bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(token, 3) & np.uint64(63)), first)
     prefix = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1

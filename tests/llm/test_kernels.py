@@ -164,6 +164,32 @@ def test_candidate_pairs_hold_all_similar_lines():
         assert want <= got and len(want) > 20
 
 
+def test_words_are_sorted_in_lines_however_many_lines():
+    rng = np.random.default_rng(3)
+    line, value = np.sort(rng.integers(0, 100, 1000)), rng.integers(0, 1 << 60, 1000, np.uint64)
+    want = value[np.lexsort((value, line))]
+    assert (line_join._sorted_in_lines(line, value, 60) == want).all()  # 16 lines at a time
+
+
+def test_entries_of_a_text_of_300_000_lines():
+    """Lines 2^18 apart are not mixed up: the entries are those of the text's parts."""
+    rng = np.random.default_rng(4)
+    lines = [" ".join(map(str, row)) for row in rng.integers(0, 5000, (300_000, 6))]
+    rarity = rng.integers(0, 18, 1 << 10).astype(np.uint8)
+
+    def entries(some, base):
+        out = []
+        for _, number, first, token in line_join.line_chunks(["\n".join(some).encode()]):
+            found = line_join.prefix_entries(first, token, rarity, 1 << 10, 0.8)
+            out.append(np.stack([found["key"], number[found["line"]] + base, found["n"], found["at"], found["bits"]]))
+        out = np.concatenate(out, axis=1)
+        return out[:, np.lexsort(out)]
+
+    parts = [entries(lines[at : at + 100_000], at) for at in range(0, 300_000, 100_000)]
+    parts = np.concatenate(parts, axis=1)
+    assert (entries(lines, 0) == parts[:, np.lexsort(parts)]).all()
+
+
 def test_sentences_of_a_pasted_passage_are_cut_alike():
     rng = random.Random(2)
     from tests.llm.cases import sentence, text

@@ -1,9 +1,13 @@
 """Substring dedup by sliding sentence spans (operator 4).
 
-A text is cut into sentences: behind a word that ends in ``.``, ``!`` or ``?``
-and at line ends. A sentence of more than ``LONG`` words is cut further, behind
-words chosen by their own hash, so that a passage pasted into the middle of a
-sentence is cut at the same places everywhere. From every sentence a span runs
+A text is cut into sentences: behind a word that ends in ``.``, ``!``, ``?`` or
+a CJK full stop, and at line ends. Where ``WINDOW`` words in a row end no
+sentence, it is also cut behind the one of the least hash (of equal ones the
+last). A cut thus depends on the ``WINDOW - 1`` words on either side alone and
+no piece is longer than ``WINDOW`` words, so that the same passage is cut at
+the same places in all texts but near its ends, and ``PASSAGE`` common words
+always hold a common span. Words are parted by white space; in scripts written
+without blanks each code point is a word. From every sentence a span runs
 over at least ``RUN`` sentences and ``RUN_WORDS`` words (white space and the
 case of A-Z do not count). The 128-bit hashes of all spans are joined globally;
 every occurrence but the first, by id and place, is repeated, and sentences
@@ -12,7 +16,8 @@ that such an occurrence covers are removed.
 Hashes are counted by a partial aggregation, and only repeated ones are joined
 back to their occurrences, so a passage of a third of all documents is one
 counted key and a skewed equi-join that adaptive execution splits; no pairs are
-formed. Spans are worked out again for the join: writing them out for both
+formed. A table of bits of the repeated hashes tells which spans need not be
+sent to that join (what it gets wrong costs time only). Spans are worked out again for the join: writing them out for both
 uses would take more disk than the texts.
 
 Defined results: a null or empty text has no sentence; a text shorter than a
@@ -26,35 +31,94 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import col, map_batches, stored, utf8_texts
-from quillrank.llm.words import chunks, mix, run_hashes, words
+from quillrank.llm.words import LOWER, chunks, mix, run_hashes, words
 
 RUN = 3
 RUN_WORDS = 16
-LONG = 12
-#: One in so many words ends a piece of a long sentence.
-CUT = 6
+#: Of so many words in a row one at least is cut behind.
+WINDOW = 8
+#: Bits (as a power of two) of the table of repeated hashes at most, and of a row of it.
+MOST_BITS = 28
+_PART_BITS = 15
+#: Common words that surely hold a common span: up to the first sure cut, the longest span, and words whose cuts the host may change.
+PASSAGE = 3 * WINDOW - 1 + max(RUN_WORDS - 1 + WINDOW, RUN * WINDOW)
 _ENDS = np.array([b in b".!?" for b in range(256)])
+#: The last code points of sentences in CJK text, and the scripts written without blanks (Thai and Lao, Tibetan, Burmese, Khmer, CJK with its kana, compatibility and wide forms, further ideographs).
+_STOPS = np.array([ord(c) for c in "\u3002\uff01\uff0e\uff1f\uff61"])
+_UNSPACED = ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3130), (0x3190, 0xA000), (0xF900, 0xFB00), (0xFE30, 0xFE50), (0xFF00, 0xFFA0), (0x20000, 0x40000))
+_LEADS = np.zeros(256, bool)
+for _low, _high in _UNSPACED:
+    _LEADS[chr(_low).encode()[0] : chr(_high - 1).encode()[0] + 1] = True
+
+
+def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the code points of scripts without blanks, and which of them end a sentence."""
+    start = np.flatnonzero(_LEADS[data])
+    size = np.where(data[start] >= 0xF0, 4, 3)
+    whole = start + size <= len(data)
+    start, size = start[whole], size[whole]
+    if not len(start):
+        return start, start, np.zeros(0, bool)
+    code = (data[start].astype(np.int64) & np.where(size == 4, 7, 15)) << 12 | (data[start + 1] & np.int64(63)) << 6 | data[start + 2] & np.int64(63)
+    code = np.where(size == 4, code << 6 | data[start + size - 1] & np.int64(63), code)
+    alone = np.zeros(len(start), bool)
+    for low, high in _UNSPACED:
+        alone |= (code >= low) & (code < high)
+    return start[alone], (start + size)[alone], np.isin(code[alone], _STOPS)
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the words, and which of them end a sentence."""
+    start, end, hashed = words(data)
+    at, behind, stop = _code_points(data)
+    if not len(at):
+        return start, end, hashed, _ENDS[data[end - 1]]
+    # A blank-parted word is cut around its code points of such scripts; what is left between them stays a word.
+    edges = np.unique(np.concatenate([start, end, at, behind]))
+    inside = np.searchsorted(start, edges[:-1], "right") > np.searchsorted(end, edges[:-1], "right")
+    start, end = edges[:-1][inside], edges[1:][inside]
+    hashed = run_hashes(LOWER[data].astype(np.uint64) + np.uint64(1), start, end)
+    last = _ENDS[data[end - 1]]
+    last[np.searchsorted(start, at)] |= stop
+    return start, end, hashed, last
+
+
+def _cuts(hashed: np.ndarray, last: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Words that end a sentence or are the last of least hash of ``WINDOW`` words of one text that end none."""
+    n = len(hashed) - WINDOW + 1
+    if n < 1:
+        return last
+    ends = np.concatenate([[0], np.cumsum(last)])
+    begin = np.flatnonzero((ends[WINDOW:] == ends[:n]) & (of[WINDOW - 1 :] == of[:n]))
+    least, at = hashed[begin], begin.copy()
+    for i in range(1, WINDOW):
+        other = hashed[begin + i]
+        lower = other <= least
+        least = np.where(lower, other, least)
+        at[lower] = begin[lower] + i
+    out = last.copy()
+    out[at] = True
+    return out
 
 
 def _sentences(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts joined by line ends: where each sentence ends among the words, the text it is of, and the ends (in bytes) and hashes of the words."""
     data = np.frombuffer(b"\n".join(documents), np.uint8)
-    start, end, hashed = words(data)
+    start, end, hashed, last = _words(data)
     if not len(end):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), end, hashed
     line = np.cumsum(data == 10)[start]
-    last = _ENDS[data[end - 1]] | np.append(line[1:] != line[:-1], True)
-    stops = np.flatnonzero(last) + 1
-    long = np.repeat(np.diff(stops, prepend=0) > LONG, np.diff(stops, prepend=0))
-    last |= long & (hashed % np.uint64(CUT) == 0)
-    stops = np.flatnonzero(last) + 1
-    offsets = np.cumsum([len(d) + 1 for d in documents])
-    return stops, np.searchsorted(offsets, start[stops - 1], "right"), end, hashed
+    last |= np.append(line[1:] != line[:-1], True)
+    owner = np.searchsorted(np.cumsum([len(d) + 1 for d in documents]), start, "right")
+    stops = np.flatnonzero(_cuts(hashed, last, owner)) + 1
+    return stops, owner[stops - 1], end, hashed
 
 
 def _spans(stops: np.ndarray, owner: np.ndarray, run: int = RUN, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +135,24 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(col(id_col).alias("id"), F.monotonically_increasing_id().alias("place"), col(text_col).cast("string").alias("text"))
 
 
-def span_rows(placed: DataFrame) -> DataFrame:
-    """A row for each span of each text: 128-bit hash (h1, h2), ``id`` and ``place`` of the row, and ``span``: its first sentence (above 32 bits), its length, and (the lowest bit) whether the text has it before."""
+def _bit_table(homes: DataFrame) -> np.ndarray:
+    """Bits of the hashes ``h1``, of bounded size: where it fills up, more spans than needed are sent."""
+    bits = 1 << min(MOST_BITS, max(_PART_BITS, (16 * homes.count()).bit_length()))
+    bit = homes.select(F.col("h1").bitwiseAND(F.lit(bits - 1)).alias("bit")).distinct()
+
+    def mark(group: pd.DataFrame) -> pd.DataFrame:
+        marked = np.zeros(1 << _PART_BITS, bool)
+        marked[group.bit.to_numpy() & ((1 << _PART_BITS) - 1)] = True
+        return pd.DataFrame({"part": [group.part.iloc[0]], "bits": [np.packbits(marked).tobytes()]})
+
+    table = np.zeros((bits >> _PART_BITS, 1 << _PART_BITS - 3), np.uint8)
+    for part, marked in bit.withColumn("part", F.shiftright("bit", _PART_BITS)).groupBy("part").applyInPandas(mark, "part long, bits binary").collect():
+        table[part] = np.frombuffer(marked, np.uint8)
+    return table.ravel()
+
+
+def span_rows(placed: DataFrame, wanted: Broadcast | None = None) -> DataFrame:
+    """A row for each span of each text: 128-bit hash (h1, h2), ``id`` and ``place`` of the row, and ``span``: its first sentence (above 32 bits), its length, and (the lowest bit) whether the text has it before. With a table of ``wanted`` bits: of the spans it names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,9 +168,14 @@ def span_rows(placed: DataFrame) -> DataFrame:
                 order = np.lexsort((first, h1, of))
                 again = np.zeros(len(order), bool)
                 again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
+                span = (first - begin) << 32 | (end - first) << 1 | again
+                if wanted is not None:
+                    bit = h1 & np.uint64(8 * len(wanted.value) - 1)
+                    asked = np.flatnonzero(wanted.value[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1)
+                    h1, h2, of, span = h1[asked], h2[asked], of[asked], span[asked]
                 take = pa.array(of + at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((first - begin) << 32 | (end - first) << 1 | again)],
+                    [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(span)],
                     names=["h1", "h2", "id", "place", "span"],
                 )
 
@@ -109,7 +194,8 @@ def repeated_spans(placed: DataFrame) -> DataFrame:
     )
     # Stored, so that the join reads both sides from a shuffle and its hot keys can be split.
     homes = stored(counted.where("n > 1").select("h1", "h2", "home"))
-    joined = span_rows(placed).select("h1", "h2", "place", "span").join(homes, ["h1", "h2"])
+    wanted = placed.sparkSession.sparkContext.broadcast(_bit_table(homes))
+    joined = span_rows(placed, wanted).select("h1", "h2", "place", "span").join(homes, ["h1", "h2"])
     again = F.col("span").bitwiseAND(F.lit(1)) == 1
     first, size = F.shiftright("span", 32), F.shiftright(F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
     repeated = joined.where((F.col("place") != F.col("home")) | again)

@@ -202,3 +202,41 @@ def test_sentences_of_a_pasted_passage_are_cut_alike():
         starts = np.concatenate([[0], stops])
         hashes.append(set(sentence_spans.run_hashes(hashed, starts[first], starts[end]).tolist()))
     assert len(hashes[0] & hashes[1] & hashes[2]) >= 2
+
+
+def spans_of(text: str) -> set[int]:
+    stops, _, _, hashed = sentence_spans._sentences([text.encode()])
+    first, end = sentence_spans._spans(stops, np.zeros(len(stops), np.int64))
+    starts = np.concatenate([[0], stops])
+    return set(sentence_spans.run_hashes(hashed, starts[first], starts[end]).tolist())
+
+
+@pytest.mark.parametrize("stop", [0.0, 0.1, 0.4])
+def test_every_passage_of_51_words_holds_a_common_span(stop):
+    rng = random.Random(8)
+
+    def some(n):
+        return " ".join(f"w{rng.randrange(3000)}" + "." * (rng.random() < stop) for _ in range(n))
+
+    assert sentence_spans.PASSAGE <= 51
+    for _ in range(500):
+        passage = some(51)
+        a, b = (f"{some(rng.randrange(40))} {passage}{rng.choice([' ', chr(10)])}{some(rng.randrange(40))}" for _ in range(2))
+        assert spans_of(a) & spans_of(b)
+
+
+def test_every_passage_of_51_code_points_without_blanks_holds_a_common_span():
+    rng = random.Random(9)
+
+    def some(n):
+        return "".join(rng.choice(["。", "？"]) if rng.random() < 0.05 else chr(rng.randrange(0x4E00, 0x5200)) for _ in range(n))
+
+    for _ in range(300):
+        passage = some(51)
+        a, b = (f"{some(rng.randrange(40))}{passage}{some(rng.randrange(40))}" for _ in range(2))
+        assert spans_of(a) & spans_of(b)
+    text = "abc漢字。def ghi. กข 한국 हि"
+    start, end, _, last = sentence_spans._words(np.frombuffer(text.encode(), np.uint8))
+    found = [text.encode()[i:j].decode() for i, j in zip(start, end, strict=True)]
+    assert found == ["abc", "漢", "字", "。", "def", "ghi.", "ก", "ข", "한국", "हि"]
+    assert last.tolist() == [f in ("。", "ghi.") for f in found]

@@ -12,7 +12,8 @@ holds more than its range, and a range is cut into shards of about
 ``SHARD_TOKENS`` tokens. Where a document starts in the whole output comes
 from the token totals of the ranges (one number a task on the driver).
 
-Defined results: a null or empty text is the end id alone; null ids come
+Defined results: ids are those of the tokenizer's plain call, so the string of an
+added token in a text is that token; a null or empty text is the end id alone; null ids come
 first; rows with equal ids follow each other by a hash of their texts; an
 empty table gives no rows.
 """
@@ -68,18 +69,21 @@ class Encoder:
     Byte-level BPE splits a text before a blank that follows a word, around a
     line end and behind a word's last letter, whatever stands there, so the
     pieces between those places can be encoded alone. It does look further in longer runs of white space;
-    texts with such runs are encoded whole. The pieces of some texts are told
+    texts with such runs are encoded whole. So are texts that hold the string of an
+    added token, unless ``added_as_text``: then that is ordinary text. The pieces of some texts are told
     apart by hashes (and compared byte by byte), so that the tokenizer and the
     memory are asked once for each different one. A word of letters, with the
     blank before it, is one unit of the merges and goes to them directly.
     """
 
-    def __init__(self, path: str, group_bytes: int = GROUP_BYTES, remembered: int = REMEMBERED):
+    def __init__(self, path: str, group_bytes: int = GROUP_BYTES, remembered: int = REMEMBERED, added_as_text: bool = True):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = added_as_text
+        added = [] if added_as_text else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.merger.encode_special_tokens = True
         self.merger.pre_tokenizer = WhitespaceSplit()  # for words that are byte-level characters already
         self.alphabet = _ByteAlphabet(self.tokenizer)
@@ -164,6 +168,9 @@ class Encoder:
         space = _SPACE[data]
         runs = np.flatnonzero(space[:-1] & space[1:])
         suspects = [i for i in np.unique(owner[runs]).tolist() if _RUN.search(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "surrogatepass"))]
+        if self.added is not None:  # a match across two texts does no harm: whole texts are encoded alike
+            held = [m.start() for m in self.added.finditer(data.tobytes())]
+            suspects = sorted({*suspects, *owner[held].tolist()}) if held else suspects
         mark = (data == 32) | (data == 10)
         mark[1:] |= (data[:-1] == 10) | (_LETTER[data[:-1]] & _MARK[data[1:]])
         mark[offsets[:-1][np.diff(offsets) > 0]] = True
@@ -191,7 +198,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 @functools.lru_cache(maxsize=1)
 def encoder(path: str, group_bytes: int, remembered: int) -> Encoder:
     """One encoder a worker process, so that what it remembers outlives a task."""
-    return Encoder(path, group_bytes, remembered)
+    return Encoder(path, group_bytes, remembered, added_as_text=False)
 
 
 class TokenShard:

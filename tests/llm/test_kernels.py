@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from quillrank.llm import crf_language, line_join, mixing, sentence_spans, simhash
 from quillrank.llm.fm_index import FMIndex
-from quillrank.llm.token_shards import Encoder, TokenShard
+from quillrank.llm.token_shards import Encoder, TokenShard, encoder
 from quillrank.llm.wavelet import WaveletMatrix
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,6 +97,16 @@ def test_encoder_equals_the_tokenizer():
     assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_in_a_text_are_those_of_the_plain_call():
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    rng = random.Random(6)
+    parts = [" ", "  ", "\n", "a", "bc", "d.", "é", "漢", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(2000)] + [None, "a <|endoftext|> b"]
+    got = [x.tolist() for ids, counts in encoder(TOKENIZER, 1 << 20, 600_000).encode(pa.array(texts)) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[-1] == [64, 220, 50256, 275]
+
+
 def test_token_shard_lookups():
     rng = np.random.default_rng(1)
     documents = [rng.integers(0, 50_257, n) for n in (1, 40, 7, 300)] + [np.array([2])]

@@ -9,7 +9,8 @@ probabilities come from forward-backward over the whole text; their mean over
 the words gives the text's language and its score.
 
 The model is learned on the driver from a bounded sample: ``TRAIN_ROWS`` rows
-a language (``TRAIN_TOTAL`` in all), ``TRAIN_WORDS`` words of each, joined to sequences that switch
+a language (``TRAIN_TOTAL`` in all; the ``MAX_LANGUAGES`` commonest languages
+unless ``languages`` names more), ``TRAIN_WORDS`` words of each, joined to sequences that switch
 between languages. It has a fixed size (``DIMENSION`` weights a language) and
 is broadcast. Prediction is a map over the documents without a shuffle.
 
@@ -229,11 +230,11 @@ def train(samples: list[tuple[str, list[str]]], dimension: int = DIMENSION, epoc
     return Model(languages, weights, transitions, lexicon)
 
 
-def training_sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> list[tuple[str, list[str]]]:
-    """About ``rows`` texts of each language, chosen by a hash of the id, and a stretch of ``words`` words of each."""
+def training_sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS, languages: int = MAX_LANGUAGES) -> list[tuple[str, list[str]]]:
+    """About ``rows`` texts of each of the ``languages`` commonest languages, chosen by a hash of the id, and a stretch of ``words`` words of each."""
     usable = docs.where(allowed & col(lang_col).isNotNull() & col(text_col).isNotNull())
     usable = usable.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     rows = min(rows, TRAIN_TOTAL // max(1, len(counts)))
     share = usable.sparkSession.createDataFrame([(r["lang"], rows / r["count"]) for r in counts], "lang string, share double")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "id", "text"), 1).cast("double") / float(1 << 63)
@@ -324,6 +325,6 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: st
     return row.mapInArrow(run, schema)
 
 
-def identify_languages(docs: DataFrame, allowed: Column, carry: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learn from the ``allowed`` rows and predict all rows of ``docs``."""
-    return predict(docs, train(training_sample(docs, allowed, id_col, text_col, lang_col)), carry, text_col)
+def identify_languages(docs: DataFrame, allowed: Column, carry: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = MAX_LANGUAGES) -> DataFrame:
+    """Learn the ``languages`` commonest languages of the ``allowed`` rows and predict all rows of ``docs``."""
+    return predict(docs, train(training_sample(docs, allowed, id_col, text_col, lang_col, languages=languages)), carry, text_col)

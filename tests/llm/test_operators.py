@@ -306,6 +306,16 @@ def spark_hash(spark, rows):
     return [r[0] for r in spark.createDataFrame(rows).select(F.xxhash64("*")).collect()]
 
 
+def test_as_many_languages_are_learned_as_asked_for(spark):
+    data = [(i, f"word{i % 3} text", "abc"[min(i % 6, 2)], *[None] * 7) for i in range(30)]
+    docs = cases.docs(spark, data)
+
+    def learned(n):
+        return {lang for lang, _ in crf_language.training_sample(docs, F.lit(True), "doc_id", "text", "lang", languages=n)}
+
+    assert learned(1) == {"c"} and learned(3) == {"a", "b", "c"}
+
+
 def test_order_minhash_signature_against_a_plain_version(spark):
     docs = cases.docs(spark)
     for r in docs.select("text", order_minhash.signature(F.col("text")).alias("got")).where("length(text) < 200 or text is null").limit(15).collect():

@@ -21,9 +21,13 @@ STORAGE_INTS = ["nChars", "nImages", "nLinks", "nSections", "nSents", "nRefs", "
                 "revisionId", "flags"]
 
 
-def new_pages(candidates: DataFrame, stored: DataFrame, key: str = "page_id", stored_key: str = "pageId") -> DataFrame:
-    """Candidates whose key is not stored yet (anti join, no per-row lookup)."""
-    return candidates.join(stored.select(F.col(stored_key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+def new_pages(candidates: DataFrame, stored: DataFrame, key: str = "page_id", stored_key: str = "pageId",
+              title: str | None = None, stored_title: str = "title") -> DataFrame:
+    """Candidates whose key, or else (given the column ``title``) title, is not stored yet (anti joins, no per-row lookup)."""
+    new = candidates.join(stored.select(F.col(stored_key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+    if title is None:
+        return new
+    return new.join(stored.select(F.col(stored_title).alias("_t")), F.col(title) == F.col("_t"), "left_anti")
 
 
 def key_copies(stored: DataFrame, key: str = "pageId") -> DataFrame:

@@ -50,3 +50,12 @@ def test_bucketize_matches_loop(spark, mx, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, f double")
     got = [r["f"] for r in BK.bucketize(df, {"f": mx}).orderBy("id").collect()]
     assert got == [py_bucket(v, mx) for v in values]
+
+
+def test_new_pages_skips_stored_titles(spark):
+    from quillrank.operators.tables import new_pages
+
+    stored = spark.createDataFrame([(1, "A"), (2, None)], "pageId long, title string")
+    pages = spark.createDataFrame([(1, "B"), (3, "A"), (4, "C"), (5, None)], "page_id long, name string")
+    assert sorted(r.page_id for r in new_pages(pages, stored).collect()) == [3, 4, 5]
+    assert sorted(r.page_id for r in new_pages(pages, stored, title="name").collect()) == [4, 5]

@@ -1,4 +1,4 @@
-"""The ten queries of the training-data operators, and SQL where it can express them.
+"""The queries of the training-data operators, and SQL where it can express them.
 
 Each applies its operator, with production parameters, to its whole table and
 derives the columns of its result from the operator's.
@@ -10,12 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import crf_language, decontamination, importance, line_join, mixing, order_minhash, secret_novelty, sentence_spans, simhash, token_shards
+from quillrank.llm import crf_language, decontamination, importance, line_join, mixing, order_minhash, piece_bpe, secret_novelty, sentence_spans, simhash, token_shards
 from quillrank.llm.common import table
 
 QUERIES = {}
 ORACLE = {}
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -144,3 +145,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select("doc.doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
+
+
+@query("op11_piece_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document by the merge-type model, and the text decoded from them."""
+    found = piece_bpe.encode_pieces(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(PIECE_MODEL), ["doc_id"])
+    return found.select(
+        "doc.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

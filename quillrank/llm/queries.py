@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import crf_language, decontamination, importance, line_join, mixing, order_minhash, piece_bpe, secret_novelty, sentence_spans, simhash, token_shards
+from quillrank.llm import crf_language, decontamination, divergence, importance, line_join, mixing, order_minhash, piece_bpe, secret_novelty, sentence_spans, simhash, token_shards, whitening
 from quillrank.llm.common import table
 
 QUERIES = {}
@@ -157,3 +157,46 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+# Shares are exact HUGEINT divisions; // on integers is the floor here, as all operands are positive.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+numbered AS (SELECT row_number() OVER () AS row, * FROM d),
+words AS (SELECT row, lang, source, unnest(w) AS term FROM numbered),
+kept AS (SELECT lang, term, count(*) AS lang_count FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+vocabulary AS (SELECT lang, count(*) AS v, sum(lang_count) AS lang_n FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT lang, source, coalesce((SELECT sum(n) FROM cells c WHERE c.lang = g.lang AND c.source = g.source), 0) AS n FROM groups g),
+shares AS (
+  SELECT k.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (t.n + 2 * v.v)::HUGEINT AS p
+  FROM kept k JOIN totals t USING (lang) JOIN vocabulary v USING (lang) LEFT JOIN cells c ON c.lang = k.lang AND c.source = t.source AND c.term = k.term),
+distances AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN distances x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+overall AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (lang_count + 2)) // (lang_n + 2 * v)::HUGEINT AS q FROM kept JOIN vocabulary USING (lang)),
+terms AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value
+  FROM shares s JOIN overall o ON o.lang = s.lang AND o.term = s.term WHERE s.n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms typical of each."""
+    return divergence.audit(documents(spark, sf_dir, "text", "lang", "source"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of each usable vector."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), ["vec_id"])
+    return found.select("doc.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")

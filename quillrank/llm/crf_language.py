@@ -17,7 +17,14 @@ is broadcast. Prediction is a map over the documents without a shuffle.
 Forward-backward runs for many texts at once: texts are cut into blocks of
 ``BLOCK`` words; products of the transfer matrices of all blocks, then the
 chain over the blocks of each text, then the words within all blocks. This is
-the exact recursion in another order of multiplication.
+the exact recursion in another order of multiplication. The products take
+memory by the square of the number of languages, so the words worked on at a
+time are bounded by it; a text beyond that bound is gone through word by word,
+from forward messages remembered every ``SEGMENT`` words, and holds no more.
+The weights' table is smaller where there are many languages.
+
+Words are letters (Unicode category L) with the marks that follow them;
+numbers, such as one half or a circled two, are none.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; so is everything when there is nothing to learn from; ties take the first
@@ -26,19 +33,21 @@ language in code point order.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import col, texts
 
 DIMENSION = 1 << 16
+#: Weights of the model at most, unless it has more languages than that allows 2^10 features each.
+WEIGHTS = 1 << 23
 #: Rows of a language and of all, and words of a row, that are learned from.
 TRAIN_ROWS = 600
 TRAIN_TOTAL = 20_000
@@ -51,10 +60,13 @@ RATE, DECAY = 0.3, 1e-3
 BLOCK = 32
 #: Scores (words times languages) worked on at a time, and remembered by a task.
 LABELLED_SCORES = 1_600_000
+#: Numbers in the products of blocks, and in the features of new words, at a time.
+PRODUCTS = 1 << 22
+SEGMENT = 256
 CACHED_SCORES = 2_000_000
 SEED = 7
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str) -> list[str]:
@@ -95,12 +107,20 @@ class Model:
     weights: np.ndarray  # feature, language
     transitions: np.ndarray  # from, to
     lexicon: dict[str, int]
+    dimension: int = DIMENSION
 
     def scores(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros((0, len(self.languages)))
-        found, starts = feature_table(words, self.lexicon)
-        return np.add.reduceat(self.weights[found], starts, axis=0)
+        # Lexicon sets come behind the hashes and the place that stands for none.
+        found, starts = feature_table(words, self.lexicon, self.dimension)
+        ends = np.append(starts[1:], len(found))
+        out, at = np.empty((len(words), len(self.languages))), 0
+        while at < len(words):
+            stop = max(at + 1, int(np.searchsorted(ends, starts[at] + PRODUCTS // len(self.languages), "right")))
+            out[at:stop] = np.add.reduceat(self.weights[found[starts[at] : ends[stop - 1]]], starts[at:stop] - starts[at], axis=0)
+            at = stop
+        return out
 
 
 def posteriors(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, block: int = BLOCK, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +190,47 @@ def posteriors(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray,
     return gamma[column, row], expected
 
 
+def long_mean(known: WordScores, numbers: np.ndarray) -> np.ndarray:
+    """Mean label probabilities of the words of one long text: forward-backward with the forward messages remembered every ``SEGMENT`` words."""
+    transitions = known.model.transitions
+    step = np.exp(transitions - transitions.max())
+
+    def emissions(at: int) -> np.ndarray:
+        scores = known.scores(numbers[at : at + SEGMENT])
+        return np.exp(scores - scores.max(1, keepdims=True))
+
+    def forward(v: np.ndarray, e: np.ndarray, at: int) -> np.ndarray:
+        out = np.empty_like(e)
+        for t, row in enumerate(e):
+            v = (v @ step if at + t else v) * row
+            out[t] = v = v / v.sum()
+        return out
+
+    size = len(step)
+    starts = range(0, len(numbers), SEGMENT)
+    before = [np.full(size, 1.0 / size)]
+    for at in starts:
+        before.append(forward(before[-1], emissions(at), at)[-1])
+    total, back = np.zeros(size), np.ones(size)
+    for at, v in zip(reversed(starts), reversed(before[:-1]), strict=True):
+        e = emissions(at)
+        alpha = forward(v, e, at)
+        for t in range(len(e) - 1, -1, -1):
+            gamma = alpha[t] * back
+            total += gamma / gamma.sum()
+            back = step @ (e[t] * back)
+            back /= back.sum()
+    return total / len(numbers)
+
+
 def train(samples: list[tuple[str, list[str]]], dimension: int = DIMENSION, epochs: int = EPOCHS, seed: int = SEED) -> Model | None:
     """Fit the weights by AdaGrad on the likelihood of sequences joined from samples of (language, words)."""
     samples = sorted((s, w) for s, w in samples if w)
     if not samples:
         return None
     languages = sorted({s for s, _ in samples})
+    dimension = min(dimension, max(1 << 10, 1 << (WEIGHTS // len(languages)).bit_length() - 1))
+    together = max(1, min(64, PRODUCTS // 2 // len(languages) ** 2))  # sequences of a step
     number = {s: i for i, s in enumerate(languages)}
     common: dict[str, Counter] = {s: Counter() for s in languages}
     for s, w in samples:
@@ -200,8 +255,8 @@ def train(samples: list[tuple[str, list[str]]], dimension: int = DIMENSION, epoc
         order = draw.permutation(len(pieces))
         # Two pieces at a time: a sequence switches where their languages differ.
         pairs = [order[i : i + 2] for i in range(0, len(order), 2)]
-        for at in range(0, len(pairs), 64):
-            group = [[pieces[i] for i in pair] for pair in pairs[at : at + 64]]
+        for at in range(0, len(pairs), together):
+            group = [[pieces[i] for i in pair] for pair in pairs[at : at + together]]
             ids = np.array([x for seq in group for _, w in seq for x in w])
             truth = np.array([s for seq in group for s, w in seq for _ in w])
             lengths = np.array([sum(len(w) for _, w in seq) for seq in group])
@@ -227,7 +282,7 @@ def train(samples: list[tuple[str, list[str]]], dimension: int = DIMENSION, epoc
             change = real - expected
             seen_t += change**2
             transitions += RATE * change / np.sqrt(seen_t)
-    return Model(languages, weights, transitions, lexicon)
+    return Model(languages, weights, transitions, lexicon, dimension)
 
 
 def training_sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS, languages: int = MAX_LANGUAGES) -> list[tuple[str, list[str]]]:
@@ -249,8 +304,8 @@ def training_sample(docs: DataFrame, allowed: Column, id_col: str, text_col: str
                 out.append(found[at : at + words])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
 
-    # The draw gives about TRAIN_TOTAL rows at most; twice that is the bound.
-    found = chosen.mapInArrow(stretch, "lang string, words array<string>").limit(2 * TRAIN_TOTAL)
+    # The draw gives about TRAIN_TOTAL rows at most; twice that is the bound, of which the first by hash stay.
+    found = chosen.orderBy("seed", "lang").limit(2 * TRAIN_TOTAL).mapInArrow(stretch, "lang string, words array<string>")
     return [(r["lang"], list(r["words"])) for r in found.collect()]
 
 
@@ -270,11 +325,13 @@ class WordScores(dict):
         if self.new:
             self.table = np.concatenate([self.table, self.model.scores(self.new)])
             self.new = []
-        out = self.table[numbers]
+        return self.table[numbers]
+
+    def forget(self) -> None:
+        """Drop all numbers, if there are many; those given before mean nothing then."""
         if len(self) > self.limit:
             self.clear()
-            self.table = self.table[:0]
-        return out
+            self.table, self.new = self.table[:0].copy(), []
 
 
 def label_texts(known: WordScores, batch_texts: list[str]) -> tuple[list[str], list[float]]:
@@ -282,7 +339,8 @@ def label_texts(known: WordScores, batch_texts: list[str]) -> tuple[list[str], l
     model = known.model
     labels, scores = [UNKNOWN] * len(batch_texts), [0.0] * len(batch_texts)
     held: list[tuple[int, np.ndarray]] = []
-    count, most = 0, max(10_000, LABELLED_SCORES // len(model.languages))
+    size = len(model.languages)
+    count, most = 0, max(1, min(LABELLED_SCORES // size, BLOCK * PRODUCTS // size**2))
 
     def flush() -> None:
         if not held:
@@ -291,13 +349,25 @@ def label_texts(known: WordScores, batch_texts: list[str]) -> tuple[list[str], l
         gamma, _ = posteriors(known.scores(np.concatenate([x for _, x in held])), model.transitions, lengths)
         means = np.add.reduceat(gamma, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
         for (i, _), mean in zip(held, means, strict=True):
-            best = int(np.argmax(mean))
-            labels[i], scores[i] = model.languages[best], min(1.0, max(0.0, float(mean[best])))
+            set_label(i, mean)
         held.clear()
+        known.forget()
+
+    def set_label(i: int, mean: np.ndarray) -> None:
+        best = int(np.argmax(mean))
+        labels[i], scores[i] = model.languages[best], min(1.0, max(0.0, float(mean[best])))
 
     for i, text in enumerate(batch_texts):
         found = words_of(text)
-        if found:
+        if len(found) > most:
+            flush()
+            count, numbers = 0, np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+            set_label(i, long_mean(known, numbers))
+            known.forget()
+        elif found:
+            if count + len(found) > most:
+                flush()
+                count = 0
             held.append((i, np.fromiter(map(known.__getitem__, found), np.int64, len(found))))
             count += len(found)
             if count >= most:

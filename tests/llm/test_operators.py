@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -287,12 +289,52 @@ def test_languages(spark):
     assert got.where("score < 0 or score > 1").count() == 0
     awkward = crf_language.identify_languages(cases.docs(spark), F.lit(True), ["doc_id", "text"]).select("doc.*", "lang_pred").collect()
     assert len(awkward) == len(cases.rows())
-    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) for r in awkward)
+    assert all((r.lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r.text or "")) for r in awkward)
     unlearned = crf_language.identify_languages(cases.docs(spark), F.lit(False), ["doc_id"])
     assert {r.lang_pred for r in unlearned.collect()} == {"und"}
     assert crf_language.identify_languages(cases.empty(spark), F.lit(True), ["doc_id"]).count() == 0
 
 
+def test_numbers_and_marks_alone_have_no_language(spark):
+    learned = [(i, "un deux trois" if i % 2 else "one two three", "fr" if i % 2 else "en", *[None] * 7) for i in range(40)]
+    odd = ["½ ② ²", "12 _ 3", "\u0301\u0302", "ⅷ", "½a", "ª", "नमस्ते", "\u0301", "٣"]
+    docs = cases.docs(spark, learned + [(100 + i, t, None, *[None] * 7) for i, t in enumerate(odd)])
+    got = crf_language.identify_languages(docs, F.lit(True), ["text"]).select("doc.text", "lang_pred", "score").collect()
+    for r in got:
+        assert (r.lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in r.text)), r
+        assert r.lang_pred != "und" or r.score == 0
+    assert crf_language.words_of("Cafe\u0301 नमस्ते ½x") == ["cafe\u0301", "नमस्ते", "x"]
+
+
+def test_bounded_groups_and_long_texts_change_no_probability(monkeypatch):
+    rng = random.Random(3)
+    samples = [(lang, [lang + rng.choice("abcde") + rng.choice("xyz") for _ in range(30)]) for lang in ("aa", "bb", "cc") for _ in range(20)]
+    model = crf_language.train(samples)
+    texts = [" ".join(rng.choice(samples)[1][: rng.randint(1, 30)] + rng.choice(samples)[1]) for _ in range(40)] + [None or "", "1 2"]
+    texts.append(" ".join(w for _ in range(60) for w in rng.choice(samples)[1]))
+    whole = crf_language.label_texts(crf_language.WordScores(model), texts)
+    monkeypatch.setattr(crf_language, "PRODUCTS", 40)
+    monkeypatch.setattr(crf_language, "SEGMENT", 7)
+    monkeypatch.setattr(crf_language, "CACHED_SCORES", 1)
+    small = crf_language.label_texts(crf_language.WordScores(model), texts)
+    assert whole[0] == small[0] and all(abs(a - b) < 1e-9 for a, b in zip(whole[1], small[1], strict=True))
+
+
+def test_memory_with_two_hundred_languages():
+    import tracemalloc
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrst"
+    samples = [(f"l{i:03d}", ["".join(rng.choice(letters[i % 17 :] or letters) for _ in range(4)) + f"{letters[i % 20]}{letters[i // 20]}" for _ in range(12)]) for i in range(200) for _ in range(3)]
+    tracemalloc.start()
+    model = crf_language.train(samples, epochs=1)
+    texts = [" ".join(w for _, ws in rng.sample(samples, 40) for w in ws) for _ in range(30)] + [" ".join(w for _ in range(30) for _, ws in rng.sample(samples, 60) for w in ws)]
+    labels, _ = crf_language.label_texts(crf_language.WordScores(model), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == len(texts) and peak < 500 << 20, peak
+
+
 # -- 8 -------------------------------------------------------------------------
 
 

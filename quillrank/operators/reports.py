@@ -24,16 +24,7 @@ def feature_means(table: DataFrame, features=MEAN_FEATURES) -> DataFrame:
     single global aggregate (partial aggregation per task, one tiny final
     merge), then unpivoted with ``stack``.
     """
-    aggs = []
-    for feat, cut in features:
-        x = F.col(feat).cast("double")
-        ok = (F.col(feat) < cut) if cut is not None else F.lit(True)
-        aggs += [
-            F.avg(F.when(ok, x)).alias(f"{feat}__all"),
-            F.avg(F.when(ok & F.col("featured"), x)).alias(f"{feat}__featured"),
-            F.avg(F.when(ok & F.col("flagged"), x)).alias(f"{feat}__flagged"),
-        ]
-    wide = table.agg(*aggs)
+    wide = feature_means_wide(table, features)
     n = len(features)
     args = ", ".join(f"'{f}', `{f}__all`, `{f}__featured`, `{f}__flagged`" for f, _ in features)
     return wide.selectExpr(f"stack({n}, {args}) AS (feature, all_mean, featured_mean, flagged_mean)")
@@ -90,9 +81,11 @@ def _mean_for(means, which: str):
 
 
 def bar_fractions(table: DataFrame, keep: list[str]) -> DataFrame:
-    """L2: page value clamped to its range and scaled to 0..1, per report feature."""
+    """L2: page value clamped to its range and scaled to 0..1, per report feature; a missing value has an empty bar."""
     u = _unpivot_features(table, keep)
-    clamp = F.greatest(F.least(F.col("value"), F.col("xmax")), F.col("xmin"))
+    # least and greatest pass over nulls: a missing value stands at the low end.
+    missing = F.col("value").isNull() | F.isnan("value")
+    clamp = F.when(missing, F.col("xmin")).otherwise(F.greatest(F.least(F.col("value"), F.col("xmax")), F.col("xmin")))
     return u.withColumn("frac", (clamp - F.col("xmin")) / (F.col("xmax") - F.col("xmin")))
 
 
@@ -112,7 +105,7 @@ def mean_fractions(table: DataFrame) -> DataFrame:
 
 def bar_label(label_name, value):
     """L4: '<name> = <value rounded>' for a page."""
-    return F.concat(label_name, F.lit(" = "), F.round(value, 0).cast("long").cast("string"))
+    return F.concat(label_name, F.lit(" = "), F.round(value, 0).try_cast("long").cast("string"))
 
 
 def page_report(table: DataFrame, keep: list[str]) -> DataFrame:

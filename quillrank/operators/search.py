@@ -11,9 +11,13 @@ and task before the shuffle, so a very common token gathers nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.sources.tables import materialize
+
 TOKEN = r"[\p{L}\p{N}]+"
 TOP_K = 3
 
@@ -51,3 +55,23 @@ def first_scored(hits: DataFrame, scores: DataFrame, score_col: str = "score") -
     return (j.groupBy("phrase_id")
              .agg(F.min_by(F.struct("rank", "doc_id", "score"), F.col("rank")).alias("b"))
              .select("phrase_id", "b.rank", "b.doc_id", "b.score"))
+
+
+def lookup_or_score(wanted: DataFrame, stored: DataFrame, score_missing: Callable[[DataFrame], DataFrame], key: str = "page_id") -> DataFrame:
+    """(id, pageId, found, score) of wanted pages, stored scores first.
+
+    ``wanted`` are records with ``id``, ``key`` and ``title``; a page is looked
+    up by its key in ``stored`` (pageId, title, score), or by its title if it
+    has none (the first row of several with that title). Only what is not found, or has no score
+    there, is handed to ``score_missing``, which extracts and scores its rows
+    (id, score).
+    """
+    by_key = stored.where(F.col("pageId").isNotNull()).groupBy(F.col("pageId").alias(key)).agg(F.max("score").alias("score"), F.lit(True).alias("found"))
+    by_title = stored.where(F.col("title").isNotNull()).groupBy("title").agg(F.min_by("score", "pageId").alias("score"), F.lit(True).alias("found"))
+    keys = wanted.select("id", key, "title")
+    looked_up = (keys.where(F.col(key).isNotNull()).join(by_key, key, "left").select("id", key, "score", "found")
+                 .unionByName(keys.where(F.col(key).isNull()).join(by_title, "title", "left").select("id", key, "score", "found")))
+    looked_up = materialize(looked_up.withColumn("found", F.coalesce("found", F.lit(False))))
+    missing = wanted.join(looked_up.where(F.col("score").isNull()).select("id"), "id", "left_semi")
+    scored = looked_up.join(score_missing(missing).select("id", F.col("score").alias("_new")), "id", "left")
+    return scored.select("id", F.col(key).alias("pageId"), "found", F.coalesce("score", "_new").alias("score"))

@@ -23,11 +23,19 @@ STORAGE_INTS = ["nChars", "nImages", "nLinks", "nSections", "nSents", "nRefs", "
 
 def new_pages(candidates: DataFrame, stored: DataFrame, key: str = "page_id", stored_key: str = "pageId",
               title: str | None = None, stored_title: str = "title") -> DataFrame:
-    """Candidates whose key, or else (given the column ``title``) title, is not stored yet (anti joins, no per-row lookup)."""
-    new = candidates.join(stored.select(F.col(stored_key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+    """Candidates that are not stored yet (anti joins, no per-row lookup).
+
+    A candidate is looked up by its key, or, if it has none and the column
+    ``title`` is given, by its title. A page under a new key is new whatever
+    its title; a candidate with neither is new.
+    """
+    known = stored.select(F.col(stored_key).alias("_k")).where(F.col("_k").isNotNull())
     if title is None:
-        return new
-    return new.join(stored.select(F.col(stored_title).alias("_t")), F.col(title) == F.col("_t"), "left_anti")
+        return candidates.join(known, F.col(key) == F.col("_k"), "left_anti")
+    titles = stored.select(F.col(stored_title).alias("_t")).where(F.col("_t").isNotNull())
+    by_key = candidates.where(F.col(key).isNotNull()).join(known, F.col(key) == F.col("_k"), "left_anti")
+    by_title = candidates.where(F.col(key).isNull()).join(titles, F.col(title) == F.col("_t"), "left_anti")
+    return by_key.unionByName(by_title)
 
 
 def key_copies(stored: DataFrame, key: str = "pageId") -> DataFrame:
@@ -134,5 +142,6 @@ def rescore_candidates(table: DataFrame) -> DataFrame:
 
 def standin_score(reading_ease: Column) -> Column:
     """A transparent stand-in for the model probability (used where a check
-    needs a SQL-reproducible score): reading ease / 100 clamped to [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), reading_ease / F.lit(100.0)))
+    needs a SQL-reproducible score): reading ease / 100 clamped to [0, 1], 0 without one."""
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), reading_ease / F.lit(100.0)))
+    return F.when(reading_ease.isNull() | F.isnan(reading_ease), F.lit(0.0)).otherwise(clamped)

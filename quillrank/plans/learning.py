@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.operators.buckets import bucket_sql, collect_maxima
+from quillrank.operators.reports import display_score  # noqa: F401 (part of this module's interface)
 from quillrank.operators.split import add_split
 from quillrank.operators.tables import score_rule
 
@@ -132,11 +133,6 @@ def score_table(model: PipelineModel, table: DataFrame, features: list[str]) ->
     return scored.withColumn("score", rule)
 
 
-def display_score(score) -> "F.Column":
-    """L1: 0..1 → 1..10, rounding half up."""
-    return F.round(F.lit(9.0) * score + F.lit(1.0), 0).cast("int")
-
-
 def model_report(qm: QualityModels, labelled: DataFrame) -> DataFrame:
     """Accuracy, recall, precision per (model, split) from confusion sums."""
     frames = []

@@ -10,10 +10,13 @@ from quillrank.operators.tables import standin_score
 from quillrank.plans import learning as L
 from quillrank.plans import oracle as O
 from quillrank.plans.corpus import doc_feature_table, html_feature_table, labelled_doc_table
-from quillrank.plans.q_tables import RULE_FEATURES
+from quillrank.functions import html as H
+from quillrank.operators import search as SE
+from quillrank.plans.q_tables import HTML_KEYS_SQL, RULE_FEATURES
 from quillrank.plans.registry import r6, register, round_doubles
 from quillrank.session import scratch_path
-from quillrank.sources import materialize
+from quillrank.sources import materialize, read_table, spread
+from quillrank.sources.records import html_records_from
 
 # Model inputs on the document corpus: nImages / nRefs / nLinks are constant
 # there, so the learning queries use these (grade_level stays unbucketed).
@@ -27,9 +30,10 @@ def _table(spark, sf_dir):
     return materialize(doc_feature_table(spark, sf_dir, TABLE_NEEDS))
 
 
-def _labelled(spark, sf_dir):
-    """The model inputs of labelled pages only (unlabelled pages are never measured)."""
-    return materialize(labelled_doc_table(spark, sf_dir, TABLE_NEEDS))
+def _labelled(spark, sf_dir, reread: bool = False):
+    """The model inputs of labelled pages only (unlabelled pages are never measured); stored only for what reads them more than once."""
+    rows = labelled_doc_table(spark, sf_dir, TABLE_NEEDS)
+    return materialize(rows) if reread else rows
 
 
 def _feat_avg(f):
@@ -113,7 +117,7 @@ st AS (SELECT {', '.join(f'avg(CAST({f} AS DOUBLE)) AS m_{f}, stddev_pop(CAST({f
 SELECT id, {', '.join(r6(_z_sql(f)) + f' AS {f}_z' for f in MODEL_FEATURES)} FROM u, st""")
 def standardize_query(spark, sf_dir):
     """M5: z-scores with mean and population std of the training part."""
-    u = add_split(L.usable_rows(_labelled(spark, sf_dir)), "pageId", L.TEST_SHARE, 0)
+    u = add_split(L.usable_rows(_labelled(spark, sf_dir, reread=True)), "pageId", L.TEST_SHARE, 0)
     z = standardize(u, MODEL_FEATURES, where=F.col("is_train"))
     return round_doubles(z.select("id", *[f"{f}_z" for f in MODEL_FEATURES]))
 
@@ -142,7 +146,7 @@ def confusion_metrics(spark, sf_dir):
 # -- fitted models (rows-only checks; invariants in tests) -----------------------
 
 def _fit(spark, sf_dir, kinds, labelled_only=False):
-    t = _labelled(spark, sf_dir) if labelled_only else _table(spark, sf_dir)
+    t = _labelled(spark, sf_dir, reread=True) if labelled_only else _table(spark, sf_dir)
     qm, labelled = L.fit_models(t, MODEL_FEATURES, kinds=kinds)
     return t, qm, labelled
 
@@ -197,11 +201,19 @@ def rescore_all(spark, sf_dir):
 
 @register("score_new_pages")
 def score_new_pages(spark, sf_dir):
-    """Captured pages extracted, labelled and scored with the corpus model."""
-    _, qm, _ = _fit(spark, sf_dir, ("rf",), labelled_only=True)
-    pages = materialize(html_feature_table(spark, sf_dir, TABLE_NEEDS))
-    s = L.score_table(qm.models["rf"], pages, MODEL_FEATURES)
-    return s.select("id", "pageId", "score", L.display_score(F.col("score")).alias("display_score"))
+    """Captured pages looked up among the stored (labelled) ones; only the others are extracted and scored by the model."""
+    labelled, qm, _ = _fit(spark, sf_dir, ("rf",), labelled_only=True)
+    # The key is enough here: every capture has one, and the title column would make the look-up parse pages.
+    stored = L.score_table(qm.models["rf"], labelled, MODEL_FEATURES).select("pageId", F.lit(None).cast("string").alias("title"), "score")
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]).select(
+        F.col("page_id").alias("id"), H.url_doc_key(F.col("url")).alias("article"), F.lit(None).cast("string").alias("title"), "page_id", "url", "html")
+
+    def score(missing):
+        records = html_records_from(spread(missing.select("page_id", "url", "html")))
+        return L.score_table(qm.models["rf"], html_feature_table(spark, sf_dir, TABLE_NEEDS, records=records), MODEL_FEATURES)
+
+    s = SE.lookup_or_score(pages, stored, score, key="article")
+    return s.select("id", "pageId", "found", "score", L.display_score(F.col("score")).alias("display_score"))
 
 
 # -- checked companions of the model queries ---------------------------------------
@@ -212,6 +224,15 @@ def model_roundtrip_same(spark, sf_dir):
     return model_roundtrip(spark, sf_dir).select("id", "same")
 
 
+@register("score_new_pages_lookup", sql=f"""
+WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM labels WHERE quality IN (0, 1) GROUP BY doc_id)
+SELECT id, pageId, l.doc_id IS NOT NULL AS found, l.score AS stored_score, true AS in_range FROM ({HTML_KEYS_SQL}) LEFT JOIN l ON l.doc_id = pageId""")
+def score_new_pages_lookup(spark, sf_dir):
+    """Which captures were found, with their stored scores; every capture has a score between 0 and 1."""
+    s = score_new_pages(spark, sf_dir)
+    return s.select("id", "pageId", "found", F.when(F.col("found"), F.col("score")).alias("stored_score"), F.coalesce(F.col("score").between(0, 1), F.lit(False)).alias("in_range"))
+
+
 @register("rescore_all_labelled", sql="SELECT doc_id AS id, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM labels JOIN documents USING (doc_id)")
 def rescore_all_labelled(spark, sf_dir):
     """The scores that the label rule fixes."""

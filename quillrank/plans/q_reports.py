@@ -56,7 +56,7 @@ def _unpivot_sql(extra: str = "") -> str:
 
 
 _ST = f"st AS (SELECT *, {_SCORE_SQL} AS s FROM tbl)"
-_FRAC = "(greatest(least(value, xmax), xmin) - xmin) / (xmax - xmin)"
+_FRAC = "CASE WHEN value IS NULL OR isnan(value) THEN 0.0::DOUBLE ELSE (greatest(least(value, xmax), xmin) - xmin) / (xmax - xmin) END"
 
 
 def _mean_sql(which: str) -> str:
@@ -107,7 +107,7 @@ def bar_labels(spark, sf_dir):
 _PAGE_SQL = f"""
 WITH {O.doc_table()}, {_ST}, u AS ({_unpivot_sql(", CAST(round(9.0 * s + 1.0) AS INTEGER) AS display_score")})
 SELECT id, feature, label_name || ' = ' || CAST(CAST(round(value) AS BIGINT) AS VARCHAR) AS label, {r6('value')} AS value,
-       {r6(_FRAC)} AS frac, {r6('0.0 + ' + _FRAC + ' * 350.0')} AS x_page,
+       {r6(_FRAC)} AS frac, {r6('0.0 + (' + _FRAC + ') * 350.0')} AS x_page,
        {r6("0.0 + (" + _mean_sql('featured') + " - xmin) / (xmax - xmin) * 350.0")} AS x_featured_mean, display_score
 FROM u"""
 

@@ -13,7 +13,7 @@ from quillrank.plans import oracle as O
 from quillrank.plans.corpus import doc_feature_table, html_feature_table, labels_table
 from quillrank.plans.registry import r6, register, round_doubles
 from quillrank.session import path_exists, scratch_path
-from quillrank.sources import document_records, html_records, materialize, read_table, spread
+from quillrank.sources import document_records, html_records, materialize, read_csv, read_table, spread, write_csv
 from quillrank.sources.records import html_records_from
 from quillrank.streaming.ingest import new_captures
 
@@ -52,6 +52,22 @@ def new_pages(spark, sf_dir):
     return TB.new_pages(doc_ids(spark, sf_dir), html_keys(spark, sf_dir))
 
 
+@register("new_pages_by_title", sql=f"""
+WITH c AS (SELECT d.id AS doc_id, CASE WHEN l.doc_id IS NOT NULL THEN d.id END AS page_id, d.title
+           FROM ({O.DOC_RECORDS}) d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.id),
+h AS ({O.HTML_RECORDS})
+SELECT doc_id, page_id, title FROM c
+WHERE CASE WHEN page_id IS NOT NULL THEN page_id NOT IN (SELECT page_id FROM h WHERE page_id IS NOT NULL)
+           ELSE title IS NULL OR title NOT IN (SELECT title FROM h WHERE title IS NOT NULL) END""")
+def new_pages_by_title(spark, sf_dir):
+    """Candidates looked up by id where they have one (labelled documents here), else by title."""
+    docs = document_records(spark, sf_dir).select(F.col("id").alias("doc_id"), "title")
+    labelled = labels_table(spark, sf_dir).select(F.col("doc_id").alias("page_id")).distinct()
+    candidates = docs.join(labelled, docs["doc_id"] == labelled["page_id"], "left").select("doc_id", "page_id", "title")
+    stored = html_records(spark, sf_dir).select(F.col("page_id").alias("pageId"), "title")
+    return TB.new_pages(candidates, stored, title="title")
+
+
 @register("existence_report", sql=f"""
 WITH c AS (SELECT pageId AS k, count(*) AS n FROM ({HTML_KEYS_SQL}) WHERE pageId IS NOT NULL GROUP BY pageId)
 SELECT doc_id AS page_id, CAST(coalesce(n, 0) AS BIGINT) AS n_copies, CAST(least(1, coalesce(n, 0)) AS INTEGER) AS in_table
@@ -129,7 +145,7 @@ def _rule_sql(score_expr: str) -> str:
             f"ELSE {score_expr} END")
 
 
-_STANDIN_SQL = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, reading_ease / 100.0::DOUBLE))"
+_STANDIN_SQL = "CASE WHEN reading_ease IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, reading_ease / 100.0::DOUBLE)) END"
 
 
 def _rule_col():
@@ -238,9 +254,8 @@ def csv_roundtrip(spark, sf_dir):
     """Feature table written as CSV with a header and read back with its schema."""
     t = round_doubles(doc_feature_table(spark, sf_dir))
     path = scratch_path(spark, "features_csv")
-    opts = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    t.write.mode("append").options(**opts).csv(path)
-    return spark.read.schema(t.schema).options(**opts).csv(path)
+    write_csv(t, path)
+    return read_csv(spark, path, t.schema)
 
 
 @register("csv_resume", sql=f"WITH {O.doc_table()} SELECT id, {_TCOLS} FROM tbl")
@@ -249,14 +264,13 @@ def csv_resume(spark, sf_dir):
     pageId), twice; the second pass finds everything stored and appends nothing."""
     t = materialize(round_doubles(doc_feature_table(spark, sf_dir)))
     path = scratch_path(spark, "features_csv_resume")
-    opts = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     for _ in range(2):
         todo = t
         if path_exists(spark, path):
-            stored = spark.read.schema(t.schema).options(**opts).csv(path)
+            stored = read_csv(spark, path, t.schema)
             todo = TB.new_pages(t, stored, key="pageId", stored_key="pageId")
-        todo.write.mode("append").options(**opts).csv(path)
-    return spark.read.schema(t.schema).options(**opts).csv(path)
+        write_csv(todo, path)
+    return read_csv(spark, path, t.schema)
 
 
 # -- links ---------------------------------------------------------------------

@@ -52,3 +52,52 @@ def test_q1_clean_variants(spark):
     rows = df.select(T.body_cut(F.col("t"), exact=False).alias("b"),
                      T.strip_back_matter(F.col("t"), exact=False).alias("s")).collect()
     assert rows[0]["b"] == "abcdef" and rows[0]["s"] == "abcdef"
+
+
+def test_a_missing_value_has_an_empty_bar(spark):
+    """max(min(None, hi), lo) is lo: the bar of a page without the value ends where it begins."""
+    from quillrank.operators import reports as RP
+    rows = [(1, None, 250, 0, 30, 0, None, True, False), (2, 99.0, 600, 10, None, 5, 50.0, False, False), (3, float("nan"), -5, 100, 500, 25, 10.0, False, True)]
+    t = spark.createDataFrame(rows, "id long, grade_level double, nLinks int, nRefs int, nWordsSummary int, nImages int, reading_ease double, featured boolean, flagged boolean")
+    got = {(r.id, r.feature): (r.frac, r.x_page) for r in RP.page_report(t, ["id"]).collect()}
+    assert got[1, "grade_level"] == (0.0, 0.0) and got[2, "nWordsSummary"] == (0.0, 0.0) and got[3, "grade_level"] == (0.0, 0.0)
+    assert got[1, "nLinks"] == (0.5, 175.0) and got[2, "grade_level"] == (1.0, 350.0) and got[3, "nLinks"] == (0.0, 0.0)
+    assert got[3, "nImages"] == (0.5, 175.0) and got[3, "nWordsSummary"] == (1.0, 350.0)
+
+
+def test_a_page_without_ease_has_no_standin_score(spark):
+    from quillrank.operators.tables import standin_score
+    t = spark.createDataFrame([(None,), (50.0,), (250.0,), (-3.0,), (float("nan"),)], "e double")
+    assert [r.s for r in t.select(standin_score(t.e).alias("s")).collect()] == [0.0, 0.5, 1.0, 0.0, 0.0]
+
+
+def test_csv_gives_back_the_rows(spark, tmp_path):
+    from quillrank.sources import read_csv, write_csv
+    texts = [None, "", "a\rb", "a\nb", "a\r\nb", 'q"q', '""', "back\\", '\\"x', ", ;", " sp ", "\\N", "é漢", "\n", "\r", '","', "NULL", "#x"]
+    rows = [(i, t, None if i % 2 else 1.5) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, title string, x double").repartition(3)
+    write_csv(df, str(tmp_path / "c"))
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "c"), df.schema).collect())) == rows
+
+
+def test_new_pages_by_id_or_else_by_title(spark):
+    from quillrank.operators.tables import new_pages
+    stored = spark.createDataFrame([(1, "A"), (2, None), (None, "C")], "pageId long, title string")
+    wanted = [(1, "x"), (7, "A"), (None, "A"), (None, "B"), (None, "C"), (None, None), (2, None)]
+    got = new_pages(spark.createDataFrame(wanted, "page_id long, title string"), stored, title="title").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, "A"), (None, "B"), (None, None)], key=str)
+
+
+def test_stored_scores_come_before_new_ones(spark):
+    from quillrank.operators.search import lookup_or_score
+    stored = spark.createDataFrame([(1, "A", 0.25), (2, "B", None), (3, "T", 0.5), (4, "T", 0.75)], "pageId long, title string, score double")
+    wanted = spark.createDataFrame([(10, 1, "z"), (11, 2, "B"), (12, None, "T"), (13, None, "none"), (14, 9, "A"), (15, None, None)], "id long, page_id long, title string")
+    asked = []
+
+    def score(missing):
+        asked.extend(r.id for r in missing.collect())
+        return missing.selectExpr("id", "0.125D AS score")
+
+    got = {r.id: (r.pageId, r.found, r.score) for r in lookup_or_score(wanted, stored, score).collect()}
+    assert sorted(asked) == [11, 13, 14, 15]
+    assert got == {10: (1, True, 0.25), 11: (2, True, 0.125), 12: (None, True, 0.5), 13: (None, False, 0.125), 14: (9, False, 0.125), 15: (None, False, 0.125)}

@@ -2,6 +2,8 @@
 
 import shutil
 
+from pyspark.sql import functions as F
+
 from quillrank.plans import load_all
 from quillrank.plans.corpus import labels_table
 from quillrank.streaming import ingest as ING
@@ -93,3 +95,69 @@ def test_a_table_of_part_files_gives_the_same_rows(spark, tmp_path):
     sink = str(tmp_path / "sink")
     ING.start_ingest(spark, str(tmp_path), "pages.parquet", labels_table(spark, SF001), sink, str(tmp_path / "ckpt")).awaitTermination()
     assert spark.read.parquet(sink).count() == load_all().QUERIES["dedup_pages"](spark, SF001).count()
+
+
+def _rows(df):
+    return sorted(map(tuple, df.select(*ING.SINK_COLUMNS).collect()), key=str)
+
+
+def test_two_streams_of_three_batches_and_a_replay(spark, tmp_path):
+    """Articles are known by keyed state: in later micro-batches, after a restart, and in a stream that begins on a filled sink."""
+    pages = spark.read.parquet(f"{SF001}/pages.parquet")
+    labels = labels_table(spark, SF001)
+    odd = spark.createDataFrame([(9001, "/no/key", "<html><body>a b c. d</body></html>"), (9001, "/no/key", "<html><body>other</body></html>")], ING.PAGES_SCHEMA)
+    for name, part in (("one", 0), ("two", 1), ("three", 2)):
+        # Overlapping thirds: most articles come more than once.
+        pages.where(f"page_id % 3 = {part} OR page_id % 5 = 0").union(odd).orderBy(F.desc("page_id")).coalesce(1).write.parquet(str(tmp_path / "src" / name))
+    files = []
+    for name in ("one", "two", "three"):
+        found = next(f for f in (tmp_path / "src" / name).iterdir() if f.name.endswith(".parquet"))
+        target = tmp_path / "in" / f"{len(files)}_pages.parquet"
+        target.parent.mkdir(exist_ok=True)
+        shutil.copy(found, target)
+        files.append(target)
+    sink, ckpt = str(tmp_path / "sink"), str(tmp_path / "c1")
+    q = ING.start_ingest(spark, str(tmp_path / "in"), "*pages.parquet", labels, sink, ckpt, max_files_per_trigger=1)
+    q.awaitTermination()
+    batches = [p for p in q.recentProgress if p["numInputRows"]]
+    assert len(batches) == 3
+    keyed = spark.read.parquet(sink).where("pageId IS NOT NULL")
+    assert keyed.groupBy("pageId").count().where("count > 1").count() == 0
+    # Captures without an article all stay, in every batch.
+    assert spark.read.parquet(sink).where("id = 9001").count() == 6
+    # The first capture of the batch that an article came in first.
+    first = {}
+    for batch, f in enumerate(sorted(files)):
+        for r in spark.read.parquet(str(f)).select("page_id", ING.H.url_doc_key(F.col("url")).alias("k")).collect():
+            if r.k is not None:
+                first[r.k] = min(first.get(r.k, (batch, r.page_id)), (batch, r.page_id))
+    assert {(r.pageId, r.id) for r in keyed.collect()} == {(k, i) for k, (_, i) in first.items()}
+    # A batch that is run again writes the same rows; a second stream over the same files adds only captures without article.
+    before = _rows(spark.read.parquet(sink))
+    import os
+    for name in ("2", ".2.crc"):
+        os.remove(os.path.join(ckpt, "commits", name))
+    ING.start_ingest(spark, str(tmp_path / "in"), "*pages.parquet", labels, sink, ckpt, max_files_per_trigger=1).awaitTermination()
+    assert _rows(spark.read.parquet(sink)) == before
+    again = ING.start_ingest(spark, str(tmp_path / "in"), "*pages.parquet", labels, sink, str(tmp_path / "c2"), max_files_per_trigger=1)
+    again.awaitTermination()
+    assert _rows(spark.read.parquet(sink).where("pageId IS NOT NULL")) == [r for r in before if r[1] is not None]
+
+
+def test_the_stream_reads_neither_texts_nor_the_sink(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    shutil.copy(f"{SF001}/pages.parquet", src / "pages.parquet")
+    sink = str(tmp_path / "sink")
+    q = ING.start_ingest(spark, str(src), "pages.parquet", labels_table(spark, SF001), sink, str(tmp_path / "c1"))
+    q.awaitTermination()
+    import contextlib
+    import io
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        q.explain()
+    plans = out.getvalue()
+    assert "FlatMapGroupsInPandasWithState" in plans and "html" not in plans and sink not in plans
+    state = q.lastProgress["stateOperators"] if q.lastProgress else []
+    keys = spark.read.parquet(sink).where("pageId IS NOT NULL").count()
+    assert not state or state[0]["numRowsTotal"] >= keys

@@ -4,9 +4,10 @@ The grid is the fixed lattice nLinks 0..495 step 5 × nWordsSummary 0..1395
 step 5: exactly 28,000 points, so its size is bounded by construction and it
 may be broadcast. Suggestions are, per page, the k grid points above the
 score threshold nearest to the page's (nLinks, nWordsSummary), ties by
-(n_links, n_words_summary). They are computed per partition with numpy
-against the broadcast qualifying points — no pages × grid join is formed,
-each task keeps only k rows per page.
+(n_links, n_words_summary). Pages are mapped in one pass, and every different
+position of a batch is searched once: in each column of the lattice only the k
+good points below and the k above the page can be among its nearest, so the
+work hangs on the 100 columns and k, not on the number of good points.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ N_WORDS_SUMMARY_RANGE = (0, 1400, 5)
 GRID_POINTS = (N_LINKS_RANGE[1] // N_LINKS_RANGE[2]) * (N_WORDS_SUMMARY_RANGE[1] // N_WORDS_SUMMARY_RANGE[2])
 THRESHOLD = 0.9
 TOP_K = 5
-_CHUNK = 256  # pages per numpy block (256 × 28,000 doubles ≈ 57 MB at most)
+_CHUNK = 1024  # positions per numpy block (1,024 × 100 columns × 2 k doubles)
 
 
 def grid_points(spark: SparkSession) -> DataFrame:
@@ -53,37 +54,51 @@ def suggestions(pages: DataFrame, scored_grid: DataFrame, k: int = TOP_K, thresh
     pts = good.select("n_links", "n_words_summary").toPandas()  # ≤ 28,000 rows by construction
     if len(pts) > GRID_POINTS:
         raise ValueError("grid larger than its fixed bound")
-    bpts = spark.sparkContext.broadcast(pts[["n_links", "n_words_summary"]].to_numpy(dtype=np.float64))
+    columns = [(c, np.sort(g["n_words_summary"].to_numpy(np.float64))) for c, g in pts.astype(np.float64).groupby("n_links")]
+    shared = spark.sparkContext.broadcast(columns)
 
-    def top_k(batches):
-        g = bpts.value
+    def search(batches):
+        found = shared.value
         for pdf in batches:
-            if len(g) == 0 or len(pdf) == 0:
-                continue
-            xy = pdf[["x", "y"]].to_numpy(dtype=np.float64)
-            kk = min(k, len(g))
-            for s in range(0, len(pdf), _CHUNK):
-                blk = xy[s:s + _CHUNK]
-                d = np.sqrt(np.square(blk[:, :1] - g[None, :, 0]) + np.square(blk[:, 1:] - g[None, :, 1]))
-                kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-                # Every point within the k-th distance (ties included), then the
-                # exact order (distance, n_links, n_words_summary) per page.
-                r, c = np.nonzero(d <= kth[:, None])
-                if len(r) == 0:
-                    continue
-                order = np.lexsort((g[c, 1], g[c, 0], d[r, c], r))
-                r, c = r[order], c[order]
-                starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
-                rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
-                keep = rank < kk
-                r, c, rank = r[keep], c[keep], rank[keep]
-                yield pd.DataFrame({"x": xy[s + r, 0], "y": xy[s + r, 1], "rank": (rank + 1).astype(np.int32),
-                                    "n_links": g[c, 0], "n_words_summary": g[c, 1], "distance": d[r, c]})
+            known = pdf[["x", "y"]].notna().all(axis=1).to_numpy()
+            parts = [pd.DataFrame({"id": pdf["id"][~known], "rank": pd.array([None] * int((~known).sum()), "Int32"), **dict.fromkeys(("n_links", "n_words_summary", "distance"))})]
+            pages = pdf[known]
+            if len(pages) and found:
+                places, of = np.unique(pages[["x", "y"]].to_numpy(np.float64), axis=0, return_inverse=True)
+                blocks = [nearest(places[at : at + _CHUNK], found, k) for at in range(0, len(places), _CHUNK)]
+                near = [np.concatenate(b) for b in zip(*blocks, strict=True)]
+                size = near[0].shape[1]
+                each = [a[of.ravel()].ravel() for a in near]
+                parts.append(pd.DataFrame({"id": np.repeat(pages["id"].to_numpy(), size), "rank": pd.array(np.tile(np.arange(1, size + 1, dtype=np.int32), len(pages)), "Int32"),
+                                           "n_links": each[1], "n_words_summary": each[2], "distance": each[0]}))
+            for part in parts:
+                if len(part):
+                    yield part
 
     points = pages.select("id", F.col("x").cast("double"), F.col("y").cast("double"))
-    unknown = F.col("x").isNull() | F.col("y").isNull() | F.isnan("x") | F.isnan("y")
-    coordinates = points.where(~unknown).select("x", "y").distinct()
-    near = coordinates.mapInPandas(top_k, "x double, y double, rank int, n_links double, n_words_summary double, distance double")
-    found = points.where(~unknown).join(near, ["x", "y"]).select("id", "rank", "n_links", "n_words_summary", "distance")
-    none = [F.lit(None).cast(near.schema[c].dataType).alias(c) for c in ("rank", "n_links", "n_words_summary", "distance")]
-    return found.unionByName(points.where(unknown).select("id", *none))
+    kind = points.schema["id"].dataType.simpleString()
+    return points.mapInPandas(search, f"id {kind}, rank int, n_links double, n_words_summary double, distance double")
+
+
+def nearest(places: np.ndarray, columns: list[tuple[float, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distance, n_links and n_words_summary of the k nearest points of each place (all points, if they are fewer)."""
+    far, x, y = [], [], []
+    for column, heights in columns:
+        # The points of a column stand in order: k on either side of the place hold its k nearest.
+        at = np.searchsorted(heights, places[:, 1])[:, None] + np.arange(-k, k)
+        inside = (at >= 0) & (at < len(heights))
+        height = heights[np.clip(at, 0, len(heights) - 1)]
+        far.append(np.where(inside, np.sqrt(np.square(places[:, :1] - column) + np.square(places[:, 1:] - height)), np.inf))
+        x.append(np.full(at.shape, column))
+        y.append(height)
+    far, x, y = (np.concatenate(a, axis=1) for a in (far, x, y))
+    size = min(k, sum(len(h) for _, h in columns))
+    # All that are no farther than the k-th, then in order of distance, n_links, n_words_summary.
+    kth = np.partition(far, size - 1, axis=1)[:, size - 1 : size]
+    row, place = np.nonzero(far <= kth)
+    order = np.lexsort((y[row, place], x[row, place], far[row, place], row))
+    row, place = row[order], place[order]
+    first = np.searchsorted(row, np.arange(len(far)))
+    keep = (first[:, None] + np.arange(size)).ravel()
+    row, place = row[keep], place[keep]
+    return tuple(a[row, place].reshape(-1, size) for a in (far, x, y))

@@ -20,11 +20,14 @@ from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quillrank.operators.buckets import bucket_sql, collect_maxima
 from quillrank.operators.reports import display_score  # noqa: F401 (part of this module's interface)
 from quillrank.operators.split import add_split
 from quillrank.operators.tables import score_rule
+from quillrank.operators.trees import TreeTable, fit_random_trees, forest_nodes, score_by_joins
+from quillrank.sources.tables import materialize
 
 # Default learning configuration (features, which are bucketed, split, trees, C).
 DEFAULT_FEATURES = ["nImages", "nLinks", "nRefs", "nWordsSummary", "grade_level"]
@@ -68,12 +71,6 @@ def _classifier(kind: str, n_features: int, n_train: int, seed: int):
     if kind == "rf":
         return RandomForestClassifier(featuresCol="scaled", labelCol="label", numTrees=N_TREES, impurity="gini",
                                       featureSubsetStrategy=subset, maxDepth=30, maxBins=128, seed=seed)
-    if kind == "xtrees":
-        # No randomized-threshold trees in Spark ML: every tree sees all rows
-        # (no bootstrap) and a random feature subset per split.
-        return RandomForestClassifier(featuresCol="scaled", labelCol="label", numTrees=N_TREES, impurity="gini",
-                                      featureSubsetStrategy=subset, maxDepth=30, maxBins=128, bootstrap=False,
-                                      subsamplingRate=1.0, seed=seed + 1)
     if kind == "logreg":
         return LogisticRegression(featuresCol="scaled", labelCol="label", regParam=1.0 / (LOGREG_C * max(n_train, 1)),
                                   elasticNetParam=0.0, maxIter=200)
@@ -90,6 +87,23 @@ def build_pipeline(features: list[str], maxima: dict[str, float | None], kind: s
     ])
 
 
+def fit_xtrees(features: list[str], maxima: dict[str, float | None], train: DataFrame, seed: int) -> PipelineModel:
+    """M8: extremely randomised trees over the bucketed features, as a pipeline model.
+
+    Spark ML has none, so they are fitted level by level
+    (``trees.fit_random_trees``); the fitted nodes are constants of the last
+    stage's statement, so the model is saved, loaded and applied as any other.
+    """
+    inputs = ", ".join(f"CAST(`{f}__b` AS DOUBLE)" if f in maxima else f"CAST(`{f}` AS DOUBLE)" for f in features)
+    assemble = SQLTransformer(statement=f"SELECT *, array({inputs}) AS x FROM __THIS__")
+    bucket = _bucket_stage(maxima)
+    rows = materialize(assemble.transform(bucket.transform(train)).select("x", "label"))
+    table = fit_random_trees(rows, len(features), N_TREES, max(1, int(math.sqrt(len(features)))), seed + 1)
+    score = SQLTransformer(statement=f"SELECT *, {table.score_sql('x')} AS _p FROM __THIS__")
+    out = SQLTransformer(statement="SELECT *, array(1.0D - _p, _p) AS probability, CASE WHEN _p > 0.5D THEN 1.0D ELSE 0.0D END AS prediction FROM __THIS__")
+    return PipelineModel(stages=[bucket, assemble, score, out])
+
+
 def fit_models(table: DataFrame, features: list[str] | None = None, discretize: dict[str, bool] | None = None,
                kinds=MODEL_KINDS, test_share: float = TEST_SHARE, seed: int = 0,
                fit_on_train_only: bool = False) -> tuple[QualityModels, DataFrame]:
@@ -112,7 +126,7 @@ def fit_models(table: DataFrame, features: list[str] | None = None, discretize:
     qm = QualityModels(features=features, maxima=maxima, n_train=n_train)
     try:
         for kind in kinds:
-            qm.models[kind] = build_pipeline(features, maxima, kind, n_train, seed).fit(train)
+            qm.models[kind] = fit_xtrees(features, maxima, train, seed) if kind == "xtrees" else build_pipeline(features, maxima, kind, n_train, seed).fit(train)
     finally:
         # Later uses re-read the labelled rows from the (checkpointed) table;
         # nothing stays pinned in executor memory across queries.
@@ -123,7 +137,35 @@ def fit_models(table: DataFrame, features: list[str] | None = None, discretize:
 def probability(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``p_high`` = P(label = 1) from the fitted pipeline."""
     out = model.transform(df)
-    return out.withColumn("p_high", vector_to_array(F.col("probability")).getItem(1))
+    is_array = isinstance(out.schema["probability"].dataType, ArrayType)
+    return out.withColumn("p_high", (F.col("probability") if is_array else vector_to_array(F.col("probability"))).getItem(1))
+
+
+def stored_scores(spark: SparkSession, path: str, df: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, p_stored): scores worked out from what a saved model holds, without its classifier.
+
+    A forest is read as a table of nodes and applied as a fold over columns,
+    randomised trees are walked with joins over their node rows, and the
+    logistic model is its coefficients.
+    """
+    model = load_model(path)
+    last = model.stages[-1]
+    if isinstance(last, SQLTransformer):
+        x = df
+        for stage in model.stages[:-2]:
+            x = stage.transform(x)
+        table = TreeTable.from_sql(model.stages[-2].getStatement())
+        return score_by_joins(x, table.frame(spark), id_col).withColumnRenamed("p_high", "p_stored")
+    x = df
+    for stage in model.stages[:-1]:
+        x = stage.transform(x)
+    x = x.withColumn("_x", vector_to_array("scaled"))
+    if hasattr(last, "trees"):
+        score = F.expr(forest_nodes(spark, path).score_sql("_x"))
+    else:
+        weighted = [F.get("_x", F.lit(i)) * F.lit(float(w)) for i, w in enumerate(last.coefficients)]
+        score = 1 / (1 + F.exp(-(sum(weighted[1:], weighted[0]) + F.lit(float(last.intercept)))))
+    return x.select(F.col(id_col).alias("id"), score.alias("p_stored"))
 
 
 def score_table(model: PipelineModel, table: DataFrame, features: list[str]) -> DataFrame:

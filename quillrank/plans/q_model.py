@@ -218,6 +218,36 @@ def score_new_pages(spark, sf_dir):
 
 # -- checked companions of the model queries ---------------------------------------
 
+@register("stored_model_scores", sql="SELECT model, doc_id AS id, true AS same FROM documents, (VALUES ('rf'), ('logreg'), ('xtrees')) m(model)")
+def stored_model_scores(spark, sf_dir):
+    """Each fitted model's scores equal those worked out from what its saved form holds (nodes, coefficients)."""
+    t, qm, _ = _fit(spark, sf_dir, L.MODEL_KINDS)
+    out = []
+    for kind, model in qm.models.items():
+        path = scratch_path(spark, f"{kind}_model")
+        L.save_model(model, path)
+        fitted = L.probability(model, t).select("id", "p_high")
+        both = fitted.join(L.stored_scores(spark, path, t), "id", "left")
+        # A page without a text has features that are no numbers, and so no logistic score.
+        same = F.col("p_high").eqNullSafe(F.col("p_stored")) | F.coalesce(F.abs(F.col("p_high") - F.col("p_stored")) < 1e-9, F.lit(False))
+        out.append(both.select(F.lit(kind).alias("model"), "id", same.alias("same")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register("model_report_counts", sql=f"""
+WITH {O.doc_table()},
+u AS (SELECT CASE WHEN {split_sql('pageId')} < 6 THEN 'train' ELSE 'test' END AS split, featured FROM tbl WHERE {_USABLE})
+SELECT model, split, count(*) AS n, count(*) FILTER (WHERE featured) AS n_featured, true AS consistent
+FROM u, (VALUES ('rf'), ('logreg'), ('xtrees')) m(model) GROUP BY model, split""")
+def model_report_counts(spark, sf_dir):
+    """The report's counts per model and part, and that its measures follow from them."""
+    r = model_report(spark, sf_dir)
+    hits = F.col("accuracy") * F.col("n")
+    agree = (F.abs(hits - (F.col("n") - F.col("fp") - F.col("fn"))) < 1e-6) & (F.coalesce(F.abs(F.col("recall") * (F.col("tp") + F.col("fn")) - F.col("tp")) < 1e-6, F.col("tp") + F.col("fn") == 0)) \
+        & F.coalesce(F.abs(F.col("precision") * (F.col("tp") + F.col("fp")) - F.col("tp")) < 1e-6, F.col("tp") + F.col("fp") == 0)
+    return r.select("model", "split", "n", (F.col("tp") + F.col("fn")).alias("n_featured"), agree.alias("consistent"))
+
+
 @register("model_roundtrip_same", sql="SELECT doc_id AS id, true AS same FROM documents")
 def model_roundtrip_same(spark, sf_dir):
     """A saved and loaded model scores every page as the fitted one."""

@@ -147,3 +147,31 @@ def incremental_ingest_scored(spark, sf_dir):
     if not path_exists(spark, sink):
         return spark.createDataFrame([], html_feature_table(spark, sf_dir).select(*ING.SINK_COLUMNS).schema)
     return spark.read.parquet(sink).select(*ING.SINK_COLUMNS)
+
+
+@register("incremental_ingest_rules", sql=f"""
+WITH {O.html_table()},
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pageId ORDER BY id) AS rn FROM htbl) WHERE pageId IS NULL OR rn = 1)
+SELECT id, pageId, CASE WHEN featured THEN 1.0::DOUBLE WHEN flagged THEN 0.0::DOUBLE END AS fixed_score, true AS in_range FROM f""")
+def incremental_ingest_rules(spark, sf_dir):
+    """T1 + M16: of the stream scored by the forest, the rows, the scores that labels fix, and the range of the others."""
+    rows = incremental_ingest_scored(spark, sf_dir)
+    fixed = F.when(F.col("featured") | F.col("flagged"), F.col("score"))
+    return rows.select("id", "pageId", fixed.alias("fixed_score"), F.coalesce(F.col("score").between(0, 1), F.lit(False)).alias("in_range"))
+
+
+@register("grid_suggestions_checked", sql="SELECT page_id AS id, true AS checked FROM pages")
+def grid_suggestions_checked(spark, sf_dir):
+    """The suggestions of each captured page from the forest's grid are those of a plain search of all its good points."""
+    t, grid = _model_grid(spark, sf_dir)
+    grid = materialize(grid)
+    pages = html_feature_table(spark, sf_dir, ["nLinks", "nWordsSummary"]).select("id", F.col("nLinks").alias("x"), F.col("nWordsSummary").alias("y"))
+    got = G.suggestions(pages, grid).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "n_links", "n_words_summary"))).alias("got"))
+    # Five nearest points by a fold over all of a page's good points, which are at most the lattice.
+    good = grid.where(F.col("grid_score") > G.THRESHOLD).agg(F.sort_array(F.collect_list(F.struct("n_links", "n_words_summary"))).alias("good"))
+    rows = pages.select("id", F.col("x").cast("double"), F.col("y").cast("double"), good.scalar().alias("good"))
+    far = F.sort_array(F.transform("good", lambda g: F.struct(F.sqrt(F.pow(F.col("x") - g["n_links"], 2) + F.pow(F.col("y") - g["n_words_summary"], 2)).alias("d"), g["n_links"].alias("n_links"), g["n_words_summary"].alias("n_words_summary"))))
+    want = F.transform(F.slice(far, 1, G.TOP_K), lambda g, i: F.struct((i + 1).cast("int").alias("rank"), g["n_links"].alias("n_links"), g["n_words_summary"].alias("n_words_summary")))
+    empty = F.array().cast("array<struct<rank:int,n_links:double,n_words_summary:double>>")
+    joined = rows.select("id", want.alias("want")).join(got, "id", "left")
+    return joined.select("id", (F.coalesce("got", empty) == F.coalesce("want", empty)).alias("checked"))

@@ -10,14 +10,16 @@ or more; of similar or equal lines only the earliest, by id and place, stays.
 2. Words of a line are ordered by rarity (the counts, to a power of two, then
    the word's hash: a total order). Similar lines share a word among the first
    n - ceil(t n) + 1 of them; each such word is an index entry.
-3. Entries meet by word. Pairs pass the length filter (by sorted search, so
-   others are not formed), the positional filter, and a bitmap filter (bits in
-   which 64-bit parity bitmaps of the words differ are a lower bound of the
-   difference). A task keeps its pairs as packed rows.
-4. Pairs are verified on the whole sets, in two rounds: each line with the
-   earliest line it was paired with, then all other pairs but those whose
-   later line the first round removed. So a group of near copies costs about
-   one comparison a line, and no pair that could matter is left out.
+3. Entries meet by word. A task keeps the entries of words that two lines or
+   more share, packed, and forms pairs from them twice. First each line is
+   paired with a few lines before it in each word's list (the first ones and
+   the nearest), so near copies, which are alike with any of their group, are
+   found by a number of pairs that grows with the lines.
+4. Pairs pass the length, the positional and a bitmap filter (bits in which
+   64-bit parity bitmaps of the words differ are a lower bound of the
+   difference) and are verified on the whole sets. Lines that the first round
+   removes are done; those still open are then paired with every earlier line
+   of their lists, by the same filters, so no pair that could matter is left out.
 
 Words that might be in very many prefixes (by their counts) are split: similar
 lines share two words of a prefix one longer, so such a word is only met
@@ -33,7 +35,6 @@ apart by their place in the scan (``docs`` should be a stored table).
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -56,6 +57,8 @@ CROWDED = 50_000
 #: Index entries of a task, and pairs filtered at a time.
 TASK_ENTRIES = 200_000
 PAIRS = 1 << 18
+#: Lines at the head of a word's list, and right before a line in it, that the first round pairs a line with.
+FIRST, NEAR = 4, 8
 #: Bits that tell which lines' words are asked for.
 WANTED_BITS = 1 << 25
 _COUNT_ROWS = 64
@@ -174,22 +177,23 @@ def prefix_entries(first: np.ndarray, token: np.ndarray, rarity: np.ndarray, cro
 
 
 def _entries(placed: DataFrame, rarity, crowded: int, t: float) -> DataFrame:
-    """Index entries of the lines, with a ``hint`` of their order: what it gets wrong costs time only."""
+    """Index entries of the lines, with a ``hint`` of their order: a line with a lower hint comes first, of equal ones either may."""
     whole = isinstance(placed.schema["id"].dataType, IntegralType)
-    hint = F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)) if whole else F.col("place")
+    hint = F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)) if whole else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         for batch in batches:
             hints = batch.column(1).to_numpy()
             for owner, _, first, token in line_chunks(utf8_texts(batch.column(0))):
                 h1, _ = set_hashes(token, first)
                 found = prefix_entries(first, token, rarity.value, crowded, t)
                 new = np.zeros(len(first), bool)
-                for i, h in enumerate(h1.tolist()):
-                    if h not in seen:
+                for i, (h, order) in enumerate(zip(h1.tolist(), hints[owner].tolist(), strict=True)):
+                    # A copy is sent only if it comes before those sent already.
+                    if seen.get(h, order + 1) > order:
                         new[i] = True
-                        seen.add(h)
+                        seen[h] = order
                 if len(seen) > 1 << 20:
                     seen.clear()
                 keep = new[found["line"]]
@@ -199,90 +203,133 @@ def _entries(placed: DataFrame, rarity, crowded: int, t: float) -> DataFrame:
     return placed.select("text", hint.alias("hint")).mapInArrow(run, "key long, h1 long, size_at long, bits long, hint long")
 
 
-def candidate_pairs(group: pd.DataFrame, t: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (of a group sorted by key and n, without copies) that pass the filters."""
-    key, size_at, bits = group.key.to_numpy(), group.size_at.to_numpy(), group.bits.to_numpy().view(np.uint64)
-    n, at = size_at >> 32, size_at & 0xFFFFFFFF
-    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+def passing(group: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """Which pairs of entries (of one key each) pass the length, positional and bitmap filters."""
+    n, at, bits = group["n"], group["at"], group["bits"]
+    overlap = _smallest_overlap(n[a], n[b], t)
+    ok = np.minimum(n[a], n[b]) >= overlap
+    ok &= np.minimum(n[a] - at[a], n[b] - at[b]) >= overlap  # of the first shared word; all others stand behind it
+    ok &= np.bitwise_count(bits[a] ^ bits[b]) <= n[a] + n[b] - 2 * overlap
+    return ok
+
+
+def near_pairs(group: dict[str, np.ndarray], t: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """A passing pair (later and earlier entry) of each line that has one among the first and the nearest before it in its lists."""
+    run, place = group["run"], group["place"]
+    order = np.lexsort((place, run))
+    begin = np.flatnonzero(np.concatenate([[True], run[order][1:] != run[order][:-1]]))
+    start = np.repeat(begin, np.diff(np.append(begin, len(order))))
+    seat = np.arange(len(order))
+    open_line = np.ones(int(place.max(initial=-1)) + 1, bool)
+    late, early = [], []
+    for step in range(FIRST + NEAR):
+        partner = start + step if step < FIRST else seat - (step - FIRST + 1)
+        ok = np.flatnonzero((partner >= start) & (partner < seat) & open_line[place[order]])
+        a, b = order[ok], order[partner[ok]]
+        good = passing(group, a, b, t)
+        a, b = a[good], b[good]
+        _, one = np.unique(place[a], return_index=True)
+        late.append(a[one])
+        early.append(b[one])
+        open_line[place[a]] = False
+    return np.concatenate(late), np.concatenate(early)
+
+
+def open_pairs(group: dict[str, np.ndarray], asked: np.ndarray, t: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All passing pairs of the ``asked`` entries with earlier ones, or ones that no order is known to.
+
+    Entries stand in the order of run and n, so those of fitting length are a
+    stretch on either side, found by sorted search and taken in parts.
+    """
+    run, n, hint, place = group["run"], group["n"], group["hint"], group["place"]
     wide = 1 << 32
     order = run * wide + n
-    partners = np.searchsorted(order, run * wide + np.floor(n / t + 1e-9).astype(np.int64), "right") - np.arange(len(n)) - 1
-    ends = np.cumsum(partners)
-    start = 0
-    while start < len(n):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
-        counts = partners[start:stop]
-        a = np.repeat(np.arange(start, stop), counts)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
-        overlap = _smallest_overlap(n[a], n[b], t)
-        ok = np.minimum(n[a] - at[a], n[b] - at[b]) >= overlap  # of the first shared word; all others stand behind it
-        a, b, overlap = a[ok], b[ok], overlap[ok]
-        ok = np.bitwise_count(bits[a] ^ bits[b]) <= n[a] + n[b] - 2 * overlap
-        yield a[ok], b[ok]
-        start = stop
-
-
-def _packed(code: np.ndarray, lines: np.ndarray, hint: np.ndarray) -> dict[str, object]:
-    """A row of distinct pairs (places of the later line and the earlier one): each later line's first partner with its hint, and all pairs, compressed."""
-    late, early = code >> 32, code & 0xFFFFFFFF
-    top = np.concatenate([[True], late[1:] != late[:-1]])
-    used = np.zeros(len(lines), bool)
-    used[late] = used[early] = True
-    place = np.cumsum(used) - 1
-    steps = np.diff(place[np.stack([late, early])], prepend=0, axis=1).astype("<i4")
-    return {"lines": lines[used], "late": lines[late[top]], "early": lines[early[top]], "hint": hint[early[top]], "pairs": zstandard.ZstdCompressor(level=1).compress(steps.tobytes())}
-
-
-def unpacked(pairs: bytes) -> np.ndarray:
-    """The pairs of ``_packed``: places of the later and of the earlier lines."""
-    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(pairs), "<i4").reshape(2, -1)
-    return np.cumsum(steps, axis=1, dtype=np.int64)
+    low = np.searchsorted(order, run[asked] * wide + np.ceil(n[asked] * t - 1e-9).astype(np.int64))
+    high = np.searchsorted(order, run[asked] * wide + np.floor(n[asked] / t + 1e-9).astype(np.int64), "right")
+    while len(asked):
+        room = np.minimum(high - low, max(1, PAIRS // len(asked)))
+        for at in range(0, len(asked), PAIRS):
+            counts = room[at : at + PAIRS]
+            a = np.repeat(asked[at : at + PAIRS], counts)
+            b = np.repeat(low[at : at + PAIRS] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+            ok = (hint[b] <= hint[a]) & (place[a] != place[b])
+            a, b = a[ok], b[ok]
+            ok = passing(group, a, b, t)
+            yield a[ok], b[ok]
+        low = low + room
+        left = low < high
+        asked, low, high = asked[left], low[left], high[left]
+
+
+_PACKED = {"run": "<i4", "n": "<i4", "at": "<i4", "place": "<i4", "bits": "<u8"}
+
+
+def _packed(group: dict[str, np.ndarray]) -> bytes:
+    """Entries (all but the hints, which are those of their lines), compressed column by column."""
+    steps = {c: np.diff(group[c], prepend=0) if c == "run" else group[c] for c in _PACKED}
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(steps[c].astype(kind).tobytes() for c, kind in _PACKED.items()))
+
+
+def unpacked(data: bytes, hint: np.ndarray) -> dict[str, np.ndarray]:
+    """The entries of ``_packed``, with the hints of their lines."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    size, at, out = len(raw) // 24, 0, {}
+    for c, kind in _PACKED.items():
+        width = np.dtype(kind).itemsize
+        values = np.frombuffer(raw, kind, size, at)
+        out[c] = values if c == "bits" else values.astype(np.int64)
+        at += size * width
+    out["run"] = np.cumsum(out["run"])
+    out["hint"] = hint[out["place"]]
+    return out
 
 
 def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
-    """Candidate ``pairs`` over ``lines``, packed, and ``late`` and ``early`` ends of each line's earliest pair in the row."""
+    """Packs of entries over ``lines`` (with their ``hint``), and ``late`` and ``early`` ends of the first round's pairs."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("hint").drop_duplicates(["key", "h1"]).sort_values(["key", "size_at"])
-        lines, first, of = np.unique(group.h1.to_numpy(), return_index=True, return_inverse=True)
-        hint = group.hint.to_numpy()[first]
+        # Of copies the earliest entry stands for all.
+        group = group.sort_values(["key", "h1", "hint"])
+        group = group[~group.duplicated(["key", "h1"])]
+        group = group[group.duplicated("key", keep=False)]  # a word of one line joins nothing
+        if not len(group):
+            return pd.DataFrame({"lines": [], "hint": [], "late": [], "early": [], "entries": []})
+        group = group.sort_values(["key", "size_at"])
+        lines, of = np.unique(group.h1.to_numpy(), return_inverse=True)
+        hint = np.full(len(lines), np.iinfo(np.int64).max)
+        np.minimum.at(hint, of, group.hint.to_numpy())
         order = np.lexsort((lines, hint))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        place, lines, hint = place[of], lines[order], hint[order]
-        rows, held = [], []
-        for a, b in itertools.chain(candidate_pairs(group, t), [(None, None)]):
-            if a is not None:
-                held.append(np.maximum(place[a], place[b]) << 32 | np.minimum(place[a], place[b]))
-            if a is None or sum(map(len, held)) > 4 * PAIRS:
-                code = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
-                held = []
-                if len(code):
-                    rows.append(_packed(code, lines, hint))
-        return pd.DataFrame(rows, columns=["lines", "late", "early", "hint", "pairs"])
+        key, size_at = group.key.to_numpy(), group.size_at.to_numpy()
+        found = {"run": np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])), "n": size_at >> 32, "at": size_at & 0xFFFFFFFF, "place": place[of], "bits": group.bits.to_numpy().view(np.uint64)}
+        late, early = near_pairs(found, t)
+        lines, hint = lines[order], hint[order]
+        ends = (lines[found["place"][x]] for x in (late, early))
+        return pd.DataFrame([dict(zip(["lines", "hint", "late", "early", "entries"], (lines, hint, *ends, _packed(found)), strict=True))])
 
     dealt = entries.withColumn("task", F.pmod("key", F.lit(tasks)))
-    found = dealt.groupBy("task").applyInPandas(run, "lines array<long>, late array<long>, early array<long>, hint array<long>, pairs binary")
+    found = dealt.groupBy("task").applyInPandas(run, "lines array<long>, hint array<long>, late array<long>, early array<long>, entries binary")
     return found.withColumn("pack", F.monotonically_increasing_id())
 
 
-def _open_pairs(packs: DataFrame, removed: DataFrame) -> DataFrame:
-    """The candidate pairs without those of which both lines are ``removed`` (h1) already."""
+def _open_pairs(packs: DataFrame, removed: DataFrame, t: float) -> DataFrame:
+    """The pairs (a1 of an open line, b1) of lines that are not ``removed`` (h1) yet with lines before them, or beside them in the order of hints."""
     left = packs.select("pack", F.posexplode("lines").alias("at", "h1")).join(removed, "h1", "left_anti")
-    row = packs.select("pack", "lines", "pairs").join(left.groupBy("pack").agg(F.collect_list("at").alias("open")), "pack")
+    row = packs.select("pack", "lines", "hint", "entries").join(left.groupBy("pack").agg(F.collect_list("at").alias("open")), "pack")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
-            lines, pairs, left = batch.column(0)[i].values.to_numpy(), batch.column(1)[i].as_py(), batch.column(2)[i].values.to_numpy()
-            late, early = unpacked(pairs)
+            lines, hint = (batch.column(c)[i].values.to_numpy() for c in (0, 1))
+            group = unpacked(batch.column(2)[i].as_py(), hint)
             is_open = np.zeros(len(lines), bool)
-            is_open[left] = True
-            keep = np.flatnonzero(is_open[late] | is_open[early])
-            for at in range(0, len(keep), PAIRS):
-                some = keep[at : at + PAIRS]
-                yield pa.RecordBatch.from_arrays([pa.array(lines[late[some]]), pa.array(lines[early[some]])], names=["a1", "b1"])
+            is_open[batch.column(3)[i].values.to_numpy()] = True
+            for a, b in open_pairs(group, np.flatnonzero(is_open[group["place"]]), t):
+                code = np.unique(group["place"][a] << 32 | group["place"][b])
+                if len(code):
+                    yield pa.RecordBatch.from_arrays([pa.array(lines[code >> 32]), pa.array(lines[code & 0xFFFFFFFF])], names=["a1", "b1"])
 
-    return map_batches(row.select("lines", "pairs", "open"), "a1 long, b1 long", run).distinct()
+    return map_batches(row.select("lines", "hint", "entries", "open"), "a1 long, b1 long", run).distinct()
 
 
 def _bit_table(ends: DataFrame) -> np.ndarray:
@@ -332,16 +379,6 @@ def _line_sets(placed: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("words").alias("words"))
 
 
-def _undecided(pairs: DataFrame, sets: DataFrame, removed: DataFrame) -> DataFrame:
-    """The pairs whose later line is not removed yet; only these need their words."""
-    gone = removed.select("h1", "h2", F.lit(True).alias("gone"))
-    line = sets.select("h1", "h2", "first").join(gone, ["h1", "h2"], "left")
-    a = line.select(F.col("h1").alias("a1"), F.col("first").alias("a_first"), F.col("gone").alias("a_gone"))
-    b = line.select(F.col("h1").alias("b1"), F.col("first").alias("b_first"), F.col("gone").alias("b_gone"))
-    decided = F.when(F.col("a_first") > F.col("b_first"), F.col("a_gone")).otherwise(F.col("b_gone"))
-    return pairs.join(a, "a1").join(b, "b1").where(decided.isNull()).select("a1", "b1").distinct()
-
-
 def _later_of_similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """The later line (h1, h2) of each pair (a1, b1) whose sets are similar."""
     a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("words").alias("a_words"), F.col("first").alias("a_first"))
@@ -353,6 +390,13 @@ def _later_of_similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return later.select(F.when(a_later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(a_later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct()
 
 
+def _verified(placed: DataFrame, distinct: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """The later lines (h1, h2) of the ``pairs`` whose sets are similar."""
+    ends = pairs.select(F.explode(F.array("a1", "b1")).alias("h1")).distinct()
+    sets = written(_line_sets(placed, written(distinct.join(ends, "h1", "left_semi"), "line-ends")), "line-sets")
+    return _later_of_similar(pairs, sets, t)
+
+
 def _lines(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored rows of ``_lines_and_counts``, and its lines."""
     rows = written(_lines_and_counts(placed), "lines")
@@ -366,14 +410,11 @@ def kept_lines(placed: DataFrame, rows: DataFrame, lines: DataFrame, t: float =
     rarity = placed.sparkSession.sparkContext.broadcast(_rarity(rows))
     # About 12 entries a line: a prefix is a fifth of a line's words.
     tasks = max(1, 12 * distinct.count() // TASK_ENTRIES)
-    packs = written(_candidates(_entries(placed, rarity, crowded, t), tasks, t), "line-pairs")
-    ends = packs.select(F.explode("lines").alias("h1")).distinct()
-    sets = written(_line_sets(placed, written(distinct.join(ends, "h1", "left_semi"), "line-ends")), "line-sets")
-    tops = packs.select(F.explode(F.arrays_zip("late", "hint", "early")).alias("pair")).select("pair.*")
-    earliest = written(tops.groupBy(F.col("late").alias("a1")).agg(F.min(F.struct("hint", "early")).alias("top")).select("a1", F.col("top.early").alias("b1")), "line-tops")
-    removed = written(_later_of_similar(earliest, sets, t), "line-removed")
-    others = _later_of_similar(_undecided(_open_pairs(packs, removed.select("h1")).join(earliest, ["a1", "b1"], "left_anti"), sets, removed), sets, t)
-    later = removed.union(others).distinct()
+    packs = written(_candidates(_entries(placed, rarity, crowded, t), tasks, t), "line-packs")
+    tops = packs.select(F.inline(F.arrays_zip(F.col("late").alias("a1"), F.col("early").alias("b1")))).distinct()
+    removed = written(_verified(placed, distinct, written(tops, "line-tops"), t), "line-removed")
+    others = written(_open_pairs(packs, removed.select("h1"), t), "line-pairs")
+    later = removed.union(_verified(placed, distinct, others, t)).distinct()
     return distinct.join(later, ["h1", "h2"], "left_anti").select(F.col("first.place").alias("place"), F.col("first.line").alias("line"))
 
 

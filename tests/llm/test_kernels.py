@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -138,16 +139,26 @@ def plain_sets(text: str) -> list[frozenset]:
     return [frozenset(x.lower().split()) for x in text.split("\n")]
 
 
-def test_packed_pairs_are_whole():
-    rng = np.random.default_rng(5)
-    lines = rng.integers(-(1 << 62), 1 << 62, 50)
-    pairs = {(int(max(p)), int(min(p))) for p in rng.integers(0, 50, (300, 2)) if p[0] != p[1]}
-    row = line_join._packed(np.array(sorted(a << 32 | b for a, b in pairs)), lines, np.arange(50))
-    late, early = line_join.unpacked(row["pairs"])
-    tops = set(zip(row["late"].tolist(), row["early"].tolist(), strict=True))
-    found = list(zip(row["lines"][late].tolist(), row["lines"][early].tolist(), strict=True))
-    assert sorted(found) == sorted((int(lines[a]), int(lines[b])) for a, b in pairs)
-    assert tops == {(int(lines[a]), int(lines[min(y for x, y in pairs if x == a)])) for a in {a for a, _ in pairs}}
+def line_group(lines: list[str], crowded: int = 50_000, hint=None) -> dict[str, np.ndarray]:
+    """Entries of lines as a task holds them."""
+    first, token = [], []
+    for _, _, f, t in line_join.line_chunks(["\n".join(lines).encode()]):
+        first, token = f, t
+    counts = np.bincount((token & np.uint64(line_join.COUNTS - 1)).astype(np.int64), minlength=line_join.COUNTS)
+    rarity = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.uint8)
+    found = line_join.prefix_entries(first, token, rarity, crowded, 0.8)
+    order = np.lexsort((found["at"], found["n"], found["key"]))
+    key, place, n, at, bits = (found[c][order] for c in ("key", "line", "n", "at", "bits"))
+    one = np.flatnonzero(~pd.DataFrame({"k": key, "p": place}).duplicated().to_numpy())
+    key, place, n, at, bits = (x[one] for x in (key, place, n, at, bits))
+    run = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    return {"run": run, "n": n, "at": at, "place": place, "bits": bits.view(np.uint64), "hint": (np.arange(len(lines)) if hint is None else hint)[place]}
+
+
+def test_packed_entries_are_whole():
+    group = line_group([f"a{i % 7} b{i % 5} c{i % 3} d e f g{i}" for i in range(60)])
+    again = line_join.unpacked(line_join._packed(group), np.arange(60))
+    assert group.keys() == again.keys() and all((group[c] == again[c]).all() for c in group)
 
 
 def test_candidate_pairs_hold_all_similar_lines():
@@ -158,20 +169,35 @@ def test_candidate_pairs_hold_all_similar_lines():
     lines = [" ".join(b) for b in base] + [" ".join(x for x in b if rng.random() > 0.12) for b in base * 3]
     lines = sorted({x for x in lines if x})
     sets = [frozenset(x.split()) for x in lines]
-    first, token = [], []
-    for _, _, f, t in line_join.line_chunks(["\n".join(lines).encode()]):
-        first, token = f, t
-    counts = np.bincount((token & np.uint64(line_join.COUNTS - 1)).astype(np.int64), minlength=line_join.COUNTS)
-    rarity = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.uint8)
-    import pandas as pd
-
+    want = {(j, i) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 20
     for crowded in (1, 8, 50_000):
-        found = line_join.prefix_entries(first, token, rarity, crowded, 0.8)
-        frame = pd.DataFrame({"key": found["key"], "h1": found["line"], "size_at": found["n"] << 32 | found["at"], "bits": found["bits"]}).drop_duplicates(["key", "h1"]).sort_values(["key", "size_at"])
-        h = frame.h1.to_numpy()
-        got = {tuple(sorted((int(x), int(y)))) for a, b in line_join.candidate_pairs(frame) for x, y in zip(h[a], h[b], strict=True)}
-        want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-        assert want <= got and len(want) > 20
+        group = line_group(lines, crowded)
+        place = group["place"]
+        got = {(int(x), int(y)) for a, b in line_join.open_pairs(group, np.arange(len(place))) for x, y in zip(place[a], place[b], strict=True)}
+        assert want <= got and all(i > j for i, j in got)
+        late, early = line_join.near_pairs(group)
+        near = set(zip(place[late].tolist(), place[early].tolist(), strict=True))
+        assert near <= got and len(near) == len({i for i, _ in near})
+        some = np.flatnonzero(place % 3 == 0)
+        part = {(int(x), int(y)) for a, b in line_join.open_pairs(group, some) for x, y in zip(place[a], place[b], strict=True)}
+        assert part == {(i, j) for i, j in got if i % 3 == 0}
+        # Without an order both ways are given.
+        either = line_group(lines, crowded, np.zeros(len(lines), np.int64))
+        both = {(int(x), int(y)) for a, b in line_join.open_pairs(either, np.arange(len(place))) for x, y in zip(place[a], place[b], strict=True)}
+        assert both == got | {(j, i) for i, j in got}
+
+
+def test_open_pairs_in_small_parts(monkeypatch):
+    lines = [" ".join([*(f"w{k}" for k in range(12)), f"x{i}"]) for i in range(30)]
+    group = line_group(lines)
+
+    def pairs():
+        return {(int(x), int(y)) for a, b in line_join.open_pairs(group, np.arange(len(group["place"]))) for x, y in zip(group["place"][a], group["place"][b], strict=True)}
+
+    whole = pairs()
+    monkeypatch.setattr(line_join, "PAIRS", 7)
+    assert pairs() == whole and len(whole) == 30 * 29 // 2
 
 
 def test_words_are_sorted_in_lines_however_many_lines():

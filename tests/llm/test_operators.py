@@ -277,6 +277,25 @@ def test_line_join_of_chains_in_any_order(spark):
     assert got == expected and 0 < len(got) < len(rows)
 
 
+def test_pairs_of_near_copies_grow_with_the_lines(spark, monkeypatch):
+    """Twice the near copies make about twice the pairs, not four times."""
+    counted = []
+    inner = line_join._verified
+
+    def counting(placed, distinct, pairs, t):
+        counted[-1] += pairs.count()
+        return inner(placed, distinct, pairs, t)
+
+    monkeypatch.setattr(line_join, "_verified", counting)
+    for m in (1000, 2000):
+        counted.append(0)
+        words = [f"w{k}" for k in range(29)]
+        docs = spark.createDataFrame([(i, " ".join([*words, f"x{i}"]) + f"\nalone{i} b{i} c{i} d{i} e{i}") for i in range(m)], "doc_id long, text string").repartition(4).checkpoint()
+        got = {r.id: list(r.removed) for r in line_join.mark_lines(docs).collect()}
+        assert got == {i: [0] if i else [] for i in range(m)}
+    assert m - 1 <= counted[1] <= 2.5 * counted[0], counted
+
+
 # -- 7 -------------------------------------------------------------------------
 
 

@@ -10,16 +10,17 @@ or more; of similar or equal lines only the earliest, by id and place, stays.
 2. Words of a line are ordered by rarity (the counts, to a power of two, then
    the word's hash: a total order). Similar lines share a word among the first
    n - ceil(t n) + 1 of them; each such word is an index entry.
-3. Entries meet by word. A task keeps the entries of words that two lines or
-   more share, packed, and forms pairs from them twice. First each line is
-   paired with a few lines before it in each word's list (the first ones and
-   the nearest), so near copies, which are alike with any of their group, are
-   found by a number of pairs that grows with the lines.
-4. Pairs pass the length, the positional and a bitmap filter (bits in which
-   64-bit parity bitmaps of the words differ are a lower bound of the
-   difference) and are verified on the whole sets. Lines that the first round
-   removes are done; those still open are then paired with every earlier line
-   of their lists, by the same filters, so no pair that could matter is left out.
+3. Entries meet by word. Pairs pass the length, the positional and a bitmap
+   filter (bits in which 64-bit parity bitmaps of the words differ are a lower
+   bound of the difference). A task first pairs each line with a few lines
+   before it in each word's list (the first ones and the nearest), and goes on
+   through all earlier lines of its lists only where none of these passes. So
+   near copies, which are alike with any of their group, make a number of
+   pairs that grows with the lines.
+4. Pairs are verified on the whole sets. Of the lines that a task has stopped
+   at a first pair, those that no pair removes are then paired with all
+   earlier lines of their lists, which the task has kept packed, and verified,
+   so no pair that could matter is left out.
 
 Words that might be in very many prefixes (by their counts) are split: similar
 lines share two words of a prefix one longer, so such a word is only met
@@ -194,7 +195,7 @@ def _entries(placed: DataFrame, rarity, crowded: int, t: float) -> DataFrame:
                     if seen.get(h, order + 1) > order:
                         new[i] = True
                         seen[h] = order
-                if len(seen) > 1 << 20:
+                if len(seen) > 1 << 19:
                     seen.clear()
                 keep = new[found["line"]]
                 size_at = found["n"][keep] << 32 | found["at"][keep]
@@ -285,7 +286,7 @@ def unpacked(data: bytes, hint: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
-    """Packs of entries over ``lines`` (with their ``hint``), and ``late`` and ``early`` ends of the first round's pairs."""
+    """``late`` and ``early`` ends of the first round's pairs, and packs of entries over ``lines`` (with their ``hint``) for the ``asked`` lines (places), which are put off."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         # Of copies the earliest entry stands for all.
@@ -293,7 +294,7 @@ def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
         group = group[~group.duplicated(["key", "h1"])]
         group = group[group.duplicated("key", keep=False)]  # a word of one line joins nothing
         if not len(group):
-            return pd.DataFrame({"lines": [], "hint": [], "late": [], "early": [], "entries": []})
+            return pd.DataFrame({c: [] for c in ("lines", "hint", "asked", "late", "early", "entries")})
         group = group.sort_values(["key", "size_at"])
         lines, of = np.unique(group.h1.to_numpy(), return_inverse=True)
         hint = np.full(len(lines), np.iinfo(np.int64).max)
@@ -302,20 +303,35 @@ def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         key, size_at = group.key.to_numpy(), group.size_at.to_numpy()
-        found = {"run": np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])), "n": size_at >> 32, "at": size_at & 0xFFFFFFFF, "place": place[of], "bits": group.bits.to_numpy().view(np.uint64)}
-        late, early = near_pairs(found, t)
+        run_of = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        place = place[of]
         lines, hint = lines[order], hint[order]
-        ends = (lines[found["place"][x]] for x in (late, early))
-        return pd.DataFrame([dict(zip(["lines", "hint", "late", "early", "entries"], (lines, hint, *ends, _packed(found)), strict=True))])
+        found = {"run": run_of, "n": size_at >> 32, "at": size_at & 0xFFFFFFFF, "place": place, "bits": group.bits.to_numpy().view(np.uint64), "hint": hint[place]}
+        late, early = near_pairs(found, t)
+        pairs = [np.unique(place[late] << 32 | place[early])]
+        is_put_off = np.zeros(len(lines), bool)
+        is_put_off[place[late]] = True
+        for a, b in open_pairs(found, np.flatnonzero(~is_put_off[place]), t):
+            pairs.append(np.unique(place[a] << 32 | place[b]))
+        code = np.unique(np.concatenate(pairs))
+        # What lines that are put off may need: the lists that they are in.
+        needed = np.zeros(int(run_of[-1]) + 1, bool)
+        needed[run_of[is_put_off[place]]] = True
+        keep = np.flatnonzero(needed[run_of])
+        used, small = np.unique(place[keep], return_inverse=True)
+        kept = {c: v[keep] for c, v in found.items() if c != "hint"} | {"place": small.ravel()}
+        asked = np.flatnonzero(is_put_off[used])
+        return pd.DataFrame([dict(zip(["lines", "hint", "asked", "late", "early", "entries"], (lines[used], hint[used], asked, lines[code >> 32], lines[code & 0xFFFFFFFF], _packed(kept)), strict=True))])
 
     dealt = entries.withColumn("task", F.pmod("key", F.lit(tasks)))
-    found = dealt.groupBy("task").applyInPandas(run, "lines array<long>, hint array<long>, late array<long>, early array<long>, entries binary")
+    found = dealt.groupBy("task").applyInPandas(run, "lines array<long>, hint array<long>, asked array<long>, late array<long>, early array<long>, entries binary")
     return found.withColumn("pack", F.monotonically_increasing_id())
 
 
 def _open_pairs(packs: DataFrame, removed: DataFrame, t: float) -> DataFrame:
-    """The pairs (a1 of an open line, b1) of lines that are not ``removed`` (h1) yet with lines before them, or beside them in the order of hints."""
-    left = packs.select("pack", F.posexplode("lines").alias("at", "h1")).join(removed, "h1", "left_anti")
+    """The pairs (a1, b1) of ``asked`` lines that are not ``removed`` (h1) yet with lines before them, or beside them in the order of hints."""
+    asked = packs.select("pack", F.explode(F.transform("asked", lambda at: F.struct(at.alias("at"), F.get("lines", at.cast("int")).alias("h1")))).alias("x")).select("pack", "x.*")
+    left = asked.join(removed, "h1", "left_anti")
     row = packs.select("pack", "lines", "hint", "entries").join(left.groupBy("pack").agg(F.collect_list("at").alias("open")), "pack")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

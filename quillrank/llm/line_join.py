@@ -286,7 +286,9 @@ def unpacked(data: bytes, hint: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
-    """``late`` and ``early`` ends of the first round's pairs, and packs of entries over ``lines`` (with their ``hint``) for the ``asked`` lines (places), which are put off."""
+    """``late`` and ``early`` ends of all pairs of some lines, ``near_late`` and ``near_early`` ends of the first pairs of others, and packs of entries over ``lines`` (with their ``hint``) for the ``asked`` lines (places), which are put off."""
+
+    columns = ["lines", "hint", "asked", "near_late", "near_early", "late", "early", "entries"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         # Of copies the earliest entry stands for all.
@@ -294,7 +296,7 @@ def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
         group = group[~group.duplicated(["key", "h1"])]
         group = group[group.duplicated("key", keep=False)]  # a word of one line joins nothing
         if not len(group):
-            return pd.DataFrame({c: [] for c in ("lines", "hint", "asked", "late", "early", "entries")})
+            return pd.DataFrame({c: [] for c in columns})
         group = group.sort_values(["key", "size_at"])
         lines, of = np.unique(group.h1.to_numpy(), return_inverse=True)
         hint = np.full(len(lines), np.iinfo(np.int64).max)
@@ -308,7 +310,7 @@ def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
         lines, hint = lines[order], hint[order]
         found = {"run": run_of, "n": size_at >> 32, "at": size_at & 0xFFFFFFFF, "place": place, "bits": group.bits.to_numpy().view(np.uint64), "hint": hint[place]}
         late, early = near_pairs(found, t)
-        pairs = [np.unique(place[late] << 32 | place[early])]
+        near, pairs = (lines[place[x]] for x in (late, early)), [np.zeros(0, np.int64)]
         is_put_off = np.zeros(len(lines), bool)
         is_put_off[place[late]] = True
         for a, b in open_pairs(found, np.flatnonzero(~is_put_off[place]), t):
@@ -321,31 +323,32 @@ def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
         used, small = np.unique(place[keep], return_inverse=True)
         kept = {c: v[keep] for c, v in found.items() if c != "hint"} | {"place": small.ravel()}
         asked = np.flatnonzero(is_put_off[used])
-        return pd.DataFrame([dict(zip(["lines", "hint", "asked", "late", "early", "entries"], (lines[used], hint[used], asked, lines[code >> 32], lines[code & 0xFFFFFFFF], _packed(kept)), strict=True))])
+        return pd.DataFrame([dict(zip(columns, (lines[used], hint[used], asked, *near, lines[code >> 32], lines[code & 0xFFFFFFFF], _packed(kept)), strict=True))])
 
     dealt = entries.withColumn("task", F.pmod("key", F.lit(tasks)))
-    found = dealt.groupBy("task").applyInPandas(run, "lines array<long>, hint array<long>, asked array<long>, late array<long>, early array<long>, entries binary")
-    return found.withColumn("pack", F.monotonically_increasing_id())
+    return dealt.groupBy("task").applyInPandas(run, ", ".join(f"{c} array<long>" for c in columns[:-1]) + ", entries binary")
 
 
 def _open_pairs(packs: DataFrame, removed: DataFrame, t: float) -> DataFrame:
     """The pairs (a1, b1) of ``asked`` lines that are not ``removed`` (h1) yet with lines before them, or beside them in the order of hints."""
-    asked = packs.select("pack", F.explode(F.transform("asked", lambda at: F.struct(at.alias("at"), F.get("lines", at.cast("int")).alias("h1")))).alias("x")).select("pack", "x.*")
-    left = asked.join(removed, "h1", "left_anti")
-    row = packs.select("pack", "lines", "hint", "entries").join(left.groupBy("pack").agg(F.collect_list("at").alias("open")), "pack")
+    asked = packs.select(F.explode(F.transform("asked", lambda at: F.get("lines", at.cast("int")))).alias("h1")).distinct()
+    # Packs stay where they are: open lines are told by a table of bits, whose false hits cost time only.
+    table = packs.sparkSession.sparkContext.broadcast(_bit_table(asked.join(removed, "h1", "left_anti")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
-            lines, hint = (batch.column(c)[i].values.to_numpy() for c in (0, 1))
-            group = unpacked(batch.column(2)[i].as_py(), hint)
+            lines, hint, put_off = (batch.column(c)[i].values.to_numpy() for c in (0, 1, 2))
             is_open = np.zeros(len(lines), bool)
-            is_open[batch.column(3)[i].values.to_numpy()] = True
+            is_open[put_off] = _has_bit(table.value, lines[put_off])
+            if not is_open.any():
+                continue
+            group = unpacked(batch.column(3)[i].as_py(), hint)
             for a, b in open_pairs(group, np.flatnonzero(is_open[group["place"]]), t):
                 code = np.unique(group["place"][a] << 32 | group["place"][b])
                 if len(code):
                     yield pa.RecordBatch.from_arrays([pa.array(lines[code >> 32]), pa.array(lines[code & 0xFFFFFFFF])], names=["a1", "b1"])
 
-    return map_batches(row.select("lines", "hint", "entries", "open"), "a1 long, b1 long", run).distinct()
+    return map_batches(packs.select("lines", "hint", "asked", "entries"), "a1 long, b1 long", run).distinct()
 
 
 def _bit_table(ends: DataFrame) -> np.ndarray:
@@ -370,6 +373,12 @@ def _bit_table(ends: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
+def _has_bit(table: np.ndarray, h1: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit in a table of ``_bit_table``."""
+    bit = h1.view(np.uint64) & np.uint64(WANTED_BITS - 1)
+    return (table[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
 def _line_sets(placed: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` lines (h1, h2, first) with their ``words``; texts stay where they are read, and lines that are not wanted (by a table of bits) are not sent."""
     table = placed.sparkSession.sparkContext.broadcast(_bit_table(wanted.select("h1")))
@@ -379,8 +388,7 @@ def _line_sets(placed: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, first, token in line_chunks(utf8_texts(batch.column(0))):
                 h1, h2 = set_hashes(token, first)
-                bit = h1.view(np.uint64) & np.uint64(WANTED_BITS - 1)
-                asked = np.flatnonzero(table.value[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1)
+                asked = np.flatnonzero(_has_bit(table.value, h1))
                 new = np.array([i for i, h in zip(asked.tolist(), h1[asked].tolist(), strict=True) if not (h in seen or seen.add(h))], np.int64)
                 if len(seen) > 1 << 20:
                     seen.clear()
@@ -392,7 +400,7 @@ def _line_sets(placed: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(h1[new]), pa.array(h2[new]), words], names=["h1", "h2", "words"])
 
     found = placed.select("text").mapInArrow(run, "h1 long, h2 long, words array<long>")
-    return found.join(wanted, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("words").alias("words"))
+    return found.join(wanted.hint("merge"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("words").alias("words"))
 
 
 def _later_of_similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
@@ -402,7 +410,8 @@ def _later_of_similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     shared = F.size(F.array_intersect("a_words", "b_words"))
     like = shared >= t * (F.size("a_words") + F.size("b_words") - shared) - 1e-9
     a_later = F.col("a_first") > F.col("b_first")
-    later = pairs.join(a, "a1").join(b, "b1").where(like)
+    # Merged at every size: words are too much to send to all tasks, and a plan that changes hides how it grows.
+    later = pairs.join(a.hint("merge"), "a1").join(b.hint("merge"), "b1").where(like)
     return later.select(F.when(a_later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(a_later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct()
 
 
@@ -427,7 +436,9 @@ def kept_lines(placed: DataFrame, rows: DataFrame, lines: DataFrame, t: float =
     # About 12 entries a line: a prefix is a fifth of a line's words.
     tasks = max(1, 12 * distinct.count() // TASK_ENTRIES)
     packs = written(_candidates(_entries(placed, rarity, crowded, t), tasks, t), "line-packs")
-    tops = packs.select(F.inline(F.arrays_zip(F.col("late").alias("a1"), F.col("early").alias("b1")))).distinct()
+    # Of a line that tasks have put off, one of its first pairs is enough here.
+    near = packs.select(F.inline(F.arrays_zip(F.col("near_late").alias("a1"), F.col("near_early").alias("b1")))).groupBy("a1").agg(F.min("b1").alias("b1"))
+    tops = near.union(packs.select(F.inline(F.arrays_zip(F.col("late").alias("a1"), F.col("early").alias("b1"))))).distinct()
     removed = written(_verified(placed, distinct, written(tops, "line-tops"), t), "line-removed")
     others = written(_open_pairs(packs, removed.select("h1"), t), "line-pairs")
     later = removed.union(_verified(placed, distinct, others, t)).distinct()

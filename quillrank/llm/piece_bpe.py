@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import codecs
 import functools
+import math
 import os
 import re
 import struct
@@ -53,7 +54,7 @@ MERGES = 2
 #: Largest model file that is broadcast.
 MODEL_BYTES = 64 << 20
 #: Units and pairs of neighbours that a worker remembers, and the longest such unit.
-REMEMBERED_UNITS = 500_000
+REMEMBERED_UNITS = 900_000
 REMEMBERED_PAIRS = 400_000
 REMEMBERED_LENGTH = 64
 #: Characters of a text worked on at a time, and of the texts in an output batch.
@@ -159,7 +160,11 @@ class PieceModel:
         self.parts_at_blanks = bool(self.prefix) and not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.rank)
         #: Characters that no merge touches stand alone; all others are matched, as pieces or as bytes.
         joined = {c for p in self.rank if len(p) > 1 for c in p}
-        self.alone = re.compile(f"([^{re.escape(''.join(sorted(joined)))}])") if joined else re.compile("(?s)(.)")
+        self.alone = re.compile(f"[^{re.escape(''.join(sorted(joined)))}]") if joined else re.compile("(?s).")
+        #: A unit is cut around them, and behind a letter where a character follows that no piece has there.
+        behind = {p[i + 1] for p in self.rank for i in range(len(p) - 1) if _LETTER.match(p[i])}
+        others = re.escape("".join(sorted(c for c in joined if c not in behind and not _LETTER.match(c))))
+        self.cut = re.compile(f"({self.alone.pattern})" + (f"|(?<={_LETTER.pattern})(?=[{others}])" if others else ""), re.DOTALL)
         matched = joined | self.rank.keys()
         self.automaton = ahocorasick.Automaton()
         for piece in matched:
@@ -175,8 +180,9 @@ class PieceModel:
             lengths.setdefault(piece[:2], set()).add(len(piece))
         self.lengths = {start: sorted(found, reverse=True) for start, found in lengths.items()}
         self.separator = next(c for c in map(chr, range(1 << 16)) if c not in joined)
-        #: Ids (as 32-bit integers) of the units between blanks, without their first blank.
+        #: Ids (as 32-bit integers) of the units between blanks, without their first blank, and of their further parts.
         self.units: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.remembered = remembered
 
     @staticmethod
@@ -215,53 +221,67 @@ class PieceModel:
 
     def compatible(self, a: str | None, b: str) -> bool:
         """Whether merging the text of ``a`` and ``b`` gives these two tokens (of ``b`` alone, if it is the first)."""
-        if a is None:
-            return self.made(b)
-        if not (self.made(a) and self.made(b)):
+        rank, splits, regular = self.rank, self.splits, self.regular
+        whole = self.made(b) if b not in regular or len(b) == 1 else splits[b] is not None
+        if a is None or not whole:
+            return whole
+        if not (self.made(a) if a not in regular or len(a) == 1 else splits[a] is not None):
             return False
-        if not (self.regular[a] and self.regular[b]):
+        if not (regular[a] and regular[b]):
             return self.merge(a + b)[0] == [a, b]
-        rank, splits = self.rank, self.splits
-        before_a = before_b = float("inf")  # rank of the merge that ends each side's present edge
+        before_a = before_b = math.inf  # rank of the merge that ends each side's present edge
+        of_a = rank[a] if len(a) > 1 else -math.inf  # and of the one that made it
+        of_b = rank[b] if len(b) > 1 else -math.inf
         while True:
             joined = rank.get(a + b)
             # Of equal ranks the leftmost merge comes first: that of the left side, then this one, then that of the right.
             if joined is not None and joined < before_a and joined <= before_b:
                 return False
-            if len(a) == 1 and len(b) == 1:
-                return True
-            if len(b) == 1 or (len(a) > 1 and rank[a] > rank[b]):
-                before_a, a = rank[a], splits[a][1]
+            if of_a > of_b:
+                before_a, a = of_a, splits[a][1]
+                of_a = rank[a] if len(a) > 1 else -math.inf
+            elif of_b > -math.inf:
+                before_b, b = of_b, splits[b][0]
+                of_b = rank[b] if len(b) > 1 else -math.inf
             else:
-                before_b, b = rank[b], splits[b][0]
-
-    def _longest(self, text: str, at: int) -> str:
-        """The longest piece at a place of a text of mergeable characters."""
-        for size in self.lengths.get(text[at : at + 2], ()):
-            if text[at : at + size] in self.shorter.pieces:
-                return text[at : at + size]
-        return text[at]
-
-    def _backtrack(self, text: str, out: list[str], token: str | None) -> list[str]:
-        """The tokens of a text of mergeable characters, of which ``out`` are accepted and ``token`` doesn't fit."""
-        pairs, shorter, failed = self.pairs, self.shorter, bytearray(len(text) // 8 + 1)
+                return True
+
+    def _backtrack(self, text: str, longest: list[str], fit: int) -> list[str]:
+        """The tokens of a text of mergeable characters, of whose longest matches the first ``fit`` are accepted and the next isn't."""
+        pairs, shorter, lengths, pieces = self.pairs, self.shorter, self.lengths, self.shorter.pieces
+        failed, size = None, len(text)
+        out, token = longest[:fit], longest[fit]
         at = sum(map(len, out))
+        number, begin = fit, at  # a place in the longest matches
         while True:
             token = shorter[token]
             if token is None:  # nothing fits here: something shorter for the token before
+                failed = failed or bytearray(size // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
                 at -= len(token)
                 continue
             while True:
                 end = at + len(token)
-                if not pairs[out[-1] if out else None, token] or failed[end >> 3] >> (end & 7) & 1:
+                if not pairs[out[-1] if out else None, token] or (failed and failed[end >> 3] >> (end & 7) & 1):
                     break
                 out.append(token)
                 at = end
-                if at == len(text):
+                if at == size:
                     return out
-                token = self._longest(text, at)
+                # The longest piece from here: known where a longest match began, else looked up.
+                while begin < at:
+                    begin += len(longest[number])
+                    number += 1
+                if begin == at:
+                    token = longest[number]
+                else:
+                    for length in lengths.get(text[at : at + 2], ()):
+                        token = text[at : at + length]
+                        if token in pieces:
+                            break
+                    else:
+                        token = text[at]
 
     def tokens(self, parts: list[str]) -> list[list[str]]:
         """The tokens of texts of mergeable characters: longest matches of all, then backtracking in those where some don't fit."""
@@ -276,22 +296,52 @@ class PieceModel:
                 if end == last:
                     break
             last += 1
-            before = None
-            for number, token in enumerate(found):
-                if not pairs[before, token]:
-                    found = self._backtrack(part, found[:number], token)
-                    break
-                before = token
+            fits = list(map(pairs.__getitem__, zip([None, *found], found, strict=False)))
+            if not all(fits):
+                found = self._backtrack(part, found, fits.index(False))
             out.append(found)
         return out
 
-    def ids_of(self, units: list[str]) -> list[bytes]:
-        """Ids of units that no merge leaves."""
-        cut = [[p for p in self.alone.split(u) if p] if self.alone.search(u) else [u] for u in units]
-        parts = sorted({p for c in cut for p in c if not self.alone.match(p)})
+    def _learn(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of parts that no merge leaves."""
         ids = self.ids
-        found = {p: b"".join(map(ids.__getitem__, t)) for p, t in zip(parts, self.tokens(parts) if parts else (), strict=True)}
-        return [found.get(u) or b"".join([found.get(p) or ids[p] for p in c]) for u, c in zip(units, cut, strict=True)]
+        for found in self.tokens(parts) if parts else ():
+            yield b"".join(map(ids.__getitem__, found))
+
+    def parts_of(self, unit: str) -> list[str]:
+        return [p for p in self.cut.split(unit) if p]
+
+    def whole_ids(self, text: str) -> bytes:
+        """Ids of a text that isn't parted at blanks."""
+        parts = self.parts_of(text)
+        plain = [p for p in parts if not self.alone.match(p)]
+        found = dict(zip(plain, self._learn(plain), strict=True))
+        return b"".join([found.get(p) or self.ids[p] for p in parts])
+
+    def unit_ids(self, units: list[str]) -> bytes:
+        """Ids of units, of which those known are looked up."""
+        known, tails = self.units, self.tails
+        new = {u for u in units if u not in known}
+        if len(known) + len(tails) + len(new) > self.remembered:  # forget, and learn what these need
+            known.clear()
+            tails.clear()
+            new = set(units)
+        # Parts at most of them have in common: the first, which follows the blank, and the others.
+        cut = [(u, self.parts_of(BLANK + u)) for u in new if self.cut.search(u)]
+        heads = dict.fromkeys([p[0][1:] for _, p in cut if p[0][1:] not in known])
+        heads |= dict.fromkeys(new.difference([u for u, _ in cut]))
+        others = {q for _, p in cut for q in p[1:] if q not in tails}
+        tails.update((q, self.ids[q]) for q in others if self.alone.match(q))
+        rest = [q for q in others if q not in tails]
+        ids = self._learn([*(BLANK + h for h in heads), *rest])
+        known.update(zip(heads, ids, strict=False))
+        tails.update(zip(rest, ids, strict=True))
+        known.update((u, known[p[0][1:]] + b"".join([tails[q] for q in p[1:]])) for u, p in cut)
+        out = b"".join(map(known.__getitem__, units))
+        for memory in (known, tails):
+            for long in [u for u in (*new, *heads, *others) if len(u) > REMEMBERED_LENGTH]:
+                memory.pop(long, None)
+        return out
 
     def _slices(self, text: str) -> Iterator[str]:
         """The text in pieces' characters, cut before blanks that follow something else."""
@@ -308,22 +358,11 @@ class PieceModel:
         """Ids of a text, with the end id behind them if asked for."""
         out = []
         for plain in self._slices(text) if text else ():
-            if not self.parts_at_blanks:
-                out += self.ids_of([plain])
-                continue
-            # Every unit begins with a blank, which its key leaves out.
-            units = [u[1:] for u in _UNITS.findall(plain)] if BLANK * 2 in plain else plain.split(BLANK)[1:]
-            known = self.units
-            new = {u for u in units if u not in known}
-            if len(known) + len(new) > self.remembered:  # forget, and learn what this slice needs
-                known.clear()
-                new = set(units)
-            learned = list(new)
-            known.update(zip(learned, self.ids_of([BLANK + u for u in learned]), strict=True))
-            out.append(b"".join(map(known.__getitem__, units)))
-            for unit in learned:
-                if len(unit) > REMEMBERED_LENGTH:
-                    del known[unit]
+            if self.parts_at_blanks:
+                # Every unit begins with a blank, which its key leaves out.
+                out.append(self.unit_ids([u[1:] for u in _UNITS.findall(plain)] if BLANK * 2 in plain else plain.split(BLANK)[1:]))
+            else:
+                out.append(self.whole_ids(plain))
         if end:
             out.append(struct.pack("<i", self.end_id))
         return np.frombuffer(b"".join(out), "<i4")
@@ -339,6 +378,7 @@ class PieceModel:
         return data.decode("utf-8", "quillrank.each_byte")
 
 
+_LETTER = re.compile(r"[^\W\d_]")
 _BOUNDARY = re.compile(f"[^{BLANK}]{BLANK}")
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*")
 

@@ -34,3 +34,18 @@ def test_entry_works_without_the_training_data_modules(spark, monkeypatch):
     rest = set(e.queries())
     assert len(rest) >= 70 and rest <= full
     assert set(e.oracle_sql()) <= rest
+
+
+def test_entry_works_without_a_module_that_the_optional_ones_need(monkeypatch):
+    import sys
+    import pytest
+
+    e = _entry_module()
+
+    def missing(name):
+        raise ModuleNotFoundError("No module named 'absent'", name="absent")
+
+    monkeypatch.setattr(e.importlib, "import_module", missing)
+    with pytest.warns(UserWarning, match="absent"):
+        assert len(e.queries()) >= 70
+    assert "absent" not in sys.modules

@@ -322,12 +322,13 @@ class PieceModel:
         """Ids of units, of which those known are looked up."""
         known, tails = self.units, self.tails
         new = {u for u in units if u not in known}
-        if len(known) + len(tails) + len(new) > self.remembered:  # forget, and learn what these need
-            known.clear()
-            tails.clear()
-            new = set(units)
         # Parts at most of them have in common: the first, which follows the blank, and the others.
         cut = [(u, self.parts_of(BLANK + u)) for u in new if self.cut.search(u)]
+        if len(known) + len(tails) + len(new) + sum([len(p) for _, p in cut]) > self.remembered and (known or tails):
+            known.clear()  # forget, and learn what these need
+            tails.clear()
+            new = set(units)
+            cut = [(u, self.parts_of(BLANK + u)) for u in new if self.cut.search(u)]
         heads = dict.fromkeys([p[0][1:] for _, p in cut if p[0][1:] not in known])
         heads |= dict.fromkeys(new.difference([u for u, _ in cut]))
         others = {q for _, p in cut for q in p[1:] if q not in tails}

@@ -42,6 +42,12 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def in_slices(column: pa.Array, read: Callable[[pa.Array], list], rows: int = 256) -> Iterator:
+    """The values that ``read`` (``texts`` or ``utf8_texts``) gives, so that few of a batch are held at a time."""
+    for at in range(0, len(column), rows):
+        yield from read(column.slice(at, rows))
+
+
 def plain_words(text: bytes) -> list[bytes]:
     """Words of a text for matching against benchmarks: A-Z lowered, ASCII other than letters and digits separates."""
     return text.translate(WORD_BYTES).split()
@@ -87,6 +93,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def probably_in(df: DataFrame, key: str, members: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """``df`` with a boolean ``_in``: false for rows whose long ``key`` is surely not a ``key`` of ``members``.
+
+    A table of ``64 * words`` bits, one a hash, is broadcast: at most ``words``
+    rows of 16 bytes whatever the size of ``members``. Where it fills up, more
+    rows are true than need be, and none is false by mistake.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(64 * words))
+    word = F.shiftright(slot, 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    marked = members.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    out = df.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(marked), "_word", "left")
+    return out.withColumn("_in", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_word", "_bit", "_bits")
+
+
 def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
     """The exact k-th largest value of the long column ``key`` (None if k < 1 or there are fewer rows).
 

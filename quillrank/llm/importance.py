@@ -31,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from quillrank.llm.common import col, kth_largest, map_batches, stored, texts
+from quillrank.llm.common import col, in_slices, kth_largest, stored, texts, written
 
 BUCKETS = 1 << 14
 #: Labelled rows that the target model and the level are learned from, at most.
@@ -73,7 +74,7 @@ def ngram_counts(docs: DataFrame, text_col: str, target: Column, buckets: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, hashed = np.zeros((2, buckets), np.int64), Hashed()
         for batch in batches:
-            for text, good in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for text, good in zip(in_slices(batch.column(0), texts), batch.column(1).to_pylist(), strict=True):
                 of = np.bincount(buckets_of(text, hashed, buckets), minlength=buckets) if text else 0
                 counts[0] += of
                 if good:
@@ -148,15 +149,22 @@ def importance(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str
     models = spark.sparkContext.broadcast(Models(counts[0], counts[1]))
     doc = F.struct(*[col(c).alias(c) for c in carry] or [F.lit(0)]).alias("doc")
     draw = gumbel(F.lit(seed), col(id_col), col(text_col).cast("string"))
-    row = docs.select(doc, col(text_col).cast("string").alias("text"), draw.alias("gumbel"), col(id_col).alias("id"))
+    # A text that is carried is not sent to the worker a second time.
+    inside = carry.index(text_col) if text_col in carry and docs.schema[text_col].dataType == StringType() else None
+    text = col(text_col) if inside is None else F.lit(None)
+    row = docs.select(doc, text.cast("string").alias("text"), draw.alias("gumbel"), col(id_col).alias("id"))
     row = row.join(known, "id", "left").select("doc", "text", "gumbel", "id", F.coalesce("good", F.lit(False)).alias("good"))
     schema = row.select("doc", "id", "gumbel", F.lit(0).cast("long").alias("n_ngrams"), F.lit(0.0).alias("log_weight")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed()
         for batch in batches:
-            found = [buckets_of(t, hashed, buckets) for t in texts(batch.column(1))]
-            n, weight = [len(x) for x in found], [models.value.log_weight(x, g) for x, g in zip(found, batch.column(4).to_pylist(), strict=True)]
+            column = batch.column(1) if inside is None else batch.column(0).field(inside)
+            n, weight = [], []
+            for text, learned in zip(in_slices(column, texts), batch.column(4).to_pylist(), strict=True):
+                found = buckets_of(text, hashed, buckets)
+                n.append(len(found))
+                weight.append(models.value.log_weight(found, learned))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], names=["doc", "id", "gumbel", "n_ngrams", "log_weight"])
 
     scored = row.mapInArrow(run, schema)
@@ -188,19 +196,20 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **optio
     return scored.select(F.col("id").alias(id_col), "n_ngrams", "log_weight", "key", kept.alias("kept"))
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", **options) -> DataFrame:
     """The rows of ``docs`` that the resampling keeps.
 
-    Rows are told apart by their place in the scan (``docs`` should be a
-    stored table), so equal ids do not mix.
+    Rows go with their keys to a table in the shared folder, which is filtered
+    once the least key is known; they are not shuffled or joined again, and
+    equal ids do not mix.
     """
-    place = "_importance_place"
-    while place in docs.columns:
-        place += "_"
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
-    scored = stored(importance(placed, labels, [place], id_col, **options))
-    _, least = selection(scored, labels, id_col)
+    at = docs.columns.index
+    names = [f"c{i}" for i in range(len(docs.columns))]  # names that cannot clash in a file
+    known = labels.select(col(id_col).alias(names[at(id_col)]), col(quality_col).alias("quality"), col(toxic_col).alias("toxic"))
+    scored = importance(docs.toDF(*names), known, names, names[at(id_col)], names[at(text_col)], **options)
+    scored = written(scored, "importance")
+    _, least = selection(scored, known, names[at(id_col)])
     if least is None:
         return docs.limit(0)
-    kept = scored.where((F.col("n_ngrams") > 0) & (_fixed_point(F.col("key")) >= least)).select(F.col("doc").getField(place).alias(place))
-    return placed.join(kept, place, "left_semi").select(*[col(c) for c in docs.columns])
+    kept = scored.where((F.col("n_ngrams") > 0) & (_fixed_point(F.col("key")) >= least))
+    return kept.select(*[F.col("doc").getField(n).alias(name) for n, name in zip(names, docs.columns, strict=True)])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import col, map_batches, stored, utf8_texts
+from quillrank.llm.common import col, in_slices, map_batches, probably_in, stored, utf8_texts
 from quillrank.llm.components import connected_components
 
 SHINGLE = 3
@@ -67,7 +67,7 @@ def with_fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text",
     schema = row.select("doc", F.lit(0).cast("long").alias("fingerprint")).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([fingerprint(t, shingle) for t in utf8_texts(batch.column(1))], np.uint64)
+        values = np.array([fingerprint(t, shingle) for t in in_slices(batch.column(1), utf8_texts)], np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc", "fingerprint"])
 
     return map_batches(row, schema, run)
@@ -235,5 +235,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_print = stored(prints.groupBy("fingerprint").agg(first))
     linked = connected_components(near_links(by_print, max_bits)).withColumnRenamed("node", "fingerprint")
     firsts = by_print.join(linked, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    kept = firsts.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.place").alias(place))
-    return placed.join(kept, place, "left_semi").select(*[col(c) for c in docs.columns])
+    kept = stored(firsts.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.place").alias("place")))
+    # Most rows stay: a bounded table of bits of the dropped places tells which surely do, and only the others are shuffled.
+    dropped = prints.select("place").join(kept, "place", "left_anti")
+    row = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    marked = probably_in(placed.select(row, col(place).alias("place")), "place", stored(dropped))
+    out = marked.where(~F.col("_in")).select("row").unionByName(marked.where("_in").join(kept, "place", "left_semi").select("row"))
+    return out.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

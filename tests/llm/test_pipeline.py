@@ -8,10 +8,10 @@ from tests.llm.test_operators import plain_components, plain_fingerprint, plain_
 from tests.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-NAMES = {1: "decontamination", 2: "source_mixing", 3: "simhash_components", 4: "sentence_spans", 5: "importance_resampling", 6: "line_join", 7: "crf_language", 8: "order_minhash", 9: "token_shards", 10: "secret_novelty"}
+NAMES = {1: "decontamination", 2: "source_mixing", 3: "simhash_components", 4: "sentence_spans", 5: "importance_resampling", 6: "line_join", 7: "crf_language", 8: "order_minhash", 9: "token_shards", 10: "secret_novelty", 11: "piece_bpe", 12: "source_divergence", 13: "embedding_whitening"}
 
 
-def test_ten_queries_are_registered():
+def test_all_queries_are_registered():
     assert set(QUERIES) == {f"op{n}_{name}" for n, name in NAMES.items()}
 
 
@@ -20,7 +20,8 @@ def test_sql(spark, name):
     assert compare(spark, duck(SF), name, QUERIES[name], ORACLE[name], SF)["ok"]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# Operators 12 and 13 return groups and vectors, see their own tests.
+@pytest.mark.parametrize("name", sorted(f"op{n}_{name}" for n, name in NAMES.items() if n <= 11))
 def test_queries_return_every_document(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = sorted(r[0] for r in docs.select("doc_id").collect())

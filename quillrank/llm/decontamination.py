@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import WORD_PATTERN, col, plain_words, utf8_texts
+from quillrank.llm.common import WORD_PATTERN, col, plain_words, utf8_texts, trimmed
 from quillrank.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -199,7 +199,7 @@ def _search_block(row: DataFrame, windows, last: bool, clean: bool) -> DataFrame
             named["items"] = pa.array([sorted(new.union(old)) for new, old in zip(items, named["items"].to_pylist(), strict=True)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(list(named.values()), names=list(named))
 
-    return row.mapInArrow(run, schema)
+    return row.mapInArrow(trimmed(run), schema)
 
 
 def hit_words() -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quillrank.llm.common import col, in_slices, kth_largest, stored, texts, written
+from quillrank.llm.common import col, in_slices, kth_largest, stored, texts, trimmed, written
 
 BUCKETS = 1 << 14
 #: Labelled rows that the target model and the level are learned from, at most.
@@ -82,7 +82,7 @@ def ngram_counts(docs: DataFrame, text_col: str, target: Column, buckets: int =
         used = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0][used]), pa.array(counts[1][used])], names=["bucket", "raw", "target"])
 
-    partial = row.mapInArrow(run, "bucket long, raw long, target long")
+    partial = row.mapInArrow(trimmed(run), "bucket long, raw long, target long")
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -167,7 +167,7 @@ def importance(docs: DataFrame, labels: DataFrame, carry: list[str], id_col: str
                 weight.append(models.value.log_weight(found, learned))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], names=["doc", "id", "gumbel", "n_ngrams", "log_weight"])
 
-    scored = row.mapInArrow(run, schema)
+    scored = row.mapInArrow(trimmed(run), schema)
     weight = F.when(F.col("n_ngrams") > 0, F.col("log_weight") / F.col("n_ngrams") * LENGTH).otherwise(F.lit(0.0))
     return scored.withColumn("weight", weight).select("doc", "id", "n_ngrams", "log_weight", "weight", (F.col("weight") + F.col("gumbel")).alias("key"))
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm.common import HASH_BASE, HASH_INVERSE, col, powers
+from quillrank.llm.common import HASH_BASE, HASH_INVERSE, col, powers, trimmed
 from quillrank.llm.wavelet import WaveletMatrix
 from quillrank.session import scratch_path
 
@@ -314,7 +314,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
         if held:
             yield flush()
 
-    row.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path)
+    row.mapInArrow(trimmed(run), schema).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -337,7 +337,7 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
                 lengths = np.diff(shard.ends, prepend=0)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(first + shard.starts()), pa.array(lengths), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("part", "start", "ids", "data").mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "start", "ids", "data").mapInArrow(trimmed(run), f"id {kind}, start long, n_tokens long, ids_crc32 long")
     return rows.select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32")
 
 

@@ -66,7 +66,7 @@ def external_links(hrefs: Column) -> Column:
 
 
 def html_images(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(P.HTML_IMG), 1)
+    return F.transform(F.regexp_extract_all(html, F.lit(P.HTML_IMG), 1), unquoted)
 
 
 def anchors(fragment: Column) -> Column:

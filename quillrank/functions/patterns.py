@@ -75,9 +75,10 @@ HREF_VALUE = r"""("[^"]*"|'[^']*'|[^ \t\n\r"'>]+)"""
 HTML_HREF = rf"(?is)<a\s[^>]*?href\s*=\s*{HREF_VALUE}"
 HTML_ANCHOR = rf"(?is)<a\s[^>]*?href\s*=\s*{HREF_VALUE}[^>]*>(.*?)</a>"
 HREF_QUOTES = r"""^["']|["']$"""
-HTML_IMG = r'(?is)<img\s[^>]*?src="([^"]*)"'
+HTML_IMG = rf"(?is)<img\s[^>]*?src\s*=\s*{HREF_VALUE}"
 HTML_CELL = r"(?is)<td[^>]*>(.*?)</td>"
-URL_DOC_KEY = r"/[a-z]{2}/([0-9]+)"
+# Behind a language code: two or three letters, with further parts, or "simple".
+URL_DOC_KEY = r"/(?:[a-z]{2,3}(?:-[a-z]+)*|simple)/([0-9]+)"
 
 # HTML entities decoded in titles and text; '&amp;' last.
 HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]

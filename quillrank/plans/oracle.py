@@ -59,7 +59,7 @@ FROM (
          {_CONTENT} AS content,
          list_filter(hrefs, lambda h: starts_with(h, '/') AND NOT starts_with(h, '//')) AS links,
          list_filter(hrefs, lambda h: regexp_matches(h, '^https?://')) AS refs,
-         regexp_extract_all(html, {q(P.HTML_IMG)}, 1) AS images
+         {unquoted(f"regexp_extract_all(html, {q(P.HTML_IMG)}, 1)")} AS images
   FROM (
     SELECT *, regexp_replace(regexp_replace(regexp_replace(src, {q(P.HTML_DROP)}, '', 'g'),
                 {q(P.HTML_HEADING)}, chr(10) || chr(10) || '== \\1 ==' || chr(10), 'g'),

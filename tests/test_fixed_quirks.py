@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillrank.functions import html as H
 from quillrank.functions import text as T
 from quillrank.operators import links as LK
 from quillrank.operators import search as SE
@@ -101,3 +102,11 @@ def test_stored_scores_come_before_new_ones(spark):
     got = {r.id: (r.pageId, r.found, r.score) for r in lookup_or_score(wanted, stored, score).collect()}
     assert sorted(asked) == [11, 13, 14, 15]
     assert got == {10: (1, True, 0.25), 11: (2, True, 0.125), 12: (None, True, 0.5), 13: (None, False, 0.125), 14: (9, False, 0.125), 15: (None, False, 0.125)}
+
+
+def test_images_in_any_quotes_and_article_keys_of_any_language(spark):
+    html = """<img src="a.png"><img alt='x' src='b.png'><IMG src=c.png><img alt="no source">"""
+    urls = ["https://x.org/en/12", "https://x.org/zh-yue/13", "https://x.org/simple/14", "https://x.org/als/15", "https://x.org/page/16"]
+    got = spark.createDataFrame([(html, u) for u in urls], "html string, url string").select(H.html_images(F.col("html")).alias("images"), H.url_doc_key(F.col("url")).alias("key")).collect()
+    assert [r.key for r in got] == [12, 13, 14, 15, None]
+    assert got[0].images == ["a.png", "b.png", "c.png"]

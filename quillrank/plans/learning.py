@@ -26,7 +26,7 @@ from quillrank.operators.buckets import bucket_sql, collect_maxima
 from quillrank.operators.reports import display_score  # noqa: F401 (part of this module's interface)
 from quillrank.operators.split import add_split
 from quillrank.operators.tables import score_rule
-from quillrank.operators.trees import TreeTable, fit_random_trees, forest_nodes, score_by_joins
+from quillrank.operators.trees import NodeForest, fit_random_trees, forest_nodes, score_by_joins
 from quillrank.sources.tables import materialize
 
 # Default learning configuration (features, which are bucketed, split, trees, C).
@@ -91,15 +91,16 @@ def fit_xtrees(features: list[str], maxima: dict[str, float | None], train: Data
     """M8: extremely randomised trees over the bucketed features, as a pipeline model.
 
     Spark ML has none, so they are fitted level by level
-    (``trees.fit_random_trees``); the fitted nodes are constants of the last
-    stage's statement, so the model is saved, loaded and applied as any other.
+    (``trees.fit_random_trees``); the fitted nodes are the table of a
+    ``trees.NodeForest`` stage, so the model is saved, loaded and applied as
+    any other.
     """
     inputs = ", ".join(f"CAST(`{f}__b` AS DOUBLE)" if f in maxima else f"CAST(`{f}` AS DOUBLE)" for f in features)
     assemble = SQLTransformer(statement=f"SELECT *, array({inputs}) AS x FROM __THIS__")
     bucket = _bucket_stage(maxima)
     rows = materialize(assemble.transform(bucket.transform(train)).select("x", "label"))
     table = fit_random_trees(rows, len(features), N_TREES, max(1, int(math.sqrt(len(features)))), seed + 1)
-    score = SQLTransformer(statement=f"SELECT *, {table.score_sql('x')} AS _p FROM __THIS__")
+    score = NodeForest.over(table, "x", "_p")
     out = SQLTransformer(statement="SELECT *, array(1.0D - _p, _p) AS probability, CASE WHEN _p > 0.5D THEN 1.0D ELSE 0.0D END AS prediction FROM __THIS__")
     return PipelineModel(stages=[bucket, assemble, score, out])
 
@@ -144,8 +145,7 @@ def probability(model: PipelineModel, df: DataFrame) -> DataFrame:
 def stored_scores(spark: SparkSession, path: str, df: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, p_stored): scores worked out from what a saved model holds, without its classifier.
 
-    A forest is read as a table of nodes and applied as a fold over columns,
-    randomised trees are walked with joins over their node rows, and the
+    A forest is read as a table of nodes that rows are sent down, randomised trees are walked with joins over their node rows, and the
     logistic model is its coefficients.
     """
     model = load_model(path)
@@ -154,14 +154,14 @@ def stored_scores(spark: SparkSession, path: str, df: DataFrame, id_col: str = "
         x = df
         for stage in model.stages[:-2]:
             x = stage.transform(x)
-        table = TreeTable.from_sql(model.stages[-2].getStatement())
-        return score_by_joins(x, table.frame(spark), id_col).withColumnRenamed("p_high", "p_stored")
+        nodes = spark.read.parquet(f"{path.rstrip('/')}/stages/{len(model.stages) - 2}_{model.stages[-2].uid}/nodes")
+        return score_by_joins(x, nodes, id_col).withColumnRenamed("p_high", "p_stored")
     x = df
     for stage in model.stages[:-1]:
         x = stage.transform(x)
     x = x.withColumn("_x", vector_to_array("scaled"))
     if hasattr(last, "trees"):
-        score = F.expr(forest_nodes(spark, path).score_sql("_x"))
+        score = forest_nodes(spark, path).score_column(spark, "_x")
     else:
         weighted = [F.get("_x", F.lit(i)) * F.lit(float(w)) for i, w in enumerate(last.coefficients)]
         score = 1 / (1 + F.exp(-(sum(weighted[1:], weighted[0]) + F.lit(float(last.intercept)))))

@@ -121,3 +121,31 @@ def test_a_saved_forest_scores_as_its_nodes(spark, tmp_path):
         again = {r.id: r.p for r in t.join(L.stored_scores(spark, path, t), "id").select("id", F.col("p_stored").alias("p")).collect()}
         assert scored.keys() == again.keys() and all(math.isclose(scored[i], again[i], abs_tol=1e-9) for i in scored)
         assert len(set(scored.values())) > 5
+
+
+def test_a_model_of_many_nodes_stays_out_of_plans(spark, tmp_path):
+    """Nodes are handed to tasks beside the plan: neither the fit nor a stored model's score writes them into a statement."""
+    rng = random.Random(3)
+    rows = [(i, i, y, not y, rng.random(), rng.random(), 1.0, 1.0) for i, y in ((i, rng.random() < 0.5) for i in range(1500))]
+    t = spark.createDataFrame(rows, "id long, pageId long, featured boolean, flagged boolean, a double, b double, meanWordLength double, reading_ease double")
+    qm, _ = L.fit_models(t, ["a", "b"], discretize={"a": True, "b": False}, kinds=("xtrees", "rf"))
+    for kind, model in qm.models.items():
+        path = str(tmp_path / kind)
+        L.save_model(model, path)
+        scored = L.probability(L.load_model(path), t)
+        stored = L.stored_scores(spark, path, t)
+        for df in (scored, stored):
+            assert len(df._jdf.queryExecution().toString()) < 40_000
+        a = {r.id: r.p_high for r in scored.select("id", "p_high").collect()}
+        b = {r.id: r.p_stored for r in stored.collect()}
+        assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], abs_tol=1e-9) for i in a)
+    table = qm.models["xtrees"].stages[-2].table
+    assert len(table.rows) > 2000 and TR.TreeTable.of(table.frame(spark)).rows == table.rows
+
+
+def test_nodes_beyond_the_bound_are_leaves(spark):
+    rows = sample(300)
+    df = spark.createDataFrame([(x, y) for x, y in rows] + [([0.5], 1.0), (None, 0.0)], "x array<double>, label double")
+    whole, cut = TR.fit_random_trees(df, 4, n_trees=2), TR.fit_random_trees(df, 4, n_trees=2, max_nodes=20)
+    assert len(cut.rows) < len(whole.rows) and all(r[4] < 0 for r in cut.rows[18:])
+    assert [r[2:6] for r in cut.rows[:18]] == [r[2:6] for r in whole.rows[:18]]

@@ -80,6 +80,34 @@ def suggestions(pages: DataFrame, scored_grid: DataFrame, k: int = TOP_K, thresh
     return points.mapInPandas(search, f"id {kind}, rank int, n_links double, n_words_summary double, distance double")
 
 
+def plain_suggestions(places: DataFrame, scored_grid: DataFrame, k: int = TOP_K, threshold: float = THRESHOLD) -> DataFrame:
+    """(x, y, want): for each place the k nearest of all good points, each of which is looked at; what ``suggestions`` is checked against.
+
+    A place without a coordinate has no distances: its k points are the first ones.
+    """
+    pts = scored_grid.where(F.col("grid_score") > threshold).select("n_links", "n_words_summary").toPandas().astype(np.float64)  # ≤ 28,000 rows by construction
+    shared = places.sparkSession.sparkContext.broadcast(pts.sort_values(["n_links", "n_words_summary"]).to_numpy(np.float64))
+
+    def search(batches):
+        good = shared.value
+        size = min(k, len(good))
+        for pdf in batches:
+            want = []
+            for x, y in pdf[["x", "y"]].to_numpy(np.float64):
+                far = np.sqrt(np.square(x - good[:, 0]) + np.square(y - good[:, 1]))
+                if size and not np.isnan(far[0]):
+                    # All that are no farther than the k-th, in order of distance; equal ones stay in order of their coordinates.
+                    near = np.nonzero(far <= np.partition(far, size - 1)[size - 1])[0]
+                    near = near[np.argsort(far[near], kind="stable")][:size]
+                else:
+                    near = np.arange(size)
+                want.append([{"rank": i + 1, "n_links": a, "n_words_summary": b} for i, (a, b) in enumerate(good[near].tolist())])
+            yield pd.DataFrame({"x": pdf["x"], "y": pdf["y"], "want": want})
+
+    points = places.select(F.col("x").cast("double"), F.col("y").cast("double"))
+    return points.mapInPandas(search, "x double, y double, want array<struct<rank:int,n_links:double,n_words_summary:double>>")
+
+
 def nearest(places: np.ndarray, columns: list[tuple[float, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distance, n_links and n_words_summary of the k nearest points of each place (all points, if they are fewer)."""
     far, x, y = [], [], []

@@ -52,3 +52,27 @@ def test_suggestions_brute_force(spark):
         ranked = sorted(good, key=lambda g: (math.sqrt((x - g[0]) ** 2 + (y - g[1]) ** 2), g[0], g[1]))[:4]
         want = [(k + 1, a, b, round(math.sqrt((x - a) ** 2 + (y - b) ** 2), 9)) for k, (a, b) in enumerate(ranked)]
         assert sorted(got[i]) == want
+
+
+def test_the_plain_search_looks_once_at_each_position(spark):
+    scored = G.grid_scores(G.grid_points(spark), (F.col("n_links") + F.col("n_words_summary")) / F.lit(1895.0))
+    places = [(0.0, 0.0), (250.0, 700.0), (252.5, 902.5), (499.0, 1399.0), (600.0, 2000.0), (None, 5.0)]
+    frame = spark.createDataFrame(places, "x double, y double")
+    want = {(r.x, r.y): [tuple(w) for w in r.want] for r in G.plain_suggestions(frame, scored).collect()}
+    good = sorted((a * 5.0, b * 5.0) for a in range(100) for b in range(280) if (a * 5.0 + b * 5.0) / 1895.0 > 0.9)
+    for x, y in places:
+        ranked = sorted(good, key=lambda g: (math.sqrt((x - g[0]) ** 2 + (y - g[1]) ** 2), g)) if x is not None else good
+        assert want[x, y] == [(i + 1, *g) for i, g in enumerate(ranked[:5])]
+    none = G.plain_suggestions(frame, G.grid_scores(G.grid_points(spark), F.lit(0.0))).collect()
+    assert len(none) == len(places) and all(r.want == [] for r in none)
+
+
+def test_many_captures_are_checked_without_a_fold_over_the_grid(spark):
+    from quillrank.plans import load_all
+    from tests.conftest import SF001
+
+    df = load_all().QUERIES["grid_suggestions_checked"](spark, SF001)
+    plan = df._jdf.queryExecution().toString()
+    # No page carries the points of the grid, and pages are parsed before the plan, once for both searches.
+    assert "transform(" not in plan and "html" not in plan
+    assert df.where("NOT checked").count() == 0 and df.count() == spark.read.parquet(f"{SF001}/pages.parquet").count()

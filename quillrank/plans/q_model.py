@@ -23,6 +23,8 @@ from quillrank.sources.records import html_records_from
 MODEL_FEATURES = RULE_FEATURES
 BUCKETED = [f for f in MODEL_FEATURES if f != "grade_level"]
 TABLE_NEEDS = MODEL_FEATURES + ["reading_ease"]
+#: What ``learning.usable_rows`` looks at.
+USABLE_NEEDS = ["meanWordLength", "reading_ease"]
 
 
 def _table(spark, sf_dir):
@@ -30,9 +32,14 @@ def _table(spark, sf_dir):
     return materialize(doc_feature_table(spark, sf_dir, TABLE_NEEDS))
 
 
-def _labelled(spark, sf_dir, reread: bool = False):
-    """The model inputs of labelled pages only (unlabelled pages are never measured); stored only for what reads them more than once."""
-    rows = labelled_doc_table(spark, sf_dir, TABLE_NEEDS)
+def _labelled(spark, sf_dir, reread: bool = False, needs: list[str] | None = None):
+    """The model inputs (or what is needed of them) of labelled pages only; unlabelled pages are never measured.
+
+    Stored for what reads them more than once or keeps only rows with certain
+    measures: such a filter moves below the measures, and each is worked out
+    again wherever its condition names it.
+    """
+    rows = labelled_doc_table(spark, sf_dir, needs or TABLE_NEEDS)
     return materialize(rows) if reread else rows
 
 
@@ -93,7 +100,7 @@ SELECT id, pageId, featured, flagged, {', '.join(r6(f) + ' AS ' + f if f in ('me
 FROM tbl WHERE {_USABLE}""")
 def training_rows(spark, sf_dir):
     """Labelled rows with meanWordLength and reading_ease present."""
-    return round_doubles(L.usable_rows(_labelled(spark, sf_dir)).select("id", "pageId", "featured", "flagged", *MODEL_FEATURES))
+    return round_doubles(L.usable_rows(_labelled(spark, sf_dir, reread=True)).select("id", "pageId", "featured", "flagged", *MODEL_FEATURES))
 
 
 @register("train_test_split", sql=f"""
@@ -102,7 +109,7 @@ SELECT id, pageId, CASE WHEN featured THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS l
 FROM tbl WHERE {_USABLE}""")
 def train_test_split(spark, sf_dir):
     """M4: reproducible 60/40 hash split of the usable labelled rows."""
-    t = L.with_label(add_split(L.usable_rows(_labelled(spark, sf_dir)), "pageId", L.TEST_SHARE, 0))
+    t = L.with_label(add_split(L.usable_rows(_labelled(spark, sf_dir, reread=True, needs=USABLE_NEEDS)), "pageId", L.TEST_SHARE, 0))
     return t.select("id", "pageId", "label", "is_train")
 
 
@@ -137,7 +144,7 @@ SELECT split, n, tp, fp, fn, {r6('ok / n')} AS accuracy,
        {r6('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END')} AS precision FROM g""")
 def confusion_metrics(spark, sf_dir):
     """A5: accuracy / recall / precision per split for a deterministic threshold rule."""
-    u = L.with_label(add_split(L.usable_rows(_labelled(spark, sf_dir)), "pageId", L.TEST_SHARE, 0))
+    u = L.with_label(add_split(L.usable_rows(_labelled(spark, sf_dir, reread=True, needs=USABLE_NEEDS)), "pageId", L.TEST_SHARE, 0))
     p = u.select(F.when(F.col("is_train"), "train").otherwise("test").alias("split"), "label",
                  F.when(standin_score(F.col("reading_ease")) > 0.5, 1.0).otherwise(0.0).alias("prediction"))
     return round_doubles(L.confusion_metrics(p, ["split"]))

@@ -97,3 +97,10 @@ def test_labelled_tables_cut_scans_before_measuring(spark):
         assert "LeftSemi" in plan(fast)
         full = full_table(spark, SF001, cols).where(F.col("featured") | F.col("flagged"))
         assert fast.exceptAll(full).count() == 0 and full.exceptAll(fast).count() == 0
+
+
+@pytest.mark.parametrize("name", ["training_rows", "train_test_split", "confusion_metrics", "standardize"])
+def test_usable_rows_are_measured_once(spark, name):
+    """The filter on measures reads stored ones: below the projection it would work them out again for each condition."""
+    df = REG.QUERIES[name](spark, SF001)
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -76,3 +76,26 @@ def test_many_captures_are_checked_without_a_fold_over_the_grid(spark):
     # No page carries the points of the grid, and pages are parsed before the plan, once for both searches.
     assert "transform(" not in plan and "html" not in plan
     assert df.where("NOT checked").count() == 0 and df.count() == spark.read.parquet(f"{SF001}/pages.parquet").count()
+
+
+def test_long_titles_are_not_dealt_out_for_every_token(spark, tmp_path):
+    """What the search shuffles grows with the titles' tokens, not with their square: only probed tokens carry a title along."""
+    titles = [(i, " ".join(f"w{j}" for j in range(i % 50, i % 50 + 300)) + (f" rare{i}" if i % 10 == 0 else "")) for i in range(200)]
+    titles += [(7, "w10 other"), (7, "w10 other"), (None, "rare0 w3")]
+    phrases = [(1, "w60 rare0"), (2, "rare10"), (3, "other W10"), (4, "rare0 w3"), (5, "w9999")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = SE.search_titles(spark.createDataFrame(phrases, "phrase_id long, phrase string"), spark.createDataFrame(titles, "id long, title string"))
+        got = sorted((r.phrase_id, r["rank"], r.doc_id) for r in df.collect())
+        nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            while (name := node.nodeName()) == "AdaptiveSparkPlan" or name.endswith("QueryStage"):
+                node = node.executedPlan() if name == "AdaptiveSparkPlan" else node.plan()
+            if node.nodeName() == "Exchange" and "held#" in node.output().mkString(","):
+                most += node.metrics().apply("shuffleRecordsWritten").value()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(1, 1, 0), (2, 1, 10), (3, 1, 7), (3, 2, 7), (4, 1, None), (4, 2, 0)]
+    assert 0 < most < 1000  # with every token of every title: some 60,000

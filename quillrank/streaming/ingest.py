@@ -84,16 +84,23 @@ def _first_capture(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     if not key[0].startswith("article"):
         yield from (f[["page_id", "path"]] for f in frames)
         return
+    # A group is a few rows mostly, one for each article: plain lists, no work on frames.
     first, known = None, state.exists
     for f in frames:
-        known = known or bool(f["known"].any())
+        known = known or any(f["known"].tolist())
         if not known:
-            least = f.sort_values(["page_id", "path"])[["page_id", "path"]].head(1)
-            first = least if first is None else pd.concat([first, least]).sort_values(["page_id", "path"]).head(1)
+            least = min(zip(f["page_id"].tolist(), f["path"].tolist(), strict=True), key=_capture_order)
+            first = least if first is None else min(first, least, key=_capture_order)
     if not state.exists:
         state.update((True,))
     if not known:
-        yield first
+        yield pd.DataFrame({"page_id": pd.array([None if pd.isna(first[0]) else int(first[0])], "Int64"), "path": [first[1]]})
+
+
+def _capture_order(capture: tuple) -> tuple:
+    """By id, nulls last, then by path."""
+    unknown = pd.isna(capture[0])
+    return unknown, 0 if unknown else capture[0], capture[1]
 
 
 def unknown_captures(captures: DataFrame, known: DataFrame) -> DataFrame:

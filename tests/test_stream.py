@@ -161,3 +161,29 @@ def test_the_stream_reads_neither_texts_nor_the_sink(spark, tmp_path):
     state = q.lastProgress["stateOperators"] if q.lastProgress else []
     keys = spark.read.parquet(sink).where("pageId IS NOT NULL").count()
     assert not state or state[0]["numRowsTotal"] >= keys
+
+
+def test_the_first_capture_is_found_without_work_on_frames(monkeypatch):
+    """The state function runs once for each article: it builds and sorts no frames."""
+    import pandas as pd
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.exists = True
+
+    def never(*a, **k):
+        raise AssertionError("sorted")
+
+    frames = [pd.DataFrame({"page_id": [None, 9, 9], "path": ["a", "c", "b"], "known": [False] * 3}), pd.DataFrame({"page_id": [12], "path": ["a"], "known": [False]})]
+    held = pd.DataFrame({"page_id": [None], "path": [None], "known": [True]})
+    monkeypatch.setattr(pd.DataFrame, "sort_values", never)
+    state = State()
+    assert [f.values.tolist() for f in ING._first_capture(("article 1",), iter(frames), state)] == [[[9, "b"]]] and state.exists
+    assert list(ING._first_capture(("article 1",), iter(frames), state)) == []
+    state = State()
+    assert list(ING._first_capture(("article 2",), iter([*frames, held]), state)) == [] and state.exists
+    alone = pd.DataFrame({"page_id": [None], "path": ["a"], "known": [False]})
+    (only,) = ING._first_capture(("article 3",), iter([alone]), State())
+    assert only["page_id"].isna().all() and only["path"].tolist() == ["a"]

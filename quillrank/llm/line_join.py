@@ -11,10 +11,11 @@ or more; of similar or equal lines only the earliest, by id and place, stays.
    the word's hash: a total order). Similar lines share a word among the first
    n - ceil(t n) + 1 of them; each such word is an index entry.
 3. Entries meet by word. Pairs pass the length, the positional and a bitmap
-   filter (bits in which 64-bit parity bitmaps of the words differ are a lower
-   bound of the difference). A task first pairs each line with a few lines
-   before it in each word's list (the first ones and the nearest), and goes on
-   through all earlier lines of its lists only where none of these passes. So
+   filter (bits in which parity bitmaps of the words differ are a lower bound
+   of the difference; long lines have wider ones). A task first pairs each line
+   with the one least apart of a few lines before it in its words' lists (the
+   first ones and the nearest), and goes on through all earlier lines of its
+   lists only where none of these passes. So
    near copies, which are alike with any of their group, make a number of
    pairs that grows with the lines.
 4. Pairs are verified on the whole sets. Of the lines that a task has stopped
@@ -25,7 +26,7 @@ or more; of similar or equal lines only the earliest, by id and place, stays.
 Words that might be in very many prefixes (by their counts) are split: similar
 lines share two words of a prefix one longer, so such a word is only met
 together with a second one. Entries of copies are dropped in each task before
-they are sent. Lines of fewer than 4 words can be similar to equal sets only.
+they are sent, and sent as bytes, a row for each task. Lines of fewer than 4 words can be similar to equal sets only.
 
 Words are 40-bit hashes and sets 128-bit ones; texts are not compared.
 
@@ -44,12 +45,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from quillrank.llm.common import col, map_batches, utf8_texts, written
-from quillrank.llm.words import chunks, mix, words
+from quillrank.llm.common import col, map_batches, trimmed, utf8_texts, written
+from quillrank.llm.words import chunks, mix, word_hashes
 
 THRESHOLD = 0.8
 #: Hashed word counts, and the count from which a word is met together with a second one only.
@@ -58,10 +59,20 @@ CROWDED = 50_000
 #: Index entries of a task, and pairs filtered at a time.
 TASK_ENTRIES = 200_000
 PAIRS = 1 << 18
+#: Entries that are dealt out to the tasks at a time, and bytes of texts read at a time.
+DEALT = 300_000
+CHUNK = 1 << 18
 #: Lines at the head of a word's list, and right before a line in it, that the first round pairs a line with.
 FIRST, NEAR = 4, 8
+#: Words from which lines have bitmaps of 128 and of 256 bits: 64 tell long lines apart no more.
+WIDE = 64, 128
 #: Bits that tell which lines' words are asked for.
 WANTED_BITS = 1 << 25
+#: The hint of ids that are null.
+LAST = (1 << 63) - 1
+#: Columns of entries as tasks are sent them; the random ones are not compressed.
+_ENTRY = {"n": "<i4", "at": "<i4", "hint": "<i8", "b1": "<u8", "b2": "<u8", "b3": "<u8", "key": "<i8", "h1": "<i8", "bits": "<u8"}
+_RANDOM = ("key", "h1", "bits")
 _COUNT_ROWS = 64
 _TOKEN_BITS = 40
 
@@ -77,10 +88,10 @@ def _sorted_in_lines(line: np.ndarray, value: np.ndarray, bits: int) -> np.ndarr
 
 def line_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Line number and 40-bit hash of each word of UTF-8 bytes, distinct in a line and sorted by line and hash."""
-    start, _, hashed = words(data)
+    start, hashed = word_hashes(data)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    line = np.cumsum(data == 10)[start]
+    line = np.cumsum(data == 10, dtype=np.int64)[start]
     token = _sorted_in_lines(line, hashed >> np.uint64(64 - _TOKEN_BITS), _TOKEN_BITS)
     new = np.concatenate([[True], (line[1:] != line[:-1]) | (token[1:] != token[:-1])])
     return line[new], token[new]
@@ -93,7 +104,7 @@ def set_hashes(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def line_chunks(documents: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For some texts at a time: document and line in it of each line that has words, where its words begin, and the words."""
-    for at, some in chunks(documents):
+    for at, some in chunks(documents, CHUNK):
         lines = np.array([d.count(b"\n") + 1 for d in some])
         line, token = line_words(np.frombuffer(b"\n".join(some), np.uint8))
         if len(line):
@@ -108,26 +119,32 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines_and_counts(placed: DataFrame) -> DataFrame:
-    """Rows of lines (h1, h2, id, place, line) and, with a ``part``, of word counts as bytes."""
+    """Rows of lines (h1, h2, id, place, line), of documents (id, place and the ``numbers`` of their lines with words) and, with a ``part``, of word counts as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, ids = np.zeros(COUNTS, np.int64), None
-        names = ["h1", "h2", "id", "place", "line", "part", "counts"]
+        names = ["h1", "h2", "id", "place", "line", "numbers", "part", "counts"]
         for batch in batches:
+            found, buckets = [(np.zeros(0, np.int64),) * 4], [np.zeros(0, np.int32)]
             for owner, line, first, token in line_chunks(utf8_texts(batch.column(2))):
-                counts += np.bincount((token & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS)
-                h1, h2 = set_hashes(token, first)
-                take = pa.array(owner)
-                none = [pa.nulls(len(owner), pa.int32()), pa.nulls(len(owner), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column(0).take(take), batch.column(1).take(take), pa.array(line), *none], names=names)
+                buckets.append((token & np.uint64(COUNTS - 1)).astype(np.int32))
+                found.append((*set_hashes(token, first), owner, line))
+            counts += np.bincount(np.concatenate(buckets), minlength=COUNTS)
+            h1, h2, owner, line = (np.concatenate(c) for c in zip(*found, strict=True))
+            take, rows = pa.array(owner), batch.num_rows
+            none = [pa.nulls(len(owner), pa.int32()), pa.nulls(len(owner), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column(0).take(take), batch.column(1).take(take), pa.array(line), pa.nulls(len(owner), pa.list_(pa.int64())), *none], names=names)
+            numbers = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)), pa.int32()), pa.array(line))
+            none = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), batch.column(0), batch.column(1), pa.nulls(rows, pa.int64()), numbers, *none], names=names)
             ids = batch.column(0).type
         if ids is not None:
             parts = np.split(counts, _COUNT_ROWS)
-            numbers = pa.nulls(_COUNT_ROWS, pa.int64())
-            yield pa.RecordBatch.from_arrays([numbers, numbers, pa.nulls(_COUNT_ROWS, ids), numbers, numbers, pa.array(range(_COUNT_ROWS), pa.int32()), pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts], pa.binary())], names=names)
+            blank = pa.nulls(_COUNT_ROWS, pa.int64())
+            yield pa.RecordBatch.from_arrays([blank, blank, pa.nulls(_COUNT_ROWS, ids), blank, blank, pa.nulls(_COUNT_ROWS, pa.list_(pa.int64())), pa.array(range(_COUNT_ROWS), pa.int32()), pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts], pa.binary())], names=names)
 
     kind = placed.schema["id"].dataType.simpleString()
-    return placed.mapInArrow(run, f"h1 long, h2 long, id {kind}, place long, line long, part int, counts binary")
+    return placed.mapInArrow(run, f"h1 long, h2 long, id {kind}, place long, line long, numbers array<long>, part int, counts binary")
 
 
 def _rarity(rows: DataFrame) -> np.ndarray:
@@ -148,6 +165,22 @@ def _smallest_overlap(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
 
 
+def _bitmaps(token: np.ndarray, first: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Parity bitmaps of lines: 64 ``bits``; those of long lines are the folded form of 128 or 256, of which ``b1`` to ``b3`` are the second to last 64."""
+    hashed = mix(token, 3)
+    out = {"bits": np.bitwise_xor.reduceat(np.uint64(1) << (hashed & np.uint64(63)), first)} | {f"b{i}": np.zeros(len(first), np.uint64) for i in (1, 2, 3)}
+    for low, high, parts in ((WIDE[0], WIDE[1], 2), (WIDE[1], np.inf, 4)):
+        some = np.flatnonzero((n > low) & (n <= high))
+        if len(some):
+            size = n[some]
+            begin = np.cumsum(size) - size
+            at = hashed[np.repeat(first[some] - begin, size) + np.arange(int(size.sum()))]
+            one, part = np.uint64(1) << (at & np.uint64(63)), (at >> np.uint64(6)) & np.uint64(parts - 1)
+            for i in range(1, parts):
+                out[f"b{i}"][some] = np.bitwise_xor.reduceat(np.where(part == i, one, np.uint64(0)), begin)
+    return out
+
+
 def prefix_entries(first: np.ndarray, token: np.ndarray, rarity: np.ndarray, crowded: int, t: float) -> dict[str, np.ndarray]:
     """Index entries of lines: key, line (here), its size, the position of the word, and the line's bitmap."""
     n = np.diff(np.concatenate([first, [len(token)]]))
@@ -156,7 +189,7 @@ def prefix_entries(first: np.ndarray, token: np.ndarray, rarity: np.ndarray, cro
     key = _sorted_in_lines(line, (level << np.uint64(_TOKEN_BITS)) | token, _TOKEN_BITS + 6)
     token, level = key & np.uint64((1 << _TOKEN_BITS) - 1), key >> np.uint64(_TOKEN_BITS)
     place = np.arange(len(key)) - np.repeat(first, n)
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(token, 3) & np.uint64(63)), first)
+    bits = _bitmaps(token, first, n)
     prefix = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
     usable = (n >= math.ceil(t / (1 - t) - 1e-9))[line]
     inside = usable & (place < prefix[line])
@@ -174,16 +207,49 @@ def prefix_entries(first: np.ndarray, token: np.ndarray, rarity: np.ndarray, cro
         where.append(np.minimum(place[mine], other))
     at, keys, where = np.concatenate(at), np.concatenate(keys), np.concatenate(where)
     of = line[at]
-    return {"key": keys.view(np.int64), "line": of, "n": n[of], "at": where, "bits": bits[of].view(np.int64)}
-
-
-def _entries(placed: DataFrame, rarity, crowded: int, t: float) -> DataFrame:
-    """Index entries of the lines, with a ``hint`` of their order: a line with a lower hint comes first, of equal ones either may."""
+    return {"key": keys.view(np.int64), "line": of, "n": n[of], "at": where} | {c: b[of].view(np.int64) for c, b in bits.items()}
+
+
+def _hint(id_col: Column, whole: bool) -> Column:
+    """A number of the order of ids: what has a lower one comes first, of equal ones either may."""
+    return F.coalesce(id_col.cast("long"), F.lit(LAST)) if whole else F.lit(0).cast("long")
+
+
+def _dealt(found: dict[str, np.ndarray], tasks: int) -> pa.RecordBatch:
+    """Entries by the task of their key: a row for each task, with the entries' columns as bytes."""
+    task = found["key"] % tasks
+    order = np.lexsort((found["key"], task))
+    task = task[order]
+    ends = np.append(np.flatnonzero(task[1:] != task[:-1]) + 1, len(task))
+    found = {c: found[c][order].astype(kind) for c, kind in _ENTRY.items()}
+    packer, blobs, at = zstandard.ZstdCompressor(level=1), [], 0
+    for end in ends.tolist():
+        small = packer.compress(b"".join(found[c][at:end].tobytes() for c in _ENTRY if c not in _RANDOM))
+        blobs.append(len(small).to_bytes(4, "little") + small + b"".join(found[c][at:end].tobytes() for c in _RANDOM))
+        at = end
+    return pa.RecordBatch.from_arrays([pa.array(task[ends - 1]), pa.array(blobs, pa.binary())], names=["task", "entries"])
+
+
+def _undealt(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """The entries of some rows of ``_dealt``."""
+    parts = {c: [] for c in _ENTRY}
+    for blob in blobs:
+        begin = 4 + int.from_bytes(blob[:4], "little")
+        size = (len(blob) - begin) // sum(np.dtype(_ENTRY[c]).itemsize for c in _RANDOM)
+        for raw, at, columns in ((zstandard.ZstdDecompressor().decompress(blob[4:begin]), 0, [c for c in _ENTRY if c not in _RANDOM]), (blob, begin, _RANDOM)):
+            for c in columns:
+                parts[c].append(np.frombuffer(raw, _ENTRY[c], size, at))
+                at += size * np.dtype(_ENTRY[c]).itemsize
+    return {c: np.concatenate(p) for c, p in parts.items()}
+
+
+def _entries(placed: DataFrame, rarity, crowded: int, tasks: int, t: float) -> DataFrame:
+    """Index entries of the lines, with a ``hint`` of their order, as rows of ``_dealt``."""
     whole = isinstance(placed.schema["id"].dataType, IntegralType)
-    hint = F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)) if whole else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
+        held, size = [], 0
         for batch in batches:
             hints = batch.column(1).to_numpy()
             for owner, _, first, token in line_chunks(utf8_texts(batch.column(0))):
@@ -197,43 +263,78 @@ def _entries(placed: DataFrame, rarity, crowded: int, t: float) -> DataFrame:
                         seen[h] = order
                 if len(seen) > 1 << 19:
                     seen.clear()
-                keep = new[found["line"]]
-                size_at = found["n"][keep] << 32 | found["at"][keep]
-                yield pa.RecordBatch.from_arrays([pa.array(found["key"][keep]), pa.array(h1[found["line"][keep]]), pa.array(size_at), pa.array(found["bits"][keep]), pa.array(hints[owner][found["line"][keep]])], names=["key", "h1", "size_at", "bits", "hint"])
+                keep = np.flatnonzero(new[found["line"]])
+                of = found.pop("line")[keep]
+                held.append({c: v[keep] for c, v in found.items()} | {"h1": h1[of], "hint": hints[owner][of]})
+                size += len(keep)
+                if size >= DEALT:
+                    yield _dealt({c: np.concatenate([h[c] for h in held]) for c in _ENTRY}, tasks)
+                    held, size = [], 0
+        if size:
+            yield _dealt({c: np.concatenate([h[c] for h in held]) for c in _ENTRY}, tasks)
 
-    return placed.select("text", hint.alias("hint")).mapInArrow(run, "key long, h1 long, size_at long, bits long, hint long")
+    return placed.select("text", _hint(F.col("id"), whole).alias("hint")).mapInArrow(trimmed(run), "task long, entries binary")
 
 
 def passing(group: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """Which pairs of entries (of one key each) pass the length, positional and bitmap filters."""
+    return _passing(group, a, b, t)[0]
+
+
+def _passing(group: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs pass, and in how many words each differs at least, by the bitmaps."""
     n, at, bits = group["n"], group["at"], group["bits"]
     overlap = _smallest_overlap(n[a], n[b], t)
     ok = np.minimum(n[a], n[b]) >= overlap
     ok &= np.minimum(n[a] - at[a], n[b] - at[b]) >= overlap  # of the first shared word; all others stand behind it
-    ok &= np.bitwise_count(bits[a] ^ bits[b]) <= n[a] + n[b] - 2 * overlap
-    return ok
+    most = n[a] + n[b] - 2 * overlap
+    apart = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
+    ok &= apart <= most
+    if "b1" in group:
+        for low, parts in zip(WIDE, (_half_bitmap, _whole_bitmap), strict=True):
+            some = np.flatnonzero(ok & (np.minimum(n[a], n[b]) > low))
+            apart[some] = sum(np.bitwise_count(x ^ y).astype(np.int64) for x, y in zip(parts(group, a[some]), parts(group, b[some]), strict=True))
+            ok[some] = apart[some] <= most[some]
+    return ok, apart
 
 
-def near_pairs(group: dict[str, np.ndarray], t: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """A passing pair (later and earlier entry) of each line that has one among the first and the nearest before it in its lists."""
-    run, place = group["run"], group["place"]
+def _half_bitmap(group: dict[str, np.ndarray], i: np.ndarray) -> list[np.ndarray]:
+    """Bitmaps of 128 bits; those of 256 are folded once."""
+    second = group["b1"][i] ^ group["b3"][i]
+    return [group["bits"][i] ^ second, second]
+
+
+def _whole_bitmap(group: dict[str, np.ndarray], i: np.ndarray) -> list[np.ndarray]:
+    b1, b2, b3 = (group[c][i] for c in ("b1", "b2", "b3"))
+    return [group["bits"][i] ^ b1 ^ b2 ^ b3, b1, b2, b3]
+
+
+def _near_pairs(group: dict[str, np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of ``near_pairs``, and how far each is apart: the least difference by the bitmaps, in millionths of the words of both lines."""
+    run, place, n = group["run"], group["place"], group["n"]
     order = np.lexsort((place, run))
     begin = np.flatnonzero(np.concatenate([[True], run[order][1:] != run[order][:-1]]))
     start = np.repeat(begin, np.diff(np.append(begin, len(order))))
     seat = np.arange(len(order))
-    open_line = np.ones(int(place.max(initial=-1)) + 1, bool)
-    late, early = [], []
+    late, early, apart = [], [], []
     for step in range(FIRST + NEAR):
         partner = start + step if step < FIRST else seat - (step - FIRST + 1)
-        ok = np.flatnonzero((partner >= start) & (partner < seat) & open_line[place[order]])
+        ok = np.flatnonzero((partner >= start) & (partner < seat))
         a, b = order[ok], order[partner[ok]]
-        good = passing(group, a, b, t)
-        a, b = a[good], b[good]
-        _, one = np.unique(place[a], return_index=True)
-        late.append(a[one])
-        early.append(b[one])
-        open_line[place[a]] = False
-    return np.concatenate(late), np.concatenate(early)
+        good, differ = _passing(group, a, b, t)
+        a, b, differ = a[good], b[good], differ[good]
+        late.append(a)
+        early.append(b)
+        apart.append(1_000_000 * differ // (n[a] + n[b]))
+    late, early, apart = np.concatenate(late), np.concatenate(early), np.concatenate(apart)
+    order = np.lexsort((apart, place[late]))
+    one = order[_new(place[late][order])]
+    return late[one], early[one], apart[one]
+
+
+def near_pairs(group: dict[str, np.ndarray], t: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """A passing pair (later and earlier entry) of each line that has one among the first and the nearest before it in its lists: the one least apart, as it is the likeliest to be similar."""
+    return _near_pairs(group, t)[:2]
 
 
 def open_pairs(group: dict[str, np.ndarray], asked: np.ndarray, t: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -262,54 +363,73 @@ def open_pairs(group: dict[str, np.ndarray], asked: np.ndarray, t: float = THRES
         asked, low, high = asked[left], low[left], high[left]
 
 
-_PACKED = {"run": "<i4", "n": "<i4", "at": "<i4", "place": "<i4", "bits": "<u8"}
+_PACKED = {"run": "<i4", "n": "<i4", "at": "<i4", "place": "<i4", "bits": "<u8", "b1": "<u8", "b2": "<u8", "b3": "<u8"}
 
 
 def _packed(group: dict[str, np.ndarray]) -> bytes:
     """Entries (all but the hints, which are those of their lines), compressed column by column."""
-    steps = {c: np.diff(group[c], prepend=0) if c == "run" else group[c] for c in _PACKED}
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(steps[c].astype(kind).tobytes() for c, kind in _PACKED.items()))
+    steps = {c: np.diff(group[c], prepend=0) if c == "run" else group[c] for c in _PACKED if c in group}
+    return len(group["run"]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(v.astype(_PACKED[c]).tobytes() for c, v in steps.items()))
 
 
 def unpacked(data: bytes, hint: np.ndarray) -> dict[str, np.ndarray]:
     """The entries of ``_packed``, with the hints of their lines."""
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    size, at, out = len(raw) // 24, 0, {}
+    raw, size, at, out = zstandard.ZstdDecompressor().decompress(data[8:]), int.from_bytes(data[:8], "little"), 0, {}
     for c, kind in _PACKED.items():
-        width = np.dtype(kind).itemsize
-        values = np.frombuffer(raw, kind, size, at)
-        out[c] = values if c == "bits" else values.astype(np.int64)
-        at += size * width
+        if at < len(raw) or not size:
+            values = np.frombuffer(raw, kind, size, at)
+            out[c] = values if kind == "<u8" else values.astype(np.int64)
+            at += size * np.dtype(kind).itemsize
     out["run"] = np.cumsum(out["run"])
     out["hint"] = hint[out["place"]]
     return out
 
 
-def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
-    """``late`` and ``early`` ends of all pairs of some lines, ``near_late`` and ``near_early`` ends of the first pairs of others, and packs of entries over ``lines`` (with their ``hint``) for the ``asked`` lines (places), which are put off."""
+def _some(found: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+    return {c: v[at] for c, v in found.items()}
 
-    columns = ["lines", "hint", "asked", "near_late", "near_early", "late", "early", "entries"]
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before them."""
+    differs = np.ones(len(columns[0]), bool)
+    if len(differs):
+        differs[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return differs
+
+
+def _repeated(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places, in an order that sorts the keys, of keys that are there more than once."""
+    begins = np.append(_new(key[order]), True)
+    return order[~(begins[:-1] & begins[1:])]
+
+
+def _candidates(entries: DataFrame, t: float) -> DataFrame:
+    """``late`` and ``early`` ends of all pairs of some lines, ``near_late`` and ``near_early`` ends of the first pairs of others and how far they are apart, and packs of entries over ``lines`` (with their ``hint``) for the ``asked`` lines (places), which are put off."""
+
+    columns = ["lines", "hint", "asked", "near_late", "near_early", "near_apart", "late", "early", "entries"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        # Of copies the earliest entry stands for all.
-        group = group.sort_values(["key", "h1", "hint"])
-        group = group[~group.duplicated(["key", "h1"])]
-        group = group[group.duplicated("key", keep=False)]  # a word of one line joins nothing
-        if not len(group):
+        found = _undealt(group.entries.tolist())
+        # A word of one line joins nothing; of copies the earliest entry stands for all.
+        found = _some(found, _repeated(found["key"], np.argsort(found["key"])))
+        order = np.lexsort((found["hint"], found["h1"], found["key"]))
+        found = _some(found, order[_new(found["key"][order], found["h1"][order])])
+        found = _some(found, _repeated(found["key"], np.arange(len(found["key"]))))
+        if not len(found["key"]):
             return pd.DataFrame({c: [] for c in columns})
-        group = group.sort_values(["key", "size_at"])
-        lines, of = np.unique(group.h1.to_numpy(), return_inverse=True)
-        hint = np.full(len(lines), np.iinfo(np.int64).max)
-        np.minimum.at(hint, of, group.hint.to_numpy())
+        found = _some(found, np.lexsort((found["at"], found["n"], found["key"])))
+        lines, of = np.unique(found.pop("h1"), return_inverse=True)
+        hint = np.full(len(lines), LAST)
+        np.minimum.at(hint, of, found["hint"])
         order = np.lexsort((lines, hint))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        key, size_at = group.key.to_numpy(), group.size_at.to_numpy()
-        run_of = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         place = place[of]
         lines, hint = lines[order], hint[order]
-        found = {"run": run_of, "n": size_at >> 32, "at": size_at & 0xFFFFFFFF, "place": place, "bits": group.bits.to_numpy().view(np.uint64), "hint": hint[place]}
-        late, early = near_pairs(found, t)
+        key = found.pop("key")
+        run_of = np.cumsum(_new(key)) - 1
+        found |= {"run": run_of, "place": place, "hint": hint[place], "n": found["n"].astype(np.int64), "at": found["at"].astype(np.int64)}
+        late, early, apart = _near_pairs(found, t)
         near, pairs = (lines[place[x]] for x in (late, early)), [np.zeros(0, np.int64)]
         is_put_off = np.zeros(len(lines), bool)
         is_put_off[place[late]] = True
@@ -323,17 +443,16 @@ def _candidates(entries: DataFrame, tasks: int, t: float) -> DataFrame:
         used, small = np.unique(place[keep], return_inverse=True)
         kept = {c: v[keep] for c, v in found.items() if c != "hint"} | {"place": small.ravel()}
         asked = np.flatnonzero(is_put_off[used])
-        return pd.DataFrame([dict(zip(columns, (lines[used], hint[used], asked, *near, lines[code >> 32], lines[code & 0xFFFFFFFF], _packed(kept)), strict=True))])
+        return pd.DataFrame([dict(zip(columns, (lines[used], hint[used], asked, *near, apart, lines[code >> 32], lines[code & 0xFFFFFFFF], _packed(kept)), strict=True))])
 
-    dealt = entries.withColumn("task", F.pmod("key", F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(run, ", ".join(f"{c} array<long>" for c in columns[:-1]) + ", entries binary")
+    return entries.groupBy("task").applyInPandas(run, ", ".join(f"{c} array<long>" for c in columns[:-1]) + ", entries binary")
 
 
 def _open_pairs(packs: DataFrame, removed: DataFrame, t: float) -> DataFrame:
     """The pairs (a1, b1) of ``asked`` lines that are not ``removed`` (h1) yet with lines before them, or beside them in the order of hints."""
     asked = packs.select(F.explode(F.transform("asked", lambda at: F.get("lines", at.cast("int")))).alias("h1")).distinct()
     # Packs stay where they are: open lines are told by a table of bits, whose false hits cost time only.
-    table = packs.sparkSession.sparkContext.broadcast(_bit_table(asked.join(removed, "h1", "left_anti")))
+    table = packs.sparkSession.sparkContext.broadcast(_bit_table(asked.join(removed.hint("merge"), "h1", "left_anti")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
@@ -379,83 +498,100 @@ def _has_bit(table: np.ndarray, h1: np.ndarray) -> np.ndarray:
     return (table[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
 
 
-def _line_sets(placed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` lines (h1, h2, first) with their ``words``; texts stay where they are read, and lines that are not wanted (by a table of bits) are not sent."""
-    table = placed.sparkSession.sparkContext.broadcast(_bit_table(wanted.select("h1")))
+def _line_sets(placed: DataFrame, ends: DataFrame) -> DataFrame:
+    """Lines (h1, h2) whose h1 is one of the ``ends``, with their ``first`` occurrence and their ``words``; texts stay where they are read, and lines that are not asked for (by a table of bits) are not sent."""
+    whole = isinstance(placed.schema["id"].dataType, IntegralType)
+    table = placed.sparkSession.sparkContext.broadcast(_bit_table(ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         for batch in batches:
-            for _, _, first, token in line_chunks(utf8_texts(batch.column(0))):
+            hints, found = batch.column(3).to_numpy(), []
+            for owner, line, first, token in line_chunks(utf8_texts(batch.column(2))):
                 h1, h2 = set_hashes(token, first)
                 asked = np.flatnonzero(_has_bit(table.value, h1))
-                new = np.array([i for i, h in zip(asked.tolist(), h1[asked].tolist(), strict=True) if not (h in seen or seen.add(h))], np.int64)
+                new, known = [], []
+                for i, h, order in zip(asked.tolist(), h1[asked].tolist(), hints[owner[asked]].tolist(), strict=True):
+                    # Another occurrence is sent, without words, only if it may come before those sent already.
+                    if h not in seen or order < seen[h] or order == LAST or not whole:
+                        new.append(i)
+                        known.append(h in seen)
+                        seen[h] = order
                 if len(seen) > 1 << 20:
                     seen.clear()
-                if len(new):
-                    size = np.diff(np.concatenate([first, [len(token)]]))[new]
+                if new:
+                    new, known = np.array(new), np.array(known)
+                    size = np.where(known, 0, np.diff(np.concatenate([first, [len(token)]]))[new])
                     ends = np.cumsum(size)
                     at = np.repeat(first[new] - (ends - size), size) + np.arange(int(ends[-1]))
-                    words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(token[at].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[new]), pa.array(h2[new]), words], names=["h1", "h2", "words"])
+                    found.append((h1[new], h2[new], owner[new], line[new], known, size, token[at].view(np.int64)))
+            if found:
+                h1, h2, owner, line, known, size, token = (np.concatenate(c) for c in zip(*found, strict=True))
+                words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32(), mask=np.append(known, False)), pa.array(token))
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column(0).take(take), batch.column(1).take(take), pa.array(line), words], names=["h1", "h2", "id", "place", "line", "words"])
+
+    kind = placed.schema["id"].dataType.simpleString()
+    read = placed.select("id", "place", "text", _hint(F.col("id"), whole).alias("hint"))
+    found = read.mapInArrow(trimmed(run), f"h1 long, h2 long, id {kind}, place long, line long, words array<long>")
+    return found.join(ends.hint("merge"), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.first("words", ignorenulls=True).alias("words"))
+
 
-    found = placed.select("text").mapInArrow(run, "h1 long, h2 long, words array<long>")
-    return found.join(wanted.hint("merge"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("words").alias("words"))
+def _order() -> Column:
+    """What lines are ordered by."""
+    return F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("place"), F.col("line"))
 
 
 def _later_of_similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """The later line (h1, h2) of each pair (a1, b1) whose sets are similar."""
-    a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("words").alias("a_words"), F.col("first").alias("a_first"))
-    b = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("words").alias("b_words"), F.col("first").alias("b_first"))
+    """The later line (h1, and its first ``place`` and ``line``) of each pair (a1, b1) whose sets are similar."""
+    a = sets.select(F.col("h1").alias("a1"), F.col("words").alias("a_words"), F.col("first").alias("a_first"))
+    b = sets.select(F.col("h1").alias("b1"), F.col("words").alias("b_words"), F.col("first").alias("b_first"))
     shared = F.size(F.array_intersect("a_words", "b_words"))
     like = shared >= t * (F.size("a_words") + F.size("b_words") - shared) - 1e-9
     a_later = F.col("a_first") > F.col("b_first")
     # Merged at every size: words are too much to send to all tasks, and a plan that changes hides how it grows.
     later = pairs.join(a.hint("merge"), "a1").join(b.hint("merge"), "b1").where(like)
-    return later.select(F.when(a_later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(a_later, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct()
+    later = later.select(F.when(a_later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(a_later, F.col("a_first")).otherwise(F.col("b_first")).alias("first"))
+    return later.select("h1", "first.place", "first.line").distinct()
 
 
-def _verified(placed: DataFrame, distinct: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """The later lines (h1, h2) of the ``pairs`` whose sets are similar."""
-    ends = pairs.select(F.explode(F.array("a1", "b1")).alias("h1")).distinct()
-    sets = written(_line_sets(placed, written(distinct.join(ends, "h1", "left_semi"), "line-ends")), "line-sets")
-    return _later_of_similar(pairs, sets, t)
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The lines (h1) that stand in ``pairs``."""
+    return written(pairs.select(F.explode(F.array("a1", "b1")).alias("h1")).distinct(), "line-ends")
 
 
-def _lines(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored rows of ``_lines_and_counts``, and its lines."""
-    rows = written(_lines_and_counts(placed), "lines")
-    return rows, rows.where("part is null").select("h1", "h2", "id", "place", "line")
+def _verified(placed: DataFrame, ends: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """The later lines (h1, place, line) of the ``pairs``, with these ``ends``, whose sets are similar."""
+    return _later_of_similar(pairs, written(_line_sets(placed, ends), "line-sets"), t)
 
 
-def kept_lines(placed: DataFrame, rows: DataFrame, lines: DataFrame, t: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
-    """``place`` and ``line`` of the lines with words that stay."""
-    order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("place"), F.col("line"))
-    distinct = written(lines.groupBy("h1", "h2").agg(F.min(order).alias("first")), "line-first")
+def later_lines(placed: DataFrame, rows: DataFrame, lines: DataFrame, t: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
+    """``place`` and ``line`` of the first occurrences of lines that are similar to an earlier one."""
     rarity = placed.sparkSession.sparkContext.broadcast(_rarity(rows))
     # About 12 entries a line: a prefix is a fifth of a line's words.
-    tasks = max(1, 12 * distinct.count() // TASK_ENTRIES)
-    packs = written(_candidates(_entries(placed, rarity, crowded, t), tasks, t), "line-packs")
-    # Of a line that tasks have put off, one of its first pairs is enough here.
-    near = packs.select(F.inline(F.arrays_zip(F.col("near_late").alias("a1"), F.col("near_early").alias("b1")))).groupBy("a1").agg(F.min("b1").alias("b1"))
+    tasks = max(1, 12 * lines.count() // TASK_ENTRIES)
+    packs = written(_candidates(_entries(placed, rarity, crowded, tasks, t), t), "line-packs")
+    # Of a line that tasks have put off, the one of its first pairs that is least apart is enough here.
+    near = packs.select(F.inline(F.arrays_zip(F.col("near_late").alias("a1"), F.col("near_early").alias("b1"), F.col("near_apart").alias("apart")))).groupBy("a1").agg(F.min_by("b1", "apart").alias("b1"))
     tops = near.union(packs.select(F.inline(F.arrays_zip(F.col("late").alias("a1"), F.col("early").alias("b1"))))).distinct()
-    removed = written(_verified(placed, distinct, written(tops, "line-tops"), t), "line-removed")
+    tops = written(tops, "line-tops")
+    removed = written(_verified(placed, _ends(tops), tops, t), "line-removed")
     others = written(_open_pairs(packs, removed.select("h1"), t), "line-pairs")
-    later = removed.union(_verified(placed, distinct, others, t)).distinct()
-    return distinct.join(later, ["h1", "h2"], "left_anti").select(F.col("first.place").alias("place"), F.col("first.line").alias("line"))
+    return removed.union(_verified(placed, _ends(others), others, t)).select("place", "line")
 
 
 def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
     """Each row's ``place``, ``id``, ``n_lines`` (with words) and the numbers of the ``removed`` ones."""
     placed = _placed(docs, id_col, text_col)
-    rows, lines = _lines(placed)
-    kept = kept_lines(placed, rows, lines, t, crowded).select("place", "line", F.lit(True).alias("kept"))
-    found = lines.select("place", "line", F.lit(False).alias("kept")).union(kept)
-    by_row = found.groupBy("place").agg(F.collect_list(F.when(F.col("kept"), F.col("line"))).alias("kept"), F.collect_list(F.when(~F.col("kept"), F.col("line"))).alias("full"))
-    joined = placed.select("place", "id").join(by_row, "place", "left")
+    rows = written(_lines_and_counts(placed), "lines")
+    lines = rows.where("h1 is not null").select("h1", "h2", "id", "place", "line")
+    first = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first")).select("first.place", "first.line", F.lit(False).alias("later"))
+    found = first.union(later_lines(placed, rows, lines, t, crowded).withColumn("later", F.lit(True)))
+    by_row = found.groupBy("place").agg(*[F.collect_list(F.when(F.col("later") == later, F.col("line"))).alias(name) for name, later in (("firsts", False), ("laters", True))])
+    joined = rows.where("numbers is not null").select("place", "id", "numbers").join(by_row, "place", "left")
     none = F.array().cast("array<long>")
-    removed = F.sort_array(F.array_except(F.coalesce("full", none), F.coalesce("kept", none)))
-    return joined.select("place", "id", F.size(F.coalesce("full", none)).cast("long").alias("n_lines"), removed.alias("removed"))
+    kept = F.array_except(F.coalesce("firsts", none), F.coalesce("laters", none))
+    return joined.select("place", "id", F.size("numbers").cast("long").alias("n_lines"), F.sort_array(F.array_except("numbers", kept)).alias("removed"))
 
 
 def remove_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = THRESHOLD, crowded: int = CROWDED) -> DataFrame:

@@ -15,9 +15,8 @@ or more; of similar or equal lines only the earliest, by id and place, stays.
    of the difference; long lines have wider ones). A task first pairs each line
    with the one least apart of a few lines before it in its words' lists (the
    first ones and the nearest), and goes on through all earlier lines of its
-   lists only where none of these passes. So
-   near copies, which are alike with any of their group, make a number of
-   pairs that grows with the lines.
+   lists only where none of these passes. So near copies, which are alike with
+   any of their group, make a number of pairs that grows with the lines.
 4. Pairs are verified on the whole sets. Of the lines that a task has stopped
    at a first pair, those that no pair removes are then paired with all
    earlier lines of their lists, which the task has kept packed, and verified,
@@ -26,7 +25,8 @@ or more; of similar or equal lines only the earliest, by id and place, stays.
 Words that might be in very many prefixes (by their counts) are split: similar
 lines share two words of a prefix one longer, so such a word is only met
 together with a second one. Entries of copies are dropped in each task before
-they are sent, and sent as bytes, a row for each task. Lines of fewer than 4 words can be similar to equal sets only.
+they are sent, as bytes, a row for each task. Lines of fewer than 4 words can
+be similar to equal sets only.
 
 Words are 40-bit hashes and sets 128-bit ones; texts are not compared.
 
